@@ -4,18 +4,62 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import byte_bpe
+from . import byte_bpe, decontaminate, langid, repetition, secrets
 from .shared import small_batches, table
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items")
+
+
+def op3_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return repetition.measure(table(spark, sf_dir, "documents"))
+
+
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    found = secrets.secret_spans(table(spark, sf_dir, "documents"))
+    listed = F.array_join(F.transform("spans", lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
+    live = F.size(F.filter("spans", lambda x: x["live"]))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", F.coalesce(listed, F.lit("")).alias("spans"), F.when(F.col("spans").isNull(), 0).otherwise(live).cast("long").alias("n_live"))
+
+
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs, usable=~langid.held_out())
+    return langid.predict(docs.select("doc_id", "text"), model).select("doc_id", langid.held_out().alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     return byte_bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 
 
 QUERIES = {
+    "op1_decontaminate": op1_decontaminate,
+    "op3_repetition": op3_repetition,
+    "op5_secrets": op5_secrets,
+    "op9_language": op9_language,
     "op10_byte_bpe": op10_byte_bpe,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+ORACLE_SQL: dict[str, str] = {
+    "op1_decontaminate": rf"""
+WITH item_words AS (SELECT DISTINCT coalesce(CAST(item_id AS VARCHAR), '') AS item, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+sized AS (SELECT item, w, least(10, len(w)) AS k FROM item_words WHERE len(w) > 0),
+windows AS (SELECT DISTINCT item, k, array_to_string(list_slice(w, i, i + k - 1), ' ') AS grams FROM (SELECT item, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM sized)),
+docs AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+places AS (SELECT r, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM docs, (SELECT DISTINCT k FROM windows) WHERE len(w) >= k),
+found AS (SELECT r, i, p.k, item FROM (SELECT r, k, i, array_to_string(list_slice(w, i, i + k - 1), ' ') AS grams FROM places) p JOIN windows USING (k, grams)),
+hit AS (SELECT r, count(DISTINCT j) AS n_hit FROM (SELECT r, unnest(range(i, i + k)) AS j FROM found) GROUP BY r),
+owned AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item FROM found) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN hit USING (r) LEFT JOIN owned USING (r)""",
+}
