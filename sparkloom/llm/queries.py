@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, langid, repetition, secrets
-from .shared import small_batches, table
+from . import byte_bpe, decontaminate, langid, repetition, secrets, token_records, warc
+from .shared import shared_dir, small_batches, table
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,6 +15,12 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items")
 
 
+def op2_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    docs = table(spark, sf_dir, "documents")
+    return token_records.read(token_records.write(docs, shared_dir(spark, "token-records"), public_tokenizers.path("word_bpe_49k.json"), end_id=2))
+
+
 def op3_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     return repetition.measure(table(spark, sf_dir, "documents"))
@@ -28,6 +34,11 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", F.coalesce(listed, F.lit("")).alias("spans"), F.when(F.col("spans").isNull(), 0).otherwise(live).cast("long").alias("n_live"))
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return warc.round_trip(table(spark, sf_dir, "pages")).drop("url")
+
+
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     docs = table(spark, sf_dir, "documents")
@@ -42,8 +53,10 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
+    "op2_token_records": op2_token_records,
     "op3_repetition": op3_repetition,
     "op5_secrets": op5_secrets,
+    "op7_warc": op7_warc,
     "op9_language": op9_language,
     "op10_byte_bpe": op10_byte_bpe,
 }
@@ -62,4 +75,10 @@ hit AS (SELECT r, count(DISTINCT j) AS n_hit FROM (SELECT r, unnest(range(i, i +
 owned AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item FROM found) GROUP BY r)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM docs LEFT JOIN hit USING (r) LEFT JOIN owned USING (r)""",
+    "op7_warc": """
+WITH p AS (SELECT CAST(page_id AS BIGINT) AS page_id, coalesce(html, '') AS h FROM pages),
+d AS (SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes, sha256(h) AS payload_digest FROM p),
+f AS (SELECT payload_digest, min(page_id) AS first_id FROM d WHERE payload_bytes >= 100 GROUP BY payload_digest)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN first_id <> page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN first_id <> page_id THEN first_id END AS refers_to
+FROM d LEFT JOIN f USING (payload_digest)""",
 }

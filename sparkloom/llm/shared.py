@@ -5,8 +5,10 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -64,3 +66,23 @@ def text_chunks(batches: Iterator[pa.RecordBatch], column: str = "text", most: i
             size += len(text)
         if start < len(texts):
             yield batch.slice(start), texts[start:]
+
+
+def store(uri: str) -> tuple[fs.FileSystem, str]:
+    """File system and path of a URI; plain paths are local."""
+    return fs.FileSystem.from_uri(uri)
+
+
+@contextmanager
+def new_file(uri: str) -> Iterator[pa.NativeFile]:
+    """A binary file that appears under its name only when it is whole, so a repeated task replaces it."""
+    files, path = store(uri)
+    files.create_dir(path.rpartition("/")[0], recursive=True)
+    part = f"{path}.{uuid.uuid4().hex}.part"
+    with files.open_output_stream(part, compression=None, buffer_size=1 << 20) as out:
+        yield out
+    try:
+        files.move(part, path)
+    except OSError:  # stores that don't rename over a file
+        files.delete_file(path)
+        files.move(part, path)
