@@ -6,48 +6,61 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, langid, repetition, secrets, token_records, warc
-from .shared import shared_dir, small_batches, table
+from . import byte_bpe, decontaminate, html_main, langid, repetition, secrets, token_records, toxicity, warc
+from .shared import prepare, shared_dir, table
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    small_batches(spark)
+    prepare(spark)
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items")
 
 
 def op2_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    small_batches(spark)
+    prepare(spark)
     docs = table(spark, sf_dir, "documents")
     return token_records.read(token_records.write(docs, shared_dir(spark, "token-records"), public_tokenizers.path("word_bpe_49k.json"), end_id=2))
 
 
 def op3_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
-    small_batches(spark)
+    prepare(spark)
     return repetition.measure(table(spark, sf_dir, "documents"))
 
 
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    small_batches(spark)
+    prepare(spark)
     found = secrets.secret_spans(table(spark, sf_dir, "documents"))
     listed = F.array_join(F.transform("spans", lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
     live = F.size(F.filter("spans", lambda x: x["live"]))
     return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", F.coalesce(listed, F.lit("")).alias("spans"), F.when(F.col("spans").isNull(), 0).otherwise(live).cast("long").alias("n_live"))
 
 
+def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return html_main.extract(table(spark, sf_dir, "pages"))
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    small_batches(spark)
+    prepare(spark)
     return warc.round_trip(table(spark, sf_dir, "pages")).drop("url")
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), usable=~langid.held_out())
+    scored = toxicity.predict(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", langid.held_out().alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.5).cast("int").alias("predicted"))
+
+
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    small_batches(spark)
+    prepare(spark)
     docs = table(spark, sf_dir, "documents")
     model = langid.fit(docs, usable=~langid.held_out())
     return langid.predict(docs.select("doc_id", "text"), model).select("doc_id", langid.held_out().alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
 
 
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    small_batches(spark)
+    prepare(spark)
     return byte_bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 
 
@@ -56,7 +69,9 @@ QUERIES = {
     "op2_token_records": op2_token_records,
     "op3_repetition": op3_repetition,
     "op5_secrets": op5_secrets,
+    "op6_html": op6_html,
     "op7_warc": op7_warc,
+    "op8_toxicity": op8_toxicity,
     "op9_language": op9_language,
     "op10_byte_bpe": op10_byte_bpe,
 }

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
 from contextlib import contextmanager
+from pathlib import Path
 
 import pyarrow as pa
 from pyarrow import fs
@@ -21,9 +23,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Whole texts vary from nothing to megabytes: fewer rows to a batch keep workers small."""
+_shipped: set[str] = set()
+
+
+def prepare(spark: SparkSession) -> None:
+    """Settings for operators on whole texts, and this package for executors that don't have it.
+
+    Texts vary from nothing to megabytes: fewer rows to a batch keep workers small.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
+    sc = spark.sparkContext
+    if sc.applicationId not in _shipped:
+        _shipped.add(sc.applicationId)
+        package = Path(__file__).resolve().parent.parent
+        archive = Path(tempfile.mkdtemp(prefix="sparkloom-")) / f"{package.name}.zip"
+        with zipfile.ZipFile(archive, "w") as z:
+            for path in sorted(package.rglob("*.py")):
+                z.write(path, path.relative_to(package.parent))
+        sc.addPyFile(str(archive))
 
 
 def shared_dir(spark: SparkSession, label: str) -> str:
