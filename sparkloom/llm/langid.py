@@ -70,8 +70,8 @@ def buckets(texts: list[str], bits: int) -> tuple[list[np.ndarray], np.ndarray,
 
 def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang", usable: Column | None = None, most_docs: int = 20_000, bits: int = 16) -> Model:
     """Learn from at most about most_docs of the usable labelled rows."""
-    rows = docs.where(F.col(key).isNotNull() & F.col(label).isNotNull() & F.col(text).isNotNull() & (F.lit(True) if usable is None else usable))
-    n = rows.count()
+    rows = docs.where(F.col(key).isNotNull() & F.col(label).isNotNull() & (F.lit(True) if usable is None else usable))
+    n = rows.count()  # without the texts, so the scan skips them
     share = min(1.0, most_docs / max(n, 1))
     chosen = rows.where(F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(1_000_000)) < int(share * 1_000_000)) if share < 1 else rows
 
@@ -89,7 +89,7 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", label: str = "
         names = sorted(counts)
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([seen[x] for x in names], pa.int64()), pa.array([counts[x][:-1].astype("<i8").tobytes() for x in names], pa.binary())], ["label", "docs", "counts"])
 
-    parts = chosen.select(F.col(text).alias("text"), F.col(label).alias("label")).repartition(8).mapInArrow(count, "label string, docs long, counts binary").toLocalIterator()
+    parts = chosen.where(F.col(text).isNotNull()).select(F.col(text).alias("text"), F.col(label).alias("label")).repartition(8).mapInArrow(count, "label string, docs long, counts binary").toLocalIterator()
     counts: dict[str, np.ndarray] = {}
     seen: dict[str, int] = {}
     for row in parts:  # 8 rows a language, half a MB each
