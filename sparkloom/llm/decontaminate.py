@@ -253,8 +253,10 @@ def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", item_ke
             column, keep = batch.column(text).to_pylist(), np.ones(len(texts), bool)
             for i, (words, hit, _) in enumerate(_matches(shared, names, window, texts)):
                 if hit is not None:
-                    column[i] = without_spans(texts[i], hit)
                     keep[i] = hit.sum() <= max_coverage * len(words)
+                    while keep[i] and hit is not None:  # what a removal joins may be a window again
+                        column[i] = without_spans(column[i], hit)
+                        [(_, hit, _)] = _matches(shared, names, window, [column[i]])
             at = batch.schema.get_field_index(text)
             yield batch.set_column(at, batch.schema.field(at), pa.array(column, batch.schema.field(at).type)).filter(pa.array(keep))
 

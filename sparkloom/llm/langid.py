@@ -135,6 +135,12 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
+def identified(docs: DataFrame, model: Model, text: str = "text", least: float = 0.5) -> DataFrame:
+    """The rows of docs whose language is told with a posterior of at least `least`."""
+    named = predict(docs, model, text)
+    return named.where((F.col("lang_pred") != UNDETERMINED) & (F.col("lang_score") >= least)).select(*docs.columns)
+
+
 def held_out(key: str = "doc_id") -> Column:
     """The fold that is never learned from: crc32 of the key as text, mod 5, is 0 (or the key is null)."""
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 5 == 0, F.lit(True))
