@@ -1,16 +1,59 @@
 """Corpus pipeline: a documents table goes through the training-data operators, one stage after another.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet in the
-shared folder and read again as the next stage's documents.
+shared folder and read again as the next stage's documents. Stages that change texts renew n_chars.
 """
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sparkloom.llm.shared import materialise, table
+from sparkloom.llm import byte_bpe, decontaminate, langid, ngram_join, secrets
+from sparkloom.llm.shared import materialise, prepare, table
 
-STAGES: list = []
+
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is told; null texts and texts without a letter go.
+
+    The model learns from the documents outside the held-out fold.
+    """
+    prepare(spark)
+    return langid.identified(docs, langid.fit(docs, usable=~langid.held_out()))
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies, the one with the smallest id."""
+    prepare(spark)
+    return ngram_join.without_near_duplicates(docs)
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the passages of benchmark items; documents that consist of them mostly go."""
+    prepare(spark)
+    return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark")).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+
+
+def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts with secrets replaced, live ones and copied examples by different marks."""
+    prepare(spark)
+    return secrets.redact(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+
+
+def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens and digests of the ids and of what they decode to."""
+    prepare(spark)
+    return byte_bpe.round_trip(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+
+
+STAGES = [
+    ("language ID", known_language),
+    ("n-gram Jaccard join", one_of_each_group),
+    ("benchmark decontamination", without_benchmark),
+    ("secret scans", without_secrets),
+    ("byte-level BPE", token_ids),
+]
 
 #: Language models, prefix trees and byte-pair merges have no SQL form; tests hold run() against brute force.
 ORACLE_SQL = None
