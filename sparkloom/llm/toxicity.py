@@ -117,7 +117,7 @@ def solve(rows: list[np.ndarray], labels: np.ndarray, changes: list[tuple[np.nda
     return Model(float(w[-1]), ids[chosen], w[:-1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", usable: Column | None = None, most_docs: int = 12_000, most_features: int = 600, least_z: float = 5.0, ridge: float = 1.0, fairness: float = 10.0) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", usable: Column | None = None, most_docs: int = 12_000, most_features: int = 600, least_z: float = 5.0, ridge: float = 0.3, fairness: float = 10.0) -> Model:
     """Learn from at most about most_docs labelled rows; usable is a condition on the key."""
     rows = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull() & (F.lit(True) if usable is None else usable))
     share = min(1.0, most_docs / max(rows.count(), 1))
