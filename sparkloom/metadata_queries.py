@@ -1,2 +1,239 @@
-QUERIES = {}
-ORACLE_SQL = {}
+"""Registered queries of the catalog analyses, on the sample model.
+
+Their SQL restates the results that the sample's definition implies; the model's name is left out.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from . import samples
+from .catalog import Catalog
+from .formulas.measures import to_sql
+from .operators import audits, comparison, model_graph, references, reports
+from .sources.archives import from_parts
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def sample(spark: SparkSession) -> Catalog:
+    return from_parts(samples.archive_parts(spark))[0]
+
+
+def with_report(spark: SparkSession) -> Catalog:
+    """The sample with a small report: two sound bindings, a renamed measure, a dropped table and a bare name."""
+    rows = [("Overview", "v1", "bar", "Column", "Customer", "Region"), ("Overview", "v1", "bar", "Measure", "Sales", "Total Sales"), ("Overview", "v2", "card", "Measure", "Sales", "Revenue"), ("Detail", "v3", "table", "Column", "Stores", "City"), ("Detail", "v3", "table", "Column", "", "Category")]
+    bindings = spark.createDataFrame([(samples.MODEL, *r) for r in rows], "model string, page string, visual string, visual_type string, kind string, table string, field string")
+    return sample(spark).with_(bindings=bindings)
+
+
+def values(columns: str, *rows: tuple) -> str:
+    show = lambda v: "NULL" if v is None else str(v).lower() if isinstance(v, bool) else f"CAST({v} AS BIGINT)" if isinstance(v, int) else "'" + v.replace("'", "''") + "'"
+    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(show, r)) + ')' for r in rows)}) t({columns})"
+
+
+def registered(sql: str | None = None):
+    def put(f):
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(spark)
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return put
+
+
+@registered(values("table_name, rows_count", *((t, n) for t, (n, _) in samples.TABLES.items())))
+def meta_tables(spark):
+    return sample(spark).tables.select(F.col("table").alias("table_name"), "rows_count")
+
+
+@registered(values("from_table, from_column, to_table, to_column, direction, active", *(("Sales", f"{t}Key", t, f"{t}Key", "Both" if t == "Customer" else "Single", True) for t in ("Date", "Product", "Customer"))))
+def meta_relationships(spark):
+    return sample(spark).relationships.select("from_table", "from_column", "to_table", "to_column", "direction", "active")
+
+
+@registered(values("table_name, marked, key, dates", ("Date", True, "DateKey", "Date")))
+def meta_date_tables(spark):
+    return audits.date_tables(sample(spark)).select(F.col("table").alias("table_name"), "marked", "key", F.array_join("date_columns", ", ").alias("dates"))
+
+
+@registered(values("screen, measures", ("Sales", 4)))
+def meta_screens(spark):
+    return references.screens(sample(spark)).select("screen", "measures")
+
+
+@registered(values("shape, facts, dimensions, depth", ("Star", "Sales", "Customer, Date, Product", 1)))
+def meta_schema_shape(spark):
+    return model_graph.schema_shape(sample(spark)).select("shape", F.array_join("facts", ", ").alias("facts"), F.array_join("dimensions", ", ").alias("dimensions"), F.col("depth").cast("bigint").alias("depth"))
+
+
+@registered(values("fact, tables", ("Sales", "Customer, Date, Product, Sales")))
+def meta_subject_areas(spark):
+    return model_graph.subject_areas(sample(spark)).select("fact", F.array_join("tables", ", ").alias("tables"))
+
+
+@registered(values("table_name", ("Date",), ("Product",), ("Sales",)))
+def meta_bridges(spark):
+    two = spark.createDataFrame([(samples.MODEL, "Date"), (samples.MODEL, "Product")], "model string, table string")
+    return model_graph.with_bridges(sample(spark), two).select(F.col("table").alias("table_name"))
+
+
+@registered(values("measure, uses", ("Sales YTD", "Total Sales")))
+def meta_measure_edges(spark):
+    return references.measure_edges(sample(spark)).select("measure", "uses")
+
+
+@registered(values("measure, depends_on, used_by", ("Total Sales", "", "Sales YTD"), ("Sales YTD", "Total Sales", ""), ("Total Quantity", "", ""), ("total_orders", "", "")))
+def meta_measure_dependencies(spark):
+    return references.measure_dependencies(sample(spark)).select("measure", F.array_join("depends_on", ", ").alias("depends_on"), F.array_join("used_by", ", ").alias("used_by"))
+
+
+@registered(values("measures", ("A, B, C",), ("D",)))
+def meta_measure_cycles(spark):
+    rows = [("A", "[B] + 1"), ("B", "[C]"), ("C", "SUM(T[x]) + [A]"), ("D", "[D] * 2"), ("E", "[A]"), ("F", '"[F]" -- [F]')]
+    m = spark.createDataFrame([("m", "T", n, e) for n, e in rows], "model string, table string, measure string, expression string")
+    return references.measure_cycles(Catalog.empty(spark, measures=m)).select(F.array_join("measures", ", ").alias("measures"))
+
+
+UNUSED = [("Date", "Year"), ("Date", "Month"), ("Product", "Product Name"), ("Product", "Category"), ("Customer", "Customer Name"), ("Customer", "Region"), ("Customer", "internal_notes"), ("Metric Selector", "Metric Selector"), ("Metric Selector", "Metric Fields"), ("Metric Selector", "Metric Order")]
+
+
+@registered(values("table_name, column_name, status", *((t, c, "Likely unused" if (t, c) in UNUSED else "Referenced") for t, (_, cs) in samples.TABLES.items() for c in cs)))
+def meta_unused_columns(spark):
+    return references.unused_columns(sample(spark)).select(F.col("table").alias("table_name"), F.col("column").alias("column_name"), "status")
+
+
+@registered(values("kind, object", ("measure", "Total Sales"), ("measure", "Total Quantity"), ("relationship", "Sales[DateKey] to Date[DateKey]"), ("relationship", "Sales[ProductKey] to Product[ProductKey]"), ("relationship", "Sales[CustomerKey] to Customer[CustomerKey]"), ("related table", "Date"), ("related table", "Product"), ("related table", "Customer")))
+def meta_impact_of_table(spark):
+    return references.impact_of_table(sample(spark), "Sales").select("kind", "object")
+
+
+@registered(values("kind, object", ("measure", "Total Sales"), ("measure", "Total Quantity")))
+def meta_impact_of_column(spark):
+    return references.impact_of_column(sample(spark), "Sales", "Quantity").select("kind", "object")
+
+
+@registered(values("check_name, severity, n", ("Bi-directional relationship", "Medium", 1), ("Missing description", "Low", 28), ("High-cardinality relationship key", "Info", 1)))
+def meta_health(spark):
+    return audits.health(sample(spark)).groupBy(F.col("check").alias("check_name"), "severity").agg(F.count(F.lit(1)).alias("n"))
+
+
+@registered(values("name, severity, suggestion", ("total_orders", "Medium", "Total Orders")))
+def meta_naming_measures(spark):
+    return audits.naming(sample(spark)).where("kind = 'Measure'").select(F.col("object").alias("name"), "severity", "suggestion")
+
+
+@registered(values("encoding, n", ("VALUE", 9), ("HASH", 10)))
+def meta_encodings(spark):
+    return audits.encoding_counts(sample(spark)).select("encoding", F.col("columns").alias("n"))
+
+
+@registered(values("check_name, severity, object", ("Calculated tables", "High", "Metric Selector"), ("Source transforms", "Medium", "4 table(s)"), ("Bi-directional relationships", "Medium", "Sales - Customer")))
+def meta_readiness(spark):
+    return audits.readiness(sample(spark)).select(F.col("check").alias("check_name"), "severity", "object")
+
+
+@registered(values("check_name, severity, object, message", ("Measure outside the folder taxonomy", "Low", "Sales", "total_orders"), *(("Relationship key visible in the field list", "Medium", t, k) for t, k in (("Sales", "CustomerKey, DateKey, ProductKey"), ("Date", "DateKey"), ("Product", "ProductKey"), ("Customer", "CustomerKey")))))
+def meta_folders(spark):
+    return audits.folders(sample(spark)).select(F.col("check").alias("check_name"), "severity", "object", "message")
+
+
+_TRACE = [("Regional Manager", "Customer", t, t in ("Customer", "Sales"), "Info" if t in ("Customer", "Sales") else "Low") for t in samples.TABLES]
+_TRACE += [("Sales Rep (misconfigured)", "Sales", t, t in ("Customer", "Sales"), {"Customer": "Info", "Sales": "Info", "Metric Selector": "Low"}.get(t, "High")) for t in samples.TABLES]
+
+
+@registered(values("role, secured, table_name, filtered, severity", *_TRACE))
+def meta_role_reach(spark):
+    return model_graph.role_reach(sample(spark)).select("role", "secured", F.col("table").alias("table_name"), "filtered", "severity")
+
+
+@registered(values("role, secured, exposed, trapped, severity", ("Regional Manager", 2, 3, 0, "Info"), ("Sales Rep (misconfigured)", 2, 3, 2, "High")))
+def meta_role_exposure(spark):
+    return model_graph.role_exposure(sample(spark)).select("role", "secured", "exposed", "trapped", "severity")
+
+
+@registered(values("table_name, fields, used, severity", ("Metric Selector", "'Sales'[Total Quantity], 'Sales'[Total Sales]", False, "Medium")))
+def meta_field_parameters(spark):
+    return reports.field_parameters(with_report(spark)).select(F.col("table").alias("table_name"), F.array_join("fields", ", ").alias("fields"), "used", "severity")
+
+
+@registered(values("page, field, problem", ("Overview", "Revenue", "no such measure"), ("Detail", "City", "the table doesn't exist")))
+def meta_broken_bindings(spark):
+    return reports.broken_bindings(with_report(spark)).select("page", "field", "problem")
+
+
+@registered(values("table_name, column_name", *(x for x in UNUSED if x not in (("Customer", "Region"), ("Product", "Category")))))
+def meta_safe_to_delete(spark):
+    return reports.column_disposition(with_report(spark)).where("verdict = 'Safe to delete'").select(F.col("table").alias("table_name"), F.col("column").alias("column_name"))
+
+
+@registered(values("kind, table_name, column_name", ("table", "Metric Selector", None), *(("column", *x) for x in UNUSED if x not in (("Customer", "Region"), ("Product", "Category")) and x[0] != "Metric Selector")))
+def meta_cleanup_plan(spark):
+    return reports.cleanup_plan(with_report(spark)).select("kind", F.col("table").alias("table_name"), F.col("column").alias("column_name"))
+
+
+@registered(values("page, table_name", ("Overview", "Customer"), ("Overview", "Sales")))
+def meta_page_tables(spark):
+    return reports.page_tables(with_report(spark)).select("page", F.col("table").alias("table_name"))
+
+
+@registered(values("table_name, source", ("Date", "dim_date"), ("Product", "dim_product"), ("Customer", "dim_customer"), ("Sales", "fact_sales")))
+def meta_lineage(spark):
+    return reports.lineage(sample(spark)).select(F.col("table").alias("table_name"), "source")
+
+
+@registered(values("source, tables, n", ("dim_date", "Date", 1), ("dim_product", "Product", 1), ("dim_customer", "Customer", 1), ("fact_sales", "Sales", 1)))
+def meta_source_impact(spark):
+    return reports.source_impact(sample(spark)).select("source", F.array_join("tables", ", ").alias("tables"), F.col("n").cast("bigint").alias("n"))
+
+
+@registered(values("measure, change, severity", ("Total Sales", "expression changed", "High"), ("Sales YTD", "removed", "High"), ("Orders", "added", "Medium")))
+def meta_measure_changes(spark):
+    base = sample(spark)
+    other = base.measures.where("measure <> 'Sales YTD'").withColumn("expression", F.when(F.col("measure") == "Total Sales", F.lit("SUM(Sales[Quantity])")).when(F.col("measure") == "Total Quantity", F.lit("SUM( Sales[Quantity] ) -- same")).otherwise(F.col("expression")))
+    added = other.where("measure = 'total_orders'").withColumn("measure", F.lit("Orders"))
+    return comparison.measure_changes(base, base.with_(measures=other.union(added))).select("measure", "change", "severity")
+
+
+@registered(values("kind, object, change, severity", ("Column", "Customer[internal_notes]", "Removed", "Medium"), ("Relationship", "Sales[CustomerKey] -> Customer[CustomerKey] (Both)", "Removed", "Medium"), ("Relationship", "Sales[CustomerKey] -> Customer[CustomerKey] (Single)", "Added", "Low")))
+def meta_structure_changes(spark):
+    base = sample(spark)
+    other = base.with_(columns=base.columns.where("column <> 'internal_notes'"), relationships=base.relationships.withColumn("direction", F.lit("Single")))
+    return comparison.structure_changes(base, other).select("kind", "object", "change", "severity")
+
+
+@registered(values("measure_a, measure_b, is_near, severity", ("Margin", "Margin 2", True, "High"), ("Margin", "Margin 3", True, "High"), ("Margin 2", "Margin 3", True, "High")))
+def meta_near_duplicates(spark):
+    rows = [("Margin", "VAR s = SUM(Sales[Amount]) RETURN s - SUM(Sales[Cost])"), ("Margin 2", "VAR total = SUM( Sales[Amount] )\nRETURN total - SUM(Sales[Cost])"), ("Margin 3", "VAR x = SUM(Sales[Amount]) RETURN x - SUM(Sales[Cost]) + 0"), ("Other", "COUNTROWS(FILTER(Customer, Customer[Age] > 40))")]
+    m = spark.createDataFrame([("m", "Sales", n, e) for n, e in rows], "model string, table string, measure string, expression string")
+    return comparison.near_duplicate_measures(Catalog.empty(spark, measures=m)).select("measure_a", "measure_b", (F.col("similarity") >= 85).alias("is_near"), "severity")
+
+
+@registered(values("kind, object, place", ("measure", "Sales YTD", "expression"), ("measure", "Total Sales", "name"), ("table", "Sales", "name"), ("measure", "Total Quantity", "expression"), ("measure", "total_orders", "expression")).replace("'measure', 'Sales YTD', 'expression'", "'measure', 'Sales YTD', 'name'"))
+def meta_search(spark):
+    return references.search(sample(spark), "SALES").select("kind", "object", F.col("where").alias("place"))
+
+
+@registered(values("model_score, grade", (67, "Needs attention")))
+def meta_scorecard(spark):
+    return audits.scorecard(audits_of(sample(spark)), sample(spark).tables).select(F.col("score").cast("bigint").alias("model_score"), "grade")
+
+
+def audits_of(c: Catalog) -> dict[str, DataFrame]:
+    """The ten sections of a scorecard; without bindings the report's section has no findings that count."""
+    usage = reports.broken_bindings(c).select("model", "severity").union(reports.column_disposition(c).where("in_report IS NOT NULL").select("model", "severity"))
+    return {
+        "health": audits.health(c), "naming": audits.naming(c), "unused": references.unused_columns(c), "encoding": audits.encoding_advice(c), "readiness": audits.readiness(c), "folders": audits.folders(c),
+        "roles": model_graph.role_exposure(c), "report": usage, "duplicates": comparison.near_duplicate_measures(c), "parameters": reports.field_parameters(c),
+    }
+
+
+@registered(values("measure, sql_text, reason", ("Total Quantity", "SUM(`Quantity`)", ""), ("total_orders", "COUNT(*)", ""), ("Total Sales", None, "unsupported measure shape"), ("Sales YTD", None, "unsupported measure shape")))
+def meta_measure_sql(spark):
+    """Formulas are compiled on the driver, as Spark's own expressions are; one row for each of the model's measures."""
+    rows = [(m, *to_sql(e)) for m, (e, _) in samples.MEASURES.items()]
+    return spark.createDataFrame(rows, "measure string, sql_text string, reason string")
