@@ -10,16 +10,18 @@ smallest key that links can reach.
    documents, then by hash. Linked sets share a shingle among their rarest, the first
    n - ceil(t * n) + 1 of that order, so only nodes that share one there are candidates. These
    postings travel as packed arrays; those whose shingle only one node has end there.
-3. Candidates meet in stars: of each shingle's nodes of similar size, all are held against one
-   pivot, a number of pairs that grows with the postings, not with the square of a group. Nodes that
-   already are in one component needn't be compared again. Once few pairs of different components
-   are left (or after `max_rounds` stars), all of these are compared; so no link between components
-   is lost. Pairs whose sizes, positions or bucket histograms rule a link out are dropped unseen.
-4. The rest is verified exactly. A pivot's partners are stored in a prefix tree, most frequent
-   shingle first, so that near copies share a path almost to its end; the pivot's set walks down the
-   tree with the overlap so far, which all sets below share, and leaves a subtree as soon as the
-   shingles that remain can't lift any set below to the overlap it needs. Pivots with many partners
-   are split over tasks.
+3. Candidates first meet in stars: of each shingle's nodes of similar size, all are held against one
+   pivot, a number of pairs that grows with the postings, not with the square of a group. After
+   `stars` turns, most near copies are in one component. What shares a shingle but is in different
+   components is then compared without exception: small groups as pairs, large ones in blocks. A block
+   holds up to BLOCK nodes outside of the shingle's largest component; all nodes that share a shingle
+   with one of them pass by it, a number of rows that is linear in the group. Pairs whose sizes,
+   positions or bucket histograms rule a link out are dropped unseen.
+4. The rest is verified exactly. A block's sets (or a pivot's partners) are stored in a prefix tree,
+   most frequent shingle first, so that near copies share a path almost to its end; a set walks down
+   the tree with the overlap so far, which all sets below share, and leaves a subtree as soon as the
+   shingles that remain can't lift any set below to the overlap it needs. Blocks that many nodes
+   pass by are split over tasks.
 5. Components come from alternating large-star and small-star steps over tables of links.
 
 Null texts and texts without words have an empty set and link with nothing; fewer words than a
@@ -51,7 +53,10 @@ HOT = 20_000
 CACHE_WORDS = 300_000
 #: Shingles of the sets that one prefix tree holds.
 TREE_SHINGLES = 2_000_000
-PARTNERS = 256
+#: Sets in one prefix tree, nodes that pass by one copy of it, nodes of a group whose pairs are listed.
+BLOCK = 256
+PASSING = 2048
+SMALL = 8
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 _MIX = np.uint64(0xFF51AFD7ED558CCD)
@@ -118,15 +123,30 @@ def histogram(own: np.ndarray) -> bytes:
     return np.minimum(np.bincount((own >> np.uint64(64 - COUNT_BITS - bits) & np.uint64((1 << bits) - 1)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8).tobytes()
 
 
-def most_overlap(a: bytes, b: bytes) -> int:
-    """Upper bound of the overlap of two sets, from their histograms."""
-    x, y = np.frombuffer(a, np.uint8).astype(np.int64), np.frombuffer(b, np.uint8).astype(np.int64)
-    if max(x.max(initial=0), y.max(initial=0)) == 255:
-        return 1 << 60
-    if len(x) > len(y):
-        x, y = y, x
-    y = y.reshape(len(x), -1).sum(1)  # buckets of the larger one are parts of the smaller one's
-    return int(np.minimum(x, y).sum())
+class Histograms:
+    """Upper bounds of the overlap with many sets at once, from histograms; those of one length are compared together."""
+
+    def __init__(self, items: list[tuple[int, int, bytes]], percent: int):
+        """items: (node, size, histogram)."""
+        self.percent, self.by_length = percent, {}
+        for length in {len(h) for _, _, h in items}:
+            own = [x for x in items if len(x[2]) == length]
+            table = np.frombuffer(b"".join(h for _, _, h in own), np.uint8).reshape(len(own), length)
+            self.by_length[length] = (np.array([x[0] for x in own]), np.array([x[1] for x in own]), table.astype(np.uint16), (table == 255).any(1))
+
+    def plausible(self, n: int, data: bytes) -> np.ndarray:
+        """The nodes that a set of size n with this histogram may link with."""
+        own, out = np.frombuffer(data, np.uint8), []
+        full = bool((own == 255).any())
+        for length, (nodes, sizes, table, cut) in self.by_length.items():
+            # buckets of the longer histogram are parts of the shorter one's
+            short = min(length, len(own))
+            a = own.astype(np.uint16).reshape(short, -1).sum(1)
+            b = table if length == short else table.reshape(len(nodes), short, -1).sum(2)
+            most = np.minimum(b, a).sum(1, dtype=np.int64)
+            need = needed(n, sizes, self.percent)
+            out.append(nodes[((most >= need) | cut | full) & (np.minimum(sizes, n) >= need)])
+        return np.concatenate(out) if out else np.zeros(0, np.int64)
 
 
 # --- arrays that tasks merge and the driver reads: of a fixed size, whatever the input ---
@@ -144,7 +164,7 @@ def merged(parts: DataFrame, size: int, kind: str, add: Callable) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["block", "data"])
 
     out = np.zeros(size, kind)
-    for row in parts.repartition("block").mapInArrow(total, "block int, data binary").toLocalIterator():
+    for row in parts.repartition("block").mapInArrow(total, "block int, data binary").collect():  # of a fixed size
         own = np.frombuffer(bytes(row.data), kind)
         out[row.block * len(own) : (row.block + 1) * len(own)] = own
     return out
@@ -255,10 +275,10 @@ def tree_rank(counts: np.ndarray) -> Callable[[np.ndarray], np.ndarray]:
 class Join:
     """The steps of one join; tables between them lie in the shared folder."""
 
-    def __init__(self, docs: DataFrame, key: str, text: str, words: int, percent: int, max_rounds: int):
+    def __init__(self, docs: DataFrame, key: str, text: str, words: int, percent: int, stars: int):
         self.docs = docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("text_key"), F.col(text).alias("text"))
         self.spark = docs.sparkSession
-        self.words, self.percent, self.max_rounds = words, percent, max_rounds
+        self.words, self.percent, self.stars = words, percent, stars
         self.key_type = self.docs.schema["key"].dataType.simpleString()
         self.parts = 4 * int(self.spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -300,7 +320,7 @@ class Join:
                     if n == 0 or node in seen:
                         continue
                     seen.add(node)
-                    held.append((node, n, by_rarity(own, counts)[: n + 1 - -(-percent * n // 100)], histogram(own)))
+                    held.append((node, n, by_rarity(own, counts)[: n + 1 - -(-percent * n // 100)].copy(), histogram(own)))
                     size += len(held[-1][2])
                     if size > 1_000_000:
                         yield from pack(held, counts)
@@ -370,23 +390,38 @@ class Join:
         pairs = rows.join(pivots, ["token", "class"]).where((F.col("comp") != F.col("comp2")) & self.possible(F.col("n"), F.col("pos"), F.col("m"), F.col("pos2")))
         return pairs.select("a", F.col("node").alias("b")).distinct()
 
-    def rest(self, shared: DataFrame) -> DataFrame:
-        """All pairs of different components that share one of their rarest shingles and can link."""
-        # the component that most of a shingle's nodes have stays on one side; all others meet everything
+    def rest(self, shared: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """What shares one of its rarest shingles, can link and is in different components: pairs (a, b) of small
+        groups; for large ones blocks (block, node) and the nodes that pass by them."""
         by_comp = shared.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("k"))
-        largest = by_comp.groupBy("token").agg(F.max(F.struct("k", F.col("comp").alias("top"))).alias("x"), F.count(F.lit(1)).alias("comps")).where("comps > 1").select("token", "x.top")
-        mixed = shared.join(largest, "token")
-        few = mixed.where(F.col("comp") != F.col("top")).select("token", F.col("node").alias("a"), F.col("n").alias("m"), F.col("pos").alias("pos2"), F.col("comp").alias("comp2"))
-        pairs = mixed.join(few, "token").where((F.col("comp") != F.col("comp2")) & ((F.col("comp") == F.col("top")) | (F.col("a") < F.col("node"))) & self.possible(F.col("n"), F.col("pos"), F.col("m"), F.col("pos2")))
-        first = F.xxhash64("a") < F.xxhash64("node")
-        return pairs.select(F.when(first, F.col("a")).otherwise(F.col("node")).alias("a"), F.when(first, F.col("node")).otherwise(F.col("a")).alias("b")).distinct()
-
-    def open_pairs(self, shared: DataFrame) -> tuple[int, int]:
-        """How many pairs of different components rest() would look at, and how many postings there are."""
-        by_comp = shared.groupBy("token", "comp").agg(F.count(F.lit(1)).cast("double").alias("k"))
-        by_token = by_comp.groupBy("token").agg(F.sum("k").alias("k"), F.max("k").alias("top"))
-        row = by_token.agg(F.sum((F.col("k") - F.col("top")) * F.col("k")).alias("pairs"), F.sum("k").alias("rows")).first()
-        return int(row.pairs or 0), int(row.rows or 0)
+        # the component that most of a shingle's nodes have is in no block
+        largest = by_comp.groupBy("token").agg(F.max(F.struct("k", F.col("comp").alias("top"))).alias("x"), F.sum("k").alias("k"), F.count(F.lit(1)).alias("comps")).where("comps > 1").select("token", "x.top", "k")
+        mixed = materialise(shared.join(largest, "token"), "jaccard-mixed")
+        small, large = mixed.where(F.col("k") <= SMALL), mixed.where(F.col("k") > SMALL)
+        other = small.select("token", F.col("node").alias("a"), F.col("n").alias("m"), F.col("pos").alias("pos2"), F.col("comp").alias("comp2"))
+        pairs = small.join(other, "token").where((F.col("comp") != F.col("comp2")) & (F.xxhash64("a") < F.xxhash64("node")) & self.possible(F.col("n"), F.col("pos"), F.col("m"), F.col("pos2")))
+        outside = large.where("comp <> top").select("token", "node", "n", "k")
+        home = outside.groupBy("node").agg(F.max(F.struct("k", "token")).getField("token").alias("home"))
+        tasks = home.groupBy("home").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("tasks"))
+        blocks = materialise(home.join(tasks, "home").select("node", F.xxhash64("home", F.pmod(F.xxhash64("node"), F.col("tasks"))).alias("block")), "jaccard-blocks")
+        reach = outside.join(blocks, "node").groupBy("token", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+        near = (F.col("n") * 100 >= F.col("low") * self.percent) & (F.col("high") * 100 >= F.col("n") * self.percent)
+        passing = large.join(reach, "token").where(near).select("block", "node").distinct()
+        return pairs.select("a", F.col("node").alias("b")).distinct(), blocks.select("block", "node"), materialise(passing, "jaccard-passing")
+
+    def dealt(self, blocks: DataFrame, passing: DataFrame, payload: DataFrame) -> DataFrame:
+        """block, salt, passes, node and payload: every block's content first, then some of the nodes that pass by it."""
+        tasks = passing.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / PASSING).cast("int").alias("tasks"))
+        content = blocks.join(tasks, "block").join(payload, "node").select("block", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)).alias("salt"), F.lit(False).alias("passes"), *payload.columns)
+        rows = passing.join(tasks, "block").join(payload, "node").select("block", F.pmod(F.xxhash64("node"), F.col("tasks")).cast("int").alias("salt"), F.lit(True).alias("passes"), *payload.columns)
+        return content.union(rows).repartition(max(self.parts // 4, 1), "block", "salt").sortWithinPartitions("block", "salt", "passes")
+
+    def histograms(self, sketches: DataFrame, *nodes: DataFrame) -> DataFrame:
+        """node, n, data of the nodes in some tables."""
+        every = nodes[0].select("node")
+        for more in nodes[1:]:
+            every = every.union(more.select("node"))
+        return materialise(sketches.join(every.distinct(), "node", "left_semi").dropDuplicates(["node"]).select("node", "n", "data"), "jaccard-histograms")
 
     def plausible(self, pairs: DataFrame, sketches: DataFrame) -> DataFrame:
         """Pairs whose histograms don't rule a link out."""
@@ -395,17 +430,39 @@ class Join:
         def run(batches):
             for batch in batches:
                 a, b, n, m = (batch.column(c).to_pylist() for c in ("a_data", "b_data", "n", "m"))
-                keep = [most_overlap(x, y) >= needed(p, q, percent) for x, y, p, q in zip(a, b, n, m, strict=True)]
+                keep = [len(Histograms([(0, q, y)], percent).plausible(p, x)) > 0 for x, y, p, q in zip(a, b, n, m, strict=True)]
                 yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-        alive = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        own = materialise(sketches.join(alive, "node", "left_semi").dropDuplicates(["node"]), "jaccard-histograms")
+        own = self.histograms(sketches, pairs.select(F.col("a").alias("node")), pairs.select(F.col("b").alias("node")))
         side = lambda c, n: own.select(F.col("node").alias(c), F.col("n").alias(n), F.col("data").alias(f"{c}_data"))
         return materialise(pairs.join(side("b", "m"), "b").join(side("a", "n"), "a").select("a", "b", "n", "m", "a_data", "b_data").mapInArrow(run, "a bigint, b bigint"), "jaccard-plausible")
 
-    def sets_of(self, pairs: DataFrame, first_keys: DataFrame) -> DataFrame:
-        """node, tokens (sorted 64-bit hashes) of the nodes in pairs, from the texts of their first keys."""
-        wanted = materialise(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(first_keys, "node"), "jaccard-wanted")
+    def plausible_passing(self, blocks: DataFrame, passing: DataFrame, sketches: DataFrame) -> DataFrame:
+        """The nodes that pass by a block of which one at least may be a partner."""
+        percent = self.percent
+
+        def run(batches):
+            group, content, table = None, [], None
+            for batch in batches:
+                out = []
+                for block, salt, passes, node, n, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    if (block, salt) != group:
+                        group, content, table = (block, salt), [], None
+                    if not passes:
+                        content.append((node, n, data))
+                        continue
+                    table = table or Histograms(content, percent)
+                    found = table.plausible(n, data)
+                    if len(found) > 1 or len(found) == 1 and found[0] != node:
+                        out.append((block, node))
+                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], ["block", "node"])
+
+        dealt = self.dealt(blocks, passing, self.histograms(sketches, blocks, passing))
+        return materialise(dealt.mapInArrow(run, "block bigint, node bigint"), "jaccard-passing")
+
+    def sets_of(self, nodes: DataFrame, first_keys: DataFrame) -> DataFrame:
+        """node, tokens (sorted 64-bit hashes) of some nodes, from the texts of their first keys."""
+        wanted = materialise(nodes.select("node").distinct().join(first_keys, "node"), "jaccard-wanted")
         slot = F.xxhash64("key")  # null keys too
         bits = self.spark.sparkContext.broadcast(key_filter(wanted.select(slot.alias("key"))))
         words = self.words
@@ -427,49 +484,45 @@ class Join:
         sets = self.docs.select(slot.alias("key"), "text").mapInArrow(run, "node bigint, tokens binary")
         return materialise(sets.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"]), "jaccard-sets")
 
-    def verified(self, pairs: DataFrame, sets: DataFrame, shared_counts) -> DataFrame:
-        """The pairs that link, by prefix trees."""
+    def verified(self, blocks: DataFrame, passing: DataFrame, first_keys: DataFrame, shared_counts) -> DataFrame:
+        """Links (a, b) between what passes by a block and the block's content, by prefix trees."""
         percent = self.percent
-        degree = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PARTNERS).cast("int").alias("tasks"))
-        partners = pairs.join(degree, "a").select("a", F.pmod(F.xxhash64("b"), F.col("tasks")).cast("int").alias("salt"), "b").join(sets.select(F.col("node").alias("b"), "tokens"), "b").select("a", "salt", "b", "tokens")
-        probes = degree.join(sets.select(F.col("node").alias("a"), "tokens"), "a").select("a", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)).alias("salt"), F.lit(None).cast("bigint").alias("b"), "tokens")
-        dealt = partners.union(probes).repartition(max(self.parts // 4, 1), "a", "salt").sortWithinPartitions("a", "salt", F.asc_nulls_first("b"))
-
-        def links(probe: np.ndarray, block: list[tuple[int, np.ndarray]], rank) -> list[int]:
-            tree = PrefixTree([s for _, s in block], rank)
-            return [block[i][0] for i, _ in tree.overlaps(probe, lambda m: needed(len(probe), m, percent))]
 
         def run(batches):
             rank = tree_rank(shared_counts.value)
-            group, probe, block, size, a_out, b_out = None, None, [], 0, [], []
+            group, content, size, trees = None, [], 0, []
 
             def close():
-                nonlocal block, size
-                if block:
-                    found = links(probe, block, rank)
-                    a_out.extend([group[0]] * len(found))
-                    b_out.extend(found)
-                block, size = [], 0
+                nonlocal content, size
+                if content:
+                    trees.append((PrefixTree([own for _, own in content], rank), [node for node, _ in content]))
+                content, size = [], 0
 
             for batch in batches:
-                for a, salt, b, raw in zip(*(batch.column(c).to_pylist() for c in ("a", "salt", "b", "tokens")), strict=True):
+                out = []
+                for block, salt, passes, node, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                     own = np.frombuffer(raw, np.uint64)
-                    if (a, salt) != group:
-                        close()
-                        group, probe = (a, salt), None
-                    if b is None:
-                        probe = own
-                    else:
-                        block.append((b, own))
+                    if (block, salt) != group:
+                        group, content, size, trees = (block, salt), [], 0, []
+                    if not passes:
+                        content.append((node, own))
                         size += len(own)
                         if size > TREE_SHINGLES:
                             close()
-                yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], ["a", "b"])
-                a_out, b_out = [], []
-            close()
-            yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], ["a", "b"])
+                        continue
+                    close()
+                    for tree, nodes in trees:
+                        out += [(node, nodes[i]) for i, _ in tree.overlaps(own, lambda m, n=len(own): needed(n, m, percent)) if nodes[i] != node]
+                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+        sets = self.sets_of(blocks.select("node").union(passing.select("node")), first_keys)
+        return materialise(self.dealt(blocks, passing, sets).mapInArrow(run, "a bigint, b bigint"), "jaccard-links")
 
-        return materialise(dealt.mapInArrow(run, "a bigint, b bigint"), "jaccard-links")
+    def around_pivots(self, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Pairs (pivot, partner) as blocks of partners that the pivot passes by."""
+        tasks = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("tasks"))
+        rows = materialise(pairs.join(tasks, "a").select("a", "b", F.xxhash64("a", F.pmod(F.xxhash64("b"), F.col("tasks"))).alias("block")), "jaccard-pivots")
+        return rows.select("block", F.col("b").alias("node")), rows.select("block", F.col("a").alias("node")).distinct()
 
     def run(self) -> DataFrame:
         members, counts = self.profile()
@@ -478,25 +531,29 @@ class Join:
         shared, sketches = self.postings(shared_counts)
         labels = self.spark.createDataFrame([], "node bigint, comp bigint")
         tested: DataFrame | None = None
-        for turn in range(self.max_rounds + 1):
-            rows = shared.withColumn("comp", F.col("node"))
+        low, high = F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high")
+        for turn in range(self.stars + 1):
+            rows, found = shared.withColumn("comp", F.col("node")), []
             if turn:
                 rows = materialise(shared.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "jaccard-labelled")
-            last = turn == self.max_rounds
-            if turn >= 2 and not last:
-                pairs, postings = self.open_pairs(rows)
-                last = pairs <= 4 * postings
-            pairs = materialise(self.rest(rows) if last else self.star(rows, turn), "jaccard-pairs")
-            low, high = F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high")
+            if turn < self.stars:
+                pairs = self.star(rows, turn)
+            else:
+                pairs, blocks, passing = self.rest(rows)
+                passing = self.plausible_passing(blocks, passing, sketches)
+                if not passing.isEmpty():
+                    found.append(self.verified(blocks, passing, first_keys, shared_counts))
             if tested is not None:
-                pairs = materialise(pairs.select("a", "b", low, high).join(tested.select(low, high), ["low", "high"], "left_anti").select("a", "b"), "jaccard-pairs")
-            tested = pairs if tested is None else tested.union(pairs)
+                pairs = pairs.select("a", "b", low, high).join(tested, ["low", "high"], "left_anti").select("a", "b")
+            pairs = materialise(pairs, "jaccard-pairs")
+            tested = pairs.select(low, high) if tested is None else tested.union(pairs.select(low, high))
             pairs = self.plausible(pairs, sketches)
             if not pairs.isEmpty():
-                links = self.verified(pairs, self.sets_of(pairs, first_keys), shared_counts)
-                labels = components(links.union(labels.select(F.col("node").alias("a"), F.col("comp").alias("b"))))
-            if last:
-                break
+                found.append(self.verified(*self.around_pivots(pairs), first_keys, shared_counts))
+            for links in found:
+                labels = links.union(labels.select(F.col("node").alias("a"), F.col("comp").alias("b"))).toDF("node", "comp")
+            if found:
+                labels = components(labels.toDF("a", "b"))
         named = first_keys.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         least = named.groupBy("comp").agg(F.min("key").alias("component_id"))
         of_node = materialise(named.join(least, "comp").select("node", "component_id"), "jaccard-components")
@@ -520,9 +577,9 @@ def components(links: DataFrame) -> DataFrame:
         state = now
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT, max_rounds: int = 4) -> DataFrame:
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT, stars: int = 2) -> DataFrame:
     """key, text_key (hash of the text), n_shingles (size of the set), component_id (smallest key reachable by links): one row per document."""
-    return Join(docs, key, text, words, percent, max_rounds).run().withColumnRenamed("key", key)
+    return Join(docs, key, text, words, percent, stars).run().withColumnRenamed("key", key)
 
 
 def without_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
