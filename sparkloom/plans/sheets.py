@@ -89,6 +89,8 @@ class Sheet:
                 if inner[0] == "lod" and inner[1] == "INCLUDE":
                     stands[str(node)] = level(inner, fields.AGGREGATES[node[1]])
                     return
+                if _nested(inner):
+                    raise Refused("aggregate of an aggregate")
                 if any(x[0] == "lod" and x[1] != "FIXED" for x in walk(inner)):
                     raise Refused(f"{node[1]} over a level of detail inside an expression")
                 stands[str(node)] = name = f"_agg{len(plain)}"
@@ -118,6 +120,11 @@ class Sheet:
         return out.select(*(F.col(f"`{n}`") for n in dims), *(fields.to_column(t, self.scope, whole).alias(n) for n, t in trees.items()))
 
 
+def _nested(node) -> bool:
+    """Whether an aggregate stands in a tree, other than inside a level of detail."""
+    return node[0] != "lod" and (fields.is_aggregate(node) or any(map(_nested, _parts(node))))
+
+
 def _parts(node) -> list:
     if node[0] == "if":
         return [x for b in node[1] for x in b] + [node[2]]
