@@ -136,9 +136,15 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
 
 def identified(docs: DataFrame, model: Model, text: str = "text", least: float = 0.5) -> DataFrame:
-    """The rows of docs whose language is told with a posterior of at least `least`."""
-    named = predict(docs, model, text)
-    return named.where((F.col("lang_pred") != UNDETERMINED) & (F.col("lang_score") >= least)).select(*docs.columns)
+    """The rows of docs whose language is told with a posterior of at least `least`, as they are."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        for batch, texts in text_chunks(batches, text):
+            languages, scores = score(shared.value, texts)
+            yield batch.filter(pa.array([x != UNDETERMINED and s >= least for x, s in zip(languages, scores, strict=True)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def held_out(key: str = "doc_id") -> Column:

@@ -11,9 +11,9 @@ smallest key that links can reach.
    n - ceil(t * n) + 1 of that order, so only nodes that share one there are candidates. These
    postings travel as packed arrays; those whose shingle only one node has end there.
 3. Candidates first meet in stars: of each shingle's nodes of similar size, all are held against one
-   pivot, a number of pairs that grows with the postings, not with the square of a group. After
-   `stars` turns, most near copies are in one component. What shares a shingle but is in different
-   components is then compared without exception: small groups as pairs, large ones in blocks. A block
+   pivot, a number of pairs that grows with the postings, not with the square of a group. Further
+   turns take other pivots, until comparing the rest costs no more than a turn, or for `stars` turns.
+   What shares a shingle but is in different components is then compared without exception: small groups as pairs, large ones in blocks. A block
    holds up to BLOCK nodes outside of the shingle's largest component; all nodes that share a shingle
    with one of them pass by it, a number of rows that is linear in the group. Pairs whose sizes,
    positions or bucket histograms rule a link out are dropped unseen.
@@ -33,6 +33,7 @@ table gives an empty result. Columns other than key and text are ignored.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +42,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .shared import materialise, text_chunks
+from .shared import discard, materialise, text_chunks
 
 WORDS = 5
 PERCENT = 80
@@ -50,14 +51,18 @@ COUNT_BITS = 20
 FILTER_BITS = 24
 #: Occurrences of a shingle from which its postings are dealt to several tasks.
 HOT = 20_000
-CACHE_WORDS = 300_000
+#: Bytes of text whose words are hashed at once; a longer word makes a longer piece.
+PIECE = 2_000_000
 #: Shingles of the sets that one prefix tree holds.
 TREE_SHINGLES = 2_000_000
 #: Sets in one prefix tree, nodes that pass by one copy of it, nodes of a group whose pairs are listed.
 BLOCK = 256
 PASSING = 2048
 SMALL = 8
-_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+_BASE = 0x9E3779B97F4A7C15
+_BYTE_KEYS = np.random.default_rng(5).integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
+_BYTE_KEYS[32] = 0
+_LOWER = bytes(b + 32 if 65 <= b <= 90 else 32 if 9 <= b <= 13 else b for b in range(256))
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 _MIX = np.uint64(0xFF51AFD7ED558CCD)
 
@@ -70,35 +75,56 @@ def needed(n, m, percent: int = PERCENT):
 # --- sets ---
 
 
+@lru_cache(2)
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd base and of its inverse, modulo 2**64."""
+    out = []
+    for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+        steps = np.full(n, base, np.uint64)
+        steps[0] = 1
+        out.append(np.cumprod(steps, dtype=np.uint64))
+    return out[0], out[1]
+
+
+def word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Start and hash of each word; raw is lower-cased, its white space is spaces, and it ends with one.
+
+    A word's hash is the sum of its bytes' keys times powers of a base, from running sums over all words.
+    """
+    starts, hashes, at = [], [], 0
+    while at < len(raw):
+        end = len(raw) if len(raw) - at <= PIECE else raw.find(b" ", at + PIECE - 1) + 1
+        own = np.frombuffer(raw, np.uint8, end - at, at)
+        up, down = powers(1 << max(len(own), PIECE).bit_length())
+        space = own == 32
+        edge = np.diff(space.view(np.int8), prepend=1)
+        first, last = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+        sums = np.zeros(len(own) + 1, np.uint64)
+        np.cumsum(_BYTE_KEYS[own] * up[: len(own)], out=sums[1:])
+        h = (sums[last] - sums[first]) * down[first]
+        starts.append(first + at)
+        hashes.append((h ^ h >> np.uint64(32)) * _MIX)
+        at = end
+    return (np.concatenate(starts), np.concatenate(hashes)) if starts else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
+
+
 class Shingler:
-    """Sets of texts; word hashes are remembered up to a bound."""
+    """Sets of texts."""
 
     def __init__(self, words: int = WORDS):
-        self.words, self.cache = words, {}
+        self.words = words
         self.odd = np.array([int(_ODD[i % 5]) * (2 * (i // 5) + 1) & (1 << 64) - 1 for i in range(words)], np.uint64)
 
     def sets(self, texts: list[str]) -> list[np.ndarray]:
         """Sorted distinct shingle hashes of each text."""
-        split = [t.encode("utf-8", "surrogatepass").translate(_LOWER).split() for t in texts]
-        cache, k = self.cache, self.words
-        distinct = set().union(*split)
-        new = distinct.difference(cache)
-        if len(cache) + len(new) > CACHE_WORDS:
-            cache.clear()
-            new = distinct
-        for w in new:
-            cache[w] = xxhash.xxh3_64_intdigest(w)
-        out = []
-        for words in split:
-            n = len(words)
-            h = np.fromiter(map(cache.__getitem__, words), np.uint64, n)
-            if n == 0:
-                out.append(h)
-                continue
-            m = max(n - k + 1, 1)
-            total = np.full(m, min(n, k), np.uint64)
-            for i in range(min(n, k)):
-                total += h[i : i + m] * self.odd[i]
+        raws = [t.encode("utf-8", "surrogatepass").translate(_LOWER) for t in texts]
+        starts, h = word_hashes(b" ".join(raws) + b" ")
+        bounds = np.searchsorted(starts, np.cumsum([0] + [len(r) + 1 for r in raws]))
+        k, out = self.words, []
+        whole = sum(h[i : len(h) - k + 1 + i] * self.odd[i] for i in range(k)) + np.uint64(k) if len(h) >= k else h[:0]
+        for a, b in zip(bounds.tolist(), bounds[1:].tolist(), strict=False):
+            n = b - a
+            total = whole[a : b - k + 1] if n >= k else (h[a:b] * self.odd[:n]).sum(dtype=np.uint64, keepdims=True) + np.uint64(n) if n else h[:0]
             total = (total ^ total >> np.uint64(32)) * _MIX
             out.append(np.unique(total ^ total >> np.uint64(29)))
         return out
@@ -280,8 +306,12 @@ class Join:
         self.spark = docs.sparkSession
         self.words, self.percent, self.stars = words, percent, stars
         self.key_type = self.docs.schema["key"].dataType.simpleString()
+        self.own: list[str] = []  # folders of tables that only this join reads
         self.parts = 4 * int(self.spark.conf.get("spark.sql.shuffle.partitions"))
 
+    def table(self, df: DataFrame, label: str) -> DataFrame:
+        return materialise(df, label, self.own)
+
     def profile(self) -> tuple[DataFrame, np.ndarray]:
         """key, text_key, node and n (size of its set) of each document; how often each bucket's shingles occur, over all documents.
 
@@ -374,7 +404,7 @@ class Join:
 
         names = ["token", "node", "n", "pos", "data"]
         dealt = self.docs.select("text").mapInArrow(run, "part bigint, node bigint, n int, data binary").repartition(self.parts // 4, "part")
-        both = materialise(dealt.mapInArrow(gather, "token bigint, node bigint, n int, pos int, data binary"), "jaccard-postings")
+        both = self.table(dealt.mapInArrow(gather, "token bigint, node bigint, n int, pos int, data binary"), "jaccard-postings")
         return both.where("data is null").drop("data"), both.where("data is not null").select("node", "n", "data")
 
     def possible(self, n: Column, pos: Column, m: Column, pos2: Column) -> Column:
@@ -390,24 +420,30 @@ class Join:
         pairs = rows.join(pivots, ["token", "class"]).where((F.col("comp") != F.col("comp2")) & self.possible(F.col("n"), F.col("pos"), F.col("m"), F.col("pos2")))
         return pairs.select("a", F.col("node").alias("b")).distinct()
 
+    def passing_rows(self, shared: DataFrame) -> int:
+        """About how many rows of nodes that pass by blocks rest() would make."""
+        by_comp = shared.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("k"))
+        by_token = by_comp.groupBy("token").agg(F.sum("k").alias("k"), F.max("k").alias("top")).where(F.col("k") > SMALL)
+        return int(by_token.agg(F.sum(F.ceil((F.col("k") - F.col("top")) / BLOCK) * F.col("k"))).first()[0] or 0)
+
     def rest(self, shared: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         """What shares one of its rarest shingles, can link and is in different components: pairs (a, b) of small
         groups; for large ones blocks (block, node) and the nodes that pass by them."""
         by_comp = shared.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("k"))
         # the component that most of a shingle's nodes have is in no block
         largest = by_comp.groupBy("token").agg(F.max(F.struct("k", F.col("comp").alias("top"))).alias("x"), F.sum("k").alias("k"), F.count(F.lit(1)).alias("comps")).where("comps > 1").select("token", "x.top", "k")
-        mixed = materialise(shared.join(largest, "token"), "jaccard-mixed")
+        mixed = self.table(shared.join(largest, "token"), "jaccard-mixed")
         small, large = mixed.where(F.col("k") <= SMALL), mixed.where(F.col("k") > SMALL)
         other = small.select("token", F.col("node").alias("a"), F.col("n").alias("m"), F.col("pos").alias("pos2"), F.col("comp").alias("comp2"))
         pairs = small.join(other, "token").where((F.col("comp") != F.col("comp2")) & (F.xxhash64("a") < F.xxhash64("node")) & self.possible(F.col("n"), F.col("pos"), F.col("m"), F.col("pos2")))
         outside = large.where("comp <> top").select("token", "node", "n", "k")
         home = outside.groupBy("node").agg(F.max(F.struct("k", "token")).getField("token").alias("home"))
         tasks = home.groupBy("home").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("tasks"))
-        blocks = materialise(home.join(tasks, "home").select("node", F.xxhash64("home", F.pmod(F.xxhash64("node"), F.col("tasks"))).alias("block")), "jaccard-blocks")
+        blocks = self.table(home.join(tasks, "home").select("node", F.xxhash64("home", F.pmod(F.xxhash64("node"), F.col("tasks"))).alias("block")), "jaccard-blocks")
         reach = outside.join(blocks, "node").groupBy("token", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"))
         near = (F.col("n") * 100 >= F.col("low") * self.percent) & (F.col("high") * 100 >= F.col("n") * self.percent)
         passing = large.join(reach, "token").where(near).select("block", "node").distinct()
-        return pairs.select("a", F.col("node").alias("b")).distinct(), blocks.select("block", "node"), materialise(passing, "jaccard-passing")
+        return pairs.select("a", F.col("node").alias("b")).distinct(), blocks.select("block", "node"), self.table(passing, "jaccard-passing")
 
     def dealt(self, blocks: DataFrame, passing: DataFrame, payload: DataFrame) -> DataFrame:
         """block, salt, passes, node and payload: every block's content first, then some of the nodes that pass by it."""
@@ -421,7 +457,7 @@ class Join:
         every = nodes[0].select("node")
         for more in nodes[1:]:
             every = every.union(more.select("node"))
-        return materialise(sketches.join(every.distinct(), "node", "left_semi").dropDuplicates(["node"]).select("node", "n", "data"), "jaccard-histograms")
+        return self.table(sketches.join(every.distinct(), "node", "left_semi").dropDuplicates(["node"]).select("node", "n", "data"), "jaccard-histograms")
 
     def plausible(self, pairs: DataFrame, sketches: DataFrame) -> DataFrame:
         """Pairs whose histograms don't rule a link out."""
@@ -435,7 +471,7 @@ class Join:
 
         own = self.histograms(sketches, pairs.select(F.col("a").alias("node")), pairs.select(F.col("b").alias("node")))
         side = lambda c, n: own.select(F.col("node").alias(c), F.col("n").alias(n), F.col("data").alias(f"{c}_data"))
-        return materialise(pairs.join(side("b", "m"), "b").join(side("a", "n"), "a").select("a", "b", "n", "m", "a_data", "b_data").mapInArrow(run, "a bigint, b bigint"), "jaccard-plausible")
+        return self.table(pairs.join(side("b", "m"), "b").join(side("a", "n"), "a").select("a", "b", "n", "m", "a_data", "b_data").mapInArrow(run, "a bigint, b bigint"), "jaccard-plausible")
 
     def plausible_passing(self, blocks: DataFrame, passing: DataFrame, sketches: DataFrame) -> DataFrame:
         """The nodes that pass by a block of which one at least may be a partner."""
@@ -458,11 +494,11 @@ class Join:
                 yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], ["block", "node"])
 
         dealt = self.dealt(blocks, passing, self.histograms(sketches, blocks, passing))
-        return materialise(dealt.mapInArrow(run, "block bigint, node bigint"), "jaccard-passing")
+        return self.table(dealt.mapInArrow(run, "block bigint, node bigint"), "jaccard-passing")
 
     def sets_of(self, nodes: DataFrame, first_keys: DataFrame) -> DataFrame:
         """node, tokens (sorted 64-bit hashes) of some nodes, from the texts of their first keys."""
-        wanted = materialise(nodes.select("node").distinct().join(first_keys, "node"), "jaccard-wanted")
+        wanted = self.table(nodes.select("node").distinct().join(first_keys, "node"), "jaccard-wanted")
         slot = F.xxhash64("key")  # null keys too
         bits = self.spark.sparkContext.broadcast(key_filter(wanted.select(slot.alias("key"))))
         words = self.words
@@ -482,7 +518,7 @@ class Join:
                     yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in rows], pa.int64()), pa.array([s.tobytes() for _, s in rows], pa.binary())], ["node", "tokens"])
 
         sets = self.docs.select(slot.alias("key"), "text").mapInArrow(run, "node bigint, tokens binary")
-        return materialise(sets.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"]), "jaccard-sets")
+        return self.table(sets.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"]), "jaccard-sets")
 
     def verified(self, blocks: DataFrame, passing: DataFrame, first_keys: DataFrame, shared_counts) -> DataFrame:
         """Links (a, b) between what passes by a block and the block's content, by prefix trees."""
@@ -515,28 +551,33 @@ class Join:
                         out += [(node, nodes[i]) for i, _ in tree.overlaps(own, lambda m, n=len(own): needed(n, m, percent)) if nodes[i] != node]
                 yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], ["a", "b"])
 
+        before = len(self.own)
         sets = self.sets_of(blocks.select("node").union(passing.select("node")), first_keys)
-        return materialise(self.dealt(blocks, passing, sets).mapInArrow(run, "a bigint, b bigint"), "jaccard-links")
+        links = materialise(self.dealt(blocks, passing, sets).mapInArrow(run, "a bigint, b bigint"), "jaccard-links")
+        discard(self.spark, self.own[before:])  # the sets, the largest tables
+        del self.own[before:]
+        return links
 
     def around_pivots(self, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Pairs (pivot, partner) as blocks of partners that the pivot passes by."""
         tasks = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("tasks"))
-        rows = materialise(pairs.join(tasks, "a").select("a", "b", F.xxhash64("a", F.pmod(F.xxhash64("b"), F.col("tasks"))).alias("block")), "jaccard-pivots")
+        rows = self.table(pairs.join(tasks, "a").select("a", "b", F.xxhash64("a", F.pmod(F.xxhash64("b"), F.col("tasks"))).alias("block")), "jaccard-pivots")
         return rows.select("block", F.col("b").alias("node")), rows.select("block", F.col("a").alias("node")).distinct()
 
     def run(self) -> DataFrame:
         members, counts = self.profile()
-        first_keys = materialise(members.where("n > 0").groupBy("node").agg(F.min("key").alias("key")), "jaccard-classes")
+        first_keys = self.table(members.where("n > 0").groupBy("node").agg(F.min("key").alias("key")), "jaccard-classes")
         shared_counts = self.spark.sparkContext.broadcast(counts)
         shared, sketches = self.postings(shared_counts)
         labels = self.spark.createDataFrame([], "node bigint, comp bigint")
         tested: DataFrame | None = None
         low, high = F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high")
         for turn in range(self.stars + 1):
-            rows, found = shared.withColumn("comp", F.col("node")), []
+            rows, found, last = shared.withColumn("comp", F.col("node")), [], turn == self.stars
             if turn:
-                rows = materialise(shared.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "jaccard-labelled")
-            if turn < self.stars:
+                rows = self.table(shared.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "jaccard-labelled")
+                last = last or self.passing_rows(rows) <= shared.count()
+            if not last:
                 pairs = self.star(rows, turn)
             else:
                 pairs, blocks, passing = self.rest(rows)
@@ -545,7 +586,7 @@ class Join:
                     found.append(self.verified(blocks, passing, first_keys, shared_counts))
             if tested is not None:
                 pairs = pairs.select("a", "b", low, high).join(tested, ["low", "high"], "left_anti").select("a", "b")
-            pairs = materialise(pairs, "jaccard-pairs")
+            pairs = self.table(pairs, "jaccard-pairs")
             tested = pairs.select(low, high) if tested is None else tested.union(pairs.select(low, high))
             pairs = self.plausible(pairs, sketches)
             if not pairs.isEmpty():
@@ -554,9 +595,12 @@ class Join:
                 labels = links.union(labels.select(F.col("node").alias("a"), F.col("comp").alias("b"))).toDF("node", "comp")
             if found:
                 labels = components(labels.toDF("a", "b"))
+            if last:
+                break
         named = first_keys.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         least = named.groupBy("comp").agg(F.min("key").alias("component_id"))
         of_node = materialise(named.join(least, "comp").select("node", "component_id"), "jaccard-components")
+        discard(self.spark, self.own)
         return members.join(of_node, "node", "left").select("key", "text_key", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("key")).alias("component_id"))
 
 
@@ -567,7 +611,7 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b"))).where("a != b").distinct()
         edges = materialise(small, "components")
@@ -577,7 +621,7 @@ def components(links: DataFrame) -> DataFrame:
         state = now
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT, stars: int = 2) -> DataFrame:
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT, stars: int = 8) -> DataFrame:
     """key, text_key (hash of the text), n_shingles (size of the set), component_id (smallest key reachable by links): one row per document."""
     return Join(docs, key, text, words, percent, stars).run().withColumnRenamed("key", key)
 
@@ -589,13 +633,13 @@ def without_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "t
     words and those with a null key all stay.
     """
     found = near_duplicates(docs, key, text, words, percent).where((F.col("n_shingles") > 0) & F.col(key).isNotNull())
-    found = materialise(found.select(F.col(key).alias("_key"), F.col("text_key").alias("_text_key"), "component_id"), "jaccard-found")
-    kept = found.where("_key = component_id").groupBy("_key").agg(F.min("_text_key").alias("_text_key"), F.count(F.lit(1)).alias("_rows"))
+    found = materialise(found.select(F.col(key).alias("_jaccard_key"), F.col("text_key").alias("_jaccard_text_key"), "component_id"), "jaccard-found")
+    kept = found.where("_jaccard_key = component_id").groupBy("_jaccard_key").agg(F.min("_jaccard_text_key").alias("_jaccard_text_key"), F.count(F.lit(1)).alias("_jaccard_rows"))
     kept = materialise(kept, "jaccard-kept")
-    gone = found.join(kept, ["_key", "_text_key"], "left_anti").select("_key", "_text_key").distinct()
-    left = docs.withColumn("_at", F.xxhash64(text)).join(gone, (F.col(key) == F.col("_key")) & (F.col("_at") == F.col("_text_key")), "left_anti")
-    repeated = kept.where("_rows > 1").select("_key")
+    gone = found.join(kept, ["_jaccard_key", "_jaccard_text_key"], "left_anti").select("_jaccard_key", "_jaccard_text_key").distinct()
+    left = docs.withColumn("_jaccard_at", F.xxhash64(text)).join(gone, (F.col(key) == F.col("_jaccard_key")) & (F.col("_jaccard_at") == F.col("_jaccard_text_key")), "left_anti")
+    repeated = kept.where("_jaccard_rows > 1").select("_jaccard_key")
     if not repeated.isEmpty():  # rows that repeat
-        again = F.col(key) == F.col("_key")
-        left = left.join(repeated, again, "left_anti").unionByName(left.join(repeated, again, "left_semi").dropDuplicates([key, "_at"]))
-    return left.drop("_at")
+        again = F.col(key) == F.col("_jaccard_key")
+        left = left.join(repeated, again, "left_anti").unionByName(left.join(repeated, again, "left_semi").dropDuplicates([key, "_jaccard_at"]))
+    return left.drop("_jaccard_at")

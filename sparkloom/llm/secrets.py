@@ -124,11 +124,11 @@ def redact(docs: DataFrame, key: str = "doc_id", text: str = "text", owner: str
     Overlapping spans are replaced as one. Null and span-free texts stay as they are.
     """
     _, spans = judged(docs, key, text, owner, most_owners)
-    s = spans.select(F.col(key).alias("_key"), F.col("text_key").alias("_text_key"), "spans")
-    joined = docs.withColumn("_at", F.xxhash64(text)).join(s, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_at") == F.col("_text_key")), "left")
+    s = spans.select(F.col(key).alias("_secret_key"), F.col("text_key").alias("_secret_text"), F.col("spans").alias("_secret_spans"))
+    joined = docs.withColumn("_secret_at", F.xxhash64(text)).join(s, F.col(key).eqNullSafe(F.col("_secret_key")) & (F.col("_secret_at") == F.col("_secret_text")), "left")
     # spans come by start: keep what lies between them, from the furthest end so far to each start
-    ends = F.aggregate("spans", F.array(F.lit(0)), lambda ends, x: F.concat(ends, F.array(F.greatest(F.element_at(ends, -1), x["end"]))))
+    ends = F.aggregate("_secret_spans", F.array(F.lit(0)), lambda ends, x: F.concat(ends, F.array(F.greatest(F.element_at(ends, -1), x["end"]))))
     piece = lambda a, b: F.substring(F.col(text), a + 1, b - a)
-    parts = F.transform("spans", lambda x, i: F.when(x["start"] >= F.get("_ends", i), F.concat(piece(F.get("_ends", i), x["start"]), F.when(x["live"], F.lit("[SECRET]")).otherwise(F.lit("[EXAMPLE]")))).otherwise(F.lit("")))
-    tail = F.substring(F.col(text), F.element_at("_ends", -1) + 1, F.length(text))
-    return joined.withColumn("_ends", F.when(F.col("spans").isNotNull(), ends)).withColumn(text, F.when(F.col("spans").isNull(), F.col(text)).otherwise(F.concat(F.array_join(parts, ""), tail))).select(*docs.columns)
+    parts = F.transform("_secret_spans", lambda x, i: F.when(x["start"] >= F.get("_secret_ends", i), F.concat(piece(F.get("_secret_ends", i), x["start"]), F.when(x["live"], F.lit("[SECRET]")).otherwise(F.lit("[EXAMPLE]")))).otherwise(F.lit("")))
+    tail = F.substring(F.col(text), F.element_at("_secret_ends", -1) + 1, F.length(text))
+    return joined.withColumn("_secret_ends", F.when(F.col("_secret_spans").isNotNull(), ends)).withColumn(text, F.when(F.col("_secret_spans").isNull(), F.col(text)).otherwise(F.concat(F.array_join(parts, ""), tail))).select(*docs.columns)

@@ -57,13 +57,26 @@ def shared_dir(spark: SparkSession, label: str) -> str:
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: cuts lineage, survives lost executors."""
+def materialise(df: DataFrame, label: str, paths: list[str] | None = None) -> DataFrame:
+    """Write df as Parquet in the shared folder and read it back: cuts lineage, survives lost executors.
+
+    paths: gets the table's folder, for discard().
+    """
     path = shared_dir(df.sparkSession, label)
+    if paths is not None:
+        paths.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, paths: list[str]) -> None:
+    """Delete tables of the shared folder that nothing reads any more."""
+    sc = spark.sparkContext
+    for path in paths:
+        place = sc._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(sc._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def arrow_schema(spec: str) -> tuple[T.StructType, pa.Schema]:
     struct = T._parse_datatype_string(spec)
     return struct, to_arrow_schema(struct)
