@@ -57,7 +57,7 @@ PIECE = 2_000_000
 TREE_SHINGLES = 2_000_000
 #: Sets in one prefix tree, nodes that pass by one copy of it, nodes of a group whose pairs are listed.
 BLOCK = 256
-PASSING = 2048
+PASSING = 512
 SMALL = 8
 _BASE = 0x9E3779B97F4A7C15
 _BYTE_KEYS = np.random.default_rng(5).integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -420,11 +420,13 @@ class Join:
         pairs = rows.join(pivots, ["token", "class"]).where((F.col("comp") != F.col("comp2")) & self.possible(F.col("n"), F.col("pos"), F.col("m"), F.col("pos2")))
         return pairs.select("a", F.col("node").alias("b")).distinct()
 
-    def passing_rows(self, shared: DataFrame) -> int:
-        """About how many rows of nodes that pass by blocks rest() would make."""
+    def rest_is_small(self, shared: DataFrame) -> bool:
+        """Whether rest() would make no more rows of nodes that pass by blocks than there are postings."""
         by_comp = shared.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("k"))
-        by_token = by_comp.groupBy("token").agg(F.sum("k").alias("k"), F.max("k").alias("top")).where(F.col("k") > SMALL)
-        return int(by_token.agg(F.sum(F.ceil((F.col("k") - F.col("top")) / BLOCK) * F.col("k"))).first()[0] or 0)
+        by_token = by_comp.groupBy("token").agg(F.sum("k").alias("k"), F.max("k").alias("top"))
+        passing = F.when(F.col("k") > SMALL, F.ceil((F.col("k") - F.col("top")) / BLOCK) * F.col("k")).otherwise(0)
+        row = by_token.agg(F.sum(passing).alias("passing"), F.sum("k").alias("postings")).first()
+        return (row.passing or 0) <= (row.postings or 0)
 
     def rest(self, shared: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         """What shares one of its rarest shingles, can link and is in different components: pairs (a, b) of small
@@ -521,12 +523,21 @@ class Join:
         return self.table(sets.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"]), "jaccard-sets")
 
     def verified(self, blocks: DataFrame, passing: DataFrame, first_keys: DataFrame, shared_counts) -> DataFrame:
-        """Links (a, b) between what passes by a block and the block's content, by prefix trees."""
+        """Links (a, b) between what passes by a block and the block's content, by prefix trees.
+
+        Of the links in a block those are returned that connect what others of its links don't, so their
+        number is linear too.
+        """
         percent = self.percent
 
+        def root(parent: dict[int, int], x: int) -> int:
+            while (above := parent.setdefault(x, x)) != x:
+                parent[x] = x = parent[above] if above in parent else above
+            return x
+
         def run(batches):
             rank = tree_rank(shared_counts.value)
-            group, content, size, trees = None, [], 0, []
+            group, content, size, trees, parent = None, [], 0, [], {}
 
             def close():
                 nonlocal content, size
@@ -539,7 +550,7 @@ class Join:
                 for block, salt, passes, node, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                     own = np.frombuffer(raw, np.uint64)
                     if (block, salt) != group:
-                        group, content, size, trees = (block, salt), [], 0, []
+                        group, content, size, trees, parent = (block, salt), [], 0, [], {}
                     if not passes:
                         content.append((node, own))
                         size += len(own)
@@ -548,7 +559,11 @@ class Join:
                         continue
                     close()
                     for tree, nodes in trees:
-                        out += [(node, nodes[i]) for i, _ in tree.overlaps(own, lambda m, n=len(own): needed(n, m, percent)) if nodes[i] != node]
+                        for i, _ in tree.overlaps(own, lambda m, n=len(own): needed(n, m, percent)):
+                            a, b = root(parent, node), root(parent, nodes[i])
+                            if a != b:
+                                parent[a] = b
+                                out.append((node, nodes[i]))
                 yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], ["a", "b"])
 
         before = len(self.own)
@@ -569,6 +584,7 @@ class Join:
         first_keys = self.table(members.where("n > 0").groupBy("node").agg(F.min("key").alias("key")), "jaccard-classes")
         shared_counts = self.spark.sparkContext.broadcast(counts)
         shared, sketches = self.postings(shared_counts)
+        discard(self.spark, [])
         labels = self.spark.createDataFrame([], "node bigint, comp bigint")
         tested: DataFrame | None = None
         low, high = F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high")
@@ -576,7 +592,7 @@ class Join:
             rows, found, last = shared.withColumn("comp", F.col("node")), [], turn == self.stars
             if turn:
                 rows = self.table(shared.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "jaccard-labelled")
-                last = last or self.passing_rows(rows) <= shared.count()
+                last = last or self.rest_is_small(rows)
             if not last:
                 pairs = self.star(rows, turn)
             else:

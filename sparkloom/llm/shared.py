@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 import zipfile
@@ -70,11 +71,13 @@ def materialise(df: DataFrame, label: str, paths: list[str] | None = None) -> Da
 
 
 def discard(spark: SparkSession, paths: list[str]) -> None:
-    """Delete tables of the shared folder that nothing reads any more."""
+    """Delete tables of the shared folder that nothing reads any more, and let Spark drop the shuffles behind them."""
     sc = spark.sparkContext
     for path in paths:
         place = sc._jvm.org.apache.hadoop.fs.Path(path)
         place.getFileSystem(sc._jsc.hadoopConfiguration()).delete(place, True)
+    gc.collect()  # Spark keeps shuffle files until their plans are collected
+    sc._jvm.System.gc()
 
 
 def arrow_schema(spec: str) -> tuple[T.StructType, pa.Schema]:
