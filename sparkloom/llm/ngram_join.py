@@ -459,7 +459,17 @@ class Join:
         every = nodes[0].select("node")
         for more in nodes[1:]:
             every = every.union(more.select("node"))
-        return self.table(sketches.join(every.distinct(), "node", "left_semi").dropDuplicates(["node"]).select("node", "n", "data"), "jaccard-histograms")
+        every = self.table(every.distinct(), "jaccard-alive")
+        bits = self.spark.sparkContext.broadcast(key_filter(every.select(F.col("node").alias("key"))))
+
+        def run(batches):  # drops most of the others before they are shuffled
+            has = np.unpackbits(bits.value).view(bool)
+            for batch in batches:
+                keys = batch.column("node").to_numpy(zero_copy_only=False)
+                yield batch.filter(pa.array(np.logical_and.reduce([has[s] for s in filter_slots(keys)])))
+
+        near = sketches.select("node", "n", "data").mapInArrow(run, "node bigint, n int, data binary")
+        return self.table(near.join(every, "node", "left_semi").dropDuplicates(["node"]), "jaccard-histograms")
 
     def plausible(self, pairs: DataFrame, sketches: DataFrame) -> DataFrame:
         """Pairs whose histograms don't rule a link out."""
