@@ -6,11 +6,13 @@ models in the same Spark job; nothing is ever joined or counted across models.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, fields, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .storage import cut
+
 SCHEMAS = {
     "tables": "model string, table string, rows_count bigint, description string, expression string, category string, size bigint",
     "columns": "model string, table string, column string, column_type string, data_type string, hidden boolean, in_mdx boolean, description string, folder string, encoding string, total_size bigint, data_size bigint, dictionary_size bigint, cardinality bigint, expression string, marker boolean, is_key boolean",
@@ -49,6 +51,10 @@ class Catalog:
             parts[n] = parts[n].unionByName(df, allowMissingColumns=True).select(*parts[n].columns)
         return cls(**parts)
 
+    def stored(self) -> Catalog:
+        """The catalog with every relation written once, so that analyses don't parse archives again."""
+        return Catalog(**{f.name: cut(getattr(self, f.name)) for f in fields(self)})
+
     def with_(self, **given: DataFrame) -> Catalog:
         return replace(self, **given)
 

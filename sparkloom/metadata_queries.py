@@ -220,7 +220,8 @@ def meta_search(spark):
 
 @registered(values("model_score, grade", (67, "Needs attention")))
 def meta_scorecard(spark):
-    return audits.scorecard(audits_of(sample(spark)), sample(spark).tables).select(F.col("score").cast("bigint").alias("model_score"), "grade")
+    c = sample(spark).stored()
+    return audits.scorecard(audits_of(c), c.tables).select(F.col("score").cast("bigint").alias("model_score"), "grade")
 
 
 def audits_of(c: Catalog) -> dict[str, DataFrame]:
