@@ -3,9 +3,11 @@
 The standard library's parser streams its events; a page becomes a list of lines, one for each block
 of text between block-level tags, each with its text, the number of tags met since the line before,
 and the element that holds it. A line's text-to-tag ratio is smoothed with a Gaussian over its
-neighbours, and lines above a threshold (a share of the ratios' standard deviation) are the content
-cluster. A region is an article or main element, or else the block element that directly holds a line;
-regions with a line of the cluster are content, and all their lines are kept, short ones too.
+neighbours on the same side of an article's border, and lines above a threshold (a share of the
+ratios' standard deviation) are the content cluster. A region is an article or main element, or else
+the block element that directly holds a line; regions with a line of the cluster are content, and all
+their lines are kept, short ones too. Articles' ratios weigh more (ARTICLE), which decides nothing alone:
+an article without a line of the cluster goes, text beside articles that is in the cluster stays.
 Elements that by name, role, class or id are menus, headers, footers, sidebars, notices, adverts,
 forms or comments never give lines, nor do scripts, styles and hidden parts.
 
@@ -39,6 +41,8 @@ NOISE_WORDS = frozenset(
     "discussion disqus replies respond pagination pager toc skip".split()
 )
 REGIONS = frozenset(("article", "main"))
+#: What the ratios of an article's lines are multiplied by.
+ARTICLE = 2.0
 WORD = re.compile(r"[a-z]+|[0-9]+", re.I)
 CAMEL = re.compile(r"([a-z])([A-Z])")
 SPACE = re.compile(r"\s+")
@@ -151,12 +155,11 @@ def main_text(html: str, sigma: float = 1.0, share: float = 0.5) -> str:
     parser.finish()
     if not parser.lines:
         return ""
-    ratio = smooth(np.array([len(t) / max(1, n) for t, n, _ in parser.lines]), sigma)
+    zones = np.array([r if r in parser.articles else 0 for _, _, r in parser.lines])
+    runs = np.split(np.array([len(t) / max(1, n) for t, n, _ in parser.lines]), np.flatnonzero(np.diff(zones)) + 1)
+    ratio = np.concatenate([smooth(run, sigma) for run in runs]) * np.where(zones > 0, ARTICLE, 1.0)
     cluster = ratio >= min(share * ratio.std(), ratio.max())
     regions = {r for (_, _, r), hit in zip(parser.lines, cluster, strict=True) if hit}
-    own = parser.articles & {r for _, _, r in parser.lines}
-    if own:  # articles come first; among them the cluster decides
-        regions = regions & own or own
     return " ".join(t for t, _, r in parser.lines if r in regions)
 
 

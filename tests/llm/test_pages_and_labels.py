@@ -28,6 +28,18 @@ def test_main_text(spark):
     assert got[99].text == "" and got[99].url is None
 
 
+def test_the_cluster_chooses_among_all_regions():
+    body, teaser = "A long text of the page's own, which no article element holds. " * 6, "A teaser."
+    cards = f'<div class="more"><article><h3>Other story</h3><p>{teaser}</p></article></div>'
+    assert html_main.main_text(f'<div class="post"><p>{body}</p></div>{cards}') == body.strip()
+    assert html_main.main_text(f"{cards}<div><p>{body}</p><p>End.</p></div>") == f"{body}End."
+    both = f"<article><h1>Title</h1><p>{body}</p></article><div><p>{body}</p></div><div>By us</div>"
+    assert html_main.main_text(both) == f"Title {body}{body}".strip()
+    # the method's parameters matter where a page has one article
+    page = f"<article><p>{body}</p></article><div><p>{body[:130]}</p></div><div>x</div>"
+    assert html_main.main_text(page, share=0.1) != html_main.main_text(page, share=3.0) == body.strip()
+
+
 def test_articles_of_the_sample_pages(spark):
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     for r in html_main.extract(pages).join(pages.select("page_id", "html"), "page_id").collect():
