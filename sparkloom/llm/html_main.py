@@ -3,13 +3,16 @@
 The standard library's parser streams its events; a page becomes a list of lines, one for each block
 of text between block-level tags, each with its text, the number of tags met since the line before,
 and the element that holds it. A line's text-to-tag ratio is smoothed with a Gaussian over its
-neighbours on the same side of an article's border, and lines above a threshold (a share of the
+neighbours on the same side of the borders of articles and doubted elements, and lines above a threshold (a share of the
 ratios' standard deviation) are the content cluster. A region is an article or main element, or else
 the block element that directly holds a line; regions with a line of the cluster are content, and all
 their lines are kept, short ones too. Articles' ratios weigh more (ARTICLE), which decides nothing alone:
 an article without a line of the cluster goes, text beside articles that is in the cluster stays.
-Elements that by name, role, class or id are menus, headers, footers, sidebars, notices, adverts,
-forms or comments never give lines, nor do scripts, styles and hidden parts.
+Elements that by name or role are menus, headers, footers, sidebars, forms or dialogs never give
+lines, nor do scripts, styles and hidden parts. A class or id of noise words (menus, adverts, notices,
+comments) only makes a block element doubted: a region of its own, also inside an article, whose ratios
+weigh less (DOUBTED), so that dense text stays whatever its element is called. An element that holds an
+article or main element isn't doubted.
 
 Null, empty and text-free pages give an empty text. Character references are decoded, white space
 inside a line becomes one space, lines are joined by one space; nothing is cut. Unclosed and
@@ -34,15 +37,18 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 #: Elements whose text is never content.
 NOISE = frozenset("head title script style noscript template nav footer aside form button select option textarea fieldset iframe object svg canvas dialog menu audio video map".split())
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
-#: Words of a class or id that mark an element as something other than the article.
+#: A block element is doubted if all words of one of its classes, or of its id, are among these.
 NOISE_WORDS = frozenset(
     "ad ads adbox adslot advert adverts advertisement advertising sponsor sponsored promo promotion banner menu nav navbar navigation breadcrumb breadcrumbs sidebar aside widget header masthead "
     "footer cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended comment comments "
     "discussion disqus replies respond pagination pager toc skip".split()
 )
+#: Of these, the words that say nothing inside an article, which has such parts itself.
+OWN_WORDS = frozenset("alert discussion header masthead notice notices".split())
 REGIONS = frozenset(("article", "main"))
-#: What the ratios of an article's lines are multiplied by.
-ARTICLE = 2.0
+#: What the ratios of an article's lines, and of a doubted element's, are multiplied by.
+ARTICLE, DOUBTED = 2.0, 0.25
+COMMENT_WORDS = frozenset(("comment", "comments"))
 WORD = re.compile(r"[a-z]+|[0-9]+", re.I)
 CAMEL = re.compile(r"([a-z])([A-Z])")
 SPACE = re.compile(r"\s+")
@@ -53,20 +59,23 @@ class Lines(HTMLParser):
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int]] = []
-        self.stack: list[tuple[str, int, bool]] = []  # name, region, noise
+        self.lines: list[tuple[str, int, int, int]] = []  # text, tags, region, zone (article or doubted element, else 0)
+        self.stack: list[tuple[str, int, bool, int, bool]] = []  # name, region, noise, zone, in an article
         self.parts: list[str] = []
         self.tags = self.regions = 0
         self.articles: set[int] = set()
+        self.doubted: dict[int, tuple[int, int, bool]] = {}  # region, zone and place in an article around it
+        self.cleared: set[int] = set()  # doubted elements with an article inside
 
-    def _top(self) -> tuple[str, int, bool]:
-        return self.stack[-1] if self.stack else ("", 0, False)
+    def _top(self) -> tuple[str, int, bool, int, bool]:
+        return self.stack[-1] if self.stack else ("", 0, False, 0, False)
 
     def _end_line(self) -> None:
         if self.parts:
             text = SPACE.sub(" ", "".join(self.parts)).strip()
             if text:
-                self.lines.append((text, self.tags, self._top()[1]))
+                _, region, _, zone, _ = self._top()
+                self.lines.append((text, self.tags, region, zone))
                 self.tags = 0
             self.parts = []
 
@@ -80,37 +89,50 @@ class Lines(HTMLParser):
             elif name == "role":
                 if value.lower() in NOISE_ROLES:
                     return True
-            elif name in ("class", "id"):
-                if tag not in ("html", "body", *REGIONS) and NOISE_WORDS.intersection(w.lower() for w in WORD.findall(CAMEL.sub(r"\1 \2", value))):
-                    return True
-                if tag == "article" and re.search(r"\bcomment", value, re.I):
-                    return True
             elif name == "style" and re.search(r"display\s*:\s*none", value, re.I):
                 return True
             elif name == "aria-hidden" and value == "true":
                 return True
         return False
 
+    def _is_doubted(self, tag: str, attrs: list[tuple[str, str | None]], in_article: bool) -> bool:
+        if tag in INLINE or tag in ("html", "body", "main"):
+            return False
+        signs = COMMENT_WORDS if tag == "article" else NOISE_WORDS - OWN_WORDS if in_article else NOISE_WORDS
+        for name, value in attrs:
+            if value and name in ("class", "id"):
+                for token in value.split():
+                    words = WORD.findall(CAMEL.sub(r"\1 \2", token).lower())
+                    if words and (signs.intersection(words[:1]) if tag == "article" else signs.issuperset(words)):
+                        return True
+        return False
+
     def handle_starttag(self, tag, attrs):
         self.tags += 1
-        name, region, noise = self._top()
+        name, region, noise, zone, in_article = self._top()
         if tag not in INLINE:
             self._end_line()
             if tag == "p" and any(x[0] == "p" for x in self.stack[-3:]):
                 self._close("p")
-                name, region, noise = self._top()
+                name, region, noise, zone, in_article = self._top()
         if tag in VOID:
             return
-        in_article = region in self.articles
         noise = noise or self._is_noise(tag, attrs, in_article)
-        if tag in REGIONS and not in_article:
+        if not noise and attrs and self._is_doubted(tag, attrs, in_article):
             self.regions += 1
-            region = self.regions
+            self.doubted[self.regions] = (region, zone, in_article)
+            region = zone = self.regions
+        elif tag in REGIONS and zone not in self.articles:
+            self.regions += 1
+            region = zone = self.regions
             self.articles.add(region)
+            if not noise:
+                self.cleared.update(x[3] for x in self.stack if x[3] in self.doubted)
+            in_article = True
         elif tag not in INLINE and tag not in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "blockquote", "pre", "ul", "ol", "tr", "td", "tbody") and not in_article:
             self.regions += 1
             region = self.regions
-        self.stack.append((tag, region, noise))
+        self.stack.append((tag, region, noise, zone, in_article))
 
     def handle_startendtag(self, tag, attrs):
         self.tags += 1
@@ -139,6 +161,16 @@ class Lines(HTMLParser):
         self.rawdata = re.sub(r"<[/!?a-zA-Z][^>]*\Z", "", self.rawdata)
         self.close()
         self._end_line()
+        self._clear()
+
+    def _clear(self) -> None:
+        """Lines of doubted elements that hold an article go to what is around these."""
+        for i, (text, tags, region, zone) in enumerate(self.lines):
+            while zone in self.cleared:
+                around, zone, in_article = self.doubted[zone]
+                if in_article:
+                    region = around
+            self.lines[i] = (text, tags, region, zone)
 
 
 def smooth(values: np.ndarray, sigma: float = 1.0) -> np.ndarray:
@@ -155,12 +187,13 @@ def main_text(html: str, sigma: float = 1.0, share: float = 0.5) -> str:
     parser.finish()
     if not parser.lines:
         return ""
-    zones = np.array([r if r in parser.articles else 0 for _, _, r in parser.lines])
-    runs = np.split(np.array([len(t) / max(1, n) for t, n, _ in parser.lines]), np.flatnonzero(np.diff(zones)) + 1)
-    ratio = np.concatenate([smooth(run, sigma) for run in runs]) * np.where(zones > 0, ARTICLE, 1.0)
+    zones = np.array([x[3] for x in parser.lines])
+    weights = np.array([ARTICLE if z in parser.articles else DOUBTED if z else 1.0 for z in zones.tolist()])
+    runs = np.split(np.array([len(t) / max(1, n) for t, n, *_ in parser.lines]), np.flatnonzero(np.diff(zones)) + 1)
+    ratio = np.concatenate([smooth(run, sigma) for run in runs]) * weights
     cluster = ratio >= min(share * ratio.std(), ratio.max())
-    regions = {r for (_, _, r), hit in zip(parser.lines, cluster, strict=True) if hit}
-    return " ".join(t for t, _, r in parser.lines if r in regions)
+    regions = {r for (_, _, r, _), hit in zip(parser.lines, cluster, strict=True) if hit}
+    return " ".join(t for t, _, r, _ in parser.lines if r in regions)
 
 
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", sigma: float = 1.0, share: float = 0.5) -> DataFrame:

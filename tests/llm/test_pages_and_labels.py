@@ -40,6 +40,20 @@ def test_the_cluster_chooses_among_all_regions():
     assert html_main.main_text(page, share=0.1) != html_main.main_text(page, share=3.0) == body.strip()
 
 
+def test_no_class_word_silences_a_page_or_an_article():
+    body = "A long text of the page's own, over a line. " * 6
+    article = f"<article><h1>Title</h1><p>{body}</p></article>"
+    want = f"Title {body}".strip()
+    for wrap in ("content-sidebar-wrap", "layout has-sidebar", "sidebar", "widget"):
+        assert html_main.main_text(f'<div class="{wrap}"><main>{article}</main></div>') == want, wrap
+        assert html_main.main_text(f'<div class="{wrap}"><div><p>{body}</p></div></div><p>By us</p>').startswith(body.strip()), wrap
+    for inside in ('section id="discussion"', 'div class="entry-header"', 'div class="related-work"', 'div class="header"'):
+        assert html_main.main_text(f"<article><p>{body}</p><{inside}><h2>Short part</h2></{inside.split()[0]}></article>") == f"{body}Short part", inside
+    assert html_main.main_text('<div class="comments"><p>Nothing else.</p></div>') == "Nothing else."
+    for noise in ('<div class="ad">Buy this now.</div>', '<div id="comments"><p>Ann</p><p>Nice post</p></div>', '<article class="comment"><p>Nice post</p></article>'):
+        assert html_main.main_text(article + noise) == html_main.main_text(article.replace("</h1>", f"</h1>{noise}")) == want, noise
+
+
 def test_articles_of_the_sample_pages(spark):
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     for r in html_main.extract(pages).join(pages.select("page_id", "html"), "page_id").collect():
