@@ -84,7 +84,9 @@ class WordEncoder:
     """A lower-casing tokenizer that drops white space, applied to each distinct word once.
 
     Its pre-tokens never reach across white space, nor from an ASCII letter into punctuation other
-    than an apostrophe, so texts are cut there and the parts' ids remembered.
+    than an apostrophe, so texts are cut there and the parts' ids remembered. Before that, texts are cut
+    at the tokenizer's added tokens, as the library does. A tokenizer whose added tokens are matched in
+    any other way than literally, or could be made by lower-casing, gets whole texts.
     """
 
     def __init__(self, path: str):
@@ -92,14 +94,26 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = sorted(self.tokenizer.get_added_tokens_decoder().values(), key=lambda t: -len(t.content))
+        self.added = [t.content.encode() for t in added]
+        self.cut = re.compile(b"(" + b"|".join(map(re.escape, self.added)) + b")")
+        self.whole = any(t.single_word or t.lstrip or t.rstrip or t.normalized or not LETTER_PUNCTUATION.search(t.content.encode()) or len(t.content.split()) != 1 for t in added)
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.cache: dict[bytes, bytes] = {}
 
+    def words(self, text: str) -> list[bytes]:
+        raw = text.encode("utf-8", "surrogatepass")
+        if any(a in raw for a in self.added):
+            parts = self.cut.split(raw)  # every second one is an added token
+            return [w for i, part in enumerate(parts) for w in ([part] if i % 2 else LETTER_PUNCTUATION.sub(rb"\1 \2", part.lower()).split())]
+        return LETTER_PUNCTUATION.sub(rb"\1 \2", raw.lower()).split()
+
     def encode(self, texts: list[str], end_id: int) -> list[bytes]:
         """Ids of each text in `width` bytes each, with end_id appended."""
         kind, cache = f"<u{self.width}", self.cache
-        words = [LETTER_PUNCTUATION.sub(rb"\1 \2", t.encode("utf-8", "surrogatepass").lower()).split() for t in texts]
+        if self.whole:
+            return [np.array([*got.ids, end_id], kind).tobytes() for got in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        words = [self.words(t) for t in texts]
         new = set(chain.from_iterable(words)).difference(cache)
         if new:
             if len(cache) + len(new) > CACHE_WORDS:

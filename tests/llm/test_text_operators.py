@@ -66,6 +66,31 @@ def test_token_records_round_trip(spark):
     assert {r.doc_id: r.ids for r in shuffled} == want and [r.doc_id for r in shuffled] != sorted(want)
 
 
+def test_added_tokens_in_texts_get_their_ids(spark):
+    from tokenizers import Tokenizer
+
+    rng = random.Random(5)
+    pieces = ["<|endoftext|>", "<|startoftext|>", "<|EndOfText|>", "<|endoftext", "|>", "<", "'s", "foo", " ", "\n", "é", "\u0301", "9", "X"]
+    texts = ["foo <|endoftext|> bar", "<|startoftext|>a<|endoftext|>", "<|startoftext<|endoftext|>|>"] + ["".join(rng.choices(pieces, k=rng.randint(1, 30))) for _ in range(200)]
+    t = Tokenizer.from_file(WORDPIECES)
+    want = [[*t.encode(x, add_special_tokens=False).ids, 2] for x in texts]
+    assert want[0] == [23435, 49407, 2411, 2]
+    manifest = token_records.write(frame(spark, texts), shared_dir(spark, "records"), WORDPIECES, 2)
+    got = {r.doc_id: r for r in token_records.read(manifest, with_ids=True).collect()}
+    assert [got[i].ids for i in range(len(texts))] == want
+
+
+def test_tokenizers_with_other_added_tokens_get_whole_texts(tmp_path):
+    from tokenizers import AddedToken, Tokenizer
+
+    t = Tokenizer.from_file(WORDPIECES)
+    t.add_tokens([AddedToken("foo", single_word=True, normalized=True), AddedToken("<sep>", lstrip=True)])
+    t.save(f"{tmp_path}/t.json")
+    texts = ["", "a FOO foobar  <sep> b<|endoftext|>", "don't <sep>"]
+    got = token_records.WordEncoder(f"{tmp_path}/t.json").encode(texts, 2)
+    assert [np.frombuffer(g, "<u2").tolist() for g in got] == [[*t.encode(x, add_special_tokens=False).ids, 2] for x in texts]
+
+
 def test_checksums_are_crc32c_and_damage_is_found():
     import io
 
