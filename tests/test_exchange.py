@@ -114,3 +114,16 @@ def test_windows_are_equal_on_tables_and_streams(spark, tmp_path):
     assert sorted(map(tuple, spark.table("windows").collect())) == table and [r[2:] for r in table] == [(3.0, 0), (12.0, 1)]
     with pytest.raises(Refused):
         windowed(df, "at", "10 minutes", {"m": "SUM(events[nope])"})
+
+
+def test_distinct_counts_are_exact_on_streams(spark, tmp_path):
+    df = spark.range(12_000).select(F.timestamp_seconds(F.col("id") % 1200).alias("at"), F.concat(F.lit("k"), F.col("id") % 2).alias("kind"), F.when(F.col("id") % 7 > 0, F.col("id") % 4001).alias("value"))
+    odd = spark.sql("SELECT timestamp_seconds(0) AS at, 'odd' AS kind, CAST(NULL AS bigint) AS value")
+    df = df.union(odd).withColumn("real", F.when(F.col("value") % 3 == 0, F.lit(-0.0)).when(F.col("value") % 3 == 1, F.lit(0.0)).otherwise(F.lit(float("nan"))))
+    df.repartition(3).write.parquet(f"{tmp_path}/in")
+    wanted = {"n": "DISTINCTCOUNTNOBLANK(events[value])", "b": "DISTINCTCOUNT(events[value])", "r": "DISTINCTCOUNTNOBLANK(events[real])", "f": 'CALCULATE(DISTINCTCOUNTNOBLANK(events[value]), events[kind] = "k1")', "s": "SUM(events[value])"}
+    table = sorted(map(tuple, windowed(df, "at", "10 minutes", wanted, ["kind"]).collect()))
+    stream = windowed(spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in"), "at", "10 minutes", wanted, ["kind"], late="1 hour")
+    q = stream.writeStream.outputMode("complete").format("memory").queryName("distinct").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert sorted(map(tuple, spark.table("distinct").collect())) == table and max(r[3] for r in table) > 2000
