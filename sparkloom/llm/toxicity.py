@@ -3,9 +3,10 @@
 Features are the distinct words of a text and their beginnings, hashed. fit() joins a bounded sample
 of labelled rows (`most_docs`, chosen by a hash of the key) with their texts, takes the features that
 separate the classes significantly, and fits their weights by Newton steps. Every sampled text that
-names a group is paired with copies in which the name is swapped for others of its kind; the fit
-penalises the squared change of the logit between the two, so that a neutral mention of a group
-doesn't raise a score even where labels happen to go with it. predict() sums weights per text.
+names a group is paired with copies in which the name is swapped for each other one of its kind and
+language; the fit penalises the squared change of the logit between the two, so that a neutral mention of a group
+doesn't raise a score even where labels happen to go with it. A mention's pairs weigh one together;
+Model.pairs tells how many fit() found, and without any the fit is a plain ridge one. predict() sums weights per text.
 
 Null and empty texts have no features and get the base score. Where a key has several labels the
 highest counts; null keys and labels are never learned from. Without any labels the base score is low.
@@ -15,7 +16,8 @@ Repeated rows get equal scores; further columns are ignored.
 from __future__ import annotations
 
 import zlib
-from dataclasses import dataclass
+from collections import defaultdict
+from dataclasses import dataclass, replace
 from itertools import chain
 
 import numpy as np
@@ -24,9 +26,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import text_chunks
+from .shared import arrow_schema, text_chunks
 
-#: Names of groups by kind; any may stand for another of its kind. Fixed values.
+#: Names of groups by kind and language (those of the corpus); any may stand for another of its kind. Fixed values.
 IDENTITY = [
     "women men girls boys mothers fathers wives husbands".split(),
     "woman man girl boy mother father wife husband".split(),
@@ -37,6 +39,33 @@ IDENTITY = [
     "black white asian african european american latino hispanic arab indian chinese mexican".split(),
     "immigrants refugees citizens natives foreigners migrants".split(),
     "disabled blind deaf autistic elderly young old".split(),
+    "frauen männer mädchen jungen mütter väter ehefrauen ehemänner".split(),
+    "frau mann mädchen junge mutter vater ehefrau ehemann".split(),
+    "weiblich männlich transgeschlechtlich nichtbinär".split(),
+    "schwul lesbisch heterosexuell bisexuell queer homosexuell".split(),
+    "muslimisch christlich jüdisch hinduistisch buddhistisch katholisch evangelisch atheistisch".split(),
+    "muslime christen juden hindus buddhisten sikhs katholiken protestanten atheisten".split(),
+    "schwarze weiße asiaten afrikaner europäer amerikaner araber inder chinesen mexikaner türken".split(),
+    "einwanderer flüchtlinge bürger einheimische ausländer migranten".split(),
+    "behinderte blinde gehörlose autisten senioren junge alte".split(),
+    "femmes hommes filles garçons mères pères épouses maris".split(),
+    "femme homme fille garçon mère père épouse mari".split(),
+    "féminin masculin transgenre".split(),
+    "gay lesbienne hétérosexuel bisexuel queer homosexuel".split(),
+    "musulman chrétien juif hindou bouddhiste sikh catholique protestant athée".split(),
+    "musulmans chrétiens juifs hindous bouddhistes sikhs catholiques protestants athées".split(),
+    "noirs blancs asiatiques africains européens américains latinos arabes indiens chinois mexicains".split(),
+    "immigrés réfugiés citoyens étrangers migrants".split(),
+    "handicapés aveugles sourds autistes âgés jeunes vieux".split(),
+    "mujeres hombres niñas niños madres padres esposas maridos".split(),
+    "mujer hombre niña niño madre padre esposa marido".split(),
+    "femenino masculino transgénero".split(),
+    "gay lesbiana heterosexual bisexual queer homosexual".split(),
+    "musulmán cristiano judío hindú budista sij católico protestante ateo".split(),
+    "musulmanes cristianos judíos hindúes budistas sijs católicos protestantes ateos".split(),
+    "negros blancos asiáticos africanos europeos americanos latinos árabes indios chinos mexicanos".split(),
+    "inmigrantes refugiados ciudadanos nativos extranjeros migrantes".split(),
+    "discapacitados ciegos sordos autistas ancianos jóvenes viejos".split(),
 ]
 BITS = 20
 STEM = 5
@@ -48,6 +77,7 @@ class Model:
     bias: float
     buckets: np.ndarray  # sorted
     weights: np.ndarray
+    pairs: int = 0  # counterfactual pairs found by fit()
 
 
 def words_of(text: str) -> set[bytes]:
@@ -64,18 +94,17 @@ def features(words: set[bytes]) -> np.ndarray:
     return np.unique(np.fromiter(chain(map(bucket, words), (bucket(s, 1) for s in stems)), np.int64))
 
 
-def swaps(words: set[bytes]) -> list[set[bytes]]:
-    """Counterfactual copies: every group name swapped for the next two of its kind, one at a time."""
+def swaps(words: set[bytes]) -> list[tuple[set[bytes], float]]:
+    """Counterfactual copies with weights: every group name swapped for each other one of its kind, one at a time."""
     out = []
     for kind in IDENTITY:
         names = [n.encode() for n in kind]
-        for i, name in enumerate(names):
-            if name in words:
-                out += [words - {name} | {names[(i + k) % len(names)]} for k in (1, 2)]
+        for name in words.intersection(names):
+            out += [(words - {name} | {other}, 1 / (len(names) - 1)) for other in names if other != name]
     return out
 
 
-def solve(rows: list[np.ndarray], labels: np.ndarray, changes: list[tuple[np.ndarray, np.ndarray]], most_features: int, least_z: float, ridge: float, fairness: float) -> Model:
+def solve(rows: list[np.ndarray], labels: np.ndarray, changes: dict[tuple[tuple[int, ...], tuple[int, ...]], float], most_features: int, least_z: float, ridge: float, fairness: float) -> Model:
     n = len(rows)
     positive = float(labels.sum())
     base = np.log((positive + 0.5) / (n - positive + 4.5))
@@ -95,15 +124,15 @@ def solve(rows: list[np.ndarray], labels: np.ndarray, changes: list[tuple[np.nda
     x[:, -1] = 1
     keep = column[at] >= 0
     x[of[keep], column[at[keep]]] = 1
-    delta = np.zeros((len(changes), len(chosen) + 1), np.float32)
-    for d, (before, after) in zip(delta, changes, strict=True):
-        for some, sign in ((before, 1), (after, -1)):
-            places = np.searchsorted(ids[chosen], some)
-            ok = (places < len(chosen)) & (np.append(ids[chosen], -1)[np.minimum(places, len(chosen))] == some)
-            d[places[ok]] += sign
+    place = {b: i for i, b in enumerate(ids[chosen].tolist())}
+    fair = np.zeros((len(chosen) + 1, len(chosen) + 1))
+    for (before, after), weight in changes.items():
+        moved = [(place[b], sign) for some, sign in ((before, 1), (after, -1)) for b in some if b in place]
+        for i, a in moved:
+            for j, b in moved:
+                fair[i, j] += fairness * weight * a * b
     penalty = np.full(len(chosen) + 1, ridge)
     penalty[-1] = 1e-6
-    fair = fairness * delta.T.astype(float) @ delta.astype(float)
     w = np.zeros(len(chosen) + 1)
     w[-1] = base
     for _ in range(25):
@@ -125,19 +154,30 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     rows = rows.groupBy(key).agg(F.max(F.col(label) > 0).alias("label"))
     joined = docs.select(key, F.col(text).alias("text")).join(F.broadcast(rows), key).select("text", "label")  # about most_docs rows
 
+    out, arrow = arrow_schema("label boolean, features array<bigint>, pairs bigint, changes array<struct<gone:array<bigint>,came:array<bigint>,weight:double>>")
+
     def run(batches):
         for batch, texts in text_chunks(batches):
             own = [words_of(t) for t in texts]
-            pairs = [[(features(w), features(o)) for o in swaps(w)] for w in own]
-            # before and after, as differences: what the swap takes away and what it brings
-            gone = [[np.setdiff1d(a, b).tolist() for a, b in p] for p in pairs]
-            came = [[np.setdiff1d(b, a).tolist() for a, b in p] for p in pairs]
-            yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array([features(w) for w in own], pa.list_(pa.int64())), pa.array(gone, pa.list_(pa.list_(pa.int64()))), pa.array(came, pa.list_(pa.list_(pa.int64())))], ["label", "features", "gone", "came"])
-
-    got = joined.mapInArrow(run, "label boolean, features array<bigint>, gone array<array<bigint>>, came array<array<bigint>>").toArrow()
+            rows, pairs, changes = [features(w) for w in own], [], defaultdict(float)
+            for w, before in zip(own, rows, strict=True):
+                others = swaps(w)
+                pairs.append(len(others))
+                for o, weight in others:  # what the swap takes away and what it brings
+                    after = features(o)
+                    changes[tuple(np.setdiff1d(before, after).tolist()), tuple(np.setdiff1d(after, before).tolist())] += weight
+            # a batch's changes, equal ones summed, go with its first row
+            first = [[{"gone": g, "came": c, "weight": w} for (g, c), w in changes.items()], *[[]] * (len(own) - 1)]
+            yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(rows, pa.list_(pa.int64())), pa.array(pairs, pa.int64()), pa.array(first, arrow.field("changes").type)], arrow.names)
+
+    got = joined.mapInArrow(run, out).toArrow()
     features_ = [np.asarray(x.values if hasattr(x, "values") else x, np.int64) for x in got.column("features")] if got.num_rows else []
-    changes = [(np.array(a, np.int64), np.array(b, np.int64)) for g, c in zip(got.column("gone").to_pylist(), got.column("came").to_pylist(), strict=True) for a, b in zip(g, c, strict=True)]
-    return solve(features_, np.array(got.column("label").to_pylist(), float), changes, most_features, least_z, ridge, fairness)
+    changes: dict = defaultdict(float)
+    for some in got.column("changes").to_pylist():
+        for c in some:
+            changes[tuple(c["gone"]), tuple(c["came"])] += c["weight"]
+    model = solve(features_, np.array(got.column("label").to_pylist(), float), changes, most_features, least_z, ridge, fairness)
+    return replace(model, pairs=sum(got.column("pairs").to_pylist()))
 
 
 def score(model: Model, texts: list[str]) -> np.ndarray:

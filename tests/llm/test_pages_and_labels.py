@@ -112,6 +112,17 @@ def test_swapping_names_hardly_moves_a_score(spark):
     assert abs(b[0] - b[1]) < 0.5 * abs(a[0] - a[1]) and b[0] < 0.5 < b[2]
 
 
+def test_names_of_all_languages_are_paired_with_all_of_their_kind(spark):
+    for name in ("muslims", "frauen", "musulmans", "mujeres"):
+        [kind] = [k for k in toxicity.IDENTITY if name in k]
+        found = toxicity.swaps({b"x", name.encode()})
+        assert {frozenset(s) for s, _ in found} == {frozenset((b"x", o.encode())) for o in kind if o != name}
+        assert abs(sum(w for _, w in found) - 1) < 1e-9
+    docs = spark.createDataFrame([(1, "Frauen x"), (2, "x y"), (3, "y")], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id bigint, toxic int")
+    assert toxicity.fit(docs, labels).pairs == 7 and toxicity.fit(docs.where("doc_id > 1"), labels).pairs == 0
+
+
 def test_toxicity_of_held_out_labels(spark):
     d = "/root/testdata/sf0.1"
     docs, labels = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("documents", "labels"))
