@@ -2,8 +2,10 @@
 
 scan() finds candidates in whole texts: assignments, access keys, hex strings and mixed high-entropy
 strings, each with a digest of its value (values themselves are not kept). ownership() counts, for
-each digest over the whole corpus, the distinct repositories and owners that hold it. A value that
-more than `most_owners` owners hold is a widely copied example; one that few own looks live. The
+each digest over the whole corpus, the distinct repositories and owners that hold it. A repository is a
+distinct text, owned by the first of its owners, so copies of a document count once. A value that more
+than `most_owners` owners or `most_repositories` repositories hold is a widely copied example; else it
+looks live. The
 fixed kinds are always reported; high-entropy strings are reported only where they look live.
 
 Null text counts as empty. A null owner is an owner of its own. Rows with equal key and text get
@@ -86,23 +88,24 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", owner: str =
     return docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("text_key"), F.col(owner).cast("string").alias("owner"), F.col(text).alias("text")).mapInArrow(run, schema)
 
 
-def ownership(scanned: DataFrame, key: str = "doc_id", most_owners: int = 2) -> DataFrame:
-    """value_hash, n_repositories (distinct keys), n_owners, live: over the whole corpus.
+def ownership(scanned: DataFrame, most_owners: int = 2, most_repositories: int = 10) -> DataFrame:
+    """value_hash, n_repositories (distinct texts), n_owners, live: over the whole corpus.
 
     Counted in three partial aggregations, so no task gathers what a widely copied value has.
     """
-    held = scanned.select(F.explode("candidates.value_hash").alias("value_hash"), F.coalesce("owner", F.lit("\0")).alias("owner"), F.col(key).alias("repository")).distinct()
+    held = scanned.select("text_key", F.explode("candidates.value_hash").alias("value_hash"), F.coalesce("owner", F.lit("\0")).alias("owner")).groupBy("value_hash", "text_key").agg(F.min("owner").alias("owner"))
     by_owner = held.groupBy("value_hash", "owner").agg(F.count(F.lit(1)).alias("n"))
-    return by_owner.groupBy("value_hash").agg(F.sum("n").alias("n_repositories"), F.count(F.lit(1)).alias("n_owners")).withColumn("live", F.col("n_owners") <= most_owners)
+    counted = by_owner.groupBy("value_hash").agg(F.sum("n").alias("n_repositories"), F.count(F.lit(1)).alias("n_owners"))
+    return counted.withColumn("live", (F.col("n_owners") <= most_owners) & (F.col("n_repositories") <= most_repositories))
 
 
-def judged(docs: DataFrame, key: str = "doc_id", text: str = "text", owner: str = "source", most_owners: int = 2) -> tuple[DataFrame, DataFrame]:
+def judged(docs: DataFrame, key: str = "doc_id", text: str = "text", owner: str = "source", most_owners: int = 2, most_repositories: int = 10) -> tuple[DataFrame, DataFrame]:
     """The scan, and for each (key, text_key) with candidates the spans to report, with their verdicts.
 
     Both are tables in the shared folder. Spans come by start, then kind.
     """
     scanned = materialise(scan(docs, key, text, owner), "secrets-scan")
-    verdicts = materialise(ownership(scanned, key, most_owners), "secrets-ownership")
+    verdicts = materialise(ownership(scanned, most_owners, most_repositories), "secrets-ownership")
     rows = scanned.where(F.size("candidates") > 0).select(key, "text_key", "candidates").dropDuplicates([key, "text_key"])
     each = rows.select(key, "text_key", F.explode("candidates").alias("c")).select(key, "text_key", "c.*")
     each = materialise(each, "secrets-candidates").join(verdicts, "value_hash").where((F.col("kind") != "mixed") | F.col("live"))
@@ -111,19 +114,19 @@ def judged(docs: DataFrame, key: str = "doc_id", text: str = "text", owner: str
     return scanned, materialise(spans, "secrets-spans")
 
 
-def secret_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", owner: str = "source", most_owners: int = 2) -> DataFrame:
+def secret_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", owner: str = "source", most_owners: int = 2, most_repositories: int = 10) -> DataFrame:
     """One row per document: counts of the fixed kinds, their digest, and all spans with verdicts."""
-    scanned, spans = judged(docs, key, text, owner, most_owners)
+    scanned, spans = judged(docs, key, text, owner, most_owners, most_repositories)
     s = spans.withColumnRenamed(key, "_key").withColumnRenamed("text_key", "_text_key")
     return scanned.drop("candidates", "owner").join(s, F.col(key).eqNullSafe(F.col("_key")) & F.col("text_key").eqNullSafe(F.col("_text_key")), "left").drop("_key", "_text_key", "text_key")
 
 
-def redact(docs: DataFrame, key: str = "doc_id", text: str = "text", owner: str = "source", most_owners: int = 2) -> DataFrame:
+def redact(docs: DataFrame, key: str = "doc_id", text: str = "text", owner: str = "source", most_owners: int = 2, most_repositories: int = 10) -> DataFrame:
     """docs with every reported span replaced: live ones by [SECRET], widely copied ones by [EXAMPLE].
 
     Overlapping spans are replaced as one. Null and span-free texts stay as they are.
     """
-    _, spans = judged(docs, key, text, owner, most_owners)
+    _, spans = judged(docs, key, text, owner, most_owners, most_repositories)
     s = spans.select(F.col(key).alias("_secret_key"), F.col("text_key").alias("_secret_text"), F.col("spans").alias("_secret_spans"))
     joined = docs.withColumn("_secret_at", F.xxhash64(text)).join(s, F.col(key).eqNullSafe(F.col("_secret_key")) & (F.col("_secret_at") == F.col("_secret_text")), "left")
     # spans come by start: keep what lies between them, from the furthest end so far to each start

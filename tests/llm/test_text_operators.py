@@ -175,6 +175,16 @@ def test_ownership_separates_examples_from_live_secrets(spark):
     assert secrets.redact(docs).columns == docs.columns
 
 
+def test_verdicts_depend_on_repositories_and_owners(spark):
+    example, live = "password = examplepassword", "key Zk93jfLLq02mXw7Rt5BvN8"
+    rows = [(i, f"text {i} {example}", "one owner") for i in range(30)] + [(100 + i, f"copied {live}", f"owner{i}") for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    counts = sorted((r.n_repositories, r.n_owners, r.live) for r in secrets.ownership(secrets.scan(docs)).collect())
+    assert counts == [(1, 1, True), (30, 1, False)]
+    spans = {r.doc_id: [(s.kind, s.live) for s in r.spans or []] for r in secrets.secret_spans(docs).collect()}
+    assert spans[0] == [("assign", False)] and spans[100] == [("mixed", True)]
+
+
 def test_suffix_arrays_equal_sorting():
     rng = np.random.default_rng(0)
     for _ in range(30):
