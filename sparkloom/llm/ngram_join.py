@@ -6,28 +6,34 @@ smallest key that links can reach.
 
 1. Sets that are equal form a class (a node); only one of a class takes part in the join. Copies are
    met first inside the map tasks, so a text that fills a third of the table costs little.
-2. Shingles get one global order: by how often their bucket (of 2**COUNT_BITS) occurs in all
-   documents, then by hash. Linked sets share a shingle among their rarest, the first
-   n - ceil(t * n) + 1 of that order, so only nodes that share one there are candidates. These
-   postings travel as packed arrays; those whose shingle only one node has end there.
-3. Candidates first meet in stars: of each shingle's nodes of similar size, all are held against one
-   pivot, a number of pairs that grows with the postings, not with the square of a group. Further
-   turns take other pivots, until comparing the rest costs no more than a turn, or for `stars` turns.
-   What shares a shingle but is in different components is then compared without exception: small groups as pairs, large ones in blocks. A block
-   holds up to BLOCK nodes outside of the shingle's largest component; all nodes that share a shingle
-   with one of them pass by it, a number of rows that is linear in the group. Pairs whose sizes,
-   positions or bucket histograms rule a link out are dropped unseen.
+2. Shingles get one global order: by how often their bucket occurs in all documents (an array of
+   counts that grows with the corpus up to 2**COUNT_BITS, 16 MB), then by hash. Any order gives the
+   same links; a sharper one gives fewer candidates. Linked sets share a shingle among their rarest,
+   the first n - ceil(t * n) + 1 of that order, so only nodes that share one there are candidates.
+   These postings are dealt to parts of about PART of them, sized by their measured number; a task
+   holds one part at a time. A shingle whose bucket stands out by more than HOT from the usual bucket
+   is dealt to several parts.
+3. Shingles that one node has end in their part. Those of up to SMALL nodes give all their pairs at
+   once. Those of more become postings, and their nodes meet in stars: of each shingle's nodes of
+   similar size, all are held against one pivot, so pairs grow with the postings. What then shares a
+   frequent shingle but is in different components is compared in blocks: the nodes outside of the shingle's
+   largest component are dealt to an eighth each, at least SMALLEST and at most BLOCK of them and
+   about BLOCK_SHINGLES; all nodes that share a shingle with one of a block pass by it. So rows are at most about 8
+   times the postings while a group has up to 8 * BLOCK nodes in different components; beyond that
+   they grow with the group times its blocks. Where that is much, further stars go before.
+   Pairs whose sizes, positions or bucket histograms rule a link out are dropped unseen.
 4. The rest is verified exactly. A block's sets (or a pivot's partners) are stored in a prefix tree,
    most frequent shingle first, so that near copies share a path almost to its end; a set walks down
    the tree with the overlap so far, which all sets below share, and leaves a subtree as soon as the
-   shingles that remain can't lift any set below to the overlap it needs. Blocks that many nodes
-   pass by are split over tasks.
+   shingles that remain can't lift any set below to the overlap it needs. What passes by a block is
+   split over tasks, each with a copy of the block's content.
 5. Components come from alternating large-star and small-star steps over tables of links.
 
 Null texts and texts without words have an empty set and link with nothing; fewer words than a
 shingle count as one shingle. Rows with equal texts share their component, rows that repeat a key are
 judged by their own text. Null keys never name a component unless all its keys are null. An empty
-table gives an empty result. Columns other than key and text are ignored.
+table gives an empty result. Columns other than key and text are ignored. A text of many MB is hashed
+in pieces; its set (8 bytes a shingle) and a few arrays of its size are held in one task.
 """
 
 from __future__ import annotations
@@ -46,19 +52,28 @@ from .shared import discard, materialise, text_chunks
 
 WORDS = 5
 PERCENT = 80
-COUNT_BITS = 20
-#: Bits of the filter that says which keys' texts a pass needs.
-FILTER_BITS = 24
-#: Occurrences of a shingle from which its postings are dealt to several tasks.
+#: Bits of the largest array of counts, and characters of text for which it has a bucket.
+COUNT_BITS, COUNT_CHARS = 22, 1600
+#: Bits of the largest filter that says which keys' texts a pass needs (16 MB).
+FILTER_BITS = 27
+#: Occurrences of a shingle from which its postings are dealt to several parts.
 HOT = 20_000
-#: Bytes of text whose words are hashed at once; a longer word makes a longer piece.
-PIECE = 2_000_000
+#: Postings of one part.
+PART = 400_000
+#: Postings that a task collects before it deals them.
+HELD = 200_000
+#: Characters and bytes of text whose words are hashed at once; a longer word makes a longer piece.
+CHUNK = PIECE = 250_000
+#: Nodes of a shingle whose pairs are listed.
+SMALL = 8
+#: Sets of one block (least, most), and its shingles.
+SMALLEST, BLOCK, BLOCK_SHINGLES = 64, 8192, 1_000_000
 #: Shingles of the sets that one prefix tree holds.
 TREE_SHINGLES = 2_000_000
-#: Sets in one prefix tree, nodes that pass by one copy of it, nodes of a group whose pairs are listed.
-BLOCK = 256
-PASSING = 512
-SMALL = 8
+#: Pieces in which tasks send arrays to be merged.
+BLOCKS = 64
+#: Bits of a hash that a histogram doesn't look at.
+_ABOVE = 20
 _BASE = 0x9E3779B97F4A7C15
 _BYTE_KEYS = np.random.default_rng(5).integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
 _BYTE_KEYS[32] = 0
@@ -134,19 +149,15 @@ def node_of(own: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(own.tobytes()) - (1 << 63)
 
 
-def bucket(hashes: np.ndarray) -> np.ndarray:
-    return (hashes >> np.uint64(64 - COUNT_BITS)).astype(np.int64)
-
-
-def by_rarity(own: np.ndarray, counts: np.ndarray) -> np.ndarray:
+def by_rarity(own: np.ndarray, ranks: np.ndarray) -> np.ndarray:
     """A set (sorted by hash) in the global order, rarest first."""
-    return own[np.argsort(counts[bucket(own)], kind="stable")]
+    return own[np.argsort(ranks[bucket(own, ranks)], kind="stable")]
 
 
 def histogram(own: np.ndarray) -> bytes:
     """How many shingles fall into each of 64 buckets or more (about one for two shingles), at most 255 each."""
     bits = min(max(6, int(len(own)).bit_length() - 1), 16)
-    return np.minimum(np.bincount((own >> np.uint64(64 - COUNT_BITS - bits) & np.uint64((1 << bits) - 1)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8).tobytes()
+    return np.minimum(np.bincount((own >> np.uint64(64 - _ABOVE - bits) & np.uint64((1 << bits) - 1)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8).tobytes()
 
 
 class Histograms:
@@ -175,7 +186,7 @@ class Histograms:
         return np.concatenate(out) if out else np.zeros(0, np.int64)
 
 
-# --- arrays that tasks merge and the driver reads: of a fixed size, whatever the input ---
+# --- arrays that tasks merge and the driver reads: of a bounded size, whatever the input ---
 
 
 def merged(parts: DataFrame, size: int, kind: str, add: Callable) -> np.ndarray:
@@ -190,32 +201,57 @@ def merged(parts: DataFrame, size: int, kind: str, add: Callable) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["block", "data"])
 
     out = np.zeros(size, kind)
-    for row in parts.repartition("block").mapInArrow(total, "block int, data binary").collect():  # of a fixed size
+    for row in parts.repartitionById(BLOCKS, "block").mapInArrow(total, "block int, data binary").collect():  # `size` elements
         own = np.frombuffer(bytes(row.data), kind)
         out[row.block * len(own) : (row.block + 1) * len(own)] = own
     return out
 
 
-def in_blocks(array: np.ndarray, blocks: int = 64) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(range(blocks), pa.int32()), pa.array([x.tobytes() for x in np.split(array, blocks)], pa.binary())], ["block", "data"])
+def in_blocks(array: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(range(BLOCKS), pa.int32()), pa.array([x.tobytes() for x in np.split(array, BLOCKS)], pa.binary())], ["block", "data"])
+
+
+def bucket(hashes: np.ndarray, array: np.ndarray) -> np.ndarray:
+    """Places of hashes in an array of counts whose length is a power of two."""
+    return (hashes >> np.uint64(65 - len(array).bit_length())).astype(np.int64)
+
 
+def ranks_of(counts: np.ndarray) -> np.ndarray:
+    """Counts on a fine logarithmic scale, in 16 bits."""
+    return np.round(1024 * np.log2(1 + counts.astype(np.float64))).astype(np.uint16)
 
-def filter_slots(keys: np.ndarray) -> list[np.ndarray]:
+
+def filter_slots(keys: np.ndarray, bits: int) -> list[np.ndarray]:
     h = keys.astype(np.int64).view(np.uint64) * _ODD[0]
-    return [(h >> np.uint64(64 - FILTER_BITS)).astype(np.int64), ((h * _ODD[1]) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)]
+    return [(h >> np.uint64(64 - bits)).astype(np.int64), ((h * _ODD[1]) >> np.uint64(64 - bits)).astype(np.int64)]
 
 
-def key_filter(keys: DataFrame) -> np.ndarray:
-    """Bits of a Bloom filter over a column `key` of 64-bit integers."""
+class KeyFilter:
+    """A Bloom filter over 64-bit integers: some 16 bits a key, FILTER_BITS at most; what it lets through is joined exactly."""
 
-    def run(batches):
-        bits = np.zeros(1 << FILTER_BITS, bool)
-        for batch in batches:
-            for slot in filter_slots(np.array(batch.column("key").to_numpy(zero_copy_only=False), np.int64)):
-                bits[slot] = True
-        yield in_blocks(np.packbits(bits))
+    def __init__(self, keys: DataFrame):
+        """keys: a table (not a plan that is costly to run twice) with a column `key`."""
+        bits = self.bits = min(max(int(16 * keys.count()).bit_length(), 16), FILTER_BITS)
+
+        def run(batches):
+            array = np.zeros(1 << bits, bool)
+            for batch in batches:
+                for slot in filter_slots(np.array(batch.column("key").to_numpy(zero_copy_only=False), np.int64), bits):
+                    array[slot] = True
+            yield in_blocks(np.packbits(array))
+
+        few = keys.select("key").coalesce(64)
+        self.shared = keys.sparkSession.sparkContext.broadcast(merged(few.mapInArrow(run, "block int, data binary"), 1 << bits - 3, "u1", np.bitwise_or))
+
+    def reader(self) -> Callable[[pa.Array], np.ndarray]:
+        """In a task: which keys may be in the filter."""
+        bits, raw = self.bits, self.shared.value
 
-    return merged(keys.mapInArrow(run, "block int, data binary"), 1 << FILTER_BITS - 3, "u1", np.bitwise_or)
+        def has(keys: pa.Array) -> np.ndarray:
+            slots = filter_slots(np.array(keys.to_numpy(zero_copy_only=False), np.int64), bits)
+            return np.logical_and.reduce([(raw[s >> 3] >> (7 - (s & 7)).astype(np.uint8) & 1).astype(bool) for s in slots])
+
+        return has
 
 
 # --- the prefix tree ---
@@ -282,12 +318,12 @@ class PrefixTree:
                     todo.append((child, overlap))
 
 
-def tree_rank(counts: np.ndarray) -> Callable[[np.ndarray], np.ndarray]:
+def tree_rank(ranks: np.ndarray) -> Callable[[np.ndarray], np.ndarray]:
     """The global order from its frequent end."""
 
     def rank(own: np.ndarray) -> np.ndarray:
-        out = np.empty(len(own), [("k", ">u4"), ("h", ">u8")])
-        out["k"] = 0xFFFFFFFF - counts[bucket(own)]
+        out = np.empty(len(own), [("k", ">u2"), ("h", ">u8")])
+        out["k"] = 0xFFFF - ranks[bucket(own, ranks)]
         out["h"] = own
         out.sort(order=("k", "h"))
         return out
@@ -307,7 +343,7 @@ class Join:
         self.words, self.percent, self.stars = words, percent, stars
         self.key_type = self.docs.schema["key"].dataType.simpleString()
         self.own: list[str] = []  # folders of tables that only this join reads
-        self.parts = 4 * int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        self.tasks = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
 
     def table(self, df: DataFrame, label: str) -> DataFrame:
         return materialise(df, label, self.own)
@@ -318,54 +354,61 @@ class Join:
         Texts that repeat within a task count once there.
         """
         words = self.words
+        chars = self.docs.agg(F.sum(F.length("text"))).first()[0] or 0
+        bits = min(max(int(chars // COUNT_CHARS).bit_length(), 16), COUNT_BITS)
 
         def run(batches):
-            shingler, counts, seen = Shingler(words), np.zeros(1 << COUNT_BITS, np.int64), set()
-            for batch, texts in text_chunks(batches):
+            shingler, counts, seen = Shingler(words), np.zeros(1 << bits, np.uint32), set()
+            for batch, texts in text_chunks(batches, most=CHUNK):
                 sets = shingler.sets(texts)
                 nodes = [node_of(s) if len(s) else None for s in sets]
                 new = [s for x, s in dict(zip(nodes, sets, strict=True)).items() if x is not None and x not in seen]
                 seen.update(nodes)
                 if new:
-                    counts += np.bincount(bucket(np.concatenate(new)), minlength=len(counts))
+                    np.add.at(counts, bucket(np.concatenate(new), counts), np.uint32(1))
                 yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("text_key"), pa.array(nodes, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.nulls(len(texts), pa.int32()), pa.nulls(len(texts), pa.binary())], names)
-            blocks = in_blocks(np.minimum(counts, 0xFFFFFFFF).astype("<u4"))
+            blocks = in_blocks(counts)
             none = pa.nulls(blocks.num_rows, pa.int64())
             yield pa.RecordBatch.from_arrays([none.cast(key_type), none, none, none, *blocks.columns], names)
 
         names, key_type = ["key", "text_key", "node", "n", "block", "data"], to_arrow_type(self.docs.schema["key"].dataType)
         both = materialise(self.docs.mapInArrow(run, f"key {self.key_type}, text_key bigint, node bigint, n bigint, block int, data binary"), "jaccard-profile")
         add = lambda a, b: np.minimum(a.astype(np.int64) + b, 0xFFFFFFFF).astype("<u4")
-        return both.where("block is null").select("key", "text_key", "node", "n"), merged(both.where("block is not null").select("block", "data"), 1 << COUNT_BITS, "<u4", add)
+        return both.where("block is null").select("key", "text_key", "node", "n"), merged(both.where("block is not null").select("block", "data"), 1 << bits, "<u4", add)
 
-    def postings(self, shared_counts) -> tuple[DataFrame, DataFrame]:
-        """(token, node, n, pos) of the rarest shingles that several nodes have there; node, n and histogram of all nodes."""
-        words, percent, parts = self.words, self.percent, self.parts
+    def candidates(self, members: DataFrame, counts: np.ndarray, shared_ranks) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """Pairs (a, b) of nodes that share a shingle of few; (token, node, n, pos) of shingles that many have; node, n and histogram of all nodes."""
+        words, percent = self.words, self.percent
+        first = F.col("n") + 1 - F.ceil(F.lit(percent) * F.col("n") / 100)
+        postings = members.where("n > 0").agg(F.sum(first)).first()[0] or 0
+        parts = max(self.tasks, -(-int(postings) // PART))
+        tasks = min(parts, 4 * self.tasks)
+        usual = float(np.median(counts))
 
         def run(batches):
-            shingler, counts, seen, held, size = Shingler(words), shared_counts.value, set(), [], 0
-            for _, texts in text_chunks(batches):
+            shingler, ranks, seen, held, size = Shingler(words), shared_ranks.value, set(), [], 0
+            for _, texts in text_chunks(batches, most=CHUNK):
                 for own in shingler.sets(texts):
                     n, node = len(own), node_of(own)
                     if n == 0 or node in seen:
                         continue
                     seen.add(node)
-                    held.append((node, n, by_rarity(own, counts)[: n + 1 - -(-percent * n // 100)].copy(), histogram(own)))
+                    held.append((node, n, by_rarity(own, ranks)[: n + 1 - -(-percent * n // 100)].copy(), histogram(own)))
                     size += len(held[-1][2])
-                    if size > 1_000_000:
-                        yield from pack(held, counts)
+                    if size > HELD:
+                        yield from pack(held, ranks)
                         held, size = [], 0
             if held:
-                yield from pack(held, counts)
+                yield from pack(held, ranks)
 
-        def pack(held, counts):
+        def pack(held, ranks):
             lengths = np.array([len(first) for _, _, first, _ in held])
             token = np.concatenate([first for _, _, first, _ in held])
             node = np.repeat(np.array([x[0] for x in held], np.int64), lengths)
             n = np.repeat(np.array([x[1] for x in held], np.int32), lengths)
             pos = (np.arange(len(token)) - np.repeat(np.cumsum(lengths) - lengths, lengths)).astype(np.int32)
-            # a shingle that very many documents have is dealt to several tasks
-            splits = 1 + counts[bucket(token)].astype(np.int64) // HOT
+            above = np.exp2(ranks[bucket(token, ranks)] / 1024) - 1 - usual  # about how often the shingle itself occurs
+            splits = 1 + (np.maximum(above, 0) // HOT).astype(np.int64)
             salt = ((node & 0xFFFFFF) % splits).astype(np.uint64)
             part = ((token * _ODD[2] + salt * _ODD[3] >> np.uint64(33)) % np.uint64(parts)).astype(np.int64)
             columns = (token, node, n, pos, (splits > 1).astype(np.uint8))
@@ -379,33 +422,60 @@ class Join:
                 yield pa.RecordBatch.from_arrays([pa.array([x % parts for x in nodes], pa.int64()), pa.array(nodes, pa.int64()), pa.array([x[1] for x in some], pa.int32()), pa.array([x[3] for x in some], pa.binary())], ["part", "node", "n", "data"])
 
         def gather(batches):
-            got: list[list[np.ndarray]] = []
+            part, got, seen = None, [], set()
             for batch in batches:
-                yield pa.RecordBatch.from_arrays([pa.nulls(batch.num_rows, pa.int64()), *(batch.column(c) for c in ("node", "n")), pa.nulls(batch.num_rows, pa.int32()), batch.column("data")], names).filter(batch.column("node").is_valid())
-                for raw in batch.column("data").filter(batch.column("node").is_null()).to_pylist():
-                    cut = np.cumsum([0, 8, 8, 4, 4, 1]) * (len(raw) // 25)
-                    got.append([np.frombuffer(raw[a:b], t) for a, b, t in zip(cut, cut[1:], ("<u8", "<i8", "<i4", "<i4", "u1"), strict=False)])
+                rows = []
+                for p, node, n, raw in zip(*(batch.column(c).to_pylist() for c in ("part", "node", "n", "data")), strict=True):
+                    if p != part:
+                        yield from groups(got)
+                        part, got, seen = p, [], set()
+                    if node is None:
+                        got.append(raw)
+                    elif node not in seen:
+                        seen.add(node)
+                        rows.append((node, n, raw))
+                yield record(node=pa.array([x[0] for x in rows], pa.int64()), n=pa.array([x[1] for x in rows], pa.int32()), data=pa.array([x[2] for x in rows], pa.binary()))
+            yield from groups(got)
+
+        def groups(got):
             if not got:
                 return
-            token, node, n, pos, split = (np.concatenate(x) for x in zip(*got, strict=True))
-            del got
+            split_at = [np.cumsum([0, 8, 8, 4, 4, 1]) * (len(raw) // 25) for raw in got]
+            token, node, n, pos, split = (np.concatenate([np.frombuffer(raw[cut[i] : cut[i + 1]], kind) for raw, cut in zip(got, split_at, strict=True)]) for i, kind in enumerate(("<u8", "<i8", "<i4", "<i4", "u1")))
             order = np.lexsort((node, token))
             token, node = token[order], node[order]
             new = np.ones(len(token), bool)
             new[1:] = (token[1:] != token[:-1]) | (node[1:] != node[:-1])
             token, node, order = token[new], node[new], order[new]
+            n, pos, split = n[order], pos[order], split[order] > 0
             start = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
             size = np.diff(np.append(start, len(token)))
-            keep = (np.repeat(size, size) > 1) | (split[order] > 0)
-            token, node, order = token[keep].view(np.int64), node[keep], order[keep]
+            end, size = np.repeat(start + size, size), np.repeat(size, size)
+            few, found = np.flatnonzero((size > 1) & (size <= SMALL) & ~split), []
+            for d in range(1, SMALL):
+                i = few[few + d < end[few]]
+                j = i + d
+                need = needed(n[i].astype(np.int64), n[j].astype(np.int64), percent)
+                ok = (np.minimum(n[i], n[j]) >= need) & (np.minimum(n[i] - pos[i], n[j] - pos[j]) >= need)
+                found.append(np.stack([node[i[ok]], node[j[ok]]]))  # nodes ascend within a shingle
+            pairs = np.unique(np.concatenate(found, 1), axis=1)
+            for at in range(0, pairs.shape[1], 50_000):
+                yield record(node=pa.array(pairs[0, at : at + 50_000]), other=pa.array(pairs[1, at : at + 50_000]))
+            many = (size > SMALL) | split
+            token, node, n, pos = token[many].view(np.int64), node[many], n[many], pos[many]
             for at in range(0, len(token), 50_000):
                 s = slice(at, at + 50_000)
-                yield pa.RecordBatch.from_arrays([pa.array(token[s]), pa.array(node[s]), pa.array(n[order[s]]), pa.array(pos[order[s]]), pa.nulls(len(token[s]), pa.binary())], names)
+                yield record(token=pa.array(token[s]), node=pa.array(node[s]), n=pa.array(n[s]), pos=pa.array(pos[s]))
+
+        kinds = {"token": pa.int64(), "node": pa.int64(), "n": pa.int32(), "pos": pa.int32(), "other": pa.int64(), "data": pa.binary()}
 
-        names = ["token", "node", "n", "pos", "data"]
-        dealt = self.docs.select("text").mapInArrow(run, "part bigint, node bigint, n int, data binary").repartition(self.parts // 4, "part")
-        both = self.table(dealt.mapInArrow(gather, "token bigint, node bigint, n int, pos int, data binary"), "jaccard-postings")
-        return both.where("data is null").drop("data"), both.where("data is not null").select("node", "n", "data")
+        def record(**columns) -> pa.RecordBatch:
+            rows = len(columns["node"])
+            return pa.RecordBatch.from_arrays([columns[c] if c in columns else pa.nulls(rows, kind) for c, kind in kinds.items()], list(kinds))
+
+        dealt = self.docs.select("text").mapInArrow(run, "part bigint, node bigint, n int, data binary").repartitionById(tasks, F.pmod("part", F.lit(tasks)).cast("int")).sortWithinPartitions("part")
+        every = self.table(dealt.mapInArrow(gather, "token bigint, node bigint, n int, pos int, other bigint, data binary"), "jaccard-candidates")
+        return every.where("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b")), every.where("token is not null").select("token", "node", "n", "pos"), every.where("data is not null").select("node", "n", "data")
 
     def possible(self, n: Column, pos: Column, m: Column, pos2: Column) -> Column:
         """Whether sets of these sizes whose first common shingle stands at these positions can link."""
@@ -413,63 +483,62 @@ class Join:
         return (F.least(n, m) >= need) & (F.least(n - pos, m - pos2) >= need)
 
     def star(self, shared: DataFrame, turn: int) -> DataFrame:
-        """Pairs (a, b) of each shingle's nodes of similar size with one of them, for components that differ."""
+        """Pairs (a, b), a < b, of each shingle's nodes of similar size with one of them, for components that differ."""
         width = F.lit(float(np.log(100 / self.percent)))
         rows = shared.withColumn("class", F.floor(F.log(F.col("n").cast("double")) / width + F.lit(0.5 * (turn % 2))))
-        pivots = rows.groupBy("token", "class").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn // 2)), F.col("node").alias("a"), F.col("n").alias("m"), F.col("pos").alias("pos2"), F.col("comp").alias("comp2"))).alias("p"), F.count(F.lit(1)).alias("k")).where("k > 1").select("token", "class", "p.*")
+        pivots = rows.groupBy("token", "class").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn // 2)), F.col("node").alias("p"), F.col("n").alias("m"), F.col("pos").alias("pos2"), F.col("comp").alias("comp2"))).alias("s"), F.count(F.lit(1)).alias("k")).where("k > 1").select("token", "class", "s.*")
         pairs = rows.join(pivots, ["token", "class"]).where((F.col("comp") != F.col("comp2")) & self.possible(F.col("n"), F.col("pos"), F.col("m"), F.col("pos2")))
-        return pairs.select("a", F.col("node").alias("b")).distinct()
-
-    def rest_is_small(self, shared: DataFrame) -> bool:
-        """Whether rest() would make no more rows of nodes that pass by blocks than there are postings."""
-        by_comp = shared.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("k"))
-        by_token = by_comp.groupBy("token").agg(F.sum("k").alias("k"), F.max("k").alias("top"))
-        passing = F.when(F.col("k") > SMALL, F.ceil((F.col("k") - F.col("top")) / BLOCK) * F.col("k")).otherwise(0)
-        row = by_token.agg(F.sum(passing).alias("passing"), F.sum("k").alias("postings")).first()
-        return (row.passing or 0) <= (row.postings or 0)
-
-    def rest(self, shared: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-        """What shares one of its rarest shingles, can link and is in different components: pairs (a, b) of small
-        groups; for large ones blocks (block, node) and the nodes that pass by them."""
-        by_comp = shared.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("k"))
-        # the component that most of a shingle's nodes have is in no block
-        largest = by_comp.groupBy("token").agg(F.max(F.struct("k", F.col("comp").alias("top"))).alias("x"), F.sum("k").alias("k"), F.count(F.lit(1)).alias("comps")).where("comps > 1").select("token", "x.top", "k")
-        mixed = self.table(shared.join(largest, "token"), "jaccard-mixed")
-        small, large = mixed.where(F.col("k") <= SMALL), mixed.where(F.col("k") > SMALL)
-        other = small.select("token", F.col("node").alias("a"), F.col("n").alias("m"), F.col("pos").alias("pos2"), F.col("comp").alias("comp2"))
-        pairs = small.join(other, "token").where((F.col("comp") != F.col("comp2")) & (F.xxhash64("a") < F.xxhash64("node")) & self.possible(F.col("n"), F.col("pos"), F.col("m"), F.col("pos2")))
-        outside = large.where("comp <> top").select("token", "node", "n", "k")
-        home = outside.groupBy("node").agg(F.max(F.struct("k", "token")).getField("token").alias("home"))
-        tasks = home.groupBy("home").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("tasks"))
+        return pairs.select(F.least("p", "node").alias("a"), F.greatest("p", "node").alias("b"))
+
+    @staticmethod
+    def capacity(nodes: Column) -> Column:
+        """Sets to a block, of so many."""
+        return F.greatest(F.lit(SMALLEST), F.least(F.lit(BLOCK), F.ceil(nodes / 8)))
+
+    def mixed(self, shared: DataFrame, labels: DataFrame) -> tuple[DataFrame, int, int]:
+        """Postings of shingles whose nodes are in several components, with the shingle's largest one and all its nodes
+        (top, k); their number, and about that of the rows that rest() makes of them."""
+        rows = shared.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        by_comp = rows.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("k"))
+        groups = by_comp.groupBy("token").agg(F.max(F.struct("k", F.col("comp").alias("top"))).alias("x"), F.sum("k").alias("k"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
+        kept = self.table(rows.join(groups.select("token", "x.top", "k", (F.col("k") - F.col("x.k")).alias("outside")), "token"), "jaccard-mixed")
+        row = kept.agg(F.count(F.lit(1)).alias("postings"), F.sum(F.ceil(F.col("outside") / self.capacity(F.col("outside")))).alias("passing")).first()
+        return kept.drop("outside"), row.postings, row.passing or 0
+
+    def rest(self, mixed: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Blocks (block, node, n) of nodes outside of their shingles' largest components, and the nodes that pass by them."""
+        outside = mixed.where("comp <> top").select("token", "node", "n", "k")
+        home = outside.groupBy("node", "n").agg(F.max(F.struct("k", "token")).getField("token").alias("home"))
+        total = home.groupBy("home").agg(F.count(F.lit(1)).alias("nodes"), F.sum("n").alias("shingles"))
+        tasks = total.select("home", F.greatest(F.ceil(F.col("nodes") / self.capacity(F.col("nodes"))), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).alias("tasks"))
         blocks = self.table(home.join(tasks, "home").select("node", F.xxhash64("home", F.pmod(F.xxhash64("node"), F.col("tasks"))).alias("block")), "jaccard-blocks")
         reach = outside.join(blocks, "node").groupBy("token", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"))
         near = (F.col("n") * 100 >= F.col("low") * self.percent) & (F.col("high") * 100 >= F.col("n") * self.percent)
-        passing = large.join(reach, "token").where(near).select("block", "node").distinct()
-        return pairs.select("a", F.col("node").alias("b")).distinct(), blocks.select("block", "node"), self.table(passing, "jaccard-passing")
+        passing = mixed.join(reach, "token").where(near).select("block", "node").distinct()
+        return blocks.select("block", "node"), self.table(passing, "jaccard-passing")
 
     def dealt(self, blocks: DataFrame, passing: DataFrame, payload: DataFrame) -> DataFrame:
-        """block, salt, passes, node and payload: every block's content first, then some of the nodes that pass by it."""
-        tasks = passing.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / PASSING).cast("int").alias("tasks"))
+        """block, salt, passes, node and payload: every block's content first, then some of the nodes that pass by it.
+
+        As many pass by a copy of a block as it has sets, SMALLEST at least, so copies are no more than what passes.
+        """
+        sizes = blocks.groupBy("block").agg(F.count(F.lit(1)).alias("sets"))
+        tasks = passing.groupBy("block").agg(F.count(F.lit(1)).alias("passing")).join(sizes, "block").select("block", F.ceil(F.col("passing") / F.greatest(F.lit(SMALLEST), "sets")).cast("int").alias("tasks"))
         content = blocks.join(tasks, "block").join(payload, "node").select("block", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)).alias("salt"), F.lit(False).alias("passes"), *payload.columns)
         rows = passing.join(tasks, "block").join(payload, "node").select("block", F.pmod(F.xxhash64("node"), F.col("tasks")).cast("int").alias("salt"), F.lit(True).alias("passes"), *payload.columns)
-        return content.union(rows).repartition(max(self.parts // 4, 1), "block", "salt").sortWithinPartitions("block", "salt", "passes")
+        return content.union(rows).repartition(self.tasks, "block", "salt").sortWithinPartitions("block", "salt", "passes")
 
-    def histograms(self, sketches: DataFrame, *nodes: DataFrame) -> DataFrame:
-        """node, n, data of the nodes in some tables."""
-        every = nodes[0].select("node")
-        for more in nodes[1:]:
-            every = every.union(more.select("node"))
-        every = self.table(every.distinct(), "jaccard-alive")
-        bits = self.spark.sparkContext.broadcast(key_filter(every.select(F.col("node").alias("key"))))
+    def histograms(self, sketches: DataFrame, nodes: DataFrame) -> DataFrame:
+        """node, n, data of the nodes of a table."""
+        every = self.table(nodes.distinct(), "jaccard-alive")
+        known = KeyFilter(every.select(F.col("node").alias("key")))
 
         def run(batches):  # drops most of the others before they are shuffled
-            has = np.unpackbits(bits.value).view(bool)
+            has = known.reader()
             for batch in batches:
-                keys = batch.column("node").to_numpy(zero_copy_only=False)
-                yield batch.filter(pa.array(np.logical_and.reduce([has[s] for s in filter_slots(keys)])))
+                yield batch.filter(pa.array(has(batch.column("node"))))
 
-        near = sketches.select("node", "n", "data").mapInArrow(run, "node bigint, n int, data binary")
-        return self.table(near.join(every, "node", "left_semi").dropDuplicates(["node"]), "jaccard-histograms")
+        return self.table(sketches.mapInArrow(run, "node bigint, n int, data binary").join(every, "node", "left_semi"), "jaccard-histograms")
 
     def plausible(self, pairs: DataFrame, sketches: DataFrame) -> DataFrame:
         """Pairs whose histograms don't rule a link out."""
@@ -481,49 +550,59 @@ class Join:
                 keep = [len(Histograms([(0, q, y)], percent).plausible(p, x)) > 0 for x, y, p, q in zip(a, b, n, m, strict=True)]
                 yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-        own = self.histograms(sketches, pairs.select(F.col("a").alias("node")), pairs.select(F.col("b").alias("node")))
+        own = self.histograms(sketches, pairs.select(F.col("a").alias("node")).union(pairs.select("b")))
         side = lambda c, n: own.select(F.col("node").alias(c), F.col("n").alias(n), F.col("data").alias(f"{c}_data"))
         return self.table(pairs.join(side("b", "m"), "b").join(side("a", "n"), "a").select("a", "b", "n", "m", "a_data", "b_data").mapInArrow(run, "a bigint, b bigint"), "jaccard-plausible")
 
-    def plausible_passing(self, blocks: DataFrame, passing: DataFrame, sketches: DataFrame) -> DataFrame:
-        """The nodes that pass by a block of which one at least may be a partner."""
+    def plausible_passing(self, blocks: DataFrame, passing: DataFrame, sketches: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Of blocks and of the nodes that pass by them, those that may have a partner on the other side."""
         percent = self.percent
 
         def run(batches):
-            group, content, table = None, [], None
+            group, content, table, hit, out = None, [], None, set(), []
+
+            def close():
+                out.extend((group[0], node, False) for node in hit)
+                hit.clear()
+
             for batch in batches:
-                out = []
                 for block, salt, passes, node, n, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                     if (block, salt) != group:
+                        close()
                         group, content, table = (block, salt), [], None
                     if not passes:
                         content.append((node, n, data))
                         continue
                     table = table or Histograms(content, percent)
-                    found = table.plausible(n, data)
-                    if len(found) > 1 or len(found) == 1 and found[0] != node:
-                        out.append((block, node))
-                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], ["block", "node"])
-
-        dealt = self.dealt(blocks, passing, self.histograms(sketches, blocks, passing))
-        return self.table(dealt.mapInArrow(run, "block bigint, node bigint"), "jaccard-passing")
+                    found = set(table.plausible(n, data).tolist()) - {node}
+                    if found:
+                        hit |= found
+                        out.append((block, node, True))
+                yield rows(out)
+                out.clear()
+            close()
+            yield rows(out)
+
+        def rows(out):
+            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.bool_()))], ["block", "node", "passes"])
+
+        own = self.histograms(sketches, blocks.select("node").union(passing.select("node")))
+        found = self.table(self.dealt(blocks, passing, own).mapInArrow(run, "block bigint, node bigint, passes boolean"), "jaccard-passing")
+        return found.where("not passes").select("block", "node").distinct(), found.where("passes").select("block", "node")
 
     def sets_of(self, nodes: DataFrame, first_keys: DataFrame) -> DataFrame:
         """node, tokens (sorted 64-bit hashes) of some nodes, from the texts of their first keys."""
-        wanted = self.table(nodes.select("node").distinct().join(first_keys, "node"), "jaccard-wanted")
+        wanted = self.table(nodes.distinct().join(first_keys, "node"), "jaccard-wanted")
         slot = F.xxhash64("key")  # null keys too
-        bits = self.spark.sparkContext.broadcast(key_filter(wanted.select(slot.alias("key"))))
-        words = self.words
+        known, words = KeyFilter(wanted.select(slot.alias("key"))), self.words
 
         def run(batches):
-            shingler, seen = Shingler(words), set()
-            has = np.unpackbits(bits.value).view(bool)
+            shingler, seen, has = Shingler(words), set(), known.reader()
             for batch in batches:
-                keys = np.array(batch.column("key").to_numpy(zero_copy_only=False), np.int64)
-                hit = np.logical_and.reduce([has[s] for s in filter_slots(keys)])
+                hit = has(batch.column("key"))
                 if not hit.any():
                     continue
-                for _, texts in text_chunks([batch.filter(pa.array(hit))]):
+                for _, texts in text_chunks([batch.filter(pa.array(hit))], most=CHUNK):
                     rows = [(node_of(s), s) for s in shingler.sets(texts) if len(s)]
                     rows = [(x, s) for x, s in dict(rows).items() if x not in seen]
                     seen.update(x for x, _ in rows)
@@ -532,7 +611,7 @@ class Join:
         sets = self.docs.select(slot.alias("key"), "text").mapInArrow(run, "node bigint, tokens binary")
         return self.table(sets.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"]), "jaccard-sets")
 
-    def verified(self, blocks: DataFrame, passing: DataFrame, first_keys: DataFrame, shared_counts) -> DataFrame:
+    def verified(self, blocks: DataFrame, passing: DataFrame, first_keys: DataFrame, shared_ranks) -> DataFrame:
         """Links (a, b) between what passes by a block and the block's content, by prefix trees.
 
         Of the links in a block those are returned that connect what others of its links don't, so their
@@ -546,7 +625,7 @@ class Join:
             return x
 
         def run(batches):
-            rank = tree_rank(shared_counts.value)
+            rank = tree_rank(shared_ranks.value)
             group, content, size, trees, parent = None, [], 0, [], {}
 
             def close():
@@ -557,12 +636,13 @@ class Join:
 
             for batch in batches:
                 out = []
-                for block, salt, passes, node, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    own = np.frombuffer(raw, np.uint64)
-                    if (block, salt) != group:
-                        group, content, size, trees, parent = (block, salt), [], 0, [], {}
+                for block, salt, passes, node, raw in zip(*batch.columns, strict=True):
+                    own = np.frombuffer(raw.as_buffer(), np.uint64)
+                    node, passes = node.as_py(), passes.as_py()
+                    if (block.as_py(), salt.as_py()) != group:
+                        group, content, size, trees, parent = (block.as_py(), salt.as_py()), [], 0, [], {}
                     if not passes:
-                        content.append((node, own))
+                        content.append((node, own.copy()))
                         size += len(own)
                         if size > TREE_SHINGLES:
                             close()
@@ -578,51 +658,50 @@ class Join:
 
         before = len(self.own)
         sets = self.sets_of(blocks.select("node").union(passing.select("node")), first_keys)
-        links = materialise(self.dealt(blocks, passing, sets).mapInArrow(run, "a bigint, b bigint"), "jaccard-links")
-        discard(self.spark, self.own[before:])  # the sets, the largest tables
-        del self.own[before:]
+        dealt = self.dealt(blocks, passing, sets).mapInArrow(run, "a bigint, b bigint")
+        large = self.own[before:]  # the sets, the largest tables
+        links = self.table(dealt, "jaccard-links")
+        discard(self.spark, large)
+        self.own = [x for x in self.own if x not in large]
         return links
 
     def around_pivots(self, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Pairs (pivot, partner) as blocks of partners that the pivot passes by."""
-        tasks = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("tasks"))
-        rows = self.table(pairs.join(tasks, "a").select("a", "b", F.xxhash64("a", F.pmod(F.xxhash64("b"), F.col("tasks"))).alias("block")), "jaccard-pivots")
+        """Pairs (a, b) as blocks of partners that a pivot passes by; of a pair, the node with more pairs is the pivot."""
+        both = pairs.union(pairs.select("b", "a"))
+        degree = both.groupBy("a").agg(F.count(F.lit(1)).alias("k"))
+        known = pairs.join(degree, "a").join(degree.select(F.col("a").alias("b"), F.col("k").alias("l")), "b")
+        turned = known.select(F.when(F.col("k") >= F.col("l"), F.col("a")).otherwise(F.col("b")).alias("a"), F.when(F.col("k") >= F.col("l"), F.col("b")).otherwise(F.col("a")).alias("b"))
+        tasks = turned.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / SMALLEST).cast("int").alias("tasks"))
+        rows = self.table(turned.join(tasks, "a").select("a", "b", F.xxhash64("a", F.pmod(F.xxhash64("b"), F.col("tasks"))).alias("block")), "jaccard-pivots")
         return rows.select("block", F.col("b").alias("node")), rows.select("block", F.col("a").alias("node")).distinct()
 
+    def pair_links(self, pairs: DataFrame, sketches: DataFrame, first_keys: DataFrame, shared_ranks) -> DataFrame | None:
+        """The links among some pairs."""
+        pairs = self.plausible(pairs, sketches)
+        return None if pairs.isEmpty() else self.verified(*self.around_pivots(pairs), first_keys, shared_ranks)
+
+    def linked(self, labels: DataFrame, links: DataFrame | None) -> DataFrame:
+        """node, comp with further links (a, b)."""
+        return labels if links is None else components(links.union(labels.select("node", "comp")), self.table)
+
     def run(self) -> DataFrame:
         members, counts = self.profile()
         first_keys = self.table(members.where("n > 0").groupBy("node").agg(F.min("key").alias("key")), "jaccard-classes")
-        shared_counts = self.spark.sparkContext.broadcast(counts)
-        shared, sketches = self.postings(shared_counts)
-        discard(self.spark, [])
+        shared_ranks = self.spark.sparkContext.broadcast(ranks_of(counts))
+        few, many, sketches = self.candidates(members, counts, shared_ranks)
         labels = self.spark.createDataFrame([], "node bigint, comp bigint")
-        tested: DataFrame | None = None
-        low, high = F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high")
-        for turn in range(self.stars + 1):
-            rows, found, last = shared.withColumn("comp", F.col("node")), [], turn == self.stars
-            if turn:
-                rows = self.table(shared.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "jaccard-labelled")
-                last = last or self.rest_is_small(rows)
-            if not last:
-                pairs = self.star(rows, turn)
-            else:
-                pairs, blocks, passing = self.rest(rows)
-                passing = self.plausible_passing(blocks, passing, sketches)
-                if not passing.isEmpty():
-                    found.append(self.verified(blocks, passing, first_keys, shared_counts))
-            if tested is not None:
-                pairs = pairs.select("a", "b", low, high).join(tested, ["low", "high"], "left_anti").select("a", "b")
-            pairs = self.table(pairs, "jaccard-pairs")
-            tested = pairs.select(low, high) if tested is None else tested.union(pairs.select(low, high))
-            pairs = self.plausible(pairs, sketches)
-            if not pairs.isEmpty():
-                found.append(self.verified(*self.around_pivots(pairs), first_keys, shared_counts))
-            for links in found:
-                labels = links.union(labels.select(F.col("node").alias("a"), F.col("comp").alias("b"))).toDF("node", "comp")
-            if found:
-                labels = components(labels.toDF("a", "b"))
-            if last:
+        pairs = self.table(few.union(self.star(many.withColumn("comp", F.col("node")), 0)).distinct(), "jaccard-pairs")
+        labels, tested = self.linked(labels, self.pair_links(pairs, sketches, first_keys, shared_ranks)), pairs
+        for turn in range(1, max(self.stars, 1) + 1):
+            mixed, postings, passing = self.mixed(many, labels)
+            if turn >= self.stars or passing <= 16 * postings:
                 break
+            pairs = self.table(self.star(mixed.drop("top", "k"), turn).distinct().join(tested, ["a", "b"], "left_anti"), "jaccard-pairs")
+            labels, tested = self.linked(labels, self.pair_links(pairs, sketches, first_keys, shared_ranks)), tested.union(pairs)
+        if postings:
+            blocks, passing = self.plausible_passing(*self.rest(mixed), sketches)
+            if not passing.isEmpty():
+                labels = self.linked(labels, self.verified(blocks, passing, first_keys, shared_ranks))
         named = first_keys.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         least = named.groupBy("comp").agg(F.min("key").alias("component_id"))
         of_node = materialise(named.join(least, "comp").select("node", "component_id"), "jaccard-components")
@@ -630,9 +709,9 @@ class Join:
         return members.join(of_node, "node", "left").select("key", "text_key", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("key")).alias("component_id"))
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, table: Callable = materialise) -> DataFrame:
     """node, comp (the smallest node of its component) of all nodes with links (a, b)."""
-    edges = materialise(links.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "components")
+    edges = table(links.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "components")
     state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
     while True:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -640,7 +719,7 @@ def components(links: DataFrame) -> DataFrame:
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b"))).where("a != b").distinct()
-        edges = materialise(small, "components")
+        edges = table(small, "components")
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == state:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("comp"))

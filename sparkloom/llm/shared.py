@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 import zipfile
@@ -24,6 +23,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes of rows that Spark hands to a Python worker at once.
+BATCH_BYTES = 4 << 20
+
 _shipped: set[str] = set()
 
 
@@ -33,6 +35,7 @@ def prepare(spark: SparkSession) -> None:
     Texts vary from nothing to megabytes: fewer rows to a batch keep workers small.
     """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     sc = spark.sparkContext
     if sc.applicationId not in _shipped:
         _shipped.add(sc.applicationId)
@@ -71,13 +74,11 @@ def materialise(df: DataFrame, label: str, paths: list[str] | None = None) -> Da
 
 
 def discard(spark: SparkSession, paths: list[str]) -> None:
-    """Delete tables of the shared folder that nothing reads any more, and let Spark drop the shuffles behind them."""
+    """Delete tables of the shared folder that nothing reads any more."""
     sc = spark.sparkContext
     for path in paths:
         place = sc._jvm.org.apache.hadoop.fs.Path(path)
         place.getFileSystem(sc._jsc.hadoopConfiguration()).delete(place, True)
-    gc.collect()  # Spark keeps shuffle files until their plans are collected
-    sc._jvm.System.gc()
 
 
 def arrow_schema(spec: str) -> tuple[T.StructType, pa.Schema]:
