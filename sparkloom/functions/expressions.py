@@ -61,16 +61,24 @@ def normalised(expression: Column | str) -> Column:
 
 
 def fingerprint(expression: Column | str) -> Column:
-    """The normal form in capitals, its variables numbered in order."""
-    text = normalised(expression)
-    names = F.array_distinct(F.regexp_extract_all(text, F.lit(r"(?i)\bVAR\s+([A-Za-z_][A-Za-z0-9_]*)"), F.lit(1)))
-    start = F.struct(text.alias("text"), F.lit(0).alias("i"))
-    renamed = F.aggregate(names, start, lambda acc, n: F.struct(F.regexp_replace(acc["text"], F.concat(F.lit(r"\b"), n, F.lit(r"\b")), F.concat(F.lit("__V"), acc["i"].cast("string"), F.lit("__"))).alias("text"), (acc["i"] + 1).alias("i")))
-    return F.upper(renamed["text"])
+    """The normal form in capitals, its variables numbered in order of their declaration."""
+    pieces = F.transform(F.regexp_extract_all(normalised(expression), F.lit(f"{TOKEN}|\\s+|[\\s\\S]"), F.lit(0)), F.upper)
+    named = F.transform(pieces, lambda p, i: F.when((F.get(pieces, i - 2) == "VAR") & p.rlike("^[A-Z_]"), p))
+    variables = F.array_distinct(F.array_compact(named))
+    number = lambda p: F.array_position(variables, p)
+    return F.array_join(F.transform(pieces, lambda p: F.when(number(p) > 0, F.concat(F.lit("_"), number(p))).otherwise(p)), "")
 
 
 def fingerprint_tokens(text: Column | str) -> Column:
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(r"[A-Z_][A-Z0-9_]*|\[[^\]]+\]|\d+"), F.lit(0)))
+    """The distinct names, bracketed names and whole numbers of a fingerprint; a table and its column count apart."""
+    apart = F.flatten(F.transform(tokens(text), lambda t: F.regexp_extract_all(t, F.lit(r"\[[\s\S]*\]$|[^\W\d]\w*|\d+"), F.lit(0))))
+    return F.array_distinct(apart)
+
+
+def named_fields(expression: Column | str) -> Column:
+    """What NAMEOF names in an expression, as it is written there."""
+    every = tokens(expression)
+    return F.array_distinct(F.filter(every, lambda t, i: (F.upper(F.get(every, i - 1)) == "NAMEOF") & t.endswith("]")))
 
 
 def sql_of(m_expression: Column | str) -> Column:

@@ -22,19 +22,27 @@ def convention(name: Column | str) -> Column:
     return out.otherwise(OTHER)
 
 
+#: A word starts at a capital after a small letter or digit, and at a digit after a letter; separators end it.
+_ALIKE = r"(?:[0-9]+[a-z]*|[A-Z]+[a-z]*|[a-z]+)"
+_MARKS = r"[^\sA-Za-z0-9_\-]+"
+WORD = f"(?:{_ALIKE}|{_MARKS}{_ALIKE}?)(?:{_MARKS}{_ALIKE}?)*"
+#: Convention -> how the first word and the others are written, and what stands between them.
+STYLES = {"snake_case": (F.lower, F.lower, "_"), "PascalCase": (F.initcap, F.initcap, ""), "camelCase": (F.lower, F.initcap, ""), "Title Case With Spaces": (F.initcap, F.initcap, " ")}
+
+
 def words(name: Column | str) -> Column:
-    spaced = F.regexp_replace(name, r"[_\-]+", " ")
-    spaced = F.regexp_replace(F.regexp_replace(spaced, r"(?<=[a-z0-9])(?=[A-Z])", " "), r"(?<=[A-Za-z])(?=[0-9])", " ")
-    return F.filter(F.split(spaced, r"\s+"), lambda w: w != "")
+    return F.regexp_extract_all(name, F.lit(WORD), F.lit(0))
 
 
 def converted(name: Column | str, to: Column) -> Column:
     """The name in a convention; null where it has no words or the convention is none."""
-    own = words(name)
-    low = F.transform(own, F.lower)
-    capital = F.transform(low, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1_000_000)))
-    camel = F.concat(F.get(low, F.lit(0)), F.array_join(F.slice(capital, F.lit(2), F.greatest(F.size(own) - 1, F.lit(0))), ""))
-    out = F.when(to == "snake_case", F.array_join(low, "_")).when(to == "PascalCase", F.array_join(capital, "")).when(to == "camelCase", camel).when(to == "Title Case With Spaces", F.array_join(capital, " "))
+    own, out = words(name), F.lit(None).cast("string")
+
+    def spelt(first, rest, between: str) -> Column:
+        return F.array_join(F.transform(own, lambda w, i: F.when(i == 0, first(w)).otherwise(rest(w))), between)
+
+    for style, how in STYLES.items():
+        out = F.when(to == style, spelt(*how)).otherwise(out)
     return F.when(F.size(own) > 0, out)
 
 

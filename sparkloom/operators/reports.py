@@ -9,8 +9,6 @@ from ..catalog import Catalog
 from ..functions import expressions as X
 from .references import unused_columns
 
-NAMEOF = r"(?i)NAMEOF\s*\(\s*('[^']+'\[[^\]]+\]|\"[^\"]+\"\[[^\]]+\]|[A-Za-z_][\w ]*\[[^\]]+\]|\[[^\]]+\])"
-
 
 def broken_bindings(c: Catalog) -> DataFrame:
     """The bindings that no object of the model answers, with problem and severity High.
@@ -56,8 +54,8 @@ def column_disposition(c: Catalog) -> DataFrame:
 def field_parameters(c: Catalog) -> DataFrame:
     """model, table, fields (what its rows name), used (null without a report), pages, severity."""
     marked = c.columns.groupBy("model", "table").agg(F.max(F.coalesce("marker", F.lit(False))).alias("marked"))
-    rows = c.tables.join(marked, ["model", "table"], "left").withColumn("fields", F.array_sort(F.array_distinct(F.regexp_extract_all(F.coalesce("expression", F.lit("")), F.lit(NAMEOF), F.lit(1)))))
-    rows = rows.where(F.col("marked") | F.coalesce(F.col("expression").rlike(r"(?i)NAMEOF\s*\("), F.lit(False)))
+    rows = c.tables.join(marked, ["model", "table"], "left").withColumn("fields", F.array_sort(X.named_fields(F.coalesce("expression", F.lit("")))))
+    rows = rows.where(F.col("marked") | F.array_contains(X.functions(F.coalesce("expression", F.lit(""))), "NAMEOF"))
     pages = c.bindings.groupBy("model", "table").agg(F.array_sort(F.collect_set("page")).alias("pages"))
     reports = c.bindings.select("model").distinct().withColumn("report", F.lit(True))
     rows = rows.join(pages, ["model", "table"], "left").join(reports, "model", "left")
