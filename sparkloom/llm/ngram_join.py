@@ -487,6 +487,7 @@ class Join:
         width = F.lit(float(np.log(100 / self.percent)))
         rows = shared.withColumn("class", F.floor(F.log(F.col("n").cast("double")) / width + F.lit(0.5 * (turn % 2))))
         pivots = rows.groupBy("token", "class").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn // 2)), F.col("node").alias("p"), F.col("n").alias("m"), F.col("pos").alias("pos2"), F.col("comp").alias("comp2"))).alias("s"), F.count(F.lit(1)).alias("k")).where("k > 1").select("token", "class", "s.*")
+        pivots = self.table(pivots, "jaccard-stars")  # so that Spark can split hot shingles in the join
         pairs = rows.join(pivots, ["token", "class"]).where((F.col("comp") != F.col("comp2")) & self.possible(F.col("n"), F.col("pos"), F.col("m"), F.col("pos2")))
         return pairs.select(F.least("p", "node").alias("a"), F.greatest("p", "node").alias("b"))
 
@@ -501,7 +502,8 @@ class Join:
         rows = shared.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         by_comp = rows.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("k"))
         groups = by_comp.groupBy("token").agg(F.max(F.struct("k", F.col("comp").alias("top"))).alias("x"), F.sum("k").alias("k"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
-        kept = self.table(rows.join(groups.select("token", "x.top", "k", (F.col("k") - F.col("x.k")).alias("outside")), "token"), "jaccard-mixed")
+        groups = self.table(groups.select("token", "x.top", "k", (F.col("k") - F.col("x.k")).alias("outside")), "jaccard-groups")  # so that Spark can split hot shingles in the join
+        kept = self.table(rows.join(groups, "token"), "jaccard-mixed")
         row = kept.agg(F.count(F.lit(1)).alias("postings"), F.sum(F.ceil(F.col("outside") / self.capacity(F.col("outside")))).alias("passing")).first()
         return kept.drop("outside"), row.postings, row.passing or 0
 
