@@ -1,14 +1,18 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
-fit() counts n-grams per language in Spark tasks over a bounded sample of labelled rows (`most_docs`,
-taken by a hash of the key, so the same rows every time); the log-probability matrix, one row of
+fit() counts n-grams per language in Spark tasks over a bounded sample of labelled rows: about
+`most_docs` in all, as many of each language (LEAST_DOCS at least, or all it has), taken by a 64-bit
+hash of key and text, so the same rows every time and some at any size of the table. Priors are the
+languages' shares of all usable rows. The log-probability matrix, one row of
 2**bits buckets per language, is broadcast: its size depends on bits and the number of languages
 alone. predict() scores batches in numpy: the n-gram buckets of a batch form a sparse document-bucket
 matrix in row order, multiplied with each language's row by gathering and summing between row ends.
 
 Text without a letter, empty text and null text are `und` with score 0, as is everything where no
-labelled row exists. Ties go to the language that sorts first. Rows with a null key or language are
-never learned from. Repeated rows get equal results; further columns are ignored.
+labelled row exists. Ties go to the language that sorts first. Rows with a null key, language or text
+are never learned from, rows that repeat key, text and language count once. Repeated rows get equal
+results; further columns are ignored. A chunk of texts, or one longer text, takes about 40 bytes a
+character in a task.
 """
 
 from __future__ import annotations
@@ -24,12 +28,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import text_chunks
+from .shared import sample_bound, text_chunks
 
 UNDETERMINED = "und"
 SIZES = (1, 2, 3)
 #: n-grams whose evidence a posterior counts; longer texts are scaled to this many, as n-grams overlap.
 EVIDENCE = 40.0
+#: Sampled documents of a language that has so many, whatever the number of languages.
+LEAST_DOCS = 64
 
 
 @dataclass(frozen=True)
@@ -38,6 +44,7 @@ class Model:
     log_prior: np.ndarray
     log_prob: np.ndarray  # float32, languages x buckets
     bits: int
+    evidence: float = EVIDENCE
 
 
 @lru_cache(1)
@@ -68,16 +75,24 @@ def buckets(texts: list[str], bits: int) -> tuple[list[np.ndarray], np.ndarray,
     return out, starts, has
 
 
-def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang", usable: Column | None = None, most_docs: int = 20_000, bits: int = 16) -> Model:
-    """Learn from at most about most_docs of the usable labelled rows."""
-    rows = docs.where(F.col(key).isNotNull() & F.col(label).isNotNull() & (F.lit(True) if usable is None else usable))
-    n = rows.count()  # without the texts, so the scan skips them
-    share = min(1.0, most_docs / max(n, 1))
-    chosen = rows.where(F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(1_000_000)) < int(share * 1_000_000)) if share < 1 else rows
+def sampled(rows: DataFrame, counts: dict[str, int], most_docs: int) -> DataFrame:
+    """About most_docs of rows (key, text, label), evenly over the labels, of which there are so many each."""
+    quota = max(LEAST_DOCS, -(-most_docs // max(len(counts), 1)))
+    bounds = {label: bound for label, n in counts.items() if (bound := sample_bound(n, quota)) is not None}
+    if bounds:
+        of_label = F.create_map(*[F.lit(x) for pair in bounds.items() for x in pair])
+        rows = rows.where(F.coalesce(F.xxhash64(F.col("key").cast("string"), "text") < F.element_at(of_label, F.col("label")), F.lit(True)))
+    return rows.where("text is not null").dropDuplicates(["key", "text", "label"])
+
+
+def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang", usable: Column | None = None, most_docs: int = 20_000, bits: int = 16, evidence: float = EVIDENCE) -> Model:
+    """Learn from about most_docs of the usable labelled rows; evidence: n-grams whose weight a posterior has at most."""
+    rows = docs.where(F.col(key).isNotNull() & F.col(label).isNotNull() & (F.lit(True) if usable is None else usable)).select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(label).cast("string").alias("label"))
+    have = {r.label: r.n for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}  # without the texts, so the scan skips them; one row a language
+    chosen = sampled(rows, have, most_docs)
 
     def count(batches):
         counts: dict[str, np.ndarray] = {}
-        seen: dict[str, int] = {}
         for batch, texts in text_chunks(batches):
             languages = np.array(batch.column("label").to_pylist(), object)
             for language in set(languages):
@@ -85,24 +100,21 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", label: str = "
                 total = counts.setdefault(language, np.zeros((1 << bits) + 1, np.int64))
                 for ids in buckets(own, bits)[0]:
                     total += np.bincount(ids, minlength=len(total))
-                seen[language] = seen.get(language, 0) + len(own)
         names = sorted(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([seen[x] for x in names], pa.int64()), pa.array([counts[x][:-1].astype("<i8").tobytes() for x in names], pa.binary())], ["label", "docs", "counts"])
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([counts[x][:-1].astype("<i8").tobytes() for x in names], pa.binary())], ["label", "counts"])
 
-    parts = chosen.where(F.col(text).isNotNull()).select(F.col(text).alias("text"), F.col(label).alias("label")).repartition(8).mapInArrow(count, "label string, docs long, counts binary").toLocalIterator()
+    parts = chosen.select("text", "label").coalesce(8).mapInArrow(count, "label string, counts binary").toLocalIterator()
     counts: dict[str, np.ndarray] = {}
-    seen: dict[str, int] = {}
     for row in parts:  # 8 rows a language, half a MB each
         counts[row.label] = counts.get(row.label, 0) + np.frombuffer(bytes(row.counts), "<i8")
-        seen[row.label] = seen.get(row.label, 0) + row.docs
     names = sorted(counts)
     if not names:
         return Model([], np.zeros(0), np.zeros((0, (1 << bits) + 1), np.float32), bits)
     table = np.array([counts[x] for x in names], float) + 0.5
     log_prob = np.zeros((len(names), (1 << bits) + 1), np.float32)
     log_prob[:, :-1] = np.log(table / table.sum(1, keepdims=True))
-    prior = np.array([seen[x] for x in names], float)
-    return Model(names, np.log(prior / prior.sum()), log_prob, bits)
+    prior = np.array([have[x] for x in names], float)
+    return Model(names, np.log(prior / prior.sum()), log_prob, bits, evidence)
 
 
 def score(model: Model, texts: list[str]) -> tuple[list[str], np.ndarray]:
@@ -115,7 +127,7 @@ def score(model: Model, texts: list[str]) -> tuple[list[str], np.ndarray]:
     for own, log_prob in zip(total, model.log_prob, strict=True):
         for x in ids:
             own += np.add.reduceat(log_prob[x], starts, dtype=np.float64)
-    total = total * np.minimum(1, EVIDENCE / np.maximum(n, 1)) + model.log_prior[:, None]
+    total = total * np.minimum(1, model.evidence / np.maximum(n, 1)) + model.log_prior[:, None]
     best = total.argmax(0)
     posterior = 1 / np.exp(total - total.max(0)).sum(0)
     return [model.languages[b] if h else UNDETERMINED for b, h in zip(best, has, strict=True)], np.where(has, posterior, 0.0)

@@ -81,6 +81,11 @@ def discard(spark: SparkSession, paths: list[str]) -> None:
         place.getFileSystem(sc._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def sample_bound(n: int, most: int) -> int | None:
+    """Signed 64-bit bound below which about `most` of n evenly spread 64-bit hashes lie; None if all may be taken."""
+    return None if n <= most else (most << 64) // n - (1 << 63)
+
+
 def arrow_schema(spec: str) -> tuple[T.StructType, pa.Schema]:
     struct = T._parse_datatype_string(spec)
     return struct, to_arrow_schema(struct)

@@ -1,22 +1,27 @@
 """Toxicity: a logistic classifier with counterfactual regularisation.
 
 Features are the distinct words of a text and their beginnings, hashed. fit() joins a bounded sample
-of labelled rows (`most_docs`, chosen by a hash of the key) with their texts, takes the features that
-separate the classes significantly, and fits their weights by Newton steps. Every sampled text that
-names a group is paired with copies in which the name is swapped for each other one of its kind and
-language; the fit penalises the squared change of the logit between the two, so that a neutral mention of a group
-doesn't raise a score even where labels happen to go with it. A mention's pairs weigh one together;
-Model.pairs tells how many fit() found, and without any the fit is a plain ridge one. predict() sums weights per text.
+of labelled rows (about `most_docs`, chosen by a 64-bit hash of the key, at any size of the table) with
+their texts. Spark counts the features of all of them; the `most_features` that separate the classes
+best, with a z-score of `least_z` or more and in three texts or more, get weights by Newton steps, and
+only these leave the tasks. Every sampled text that names a group is paired with copies in which the
+name is swapped for each other one of its kind and language, and every text with a copy into which one
+name is inserted; the fit penalises the squared change of the logit between the two, so that a neutral
+mention of a group doesn't raise a score even where labels happen to go with it. A mention's pairs
+weigh one together, as does an insertion; Model.pairs and Model.insertions tell how many fit() used. predict() sums weights
+per text.
 
 Null and empty texts have no features and get the base score. Where a key has several labels the
-highest counts; null keys and labels are never learned from. Without any labels the base score is low.
-Repeated rows get equal scores; further columns are ignored.
+highest counts, where it has several texts one of them; null keys and labels are never learned from.
+Equal z-scores go by the feature's number. Without any labels the base score is low. Repeated rows get
+equal scores; further columns are ignored. A text takes a few times its size in a task.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections import defaultdict
+from collections.abc import Sequence
 from dataclasses import dataclass, replace
 from itertools import chain
 
@@ -26,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import arrow_schema, text_chunks
+from .shared import materialise, sample_bound, text_chunks
 
 #: Names of groups by kind and language (those of the corpus); any may stand for another of its kind. Fixed values.
 IDENTITY = [
@@ -77,7 +82,8 @@ class Model:
     bias: float
     buckets: np.ndarray  # sorted
     weights: np.ndarray
-    pairs: int = 0  # counterfactual pairs found by fit()
+    pairs: int = 0  # swapped copies that fit() found
+    insertions: int = 0  # copies with an inserted name
 
 
 def words_of(text: str) -> set[bytes]:
@@ -94,40 +100,38 @@ def features(words: set[bytes]) -> np.ndarray:
     return np.unique(np.fromiter(chain(map(bucket, words), (bucket(s, 1) for s in stems)), np.int64))
 
 
-def swaps(words: set[bytes]) -> list[tuple[set[bytes], float]]:
+def swaps(words: set[bytes], identity: Sequence[Sequence[str]] = IDENTITY) -> list[tuple[set[bytes], float]]:
     """Counterfactual copies with weights: every group name swapped for each other one of its kind, one at a time."""
     out = []
-    for kind in IDENTITY:
+    for kind in identity:
         names = [n.encode() for n in kind]
         for name in words.intersection(names):
             out += [(words - {name} | {other}, 1 / (len(names) - 1)) for other in names if other != name]
     return out
 
 
-def solve(rows: list[np.ndarray], labels: np.ndarray, changes: dict[tuple[tuple[int, ...], tuple[int, ...]], float], most_features: int, least_z: float, ridge: float, fairness: float) -> Model:
+def insertion(words: set[bytes], identity: Sequence[Sequence[str]] = IDENTITY) -> list[tuple[set[bytes], float]]:
+    """A counterfactual copy with one group name more, chosen by the words themselves."""
+    names = sorted({n.encode() for kind in identity for n in kind} - words)
+    return [(words | {names[zlib.crc32(b" ".join(sorted(words))) % len(names)]}, 1.0)] if names and words else []
+
+
+def solve(rows: list[np.ndarray], labels: np.ndarray, changes: dict[tuple[tuple[int, ...], tuple[int, ...]], float], chosen: np.ndarray, ridge: float, fairness: float) -> Model:
+    """Weights of the chosen features (sorted): the least of the log loss, ridge / 2 times the squared weights, and
+    fairness / 2 times the weighted squared changes of the logit. rows and changes hold chosen features only."""
     n = len(rows)
     positive = float(labels.sum())
     base = np.log((positive + 0.5) / (n - positive + 4.5))
     if not n or positive in (0, n):
         return Model(float(base), np.zeros(0, np.int64), np.zeros(0))
-    flat, of = np.concatenate(rows), np.repeat(np.arange(n), [len(r) for r in rows])
-    ids, at = np.unique(flat, return_inverse=True)
-    seen = np.bincount(at, minlength=len(ids)).astype(float)
-    hits = np.bincount(at, weights=labels[of], minlength=len(ids))
-    rate = positive / n
-    z = (hits - seen * rate) / np.sqrt(seen * rate * (1 - rate) + 1e-9) * (seen >= 3)
-    chosen = np.flatnonzero(np.abs(z) >= least_z)
-    chosen = np.sort(chosen[np.argsort(-np.abs(z[chosen]), kind="stable")[:most_features]])
-    column = np.full(len(ids), -1)
-    column[chosen] = np.arange(len(chosen))
     x = np.zeros((n, len(chosen) + 1), np.float32)
     x[:, -1] = 1
-    keep = column[at] >= 0
-    x[of[keep], column[at[keep]]] = 1
-    place = {b: i for i, b in enumerate(ids[chosen].tolist())}
+    for i, own in enumerate(rows):
+        x[i, np.searchsorted(chosen, own)] = 1
+    place = {b: i for i, b in enumerate(chosen.tolist())}
     fair = np.zeros((len(chosen) + 1, len(chosen) + 1))
     for (before, after), weight in changes.items():
-        moved = [(place[b], sign) for some, sign in ((before, 1), (after, -1)) for b in some if b in place]
+        moved = [(place[b], sign) for some, sign in ((before, 1), (after, -1)) for b in some]
         for i, a in moved:
             for j, b in moved:
                 fair[i, j] += fairness * weight * a * b
@@ -143,41 +147,63 @@ def solve(rows: list[np.ndarray], labels: np.ndarray, changes: dict[tuple[tuple[
         w -= step * min(1, 5 / max(np.abs(step).max(), 1e-12))
         if np.abs(step).max() < 1e-6:
             break
-    return Model(float(w[-1]), ids[chosen], w[:-1])
+    return Model(float(w[-1]), chosen, w[:-1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", usable: Column | None = None, most_docs: int = 12_000, most_features: int = 600, least_z: float = 5.0, ridge: float = 0.3, fairness: float = 10.0) -> Model:
-    """Learn from at most about most_docs labelled rows; usable is a condition on the key."""
-    rows = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull() & (F.lit(True) if usable is None else usable))
-    share = min(1.0, most_docs / max(rows.count(), 1))
-    rows = rows.where(F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(1_000_000)) < int(share * 1_000_000)) if share < 1 else rows
-    rows = rows.groupBy(key).agg(F.max(F.col(label) > 0).alias("label"))
-    joined = docs.select(key, F.col(text).alias("text")).join(F.broadcast(rows), key).select("text", "label")  # about most_docs rows
+def separating(rows: DataFrame, most_features: int, least_z: float) -> np.ndarray:
+    """The features, sorted, that go with label (boolean) or its absence: at most most_features, counted over all rows."""
 
-    out, arrow = arrow_schema("label boolean, features array<bigint>, pairs bigint, changes array<struct<gone:array<bigint>,came:array<bigint>,weight:double>>")
+    def run(batches):
+        for batch, texts in text_chunks(batches):
+            yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array([features(words_of(t)) for t in texts], pa.list_(pa.int64()))], ["label", "features"])
+
+    each = rows.mapInArrow(run, "label boolean, features array<bigint>").select("label", F.explode("features").alias("feature"))
+    counts = each.groupBy("feature").agg(F.count(F.lit(1)).alias("seen"), F.sum(F.col("label").cast("int")).alias("hits")).where("seen >= 3")
+    total = rows.agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("label").cast("int")).alias("rate")).first()
+    if not total.n or total.rate in (0, 1):
+        return np.zeros(0, np.int64)
+    z = F.abs((F.col("hits") - F.col("seen") * total.rate) / F.sqrt(F.col("seen") * (total.rate * (1 - total.rate)) + 1e-9))
+    best = counts.select("feature", z.alias("z")).where(F.col("z") >= least_z).orderBy(F.desc("z"), "feature").limit(most_features)
+    return np.array(sorted(r.feature for r in best.collect()), np.int64)
+
+
+def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", usable: Column | None = None, most_docs: int = 12_000, most_features: int = 600, least_z: float = 5.0, ridge: float = 0.3, fairness: float = 10.0, identity: Sequence[Sequence[str]] = IDENTITY) -> Model:
+    """Learn from about most_docs labelled rows; usable is a condition on the key; identity: group names by kind."""
+    rows = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull() & (F.lit(True) if usable is None else usable))
+    bound = sample_bound(rows.count(), most_docs)
+    rows = rows if bound is None else rows.where(F.xxhash64(F.col(key).cast("string")) < bound)
+    rows = rows.groupBy(F.col(key).alias("key")).agg(F.max(F.col(label) > 0).alias("label"))
+    texts = docs.select(F.col(key).alias("key"), F.coalesce(text, F.lit("")).alias("text"))
+    joined = texts.join(F.broadcast(rows), "key")  # about most_docs rows
+    sample = materialise(joined.groupBy("key", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text")), "toxicity-sample").select("text", "label")
+    chosen = separating(sample, most_features, least_z)
 
     def run(batches):
         for batch, texts in text_chunks(batches):
-            own = [words_of(t) for t in texts]
-            rows, pairs, changes = [features(w) for w in own], [], defaultdict(float)
+            own, changes, pairs = [words_of(t) for t in texts], defaultdict(float), []
+            rows = [features(w) for w in own]
             for w, before in zip(own, rows, strict=True):
-                others = swaps(w)
-                pairs.append(len(others))
-                for o, weight in others:  # what the swap takes away and what it brings
+                swapped, inserted = swaps(w, identity), insertion(w, identity)
+                pairs.append((len(swapped), len(inserted)))
+                for o, weight in swapped + inserted:  # what of the chosen a change takes away and what it brings
                     after = features(o)
-                    changes[tuple(np.setdiff1d(before, after).tolist()), tuple(np.setdiff1d(after, before).tolist())] += weight
+                    gone, came = (np.intersect1d(np.setdiff1d(x, y), chosen) for x, y in ((before, after), (after, before)))
+                    if len(gone) or len(came):
+                        changes[tuple(gone.tolist()), tuple(came.tolist())] += weight
             # a batch's changes, equal ones summed, go with its first row
             first = [[{"gone": g, "came": c, "weight": w} for (g, c), w in changes.items()], *[[]] * (len(own) - 1)]
-            yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(rows, pa.list_(pa.int64())), pa.array(pairs, pa.int64()), pa.array(first, arrow.field("changes").type)], arrow.names)
+            kind = pa.list_(pa.struct([("gone", pa.list_(pa.int64())), ("came", pa.list_(pa.int64())), ("weight", pa.float64())]))
+            yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array([np.intersect1d(r, chosen) for r in rows], pa.list_(pa.int64())), *(pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)), pa.array(first, kind)], ["label", "features", "pairs", "insertions", "changes"])
 
-    got = joined.mapInArrow(run, out).toArrow()
-    features_ = [np.asarray(x.values if hasattr(x, "values") else x, np.int64) for x in got.column("features")] if got.num_rows else []
+    # about most_docs rows of at most most_features numbers
+    got = sample.mapInArrow(run, "label boolean, features array<bigint>, pairs bigint, insertions bigint, changes array<struct<gone:array<bigint>,came:array<bigint>,weight:double>>").toArrow()
+    own = [np.asarray(x.values if hasattr(x, "values") else x, np.int64) for x in got.column("features")] if got.num_rows else []
     changes: dict = defaultdict(float)
     for some in got.column("changes").to_pylist():
         for c in some:
             changes[tuple(c["gone"]), tuple(c["came"])] += c["weight"]
-    model = solve(features_, np.array(got.column("label").to_pylist(), float), changes, most_features, least_z, ridge, fairness)
-    return replace(model, pairs=sum(got.column("pairs").to_pylist()))
+    model = solve(own, np.array(got.column("label").to_pylist(), float), changes, chosen, ridge, fairness)
+    return replace(model, **{c: sum(got.column(c).to_pylist()) for c in ("pairs", "insertions")})
 
 
 def score(model: Model, texts: list[str]) -> np.ndarray:
