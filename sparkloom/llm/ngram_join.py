@@ -526,6 +526,7 @@ class Join:
         """
         sizes = blocks.groupBy("block").agg(F.count(F.lit(1)).alias("sets"))
         tasks = passing.groupBy("block").agg(F.count(F.lit(1)).alias("passing")).join(sizes, "block").select("block", F.ceil(F.col("passing") / F.greatest(F.lit(SMALLEST), "sets")).cast("int").alias("tasks"))
+        tasks = self.table(tasks, "jaccard-tasks")  # so that Spark can split large blocks in the joins
         content = blocks.join(tasks, "block").join(payload, "node").select("block", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)).alias("salt"), F.lit(False).alias("passes"), *payload.columns)
         rows = passing.join(tasks, "block").join(payload, "node").select("block", F.pmod(F.xxhash64("node"), F.col("tasks")).cast("int").alias("salt"), F.lit(True).alias("passes"), *payload.columns)
         return content.union(rows).repartition(self.tasks, "block", "salt").sortWithinPartitions("block", "salt", "passes")
