@@ -136,14 +136,15 @@ def test_decontamination_equals_brute_force(spark, block_chars):
         assert got[i].items_sha256 == hashlib.sha256(",".join(got[i]["items"]).encode()).hexdigest()
 
 
-def test_decontaminated_texts_are_clean(spark):
+@pytest.mark.parametrize("block_chars", [60, 1_000_000])
+def test_decontaminated_texts_are_clean(spark, block_chars):
     rng = random.Random(8)
     fresh = lambda k: " ".join("".join(rng.choices("abcdefgh", k=7)) for _ in range(k))
     item = fresh(24)
     inner = " ".join(item.split()[:12]) + " " + item + " " + " ".join(item.split()[12:])  # removal joins a window again
     texts = [f"{fresh(40)}, {item}. {fresh(30)}", item, None, fresh(20), f"{fresh(80)} {inner} {fresh(80)}"]
-    items = spark.createDataFrame([(1, item)], "item_id bigint, text string")
-    got = {r.doc_id: r.text for r in decontaminate.decontaminate(frame(spark, texts), items).collect()}
+    items = spark.createDataFrame([(1, item), (2, fresh(20)), (3, None)], "item_id bigint, text string")
+    got = {r.doc_id: r.text for r in decontaminate.decontaminate(frame(spark, texts), items, block_chars=block_chars).collect()}
     assert set(got) == {0, 2, 3, 4} and got[2] is None and got[3] == texts[3]
     for t in got.values():
         assert brute_hits(t, [("1", item)])[1] == 0
