@@ -11,9 +11,11 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import ship
 from .syntax import Refused, parse_measure
 
 #: measure function -> (SQL name, distinct). Fixed values.
@@ -120,3 +122,14 @@ def to_sql(text: str) -> tuple[str | None, str]:
         value = f"CASE WHEN {tests} THEN {'1' if value == '*' else value} END"
     sql = f"{m.function}({'DISTINCT ' * m.distinct}{value})"
     return (f"COALESCE({sql}, {', '.join(map(_literal, m.defaults))})" if m.defaults else sql), ""
+
+
+def measure_sql(c) -> DataFrame:
+    """model, table, measure, sql_text (null where refused), reason: the measures of a catalog, compiled in batches on the executors."""
+
+    @F.pandas_udf("struct<sql_text: string, reason: string>")
+    def compiled(text: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([to_sql(t or "") for t in text], columns=["sql_text", "reason"])
+
+    ship(c.measures.sparkSession)
+    return c.measures.withColumn("m", compiled("expression")).select("model", "table", "measure", "m.sql_text", "m.reason")

@@ -1,6 +1,7 @@
-"""Registered queries of the catalog analyses, on the sample model.
+"""Registered queries of the catalog analyses, over an estate with one model for each customer.
 
-Their SQL restates the results that the sample's definition implies; the model's name is left out.
+Their SQL works on the estate's relations and on what its expressions are known to refer to, so it
+parses no expression, archive or source query.
 """
 
 from __future__ import annotations
@@ -10,218 +11,326 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import samples
 from .catalog import Catalog
-from .formulas.measures import to_sql
+from .estate import PREFIX, archive_parts, estate, values
+from .formulas.measures import measure_sql
 from .operators import audits, comparison, model_graph, references, reports
 from .sources.archives import from_parts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+#: Findings of each section as SQL (model, check_name, severity, object), for the queries and the scorecard.
+FINDINGS: dict[str, str] = {}
 
 
-def sample(spark: SparkSession) -> Catalog:
-    return from_parts(samples.archive_parts(spark))[0]
+def registered(sql: str):
+    def put(f):
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(estate(spark, sf_dir))
+        ORACLE_SQL[f.__name__] = PREFIX + sql
+        return f
 
+    return put
 
-def with_report(spark: SparkSession) -> Catalog:
-    """The sample with a small report: two sound bindings, a renamed measure, a dropped table and a bare name."""
-    rows = [("Overview", "v1", "bar", "Column", "Customer", "Region"), ("Overview", "v1", "bar", "Measure", "Sales", "Total Sales"), ("Overview", "v2", "card", "Measure", "Sales", "Revenue"), ("Detail", "v3", "table", "Column", "Stores", "City"), ("Detail", "v3", "table", "Column", "", "Category")]
-    bindings = spark.createDataFrame([(samples.MODEL, *r) for r in rows], "model string, page string, visual string, visual_type string, kind string, table string, field string")
-    return sample(spark).with_(bindings=bindings)
 
+def agg(column: str) -> str:
+    return f"string_agg({column}, ', ' ORDER BY {column})"
 
-def values(columns: str, *rows: tuple) -> str:
-    show = lambda v: "NULL" if v is None else str(v).lower() if isinstance(v, bool) else f"CAST({v} AS BIGINT)" if isinstance(v, int) else "'" + v.replace("'", "''") + "'"
-    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(show, r)) + ')' for r in rows)}) t({columns})"
 
+def joined(column: str):
+    return F.array_join(column, ", ").alias(column)
 
-def registered(sql: str | None = None):
-    def put(f):
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(spark)
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
 
-    return put
+def table(df: DataFrame) -> DataFrame:
+    return df.withColumnsRenamed({"table": "table_name", "column": "column_name", "check": "check_name"})
+
+
+@registered("SELECT model, tbl AS table_name, rows_count, description, category FROM tabs")
+def meta_tables(c):
+    read, _ = from_parts(archive_parts(c))
+    return table(read.tables.select("model", "table", "rows_count", "description", "category"))
+
+
+@registered("SELECT model, name, from_table, from_column, to_table, to_column, direction, active FROM rels")
+def meta_relationships(c):
+    read, _ = from_parts(archive_parts(c))
+    return read.relationships.select("model", "name", "from_table", "from_column", "to_table", "to_column", "direction", "active")
+
+
+@registered("SELECT model, tbl AS table_name, mea AS measure, expression FROM meas")
+def meta_measures(c):
+    read, _ = from_parts(archive_parts(c))
+    return read.measures.select("model", F.col("table").alias("table_name"), "measure", "expression")
+
+
+@registered("SELECT t.model, t.tbl AS table_name, category = 'Time' AS marked, min(CASE WHEN is_key THEN col END) AS key, string_agg(CASE WHEN data_type = 'DateTime' THEN col END, ', ') AS dates FROM tabs t JOIN own o ON o.model = t.model AND o.tbl = t.tbl GROUP BY ALL HAVING category = 'Time' OR regexp_matches(t.tbl, '(?i)date|calendar') AND count(CASE WHEN data_type = 'DateTime' THEN 1 END) > 0")
+def meta_date_tables(c):
+    return audits.date_tables(c).select("model", F.col("table").alias("table_name"), "marked", "key", F.array_join("date_columns", ", ").alias("dates"))
+
+
+@registered("SELECT model, tbl AS screen, count(*) AS measures FROM meas m WHERE tbl = 'Metrics' OR NOT EXISTS (SELECT 1 FROM meas x WHERE x.model = m.model AND x.tbl = 'Metrics') GROUP BY model, tbl")
+def meta_screens(c):
+    return references.screens(c).select("model", "screen", "measures")
+
+
+@registered(f"""
+SELECT b.model, CASE WHEN f.n > 1 THEN 'Galaxy' WHEN mod(k, 4) = 1 THEN 'Snowflake' ELSE 'Star' END AS shape, f.facts, d.dimensions, CAST(CASE WHEN mod(k, 4) = 1 THEN 2 ELSE 1 END AS BIGINT) AS depth
+FROM base b JOIN (SELECT model, count(*) AS n, {agg("tbl")} AS facts FROM facts GROUP BY model) f USING (model)
+JOIN (SELECT model, {agg("tbl")} AS dimensions FROM (SELECT DISTINCT model, to_table AS tbl FROM rels WHERE (model, to_table) NOT IN (SELECT (model, tbl) FROM facts)) GROUP BY model) d USING (model)""")
+def meta_schema_shape(c):
+    return model_graph.schema_shape(c).select("model", "shape", joined("facts"), joined("dimensions"), F.col("depth").cast("bigint").alias("depth"))
+
+
+@registered(f"SELECT model, tbl AS fact, {agg('other')} AS tables FROM (SELECT model, tbl, tbl AS other FROM facts UNION SELECT f.model, f.tbl, l.b FROM facts f JOIN links l ON l.model = f.model AND l.a = f.tbl) GROUP BY model, tbl")
+def meta_subject_areas(c):
+    return model_graph.subject_areas(c).select("model", "fact", joined("tables"))
+
+
+@registered("SELECT model, x.t AS table_name FROM base CROSS JOIN (VALUES ('Date'), ('Product')) x(t) UNION SELECT a.model, min(a.b) FROM links a JOIN links b ON a.model = b.model AND a.b = b.a WHERE a.a = 'Date' AND b.b = 'Product' GROUP BY a.model")
+def meta_bridges(c):
+    two = c.tables.where(F.col("table").isin("Date", "Product")).select("model", "table")
+    return table(model_graph.with_bridges(c, two))
+
+
+@registered("SELECT model, mea AS measure, uses FROM edges")
+def meta_measure_edges(c):
+    return references.measure_edges(c).select("model", "measure", "uses")
+
 
+@registered(f"""
+SELECT m.model, m.mea AS measure, coalesce(d.x, '') AS depends_on, coalesce(u.x, '') AS used_by FROM (SELECT DISTINCT model, mea FROM meas) m
+LEFT JOIN (SELECT model, mea, {agg("uses")} AS x FROM edges WHERE mea <> uses GROUP BY model, mea) d ON d.model = m.model AND d.mea = m.mea
+LEFT JOIN (SELECT model, uses, {agg("mea")} AS x FROM edges WHERE mea <> uses GROUP BY model, uses) u ON u.model = m.model AND u.uses = m.mea""")
+def meta_measure_dependencies(c):
+    return references.measure_dependencies(c).select("model", "measure", joined("depends_on"), joined("used_by"))
 
-@registered(values("table_name, rows_count", *((t, n) for t, (n, _) in samples.TABLES.items())))
-def meta_tables(spark):
-    return sample(spark).tables.select(F.col("table").alias("table_name"), "rows_count")
 
+CYCLES = f"SELECT DISTINCT model, {agg('b')} AS measures FROM (SELECT x.model, x.a, x.b FROM reach x JOIN reach y ON x.model = y.model AND x.a = y.b AND x.b = y.a) GROUP BY model, a"
 
-@registered(values("from_table, from_column, to_table, to_column, direction, active", *(("Sales", f"{t}Key", t, f"{t}Key", "Both" if t == "Customer" else "Single", True) for t in ("Date", "Product", "Customer"))))
-def meta_relationships(spark):
-    return sample(spark).relationships.select("from_table", "from_column", "to_table", "to_column", "direction", "active")
 
+@registered(CYCLES)
+def meta_measure_cycles(c):
+    return references.measure_cycles(c).select("model", joined("measures"))
 
-@registered(values("table_name, marked, key, dates", ("Date", True, "DateKey", "Date")))
-def meta_date_tables(spark):
-    return audits.date_tables(sample(spark)).select(F.col("table").alias("table_name"), "marked", "key", F.array_join("date_columns", ", ").alias("dates"))
 
+UNUSED = """SELECT o.model, o.tbl, o.col, CASE WHEN u.col IS NOT NULL THEN 'Referenced' WHEN n.col IS NOT NULL AND w.n > 1 THEN 'Referenced somewhere (table ambiguous)' ELSE 'Likely unused' END AS status
+FROM own o LEFT JOIN used u ON u.model = o.model AND u.tbl = o.tbl AND u.col = o.col LEFT JOIN (SELECT DISTINCT model, col FROM used) n ON n.model = o.model AND n.col = o.col
+JOIN (SELECT model, col, count(*) AS n FROM own GROUP BY model, col) w ON w.model = o.model AND w.col = o.col"""
 
-@registered(values("screen, measures", ("Sales", 4)))
-def meta_screens(spark):
-    return references.screens(sample(spark)).select("screen", "measures")
 
+@registered(f"SELECT model, tbl AS table_name, col AS column_name, status FROM ({UNUSED})")
+def meta_unused_columns(c):
+    return table(references.unused_columns(c).select("model", "table", "column", "status"))
 
-@registered(values("shape, facts, dimensions, depth", ("Star", "Sales", "Customer, Date, Product", 1)))
-def meta_schema_shape(spark):
-    return model_graph.schema_shape(sample(spark)).select("shape", F.array_join("facts", ", ").alias("facts"), F.array_join("dimensions", ", ").alias("dimensions"), F.col("depth").cast("bigint").alias("depth"))
 
+_ENDS = "concat(from_table, '[', from_column, '] to ', to_table, '[', to_column, ']')"
 
-@registered(values("fact, tables", ("Sales", "Customer, Date, Product, Sales")))
-def meta_subject_areas(spark):
-    return model_graph.subject_areas(sample(spark)).select("fact", F.array_join("tables", ", ").alias("tables"))
 
+@registered(f"""
+SELECT DISTINCT model, kind, CASE WHEN kind = 'measure' THEN obj ELSE concat(home, '[', obj, ']') END AS object FROM refs WHERE named = 'Sales'
+UNION ALL SELECT model, 'relationship', {_ENDS} FROM rels WHERE 'Sales' IN (from_table, to_table) UNION ALL SELECT model, 'related table', b FROM links WHERE a = 'Sales'""")
+def meta_impact_of_table(c):
+    return references.impact_of_table(c, "Sales").select("model", "kind", "object")
 
-@registered(values("table_name", ("Date",), ("Product",), ("Sales",)))
-def meta_bridges(spark):
-    two = spark.createDataFrame([(samples.MODEL, "Date"), (samples.MODEL, "Product")], "model string, table string")
-    return model_graph.with_bridges(sample(spark), two).select(F.col("table").alias("table_name"))
 
+@registered(f"""
+SELECT DISTINCT model, kind, CASE WHEN kind = 'measure' THEN obj ELSE concat(home, '[', obj, ']') END AS object FROM refs WHERE named = 'Sales' AND name = 'ProductKey'
+UNION ALL SELECT model, 'relationship', {_ENDS} FROM rels WHERE from_table = 'Sales' AND from_column = 'ProductKey'""")
+def meta_impact_of_column(c):
+    return references.impact_of_column(c, "Sales", "ProductKey").select("model", "kind", "object")
 
-@registered(values("measure, uses", ("Sales YTD", "Total Sales")))
-def meta_measure_edges(spark):
-    return references.measure_edges(sample(spark)).select("measure", "uses")
 
+def bare(relation: str, name: str) -> str:
+    return f"SELECT model, 'Missing description' AS check_name, 'Low' AS severity, {name} AS object FROM {relation} WHERE trim(coalesce(description, '')) = ''"
 
-@registered(values("measure, depends_on, used_by", ("Total Sales", "", "Sales YTD"), ("Sales YTD", "Total Sales", ""), ("Total Quantity", "", ""), ("total_orders", "", "")))
-def meta_measure_dependencies(spark):
-    return references.measure_dependencies(sample(spark)).select("measure", F.array_join("depends_on", ", ").alias("depends_on"), F.array_join("used_by", ", ").alias("used_by"))
 
+_QUALIFIED = "concat(tbl, '[', col, ']')"
+FINDINGS["health"] = " UNION ALL ".join([
+    "SELECT model, 'Duplicate measure name' AS check_name, 'High' AS severity, mea AS object FROM meas GROUP BY model, mea HAVING count(*) > 1",
+    f"SELECT model, 'Circular measure reference', 'High', measures FROM ({CYCLES})",
+    "SELECT model, 'Bi-directional relationship', 'Medium', concat(from_table, ' - ', to_table) FROM rels WHERE direction = 'Both'",
+    "SELECT model, 'Many-to-many relationship', 'Medium', concat(from_table, ' - ', to_table) FROM rels WHERE from_cardinality = to_cardinality",
+    f"SELECT model, 'Calculated column could move upstream', 'Low', {_QUALIFIED} FROM cols WHERE column_type = 'Calculated'",
+    f"SELECT o.model, 'High-cardinality relationship key', 'High', concat(o.tbl, '[', o.col, ']') FROM own o JOIN keys USING (model, tbl, col) WHERE cardinality > 1000000",
+    "SELECT model, 'High-cardinality relationship key', 'Info', '(model)' FROM own GROUP BY model HAVING count(cardinality) = 0",
+    bare("tabs", "tbl"), bare("own", _QUALIFIED), bare("meas", "mea"),
+    "SELECT model, 'Inconsistent format strings', 'Low', data_type FROM meas WHERE format <> '' GROUP BY model, data_type HAVING count(DISTINCT format) > 1",
+])
 
-@registered(values("measures", ("A, B, C",), ("D",)))
-def meta_measure_cycles(spark):
-    rows = [("A", "[B] + 1"), ("B", "[C]"), ("C", "SUM(T[x]) + [A]"), ("D", "[D] * 2"), ("E", "[A]"), ("F", '"[F]" -- [F]')]
-    m = spark.createDataFrame([("m", "T", n, e) for n, e in rows], "model string, table string, measure string, expression string")
-    return references.measure_cycles(Catalog.empty(spark, measures=m)).select(F.array_join("measures", ", ").alias("measures"))
 
+@registered(FINDINGS["health"])
+def meta_health(c):
+    return table(audits.health(c).select("model", "check", "severity", "object"))
 
-UNUSED = [("Date", "Year"), ("Date", "Month"), ("Product", "Product Name"), ("Product", "Category"), ("Customer", "Customer Name"), ("Customer", "Region"), ("Customer", "internal_notes"), ("Metric Selector", "Metric Selector"), ("Metric Selector", "Metric Fields"), ("Metric Selector", "Metric Order")]
 
+_STYLE = "CASE WHEN regexp_matches(name, '^[a-z][a-z0-9]*(_[a-z0-9]+)+$') THEN 'snake_case' WHEN regexp_matches(name, '^[A-Z][a-zA-Z0-9]*$') THEN 'PascalCase' WHEN regexp_matches(name, '^[a-z][a-zA-Z0-9]*$') THEN 'camelCase' WHEN regexp_matches(name, '^[A-Z][a-z0-9]*(\\s[A-Za-z0-9]+)*$') THEN 'Title Case With Spaces' ELSE 'Other/mixed' END"
+NAMING = f"""WITH names AS (SELECT *, {_STYLE} AS style FROM (SELECT model, 'Table' AS kind, '(model)' AS tbl, tbl AS name FROM tabs UNION ALL SELECT model, 'Measure', tbl, mea FROM meas UNION ALL SELECT model, 'Column', tbl, col FROM own)),
+counted AS (SELECT model, kind, tbl, style, count(*) AS n, min(name) AS first FROM names GROUP BY ALL),
+usual AS (SELECT model, kind, tbl, arg_min(style, (-n, first, style)) AS usual FROM counted GROUP BY ALL HAVING sum(n) > 1)
+SELECT model, kind, tbl, name, style, usual, CASE WHEN kind = 'Measure' THEN 'Medium' ELSE 'Low' END AS severity FROM names JOIN usual USING (model, kind, tbl) WHERE style <> usual"""
 
-@registered(values("table_name, column_name, status", *((t, c, "Likely unused" if (t, c) in UNUSED else "Referenced") for t, (_, cs) in samples.TABLES.items() for c in cs)))
-def meta_unused_columns(spark):
-    return references.unused_columns(sample(spark)).select(F.col("table").alias("table_name"), F.col("column").alias("column_name"), "status")
 
+@registered(f"SELECT model, kind, tbl AS table_name, name, style AS convention, severity FROM ({NAMING})")
+def meta_naming(c):
+    return audits.naming(c).select("model", "kind", F.col("table").alias("table_name"), F.col("object").alias("name"), "convention", "severity")
 
-@registered(values("kind, object", ("measure", "Total Sales"), ("measure", "Total Quantity"), ("relationship", "Sales[DateKey] to Date[DateKey]"), ("relationship", "Sales[ProductKey] to Product[ProductKey]"), ("relationship", "Sales[CustomerKey] to Customer[CustomerKey]"), ("related table", "Date"), ("related table", "Product"), ("related table", "Customer")))
-def meta_impact_of_table(spark):
-    return references.impact_of_table(sample(spark), "Sales").select("kind", "object")
 
+@registered(f"SELECT model, name, severity, CASE WHEN name = 'total_orders' THEN 'Total Orders' END AS suggestion FROM ({NAMING}) WHERE kind = 'Measure' AND usual = 'Title Case With Spaces'")
+def meta_naming_measures(c):
+    return audits.naming(c).where("kind = 'Measure' AND message LIKE '%Title Case With Spaces'").select("model", F.col("object").alias("name"), "severity", "suggestion")
 
-@registered(values("kind, object", ("measure", "Total Sales"), ("measure", "Total Quantity")))
-def meta_impact_of_column(spark):
-    return references.impact_of_column(sample(spark), "Sales", "Quantity").select("kind", "object")
 
+@registered("SELECT model, encoding, count(*) AS n FROM own GROUP BY model, encoding")
+def meta_encodings(c):
+    return audits.encoding_counts(c).select("model", "encoding", F.col("columns").alias("n"))
 
-@registered(values("check_name, severity, n", ("Bi-directional relationship", "Medium", 1), ("Missing description", "Low", 28), ("High-cardinality relationship key", "Info", 1)))
-def meta_health(spark):
-    return audits.health(sample(spark)).groupBy(F.col("check").alias("check_name"), "severity").agg(F.count(F.lit(1)).alias("n"))
 
+FINDINGS["encoding"] = """WITH sized AS (SELECT model, CASE WHEN sum(total_size) > 0 THEN least(sum(total_size) * 0.005, 1000000.0) ELSE 0.0 END AS threshold FROM own GROUP BY model),
+rows_ AS (SELECT o.*, s.compression, z.threshold, CASE WHEN o.total_size = 0 THEN 0.0 ELSE o.dictionary_size * 100.0 / o.total_size END AS percent, CASE WHEN s.bits BETWEEN 1 AND 40 THEN least(CAST(1 AS BIGINT) << s.bits, t.rows_count) END AS distinct_values
+  FROM own o JOIN segs s USING (model, tbl, col) JOIN sized z USING (model) JOIN tabs t USING (model, tbl) WHERE o.total_size >= z.threshold),
+found AS (SELECT *, CASE WHEN encoding = 'HASH' AND data_type IN ('Int64', 'Double') THEN CASE WHEN percent > 40 THEN 2 ELSE 1 END ELSE 0 END AS a, CASE WHEN compression = 'NOSPLIT' AND distinct_values <= 1024 THEN CASE WHEN total_size > threshold * 4 THEN 2 ELSE 1 END ELSE 0 END AS b,
+  CASE WHEN percent > 60 THEN CASE WHEN total_size > threshold * 4 THEN 2 ELSE 1 END ELSE 0 END AS c, CASE WHEN hidden AND in_mdx THEN 1 ELSE 0 END AS d FROM rows_)
+SELECT model, 'Encoding' AS check_name, CASE WHEN greatest(a, b, c, d) = 2 THEN 'High' ELSE 'Medium' END AS severity, concat(tbl, '[', col, ']') AS object, distinct_values FROM found WHERE a + b + c + d > 0"""
 
-@registered(values("name, severity, suggestion", ("total_orders", "Medium", "Total Orders")))
-def meta_naming_measures(spark):
-    return audits.naming(sample(spark)).where("kind = 'Measure'").select(F.col("object").alias("name"), "severity", "suggestion")
 
+@registered(f"SELECT * FROM ({FINDINGS['encoding']})")
+def enc_advice(c):
+    return table(audits.encoding_advice(c).select("model", "check", "severity", "object", F.col("distinct").alias("distinct_values")))
 
-@registered(values("encoding, n", ("VALUE", 9), ("HASH", 10)))
-def meta_encodings(spark):
-    return audits.encoding_counts(sample(spark)).select("encoding", F.col("columns").alias("n"))
 
+@registered("SELECT model, tbl AS table_name, col AS column_name, cardinality AS distinct_values FROM (SELECT *, row_number() OVER (PARTITION BY model ORDER BY cardinality DESC, tbl, col) AS place FROM own WHERE cardinality IS NOT NULL) WHERE place <= 20")
+def enc_largest_columns(c):
+    return table(audits.sizes(c, "cardinality")).withColumnRenamed("distinct", "distinct_values")
 
-@registered(values("check_name, severity, object", ("Calculated tables", "High", "Metric Selector"), ("Source transforms", "Medium", "4 table(s)"), ("Bi-directional relationships", "Medium", "Sales - Customer")))
-def meta_readiness(spark):
-    return audits.readiness(sample(spark)).select(F.col("check").alias("check_name"), "severity", "object")
 
+FINDINGS["readiness"] = f"""SELECT model, 'Calculated tables' AS check_name, 'High' AS severity, 'Param' AS object FROM tabs WHERE tbl = 'Param'
+UNION ALL SELECT model, 'Calculated columns', 'High', {agg(_QUALIFIED)} FROM cols WHERE column_type = 'Calculated' GROUP BY model
+UNION ALL SELECT model, 'Source transforms', 'Medium', concat(CAST(count(*) AS STRING), ' table(s)') FROM parts WHERE source_type = 'm' GROUP BY model
+UNION ALL SELECT model, 'Memory', 'Info', '(model)' FROM own GROUP BY model HAVING sum(total_size) > 0
+UNION ALL SELECT model, 'Unneeded hierarchies', 'Medium', concat(CAST(count(*) AS STRING), ' hidden column(s)') FROM own WHERE hidden AND in_mdx GROUP BY model
+UNION ALL SELECT o.model, 'Text keys', 'Medium', string_agg(concat(o.tbl, '[', o.col, ']'), ', ' ORDER BY concat(o.tbl, '[', o.col, ']')) FROM own o JOIN keys USING (model, tbl, col) WHERE data_type = 'String' AND cardinality > 100000 GROUP BY o.model
+UNION ALL SELECT model, 'Bi-directional relationships', 'Medium', {agg("concat(from_table, ' - ', to_table)")} FROM rels WHERE direction = 'Both' GROUP BY model"""
 
-@registered(values("check_name, severity, object, message", ("Measure outside the folder taxonomy", "Low", "Sales", "total_orders"), *(("Relationship key visible in the field list", "Medium", t, k) for t, k in (("Sales", "CustomerKey, DateKey, ProductKey"), ("Date", "DateKey"), ("Product", "ProductKey"), ("Customer", "CustomerKey")))))
-def meta_folders(spark):
-    return audits.folders(sample(spark)).select(F.col("check").alias("check_name"), "severity", "object", "message")
 
+@registered(FINDINGS["readiness"])
+def meta_readiness(c):
+    return table(audits.readiness(c).select("model", "check", "severity", "object"))
 
-_TRACE = [("Regional Manager", "Customer", t, t in ("Customer", "Sales"), "Info" if t in ("Customer", "Sales") else "Low") for t in samples.TABLES]
-_TRACE += [("Sales Rep (misconfigured)", "Sales", t, t in ("Customer", "Sales"), {"Customer": "Info", "Sales": "Info", "Metric Selector": "Low"}.get(t, "High")) for t in samples.TABLES]
 
+FINDINGS["folders"] = f"""SELECT model, 'Measure outside the folder taxonomy' AS check_name, 'Low' AS severity, tbl AS object, string_agg(CASE WHEN folder = '' THEN mea END, ', ' ORDER BY mea) AS message FROM meas GROUP BY model, tbl HAVING count(CASE WHEN folder <> '' THEN 1 END) > 0 AND count(CASE WHEN folder = '' THEN 1 END) > 0
+UNION ALL SELECT o.model, 'Relationship key visible in the field list', 'Medium', o.tbl, {agg("col")} FROM own o JOIN keys USING (model, tbl, col) WHERE NOT hidden GROUP BY o.model, o.tbl"""
 
-@registered(values("role, secured, table_name, filtered, severity", *_TRACE))
-def meta_role_reach(spark):
-    return model_graph.role_reach(sample(spark)).select("role", "secured", F.col("table").alias("table_name"), "filtered", "severity")
 
+@registered(FINDINGS["folders"])
+def meta_folders(c):
+    return table(audits.folders(c).select("model", "check", "severity", "object", "message"))
 
-@registered(values("role, secured, exposed, trapped, severity", ("Regional Manager", 2, 3, 0, "Info"), ("Sales Rep (misconfigured)", 2, 3, 2, "High")))
-def meta_role_exposure(spark):
-    return model_graph.role_exposure(sample(spark)).select("role", "secured", "exposed", "trapped", "severity")
 
+REACH = """SELECT s.model, s.role, s.secured, t.tbl, f.tbl IS NOT NULL AS filtered, CASE WHEN f.tbl IS NOT NULL THEN 'Info' WHEN l.b IS NOT NULL THEN 'High' ELSE 'Low' END AS severity
+FROM secured s JOIN tabs t ON t.model = s.model LEFT JOIN flooded f ON f.model = s.model AND f.role = s.role AND f.secured = s.secured AND f.tbl = t.tbl LEFT JOIN links l ON l.model = s.model AND l.a = s.secured AND l.b = t.tbl
+UNION ALL SELECT model, role, NULL, NULL, false, 'Medium' FROM rols WHERE tbl IS NULL"""
+EXPOSURE = f"""SELECT *, CASE WHEN trapped > 0 THEN 'High' WHEN secured <= 1 THEN 'Medium' ELSE 'Info' END AS severity
+FROM (SELECT model, role, count(CASE WHEN filtered THEN 1 END) AS secured, count(CASE WHEN NOT filtered THEN 1 END) AS exposed, count(CASE WHEN severity = 'High' THEN 1 END) AS trapped FROM ({REACH}) GROUP BY model, role)"""
 
-@registered(values("table_name, fields, used, severity", ("Metric Selector", "'Sales'[Total Quantity], 'Sales'[Total Sales]", False, "Medium")))
-def meta_field_parameters(spark):
-    return reports.field_parameters(with_report(spark)).select(F.col("table").alias("table_name"), F.array_join("fields", ", ").alias("fields"), "used", "severity")
 
+@registered(f"SELECT model, role, secured, tbl AS table_name, filtered, severity FROM ({REACH})")
+def meta_role_reach(c):
+    return table(model_graph.role_reach(c).select("model", "role", "secured", "table", "filtered", "severity"))
 
-@registered(values("page, field, problem", ("Overview", "Revenue", "no such measure"), ("Detail", "City", "the table doesn't exist")))
-def meta_broken_bindings(spark):
-    return reports.broken_bindings(with_report(spark)).select("page", "field", "problem")
 
+@registered(EXPOSURE)
+def meta_role_exposure(c):
+    return model_graph.role_exposure(c).select("model", "role", "secured", "exposed", "trapped", "severity")
 
-@registered(values("table_name, column_name", *(x for x in UNUSED if x not in (("Customer", "Region"), ("Product", "Category")))))
-def meta_safe_to_delete(spark):
-    return reports.column_disposition(with_report(spark)).where("verdict = 'Safe to delete'").select(F.col("table").alias("table_name"), F.col("column").alias("column_name"))
 
+PARAMETERS = """SELECT model, tbl, CASE WHEN EXISTS (SELECT 1 FROM binds b WHERE b.model = t.model) THEN EXISTS (SELECT 1 FROM binds b WHERE b.model = t.model AND b.tbl = 'Param') END AS used FROM tabs t WHERE tbl = 'Param'"""
 
-@registered(values("kind, table_name, column_name", ("table", "Metric Selector", None), *(("column", *x) for x in UNUSED if x not in (("Customer", "Region"), ("Product", "Category")) and x[0] != "Metric Selector")))
-def meta_cleanup_plan(spark):
-    return reports.cleanup_plan(with_report(spark)).select("kind", F.col("table").alias("table_name"), F.col("column").alias("column_name"))
 
+@registered(f"SELECT model, tbl AS table_name, '''Sales''[Total Quantity], ''Sales''[Total Sales]' AS fields, used, CASE WHEN NOT used THEN 'Medium' ELSE 'Info' END AS severity FROM ({PARAMETERS})")
+def meta_field_parameters(c):
+    return table(reports.field_parameters(c).select("model", "table", joined("fields"), "used", "severity"))
 
-@registered(values("page, table_name", ("Overview", "Customer"), ("Overview", "Sales")))
-def meta_page_tables(spark):
-    return reports.page_tables(with_report(spark)).select("page", F.col("table").alias("table_name"))
 
+BROKEN = "SELECT model, page, field, CASE WHEN tbl = 'Stores' THEN 'the table doesn''t exist' ELSE 'no such measure' END AS problem FROM binds WHERE field = 'Revenue' OR tbl = 'Stores'"
 
-@registered(values("table_name, source", ("Date", "dim_date"), ("Product", "dim_product"), ("Customer", "dim_customer"), ("Sales", "fact_sales")))
-def meta_lineage(spark):
-    return reports.lineage(sample(spark)).select(F.col("table").alias("table_name"), "source")
 
+@registered(BROKEN)
+def meta_broken_bindings(c):
+    return reports.broken_bindings(c).select("model", "page", "field", "problem")
 
-@registered(values("source, tables, n", ("dim_date", "Date", 1), ("dim_product", "Product", 1), ("dim_customer", "Customer", 1), ("fact_sales", "Sales", 1)))
-def meta_source_impact(spark):
-    return reports.source_impact(sample(spark)).select("source", F.array_join("tables", ", ").alias("tables"), F.col("n").cast("bigint").alias("n"))
 
+DISPOSITION = f"""SELECT u.model, u.tbl, u.col, CASE WHEN r.model IS NULL THEN CASE WHEN dax THEN 'Referenced' ELSE 'Unknown without the report' END WHEN dax AND seen THEN 'Keep: expressions and visuals use it' WHEN dax THEN 'Keep: expressions use it' WHEN seen THEN 'Keep: visuals use it' ELSE 'Safe to delete' END AS verdict, r.model IS NOT NULL AS report
+FROM (SELECT model, tbl, col, status <> 'Likely unused' AS dax, EXISTS (SELECT 1 FROM binds b WHERE b.model = x.model AND b.field = x.col) AS seen FROM ({UNUSED}) x) u LEFT JOIN (SELECT DISTINCT model FROM binds) r ON r.model = u.model"""
 
-@registered(values("measure, change, severity", ("Total Sales", "expression changed", "High"), ("Sales YTD", "removed", "High"), ("Orders", "added", "Medium")))
-def meta_measure_changes(spark):
-    base = sample(spark)
-    other = base.measures.where("measure <> 'Sales YTD'").withColumn("expression", F.when(F.col("measure") == "Total Sales", F.lit("SUM(Sales[Quantity])")).when(F.col("measure") == "Total Quantity", F.lit("SUM( Sales[Quantity] ) -- same")).otherwise(F.col("expression")))
+
+@registered(f"SELECT model, tbl AS table_name, col AS column_name, verdict FROM ({DISPOSITION})")
+def meta_safe_to_delete(c):
+    return table(reports.column_disposition(c).select("model", "table", "column", "verdict"))
+
+
+@registered(f"SELECT model, 'table' AS kind, tbl AS table_name, NULL AS column_name FROM ({PARAMETERS}) WHERE used = false UNION ALL SELECT model, 'column', tbl, col FROM ({DISPOSITION}) d WHERE verdict = 'Safe to delete' AND NOT EXISTS (SELECT 1 FROM ({PARAMETERS}) p WHERE p.model = d.model AND p.tbl = d.tbl AND used = false)")
+def meta_cleanup_plan(c):
+    return table(reports.cleanup_plan(c).select("model", "kind", "table", "column"))
+
+
+@registered("""SELECT DISTINCT b.model, b.page, x.tbl AS table_name FROM binds b JOIN (SELECT model, home AS owner, obj, named AS tbl FROM refs WHERE kind = 'measure') x ON x.model = b.model AND x.obj = b.field JOIN tabs t ON t.model = x.model AND t.tbl = x.tbl
+UNION SELECT b.model, b.page, b.tbl FROM binds b WHERE EXISTS (SELECT 1 FROM own o WHERE o.model = b.model AND o.tbl = b.tbl)""")
+def meta_page_tables(c):
+    return table(reports.page_tables(c).select("model", "page", "table"))
+
+
+_SOURCE = "concat(CASE mod(k, 3) WHEN 0 THEN '' WHEN 1 THEN 'dbo.' ELSE 'lake.sales.' END, source, '_', lower(tbl))"
+
+
+@registered(f"SELECT model, tbl AS table_name, {_SOURCE} AS source FROM tabs WHERE source IN ('dim', 'fact')")
+def meta_lineage(c):
+    return table(reports.lineage(c).select("model", "table", "source"))
+
+
+@registered(f"SELECT model, {_SOURCE} AS source, tbl AS tables, CAST(1 AS BIGINT) AS n FROM tabs WHERE source IN ('dim', 'fact')")
+def meta_source_impact(c):
+    return reports.source_impact(c).select("model", "source", joined("tables"), F.col("n").cast("bigint").alias("n"))
+
+
+@registered("SELECT model, CASE WHEN mod(k, 3) = 2 THEN 'lake' END AS source_catalog, CASE mod(k, 3) WHEN 1 THEN 'dbo' WHEN 2 THEN 'sales' END AS source_schema FROM base")
+def meta_source_schema(c):
+    return reports.usual_source_schema(c).select("model", F.col("catalog").alias("source_catalog"), F.col("schema").alias("source_schema"))
+
+
+@registered("SELECT model, tbl AS table_name, mea AS measure, CASE WHEN tbl = 'Metrics' THEN (SELECT min(r.named) FROM refs r WHERE r.model = m.model AND r.obj = m.mea AND r.home = m.tbl) ELSE tbl END AS home FROM meas m")
+def meta_measure_homes(c):
+    homes = references.measure_homes(c).join(c.measures.select("model", "measure", "table"), ["model", "measure"]).where("home = table OR table = 'Metrics'")
+    return homes.select("model", F.col("table").alias("table_name"), "measure", "home")
+
+
+@registered(f"SELECT model, mea AS measure, x.change, x.severity FROM (SELECT DISTINCT model, mea FROM meas) JOIN {values('x', 'name, change, severity', [('Total Sales', 'expression changed', 'High'), ('Sales YTD', 'removed', 'High')])} ON mea = x.name UNION ALL SELECT model, 'Orders', 'added', 'Medium' FROM base")
+def meta_measure_changes(c):
+    sales = F.col("table") == "Sales"
+    other = c.measures.where("measure <> 'Sales YTD'").withColumn("expression", F.when(F.col("measure") == "Total Sales", F.lit("SUM(Sales[Quantity])")).when(sales & (F.col("measure") == "Total Quantity"), F.lit("SUM( Sales[Quantity] ) -- same")).otherwise(F.col("expression")))
     added = other.where("measure = 'total_orders'").withColumn("measure", F.lit("Orders"))
-    return comparison.measure_changes(base, base.with_(measures=other.union(added))).select("measure", "change", "severity")
+    return comparison.measure_changes(c, c.with_(measures=other.union(added))).select("model", "measure", "change", "severity")
+
+
+_LINK = "concat(from_table, '[', from_column, '] -> ', to_table, '[', to_column, '] ('"
 
 
-@registered(values("kind, object, change, severity", ("Column", "Customer[internal_notes]", "Removed", "Medium"), ("Relationship", "Sales[CustomerKey] -> Customer[CustomerKey] (Both)", "Removed", "Medium"), ("Relationship", "Sales[CustomerKey] -> Customer[CustomerKey] (Single)", "Added", "Low")))
-def meta_structure_changes(spark):
-    base = sample(spark)
-    other = base.with_(columns=base.columns.where("column <> 'internal_notes'"), relationships=base.relationships.withColumn("direction", F.lit("Single")))
-    return comparison.structure_changes(base, other).select("kind", "object", "change", "severity")
+@registered(f"SELECT model, 'Column' AS kind, {_QUALIFIED} AS object, 'Removed' AS change, 'Medium' AS severity FROM cols WHERE col = 'internal_notes' UNION ALL SELECT model, 'Relationship', {_LINK}, 'Both)'), 'Removed', 'Medium' FROM rels WHERE direction = 'Both' UNION ALL SELECT model, 'Relationship', {_LINK}, 'Single)'), 'Added', 'Low' FROM rels WHERE direction = 'Both'")
+def meta_structure_changes(c):
+    other = c.with_(columns=c.columns.where("column <> 'internal_notes'"), relationships=c.relationships.withColumn("direction", F.lit("Single")))
+    return comparison.structure_changes(c, other).select("model", "kind", "object", "change", "severity")
 
 
-@registered(values("measure_a, measure_b, is_near, severity", ("Margin", "Margin 2", True, "High"), ("Margin", "Margin 3", True, "High"), ("Margin 2", "Margin 3", True, "High")))
-def meta_near_duplicates(spark):
-    rows = [("Margin", "VAR s = SUM(Sales[Amount]) RETURN s - SUM(Sales[Cost])"), ("Margin 2", "VAR total = SUM( Sales[Amount] )\nRETURN total - SUM(Sales[Cost])"), ("Margin 3", "VAR x = SUM(Sales[Amount]) RETURN x - SUM(Sales[Cost]) + 0"), ("Other", "COUNTROWS(FILTER(Customer, Customer[Age] > 40))")]
-    m = spark.createDataFrame([("m", "Sales", n, e) for n, e in rows], "model string, table string, measure string, expression string")
-    return comparison.near_duplicate_measures(Catalog.empty(spark, measures=m)).select("measure_a", "measure_b", (F.col("similarity") >= 85).alias("is_near"), "severity")
+NEAR = "SELECT model, x.a AS measure_a, x.b AS measure_b FROM (SELECT DISTINCT model, mea, tbl FROM meas) m JOIN " + values("x", "t, a, b", [("Sales", "Copy", "Total Sales"), ("Returns", "Total Quantity", "Total Returns")]) + " ON mea = x.a AND tbl = x.t"
 
 
-@registered(values("kind, object, place", ("measure", "Sales YTD", "expression"), ("measure", "Total Sales", "name"), ("table", "Sales", "name"), ("measure", "Total Quantity", "expression"), ("measure", "total_orders", "expression")).replace("'measure', 'Sales YTD', 'expression'", "'measure', 'Sales YTD', 'name'"))
-def meta_search(spark):
-    return references.search(sample(spark), "SALES").select("kind", "object", F.col("where").alias("place"))
+@registered(f"SELECT *, true AS is_same, 'High' AS severity FROM ({NEAR})")
+def meta_near_duplicates(c):
+    return comparison.near_duplicate_measures(c).select("model", "measure_a", "measure_b", (F.col("similarity") >= 99.9).alias("is_same"), "severity")
 
 
-@registered(values("model_score, grade", (67, "Needs attention")))
-def meta_scorecard(spark):
-    c = sample(spark).stored()
-    return audits.scorecard(audits_of(c), c.tables).select(F.col("score").cast("bigint").alias("model_score"), "grade")
+@registered(f"""SELECT model, 'table' AS kind, tbl AS object, 'name' AS place FROM tabs WHERE contains(lower(tbl), 'sales') UNION ALL SELECT model, 'column', {_QUALIFIED}, 'name' FROM own WHERE contains(lower(col), 'sales')
+UNION ALL SELECT model, 'measure', mea, CASE WHEN contains(lower(mea), 'sales') THEN 'name' ELSE 'expression' END FROM meas WHERE contains(lower(mea), 'sales') OR contains(lower(expression), 'sales')""")
+def meta_search(c):
+    return references.search(c, "SALES").select("model", "kind", "object", F.col("where").alias("place"))
 
 
 def audits_of(c: Catalog) -> dict[str, DataFrame]:
@@ -233,8 +342,25 @@ def audits_of(c: Catalog) -> dict[str, DataFrame]:
     }
 
 
-@registered(values("measure, sql_text, reason", ("Total Quantity", "SUM(`Quantity`)", ""), ("total_orders", "COUNT(*)", ""), ("Total Sales", None, "unsupported measure shape"), ("Sales YTD", None, "unsupported measure shape")))
-def meta_measure_sql(spark):
-    """Formulas are compiled on the driver, as Spark's own expressions are; one row for each of the model's measures."""
-    rows = [(m, *to_sql(e)) for m, (e, _) in samples.MEASURES.items()]
-    return spark.createDataFrame(rows, "measure string, sql_text string, reason string")
+_SECTIONS = {n: f"SELECT model, severity FROM ({sql})" for n, sql in FINDINGS.items()} | {
+    "naming": f"SELECT model, severity FROM ({NAMING})", "unused": f"SELECT model, CASE WHEN status = 'Likely unused' THEN 'Low' ELSE 'Info' END AS severity FROM ({UNUSED})", "roles": f"SELECT model, severity FROM ({EXPOSURE})",
+    "report": f"SELECT model, 'High' AS severity FROM ({BROKEN}) UNION ALL SELECT model, CASE WHEN verdict = 'Safe to delete' THEN 'Medium' ELSE 'Info' END FROM ({DISPOSITION}) WHERE report",
+    "duplicates": f"SELECT model, 'High' AS severity FROM ({NEAR})", "parameters": f"SELECT model, CASE WHEN NOT used THEN 'Medium' ELSE 'Info' END AS severity FROM ({PARAMETERS})",
+}
+_EVERY = " UNION ALL ".join(f"SELECT model, severity, '{n}' AS section FROM ({sql})" for n, sql in _SECTIONS.items())
+
+
+@registered(f"""SELECT model, CAST(round(100 - sum(CASE WHEN base > 0 THEN 10.0 * (base + (1 - base) * least(1.0, worst / 10) * 0.7) ELSE 0.0 END)) AS BIGINT) AS model_score FROM (
+SELECT model, section, CASE WHEN h > 0 THEN 0.60 WHEN m > 0 THEN 0.35 WHEN l > 0 THEN 0.12 ELSE 0.0 END::DOUBLE AS base, CASE WHEN h > 0 THEN h WHEN m > 0 THEN m ELSE l END::DOUBLE AS worst FROM (
+SELECT model, section, count(CASE WHEN severity = 'High' THEN 1 END) AS h, count(CASE WHEN severity = 'Medium' THEN 1 END) AS m, count(CASE WHEN severity = 'Low' THEN 1 END) AS l FROM ({_EVERY}) GROUP BY model, section)) GROUP BY model""")
+def meta_scorecard(c):
+    c = c.stored()
+    return audits.scorecard(audits_of(c), c.tables).select("model", F.col("score").cast("bigint").alias("model_score"))
+
+
+_SQL_TEXTS = [("SUM(Sales[Quantity]) -- not [Growth]", "SUM(`Quantity`)"), ("COUNTROWS(Sales)", "COUNT(*)"), ("SUM(Returns[Amount])", "SUM(`Amount`)"), ("SUM( Returns[Amount] )", "SUM(`Amount`)"), ('CALCULATE(DISTINCTCOUNT(Sales[ProductKey]), Customer[Region] = "West")', "COUNT(DISTINCT CASE WHEN `Region` = 'West' THEN `ProductKey` END)")]
+
+
+@registered(f"SELECT model, tbl AS table_name, mea AS measure, x.sql AS sql_text, x.sql IS NULL AS refused FROM meas LEFT JOIN {values('x', 'expression, sql', _SQL_TEXTS)} USING (expression)")
+def meta_measure_sql(c):
+    return measure_sql(c).select("model", F.col("table").alias("table_name"), "measure", "sql_text", F.col("sql_text").isNull().alias("refused"))

@@ -1,10 +1,28 @@
-"""Cutting lineage in the folder that driver and executors share."""
+"""Cutting lineage in the folder that driver and executors share; this package's code for executors."""
 
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """This package for executors that don't have it, once for each application."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    _shipped.add(sc.applicationId)
+    package = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="sparkloom-")) / "sparkloom-core.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for path in sorted(package.rglob("*.py")):
+            z.write(path, path.relative_to(package.parent))
+    sc.addPyFile(str(archive))
 
 
 def cut(df: DataFrame) -> DataFrame:

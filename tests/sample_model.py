@@ -1,4 +1,4 @@
-"""A small retail model with deliberate flaws, as archive parts: the fixture of the metadata queries and tests."""
+"""A small retail model with deliberate flaws, as archive parts: a fixture of the tests."""
 
 from __future__ import annotations
 
@@ -6,6 +6,10 @@ import json
 
 from pyspark.sql import DataFrame, SparkSession
 
+from sparkloom.catalog import Catalog
+from sparkloom.sources.archives import from_parts
+
+# Names, row counts, expressions and flaws of the model that results are compared with.
 MODEL = "Sample Retail Model"
 #: table -> (rows, {column: type}); the first column of a dimension is its key.
 TABLES = {
@@ -66,3 +70,14 @@ def archive_texts() -> dict[str, str]:
 def archive_parts(spark: SparkSession) -> DataFrame:
     """model, part, text, problem, as the archive reader gives them."""
     return spark.createDataFrame([(MODEL, p, t, None) for p, t in archive_texts().items()], "model string, part string, text string, problem string")
+
+
+def sample(spark: SparkSession) -> Catalog:
+    return from_parts(archive_parts(spark))[0]
+
+
+def with_report(spark: SparkSession) -> Catalog:
+    """The sample with a small report: two sound bindings, a renamed measure, a dropped table and a bare name."""
+    rows = [("Overview", "v1", "bar", "Column", "Customer", "Region"), ("Overview", "v1", "bar", "Measure", "Sales", "Total Sales"), ("Overview", "v2", "card", "Measure", "Sales", "Revenue"), ("Detail", "v3", "table", "Column", "Stores", "City"), ("Detail", "v3", "table", "Column", "", "Category")]
+    bindings = spark.createDataFrame([(MODEL, *r) for r in rows], "model string, page string, visual string, visual_type string, kind string, table string, field string")
+    return sample(spark).with_(bindings=bindings)

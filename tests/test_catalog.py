@@ -3,7 +3,7 @@ import zipfile
 
 from pyspark.sql import functions as F
 
-from sparkloom import samples
+import sample_model as samples
 from sparkloom.catalog import Catalog
 from sparkloom.functions import expressions as X
 from sparkloom.functions import names as N
@@ -94,7 +94,7 @@ def test_encoding_advice(spark):
 
 
 def test_cleaned_catalog(spark):
-    from sparkloom.metadata_queries import with_report
+    from sample_model import with_report
 
     c = with_report(spark)
     after = reports.cleaned(c)
@@ -104,7 +104,7 @@ def test_cleaned_catalog(spark):
 
 
 def test_self_diff_is_empty(spark):
-    from sparkloom.metadata_queries import sample
+    from sample_model import sample
     from sparkloom.operators import comparison
 
     c = sample(spark)

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkloom.formulas.syntax import Refused
-from sparkloom.metadata_queries import sample, with_report
+from sample_model import sample, with_report
 from sparkloom.sinks import text
 from sparkloom.sources import reports, workbooks
 from sparkloom.streaming.measures import windowed
