@@ -112,7 +112,7 @@ class Lines(HTMLParser):
         name, region, noise, zone, in_article = self._top()
         if tag not in INLINE:
             self._end_line()
-            if tag == "p" and any(x[0] == "p" for x in self.stack[-3:]):
+            if tag == "p" and next((x[0] for x in reversed(self.stack) if x[0] not in INLINE), "") == "p":
                 self._close("p")
                 name, region, noise, zone, in_article = self._top()
         if tag in VOID:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 import zipfile
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 from pathlib import Path
 
 import pyarrow as pa
@@ -27,12 +28,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 BATCH_BYTES = 4 << 20
 
 _shipped: set[str] = set()
+_folders: set[str] = set()
 
 
 def prepare(spark: SparkSession) -> None:
     """Settings for operators on whole texts, and this package for executors that don't have it.
 
-    Texts vary from nothing to megabytes: fewer rows to a batch keep workers small.
+    Texts vary from nothing to megabytes: fewer rows and bytes to a batch keep workers small. The two
+    settings hold for the session from then on, as plans read them when they run.
     """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
@@ -48,7 +51,7 @@ def prepare(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession, label: str) -> str:
-    """A new folder name under spark.checkpoint.dir, which driver and executors share.
+    """A new folder name under spark.checkpoint.dir, which driver and executors share, for tables of this application.
 
     Only where that setting is absent (local tests) a temporary folder stands in for it.
     """
@@ -58,7 +61,17 @@ def shared_dir(spark: SparkSession, label: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="sparkloom-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    own = f"{base.rstrip('/')}/sparkloom-{spark.sparkContext.applicationId}"
+    if own not in _folders:
+        _folders.add(own)
+        atexit.register(_forget, spark, own)
+    return f"{own}/{label}-{uuid.uuid4().hex}"
+
+
+def _forget(spark: SparkSession, folder: str) -> None:
+    """Delete an application's tables when the driver ends in order; else they stay for whoever owns the shared folder."""
+    with suppress(Exception):
+        discard(spark, [folder])
 
 
 def materialise(df: DataFrame, label: str, paths: list[str] | None = None) -> DataFrame:
