@@ -90,11 +90,17 @@ def sql_of(m_expression: Column | str) -> Column:
 
 
 def decoded(text: Column) -> Column:
-    """Source-query escapes: #(lf) #(cr) #(tab) #(#)."""
-    for code, char in (("lf", "\n"), ("cr", "\r"), ("tab", "\t")):
-        text = F.replace(text, F.lit(f"#({code})"), F.lit(char))
-    text = F.replace(F.replace(text, F.lit("#(cr,lf)"), F.lit("\r\n")), F.lit("#(lf,cr)"), F.lit("\n\r"))
-    return F.replace(text, F.lit("#(#)"), F.lit("#"))
+    """Source-query escapes: #(lf), #(cr), #(tab), #(#), #(0041), #(0001F600), and several with commas between."""
+    names = F.create_map(*map(F.lit, ("lf", "\n", "cr", "\r", "tab", "\t", "#", "#")))
+
+    def character(code: Column) -> Column:
+        return F.coalesce(F.element_at(names, code), F.when(code.rlike("^[0-9A-Fa-f]{4}$"), F.decode(F.unhex(code), "UTF-16BE")), F.when(code.rlike("^[0-9A-Fa-f]{8}$"), F.decode(F.unhex(code), "UTF-32")))
+
+    def piece(p: Column) -> Column:
+        codes = F.transform(F.split(F.regexp_extract(p, r"^#\(([^)]*)\)$", 1), ","), lambda c: character(F.trim(c)))
+        return F.when(p.startswith("#(") & ~F.exists(codes, lambda c: c.isNull()), F.array_join(codes, "")).otherwise(p)
+
+    return F.array_join(F.transform(F.regexp_extract_all(text, F.lit(r"#\([^)]*\)|[^#]+|#"), F.lit(0)), piece), "")
 
 
 def sql_sources(sql: Column | str) -> Column:

@@ -15,7 +15,11 @@ from .catalog import Catalog
 from .estate import PREFIX, archive_parts, estate, values
 from .formulas.measures import measure_sql
 from .operators import audits, comparison, model_graph, references, reports
+from .sinks import text
+from .sources import reports as report_files
 from .sources.archives import from_parts
+from .sources.workbooks import read_workbooks, security_roles
+from .storage import stored_zips
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -23,9 +27,10 @@ ORACLE_SQL: dict[str, str] = {}
 FINDINGS: dict[str, str] = {}
 
 
-def registered(sql: str):
+def registered(sql: str, tables: bool = False):
+    """Put a query of the estate, or with tables=True of the session and the tables' folder, beside its SQL."""
     def put(f):
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(estate(spark, sf_dir))
+        QUERIES[f.__name__] = f if tables else lambda spark, sf_dir: f(estate(spark, sf_dir))
         ORACLE_SQL[f.__name__] = PREFIX + sql
         return f
 
@@ -364,3 +369,110 @@ _SQL_TEXTS = [("SUM(Sales[Quantity]) -- not [Growth]", "SUM(`Quantity`)"), ("COU
 @registered(f"SELECT model, tbl AS table_name, mea AS measure, x.sql AS sql_text, x.sql IS NULL AS refused FROM meas LEFT JOIN {values('x', 'expression, sql', _SQL_TEXTS)} USING (expression)")
 def meta_measure_sql(c):
     return measure_sql(c).select("model", F.col("table").alias("table_name"), "measure", "sql_text", F.col("sql_text").isNull().alias("refused"))
+
+
+def layouts(c: Catalog) -> DataFrame:
+    """model, member, text: the estate's bindings as report layouts, with aliases and JSON inside strings."""
+    source = F.struct(F.struct(F.lit("x").alias("Source")).alias("SourceRef"))
+    reference = F.struct(source.alias("Expression"), F.col("field").alias("Property"))
+    selected = F.struct(F.when(F.col("kind") == "Column", reference).alias("Column"), F.when(F.col("kind") == "Measure", reference).alias("Measure"))
+    query = F.struct(F.array(F.struct(F.lit("x").alias("Name"), F.col("table").alias("Entity"))).alias("From"), F.array(selected).alias("Select"))
+    visuals = c.bindings.groupBy("model", "page", "visual", "visual_type").agg(F.collect_list(query).alias("queries"))
+    config = F.to_json(F.struct(F.col("visual").alias("name"), F.struct(F.col("visual_type").alias("visualType"), F.to_json("queries").alias("prototypeQuery")).alias("singleVisual")))
+    pages = visuals.groupBy("model", "page").agg(F.collect_list(F.struct(config.alias("config"))).alias("visualContainers"))
+    sections = pages.groupBy("model").agg(F.collect_list(F.struct(F.col("page").alias("displayName"), "visualContainers")).alias("sections"))
+    return sections.select("model", F.lit("Report/Layout").alias("member"), F.to_json(F.struct("sections")).alias("text"))
+
+
+def named(path: str, ending: str):
+    return F.regexp_extract(path, rf"([^/]+)\.{ending}$", 1)
+
+
+@registered("SELECT model, page, visual, visual_type, kind, tbl AS table_name, field FROM binds")
+def src_report_bindings(c):
+    spark = c.bindings.sparkSession
+    _, bindings, _ = report_files.read_reports(spark, stored_zips(layouts(c), "reports", "pbix"))
+    return table(bindings.withColumn("model", named("model", "pbix")))
+
+
+@registered("SELECT model, page, CAST(0 AS BIGINT) AS hidden_pages, count(DISTINCT visual) AS visuals FROM binds GROUP BY model, page")
+def src_report_pages(c):
+    pages, bindings, _ = report_files.read_reports(c.bindings.sparkSession, stored_zips(layouts(c), "reports", "pbix"))
+    counted = bindings.groupBy("model", "page").agg(F.count_distinct("visual").alias("visuals"))
+    return pages.join(counted, ["model", "page"]).select(named("model", "pbix").alias("model"), "page", F.col("hidden").cast("bigint").alias("hidden_pages"), "visuals")
+
+
+#: A workbook for each nation, as XML; {n} is the nation's name, {k} its key, {r} its region's.
+WORKBOOK = """<workbook><datasources><datasource name="Parameters"><column name="[Rate {k}]" caption="Rate" param-domain-type="list" datatype="real" value="0.{k}"><aliases><alias key="2" value="two"/></aliases><members><member value="1"/><member value="2"/></members></column></datasource>
+<datasource name="s1" caption="Sales {n}"><connection class="lake"><relation type="join" join="left"><clause><expression op="="><expression op="[orders].[o_custkey]"/><expression op="[customer].[c_custkey]"/></expression></clause><relation type="table" name="orders" table="[dbo].[orders]"/><relation type="table" name="customer" table="[dbo].[customer]"/></relation>
+<metadata-records><metadata-record class="column"><local-name>[c_region]</local-name><parent-name>[customer]</parent-name><local-type>string</local-type><remote-name>c_region</remote-name></metadata-record></metadata-records></connection>
+<column name="[Net {k}]" caption="Net" role="measure" datatype="real"><calculation class="tableau" formula="[o_totalprice] * {k}"/></column>
+<group name="[RLS]"><groupfilter function="union"><groupfilter expression="ISMEMBEROF('team\\.{n}')" function="filter"><groupfilter function="member" level="[c_region]" member="&quot;{r}&quot;"/><groupfilter function="member" level="[c_region]" member="&quot;AAA&quot;"/></groupfilter><groupfilter expression="false" function="filter"/><groupfilter expression="ISMEMBEROF('none')" function="filter"><groupfilter function="empty-level" member="[c_region]"/></groupfilter></groupfilter></group></datasource>
+<datasource name="s2"><connection class="excel"><relation type="text" name="q">SELECT 1</relation></connection></datasource></datasources>
+<datasource-relationships><datasource-relationship source="s1" target="s2"><column-mapping><map key="[s1].[none:c_region:nk]" value="[s2].[none:area {k}:nk]"/></column-mapping></datasource-relationship></datasource-relationships>
+<worksheets><worksheet name="Sheet {n}"><table><view><filter class="categorical" column="[s1].[none:c_region:nk]"/></view><panes><pane><mark class="Bar"/><encodings><color column="[s1].[none:c_region:nk]"/></encodings></pane></panes><rows>[s1].[sum:Net {k}:qk]</rows><cols>[s1].[none:c_region:nk]</cols></table></worksheet></worksheets></workbook>"""
+
+
+def workbooks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nation, region = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("nation", "region"))
+    text = F.lit(WORKBOOK)
+    for mark, column in (("{n}", "n_name"), ("{k}", "n_nationkey"), ("{r}", "r_name")):
+        text = F.replace(text, F.lit(mark), F.col(column).cast("string"))
+    rows = nation.join(region, nation.n_regionkey == region.r_regionkey).select(F.concat(F.lit("w"), F.col("n_nationkey").cast("string")).alias("model"), F.lit("book.twb").alias("member"), text.alias("text"))
+    return read_workbooks(spark, stored_zips(rows, "workbooks", "twbx")).withColumn("workbook", named("workbook", "twbx"))
+
+
+_NATIONS = "(SELECT concat('w', CAST(n_nationkey AS STRING)) AS workbook, n_name AS n, CAST(n_nationkey AS STRING) AS k, r_name AS r FROM nation JOIN region ON n_regionkey = r_regionkey)"
+
+
+def rows_like(rows: list[tuple]) -> str:
+    """SQL for rows (kind, source, name, detail, role, type, formula) of each workbook, with {n}, {k} and {r} in them."""
+    fill = lambda c: f"replace(replace(replace(x.{c}, '{{n}}', n), '{{k}}', k), '{{r}}', r) AS {c}"
+    return f"SELECT workbook, {', '.join(map(fill, ('kind', 'source', 'name', 'detail', 'role', 'type', 'formula')))} FROM {_NATIONS} CROSS JOIN {values('x', 'kind, source, name, detail, role, type, formula', rows)}"
+
+
+@registered(rows_like([
+    ("parameter", "Parameters", "Rate {k}", "Rate", "list", "real", "0.{k}"), ("member", "Parameters", "Rate {k}", None, None, None, "1"), ("member", "Parameters", "Rate {k}", "two", None, None, "2"), ("source", "s1", "Sales {n}", "lake", None, None, None), ("source", "s2", "s2", "excel", None, None, None),
+    ("column", "s1", "c_region", "customer", None, "string", "c_region"), ("field", "s1", "Net {k}", "Net", "measure", "real", "[o_totalprice] * {k}"), ("table", "s1", "orders", "[dbo].[orders]", "table", None, None), ("table", "s1", "customer", "[dbo].[customer]", "table", None, None), ("table", "s2", "q", None, "text", None, "SELECT 1"),
+    ("relationship", "s1", "c_region", "s2", None, None, "area {k}"), ("sheet", None, "Sheet {n}", "Bar", None, None, None), ("shelf", "s1", "Sheet {n}", "Net {k}", "rows", "sum", None), ("shelf", "s1", "Sheet {n}", "c_region", "cols", "none", None),
+    ("encoding", "s1", "Sheet {n}", "c_region", "color", None, None), ("filter", "s1", "Sheet {n}", "c_region", "categorical", None, None),
+]), tables=True)
+def src_workbook_rows(spark, d):
+    return workbooks(spark, d).where("kind NOT IN ('join', 'security')").drop("position")
+
+
+@registered(f"SELECT workbook, 's1' AS source, 'left' AS how FROM {_NATIONS}", tables=True)
+def src_workbook_joins(spark, d):
+    return workbooks(spark, d).where("kind = 'join' AND detail LIKE '%o_custkey%=%c_custkey%'").select("workbook", "source", F.col("name").alias("how"))
+
+
+@registered(f"SELECT workbook, concat('team.', n) AS role, 'customer' AS table_name, 'c_region' AS column_name, concat('AAA, ', r) AS allowed FROM {_NATIONS} UNION ALL SELECT workbook, 'none', 'customer', 'c_region', '' FROM {_NATIONS}", tables=True)
+def src_workbook_roles(spark, d):
+    return table(security_roles(workbooks(spark, d)).withColumn("allowed", F.array_join("allowed", ", ")))
+
+
+@registered(f"SELECT workbook, concat('definition/roles/', regexp_replace(regexp_replace(lower(concat('team.', n)), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g'), '.tmdl') AS path, contains(n, n) AS has_values FROM {_NATIONS}", tables=True)
+def sink_roles(spark, d):
+    roles = security_roles(workbooks(spark, d)).where("role <> 'none'").withColumnRenamed("workbook", "model")
+    return text.role_files(roles).select(F.col("model").alias("workbook"), "path", F.col("content").contains("IN {\"AAA\", \"").alias("has_values"))
+
+
+@registered("""SELECT t.model, t.tbl AS dataset, concat('main.gold.', lower(t.tbl)) AS source, count(DISTINCT o.col) AS n_columns, 1 + count(DISTINCT CASE WHEN x.sql IS NOT NULL AND m.tbl <> 'Metrics' THEN m.mea END) AS least_measures
+FROM tabs t JOIN own o ON o.model = t.model AND o.tbl = t.tbl LEFT JOIN meas m ON m.model = t.model AND m.tbl = t.tbl LEFT JOIN """ + values("x", "expression, sql", _SQL_TEXTS) + " ON x.expression = m.expression WHERE mod(t.k, 6) <> 0 AND mod(t.k, 4) <> 0 GROUP BY t.model, t.tbl")
+def dash_datasets(c):
+    """Data sets of the models whose measures all have names and homes of their own."""
+    plain = c.tables.groupBy("model").agg(F.max(F.col("table") == "Metrics").alias("grouped")).where("NOT grouped").join(c.measures.groupBy("model").agg((F.count(F.lit(1)) > F.count_distinct("measure")).alias("twice")).where("NOT twice"), "model").select("model")
+    sets = text.datasets(c, "main", "gold").join(plain, "model", "left_semi")
+    return sets.select("model", F.col("name").alias("dataset"), "source", F.size("columns").cast("bigint").alias("n_columns"), F.size("measures").cast("bigint").alias("least_measures"))
+
+
+@registered("""SELECT model, 'model.dot' AS path, count(*) AS edges, count(CASE WHEN direction = 'Both' THEN 1 END) AS both_ways, count(CASE WHEN NOT active THEN 1 END) AS dashed FROM rels GROUP BY model""")
+def sink_diagram(c):
+    count = lambda what: F.regexp_count("content", F.lit(what)).cast("bigint")
+    return text.diagram(c).select("model", "path", count(" -> ").alias("edges"), count("dir=both").alias("both_ways"), count("style=dashed").alias("dashed"))
+
+
+@registered("SELECT model, concat('definition/tables/', tbl, '.tmdl') AS path, n_columns, n_measures FROM tabs JOIN (SELECT model, tbl, count(*) AS n_columns FROM own GROUP BY model, tbl UNION ALL SELECT model, 'Metrics', 0 FROM tabs WHERE tbl = 'Metrics') USING (model, tbl) JOIN (SELECT t.model, t.tbl, count(m.mea) AS n_measures FROM tabs t LEFT JOIN meas m USING (model, tbl) GROUP BY t.model, t.tbl) USING (model, tbl)")
+def sink_table_files(c):
+    count = lambda what: F.regexp_count("content", F.lit(what)).cast("bigint")
+    return text.table_files(c).select("model", "path", count("\n\tcolumn ").alias("n_columns"), count("\n\tmeasure ").alias("n_measures"))

@@ -50,6 +50,9 @@ def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
 def near_duplicate_measures(c: Catalog, threshold: int = 85) -> DataFrame:
     """model, table_a, measure_a, table_b, measure_b, similarity, severity: pairs of measures with nearly equal logic.
 
+    Copies (measures of one fingerprint) are paired with the first of them, at 100, and only that one is in
+    other pairs; a copy is as near to those as it is.
+
     Pairs must share one of their rarest tokens: token sets whose Jaccard similarity reaches 0.75 of
     the threshold always do. Lengths and Jaccard similarity are tested in the JVM; only what passes
     meets the character comparison. Every measure takes part.
@@ -69,9 +72,12 @@ def near_duplicate_measures(c: Catalog, threshold: int = 85) -> DataFrame:
     jaccard = F.size(F.array_intersect("tokens_a", "tokens_b")) >= F.lit(least) * F.size(F.array_union("tokens_a", "tokens_b"))
     pairs = a.join(b, ["model", "token"]).where((F.col("fp_a") < F.col("fp_b")) & lengths & jaccard).select("model", "fp_a", "fp_b").distinct()
     scored = pairs.withColumn("similarity", similarity("fp_a", "fp_b")).where(F.col("similarity") >= threshold)
-    names = lambda s: m.select("model", F.col("table").alias(f"table_{s}"), F.col("measure").alias(f"measure_{s}"), F.col("fp").alias(f"fp_{s}"))
+    # of measures with one fingerprint the first stands for all in other pairs, so pairs don't grow with the square of copies
+    first = m.groupBy("model", "fp").agg(F.min(F.struct("measure", "table")).alias("first"))
+    names = lambda s: first.select("model", F.col("first.table").alias(f"table_{s}"), F.col("first.measure").alias(f"measure_{s}"), F.col("fp").alias(f"fp_{s}"))
     near = scored.join(names("a"), ["model", "fp_a"]).join(names("b"), ["model", "fp_b"])
-    equal = names("a").withColumnRenamed("fp_a", "fp").join(names("b").withColumnRenamed("fp_b", "fp"), ["model", "fp"]).where("(measure_a, table_a) < (measure_b, table_b)").withColumn("similarity", F.lit(100.0))
+    copies = m.select("model", "fp", F.col("table").alias("table_b"), F.col("measure").alias("measure_b"))
+    equal = first.select("model", "fp", F.col("first.table").alias("table_a"), F.col("first.measure").alias("measure_a")).join(copies, ["model", "fp"]).where("(measure_a, table_a) < (measure_b, table_b)").withColumn("similarity", F.lit(100.0))
     out = near.select("model", "table_a", "measure_a", "table_b", "measure_b", "similarity").unionByName(equal.select("model", "table_a", "measure_a", "table_b", "measure_b", "similarity"))
     first = F.struct("measure_a", "table_a") < F.struct("measure_b", "table_b")
     side = lambda n, x, y: F.when(first, F.col(x)).otherwise(F.col(y)).alias(n)

@@ -44,9 +44,19 @@ def closure(edges: DataFrame) -> DataFrame:
     return reach
 
 
+def between_calls(edges: DataFrame) -> DataFrame:
+    """The edges (model, a, b) left when objects that nothing calls, or that call nothing, are taken away again and again: circles and what joins them."""
+    kept, n = cut(edges), -1
+    while (now := kept.count()) != n:
+        n = now
+        called, calling = kept.select("model", F.col("b").alias("a")).distinct(), kept.select("model", F.col("a").alias("b")).distinct()
+        kept = cut(kept.join(called, ["model", "a"], "left_semi").join(calling, ["model", "b"], "left_semi").select("model", "a", "b"))
+    return kept
+
+
 def measure_cycles(c: Catalog) -> DataFrame:
     """model, measures: the sets of measures that call each other in a circle, those that call themselves included."""
-    reach = closure(measure_edges(c).toDF("model", "a", "b"))
+    reach = closure(between_calls(measure_edges(c).toDF("model", "a", "b")))
     mutual = reach.join(reach.select("model", F.col("a").alias("b"), F.col("b").alias("a")), ["model", "a", "b"], "left_semi")
     return mutual.groupBy("model", "a").agg(F.array_sort(F.collect_set("b")).alias("measures")).select("model", "measures").distinct()
 

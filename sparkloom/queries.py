@@ -195,6 +195,12 @@ def tab_iif_zn_ifnull(spark, d):
     return s.query({"l_returnflag": "[l_returnflag]"}, {"z": "SUM(ZN([open]))", "c": "COUNT([open])"})
 
 
+@registered("SELECT CAST(l_linenumber AS STRING) AS k, sum(coalesce(CASE WHEN l_linestatus = 'O' THEN l_quantity END, 1)) AS filled, count(CASE WHEN l_linestatus <> 'O' THEN 1 END) AS missing, count(CASE WHEN l_shipdate < now() THEN 1 END) AS past FROM lineitem GROUP BY 1")
+def tab_null_funcs(spark, d):
+    s = sheet(star(spark, d), "lineitem", calculated={"open": "IIF([l_linestatus] = 'O', [l_quantity])", "gone": "IIF([l_shipdate] < NOW() AND [l_shipdate] <= TODAY(), 1)"})
+    return s.query({"k": "STR([l_linenumber])"}, {"filled": "SUM(IFNULL([open], 1))", "missing": "COUNT(IIF(ISNULL([open]), 1))", "past": "COUNT([gone])"})
+
+
 @registered("SELECT p_brand, count(*) AS c FROM part WHERE contains(p_name, 'a') AND p_size IN (1, 2, 3, 4, 5) GROUP BY 1")
 def tab_contains_in(spark, d):
     return sheet(star(spark, d), "part").query({"p_brand": "[p_brand]"}, {"c": "COUNT([p_partkey])"}, where="CONTAINS([p_name], 'a') AND [p_size] IN (1, 2, 3, 4, 5)")

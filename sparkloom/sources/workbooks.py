@@ -48,6 +48,9 @@ def rows_of(root: ET.Element) -> Iterator[tuple]:
         if source == "Parameters":
             for c in ds.findall("column"):
                 yield "parameter", source, bare(c.get("name")), c.get("caption"), c.get("param-domain-type"), c.get("datatype"), c.get("value"), None
+                names = {a.get("key"): a.get("value") for a in c.iterfind("aliases/alias")}
+                for i, m in enumerate(c.iterfind("members/member")):
+                    yield "member", source, bare(c.get("name")), m.get("alias") or names.get(m.get("value")), None, None, m.get("value"), i
             continue
         connection = ds.find("connection")
         yield "source", source, ds.get("caption") or source, None if connection is None else connection.get("class"), None, None, None, None
@@ -62,12 +65,11 @@ def rows_of(root: ET.Element) -> Iterator[tuple]:
             formula = calculation.get("formula") if calculation is not None and calculation.get("class") == "tableau" else None
             yield "field", source, bare(c.get("name")), c.get("caption"), c.get("role"), c.get("datatype"), formula, None
         for g in ds.iter("group"):
-            for f in g.iter("groupfilter"):
-                m = re.search(r"ISMEMBEROF\('([^']*)'\)", f.get("expression") or "")
-                if m:
-                    for leaf in f.iter("groupfilter"):
-                        if leaf.get("function") == "member" and leaf.get("member"):
-                            yield "security", source, bare(leaf.get("level")), m[1], bare(g.get("name")), None, leaf.get("member").strip('"').replace("&quot;", ""), None
+            yield from _memberships(source, bare(g.get("name")), g)
+    for r in root.iter("datasource-relationship"):
+        for i, m in enumerate(r.iterfind("column-mapping/map")):
+            ends = [(field_of(m.get(x) or "") or (None, bare(m.get(x))))[1] for x in ("key", "value")]
+            yield "relationship", r.get("source"), ends[0], r.get("target"), None, None, ends[1], i
     for sheet in root.iter("worksheet"):
         name, mark = sheet.get("name"), sheet.find("./table/panes/pane/mark")
         yield "sheet", None, name, None if mark is None else mark.get("class"), None, None, None, None
@@ -75,11 +77,31 @@ def rows_of(root: ET.Element) -> Iterator[tuple]:
             for i, m in enumerate(REFERENCE.finditer(sheet.findtext(f"./table/{shelf}") or "")):
                 ref = field_of(m[0])
                 yield "shelf", ref[0], name, ref[1], shelf, m[2].split(":")[0] if m[2].count(":") == 2 else None, None, i
+        for i, e in enumerate(sheet.iterfind("./table/panes/pane/encodings/*")):
+            if ref := field_of(e.get("column") or ""):
+                yield "encoding", ref[0], name, ref[1], e.tag, None, None, i
         for f in sheet.findall("./table/view/filter"):
             if ref := field_of(f.get("column") or ""):
                 yield "filter", ref[0], name, ref[1], f.get("class"), None, None, None
 
 
+def _memberships(source: str, name: str, group: ET.Element) -> Iterator[tuple]:
+    """Security rows: the values that members of a directory group may see; one without a value where they may see none."""
+    todo = group.findall("groupfilter")
+    while todo:
+        node = todo.pop()
+        member = re.search(r"ISMEMBEROF\('([^']*)'\)", node.get("expression") or "")
+        if not member:
+            todo += node.findall("groupfilter")
+            continue
+        role = re.sub(r"\\([.\\])", r"\1", member[1])
+        for leaf in node.iter("groupfilter"):
+            if leaf.get("function") == "member":
+                yield "security", source, bare(leaf.get("level")), role, name, None, re.sub(r'^"(.*)"$', r"\1", leaf.get("member") or "", flags=re.S), None
+            elif leaf.get("function") == "empty-level":
+                yield "security", source, bare(leaf.get("member")), role, name, None, None, None
+
+
 def _relation(source: str, node: ET.Element, at: list[int]) -> Iterator[tuple]:
     """Leaves and joins in the order in which they are joined, the left side first."""
     kind = node.get("type")
@@ -122,7 +144,8 @@ def read_workbooks(spark: SparkSession, path: str) -> DataFrame:
 def datasource(workbooks: DataFrame, workbook: str, source: str, table: Callable[[str], DataFrame]) -> Sheet:
     """A data source as a runnable sheet; table() gives the DataFrame of a table's name.
 
-    Custom SQL and join conditions other than one equality are refused.
+    Custom SQL and join conditions other than one equality are refused. A column that both sides of a
+    join have keeps its name on the left and gets the right table's name, in brackets, on the right.
     """
     rows = workbooks.where((F.col("workbook") == workbook) & F.col("source").isin(source, "Parameters") & F.col("kind").isin("table", "join", "field", "parameter", "security")).collect()  # one source's definition
     stack: list[tuple[DataFrame, dict[str, str]]] = []
@@ -138,6 +161,8 @@ def datasource(workbooks: DataFrame, workbook: str, source: str, table: Callable
         if len(sides) != 2 or not all(sides):
             raise Refused("a join needs one equality of two columns")
         x, y = sides if sides[0] in left.columns else sides[::-1]
+        twice = {c: f"{c} ({next(iter(b))})" for c in right.columns if c in left.columns}
+        right, y = right.withColumnsRenamed(twice), twice.get(y, y)
         how = {"inner": "inner", "left": "left", "right": "right", "full": "full_outer"}[r.name]
         stack.append((left.join(right, left[x] == right[y], how), a | b))
     if len(stack) != 1:
@@ -150,6 +175,10 @@ def datasource(workbooks: DataFrame, workbook: str, source: str, table: Callable
 
 
 def security_roles(workbooks: DataFrame) -> DataFrame:
-    """workbook, role (a directory group), column, allowed: the values that each group's members may see, over all data sources."""
-    own = workbooks.where("kind = 'security'")
-    return own.groupBy("workbook", F.col("detail").alias("role"), F.col("name").alias("column")).agg(F.array_sort(F.collect_set("formula")).alias("allowed"))
+    """workbook, role (a directory group), table (null where no source tells), column, allowed: the values that each group's members may see.
+
+    Groups are united over all data sources of a workbook.
+    """
+    tables = workbooks.where("kind = 'column'").groupBy("workbook", "source", "name").agg(F.min("detail").alias("table"))
+    own = workbooks.where("kind = 'security'").join(tables, ["workbook", "source", "name"], "left")
+    return own.groupBy("workbook", F.col("detail").alias("role"), "table", F.col("name").alias("column")).agg(F.array_sort(F.collect_set("formula")).alias("allowed"))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import io
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
@@ -36,3 +39,28 @@ def cut(df: DataFrame) -> DataFrame:
             base = tempfile.mkdtemp(prefix="sparkloom-")
         sc.setCheckpointDir(base)
     return df.checkpoint()
+
+
+def stored_zips(rows: DataFrame, label: str, ending: str) -> str:
+    """A new folder in the shared one with a zip file <model>.<ending> for each row (model, member, text)."""
+    from pyarrow import fs
+
+    spark = rows.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sparkloom-")
+    base = base if "://" in base else f"file://{base}"
+    folder = f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+    def run(batches):
+        for batch in batches:
+            for model, member, text in zip(*(batch.column(c).to_pylist() for c in ("model", "member", "text")), strict=True):
+                files, path = fs.FileSystem.from_uri(f"{folder}/{model}.{ending}")
+                files.create_dir(path.rpartition("/")[0], recursive=True)
+                raw = io.BytesIO()
+                with zipfile.ZipFile(raw, "w") as z:
+                    z.writestr(member, text)
+                with files.open_output_stream(path) as out:
+                    out.write(raw.getvalue())
+            yield pa.RecordBatch.from_arrays([batch.column("model")], ["model"])
+
+    rows.select("model", "member", "text").mapInArrow(run, "model string").count()
+    return folder
