@@ -18,7 +18,7 @@ from .operators import audits, comparison, model_graph, references, reports
 from .sinks import text
 from .sources import reports as report_files
 from .sources.archives import from_parts
-from .sources.workbooks import read_workbooks, security_roles
+from .sources.workbooks import read_workbooks, relationship_keys, security_roles
 from .storage import stored_zips
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -409,7 +409,7 @@ WORKBOOK = """<workbook><datasources><datasource name="Parameters"><column name=
 <column name="[Net {k}]" caption="Net" role="measure" datatype="real"><calculation class="tableau" formula="[o_totalprice] * {k}"/></column>
 <group name="[RLS]"><groupfilter function="union"><groupfilter expression="ISMEMBEROF('team\\.{n}')" function="filter"><groupfilter function="member" level="[c_region]" member="&quot;{r}&quot;"/><groupfilter function="member" level="[c_region]" member="&quot;AAA&quot;"/></groupfilter><groupfilter expression="false" function="filter"/><groupfilter expression="ISMEMBEROF('none')" function="filter"><groupfilter function="empty-level" member="[c_region]"/></groupfilter></groupfilter></group></datasource>
 <datasource name="s2"><connection class="excel"><relation type="text" name="q">SELECT 1</relation></connection></datasource></datasources>
-<datasource-relationships><datasource-relationship source="s1" target="s2"><column-mapping><map key="[s1].[none:c_region:nk]" value="[s2].[none:area {k}:nk]"/></column-mapping></datasource-relationship></datasource-relationships>
+<datasource-relationships><datasource-relationship source="s1" target="s2"><column-mapping><map key="[s1].[yr:at:ok]" value="[s2].[yr:at:ok]"/><map key="[s1].[none:c_region:nk]" value="[s2].[none:area {k}:nk]"/></column-mapping></datasource-relationship></datasource-relationships>
 <worksheets><worksheet name="Sheet {n}"><table><view><filter class="categorical" column="[s1].[none:c_region:nk]"/></view><panes><pane><mark class="Bar"/><encodings><color column="[s1].[none:c_region:nk]"/></encodings></pane></panes><rows>[s1].[sum:Net {k}:qk]</rows><cols>[s1].[none:c_region:nk]</cols></table></worksheet></worksheets></workbook>"""
 
 
@@ -434,7 +434,7 @@ def rows_like(rows: list[tuple]) -> str:
 @registered(rows_like([
     ("parameter", "Parameters", "Rate {k}", "Rate", "list", "real", "0.{k}"), ("member", "Parameters", "Rate {k}", None, None, None, "1"), ("member", "Parameters", "Rate {k}", "two", None, None, "2"), ("source", "s1", "Sales {n}", "lake", None, None, None), ("source", "s2", "s2", "excel", None, None, None),
     ("column", "s1", "c_region", "customer", None, "string", "c_region"), ("field", "s1", "Net {k}", "Net", "measure", "real", "[o_totalprice] * {k}"), ("table", "s1", "orders", "[dbo].[orders]", "table", None, None), ("table", "s1", "customer", "[dbo].[customer]", "table", None, None), ("table", "s2", "q", None, "text", None, "SELECT 1"),
-    ("relationship", "s1", "c_region", "s2", None, None, "area {k}"), ("sheet", None, "Sheet {n}", "Bar", None, None, None), ("shelf", "s1", "Sheet {n}", "Net {k}", "rows", "sum", None), ("shelf", "s1", "Sheet {n}", "c_region", "cols", "none", None),
+    ("relationship", "s1", "at", "s2", "yr", "ok", "at"), ("relationship", "s1", "c_region", "s2", "none", "nk", "area {k}"), ("sheet", None, "Sheet {n}", "Bar", None, None, None), ("shelf", "s1", "Sheet {n}", "Net {k}", "rows", "sum", None), ("shelf", "s1", "Sheet {n}", "c_region", "cols", "none", None),
     ("encoding", "s1", "Sheet {n}", "c_region", "color", None, None), ("filter", "s1", "Sheet {n}", "c_region", "categorical", None, None),
 ]), tables=True)
 def src_workbook_rows(spark, d):
@@ -476,3 +476,34 @@ def sink_diagram(c):
 def sink_table_files(c):
     count = lambda what: F.regexp_count("content", F.lit(what)).cast("bigint")
     return text.table_files(c).select("model", "path", count("\n\tcolumn ").alias("n_columns"), count("\n\tmeasure ").alias("n_measures"))
+
+
+@registered(f"SELECT workbook, 's1' AS source, 's2' AS target, 'c_region' AS key, concat('area ', k) AS target_key, true AS ambiguous FROM {_NATIONS}", tables=True)
+def src_workbook_keys(spark, d):
+    return relationship_keys(workbooks(spark, d))
+
+
+@registered("SELECT model, false AS organised FROM base")
+def meta_page_organised(c):
+    return references.page_organised(c)
+
+
+@registered("SELECT model, role, tbl AS table_name, tbl AS named FROM rols WHERE tbl IS NOT NULL")
+def meta_role_tables(c):
+    return table(references.role_tables(c))
+
+
+@registered(f"""WITH gone AS (SELECT model, tbl, col FROM ({DISPOSITION}) WHERE verdict = 'Safe to delete' UNION SELECT p.model, o.tbl, o.col FROM ({PARAMETERS}) p JOIN own o ON o.model = p.model AND o.tbl = p.tbl WHERE used = false)
+SELECT model, CAST(sum(total_size) AS BIGINT) AS bytes FROM own JOIN gone USING (model, tbl, col) GROUP BY model""".replace("WITH gone AS", "SELECT * FROM (WITH gone AS", 1) + ")")
+def meta_reclaimed(c):
+    return reports.reclaimed(c)
+
+
+@registered("SELECT model, round(sum(total_size) / 1048576.0, 2) AS megabytes, round(sum(dictionary_size) / 1048576.0, 2) AS dictionary_megabytes FROM own GROUP BY model")
+def enc_totals(c):
+    return audits.total_sizes(c).select("model", "megabytes", "dictionary_megabytes")
+
+
+@registered(f"SELECT model, 'cleanup.tmdl' AS path, count(*) AS notes FROM (SELECT model FROM ({PARAMETERS}) WHERE used = false UNION ALL SELECT model FROM ({DISPOSITION}) d WHERE verdict = 'Safe to delete' AND NOT EXISTS (SELECT 1 FROM ({PARAMETERS}) p WHERE p.model = d.model AND p.tbl = d.tbl AND used = false)) GROUP BY model")
+def sink_cleanup_notes(c):
+    return text.cleanup_notes(c).select("model", "path", F.regexp_count("content", F.lit("// ")).cast("bigint").alias("notes"))

@@ -97,6 +97,12 @@ def sizes(c: Catalog, kind: str = "column", k: int = 20) -> DataFrame:
     return top.select("model", *names, N.megabytes(size).alias("megabytes") if kind != "cardinality" else F.col("cardinality").alias("distinct"))
 
 
+def total_sizes(c: Catalog) -> DataFrame:
+    """model, megabytes of all columns, and how much of them dictionaries and data take, where the catalog tells."""
+    own = c.user_columns.groupBy("model").agg(*(F.sum(x).alias(x) for x in ("total_size", "dictionary_size", "data_size")))
+    return own.where("total_size IS NOT NULL").select("model", N.megabytes("total_size").alias("megabytes"), N.megabytes("dictionary_size").alias("dictionary_megabytes"), N.megabytes("data_size").alias("data_megabytes"))
+
+
 def encoding_advice(c: Catalog) -> DataFrame:
     """Columns worth another encoding, a sort order, a split or no hierarchy; also megabytes, dictionary percent and distinct estimate.
 

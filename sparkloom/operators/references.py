@@ -137,3 +137,17 @@ def screens(c: Catalog) -> DataFrame:
     rows = counts.join(real, ["model", "table"], "left").withColumn("group", F.col("real").isNull())
     rows = rows.withColumn("any_group", F.max("group").over(Window.partitionBy("model"))).where("group OR NOT any_group")
     return rows.select("model", F.col("table").alias("screen"), F.expr("try_cast(nullif(regexp_extract(table, '^\\\\s*(\\\\d+)', 1), '') AS int)").alias("order"), "measures")
+
+
+def page_organised(c: Catalog) -> DataFrame:
+    """model, organised: whether two tables of measures alone, or more, hold at least four fifths of its measures."""
+    real = c.user_columns.select("model", "table").distinct().withColumn("real", F.lit(True))
+    counts = c.measures.groupBy("model", "table").agg(F.count(F.lit(1)).alias("n")).join(real, ["model", "table"], "left")
+    alone = F.col("real").isNull()
+    per_model = counts.groupBy("model").agg(F.count_if(alone).alias("groups"), F.sum(F.when(alone, F.col("n"))).alias("inside"), F.sum("n").alias("every"))
+    return c.tables.select("model").distinct().join(per_model, "model", "left").select("model", F.coalesce((F.col("groups") >= 2) & (F.col("inside") >= 0.8 * F.col("every")), F.lit(False)).alias("organised"))
+
+
+def role_tables(c: Catalog) -> DataFrame:
+    """model, role, table (with the filter), named: the tables that each role's filters name."""
+    return c.roles.select("model", "role", "table", F.explode(X.tables("filter")).alias("named")).distinct()

@@ -105,6 +105,15 @@ def cleanup_plan(c: Catalog) -> DataFrame:
     return tables.unionByName(columns.join(tables.select("model", "table"), ["model", "table"], "left_anti").select("model", "kind", "table", "column"))
 
 
+def reclaimed(c: Catalog) -> DataFrame:
+    """model, bytes: what the columns of the clean-up plan, and of its tables, take."""
+    plan = cleanup_plan(c)
+    whole = plan.where("kind = 'table'").select("model", "table")
+    single = plan.where("kind = 'column'").select("model", "table", "column")
+    gone = c.user_columns.join(whole, ["model", "table"], "left_semi").select("model", "total_size").unionAll(c.user_columns.join(single, ["model", "table", "column"], "left_semi").select("model", "total_size"))
+    return gone.groupBy("model").agg(F.sum(F.coalesce("total_size", F.lit(0))).alias("bytes"))
+
+
 def cleaned(c: Catalog) -> Catalog:
     """The catalog without the planned tables and columns, and without relationships that touch them."""
     plan = cleanup_plan(c)

@@ -73,6 +73,14 @@ def cleanup_script(c: Catalog) -> DataFrame:
     return out.select("model", F.lit("cleanup.csx").alias("path"), "content")
 
 
+def cleanup_notes(c: Catalog) -> DataFrame:
+    """model, path, content: the clean-up plan as comments of model files, tables first, then columns by table."""
+    path = F.concat(F.lit("definition/tables/"), F.col("table"), F.lit(".tmdl"))
+    line = F.when(F.col("kind") == "table", F.concat(F.lit("// delete "), path)).otherwise(F.concat(F.lit("// in "), path, F.lit(": delete column "), quoted("column")))
+    out = lines(cleanup_plan(c), "model", line=line, order=F.struct(F.col("kind") == "column", "table", "column"))
+    return out.select("model", F.lit("cleanup.tmdl").alias("path"), "content")
+
+
 def diagram(c: Catalog) -> DataFrame:
     """model, path, content: the relationships as a DOT graph; two-way filters have two heads, inactive ones are dashed."""
     name = lambda x: F.concat(F.lit('"'), F.replace(F.col(x), F.lit('"'), F.lit('\\"')), F.lit('"'))

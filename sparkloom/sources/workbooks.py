@@ -69,7 +69,8 @@ def rows_of(root: ET.Element) -> Iterator[tuple]:
     for r in root.iter("datasource-relationship"):
         for i, m in enumerate(r.iterfind("column-mapping/map")):
             ends = [(field_of(m.get(x) or "") or (None, bare(m.get(x))))[1] for x in ("key", "value")]
-            yield "relationship", r.get("source"), ends[0], r.get("target"), None, None, ends[1], i
+            derivation, _, kind = key if len(key := bare((m.get("key") or "").rpartition("].")[2]).split(":")) == 3 else (None, None, None)
+            yield "relationship", r.get("source"), ends[0], r.get("target"), derivation, kind, ends[1], i
     for sheet in root.iter("worksheet"):
         name, mark = sheet.get("name"), sheet.find("./table/panes/pane/mark")
         yield "sheet", None, name, None if mark is None else mark.get("class"), None, None, None, None
@@ -182,3 +183,14 @@ def security_roles(workbooks: DataFrame) -> DataFrame:
     tables = workbooks.where("kind = 'column'").groupBy("workbook", "source", "name").agg(F.min("detail").alias("table"))
     own = workbooks.where("kind = 'security'").join(tables, ["workbook", "source", "name"], "left")
     return own.groupBy("workbook", F.col("detail").alias("role"), "table", F.col("name").alias("column")).agg(F.array_sort(F.collect_set("formula")).alias("allowed"))
+
+
+def relationship_keys(workbooks: DataFrame) -> DataFrame:
+    """workbook, source, target, key, target_key, ambiguous: one pair of columns for each two data sources that are related.
+
+    A column without a derivation (none), and a nominal one (nk), is preferred; of equals the first counts.
+    """
+    score = (F.coalesce("role", F.lit("")) == "none").cast("int") + (F.coalesce("type", F.lit("")) == "nk").cast("int")
+    rows = workbooks.where("kind = 'relationship'").withColumn("pair", F.struct((-score).alias("s"), "position", F.col("name").alias("key"), F.col("formula").alias("target_key")))
+    best = rows.groupBy("workbook", "source", F.col("detail").alias("target")).agg(F.min("pair").alias("best"), (F.count_distinct("name", "formula") > 1).alias("ambiguous"))
+    return best.select("workbook", "source", "target", "best.key", "best.target_key", "ambiguous")
