@@ -713,14 +713,18 @@ class Join:
 
 
 def components(links: DataFrame, table: Callable = materialise) -> DataFrame:
-    """node, comp (the smallest node of its component) of all nodes with links (a, b)."""
+    """node, comp (the smallest node of its component) of all nodes with links (a, b).
+
+    What joins with the links is written before, so that Spark can split nodes with very many links.
+    """
     edges = table(links.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "components")
     state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
     while True:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
+        low = table(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m")), "components")
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        large = table(large, "components")
+        low = table(large.groupBy("a").agg(F.min("b").alias("m")), "components")
         small = large.join(low, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b"))).where("a != b").distinct()
         edges = table(small, "components")
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
