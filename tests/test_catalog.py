@@ -7,7 +7,7 @@ import sample_model as samples
 from sparkloom.catalog import Catalog
 from sparkloom.functions import expressions as X
 from sparkloom.functions import names as N
-from sparkloom.operators import audits, model_graph, references, reports
+from sparkloom.operators import audits, comparison, model_graph, references, reports
 from sparkloom.sources.archives import read_models
 
 
@@ -103,6 +103,23 @@ def test_cleaned_catalog(spark):
     assert after.relationships.count() == 3
 
 
+def test_source_escapes(spark):
+    for text, want in (("a#(0041)#(lf,0001F600)b", "aA\n\U0001F600b"), ("#(zz)#(#)(lf)#", "#(zz)#(lf)#"), ("#(cr, lf)#(tab)", "\r\n\t"), ("", "")):
+        assert one(spark, text, X.decoded(F.col("e"))) == want
+
+
+def test_words_of_names(spark):
+    for name, want in (("HTTPServer2Go", "HTTPServer,2,Go"), ("2ndPlace abc123def_x", "2nd,Place,abc,123def,x"), ("ÄrgerLevel-9 é", "ÄrgerLevel,9,é"), ("__", "")):
+        assert ",".join(one(spark, name, N.words("e"))) == want
+
+
+def test_copies_are_paired_with_the_first_only(spark):
+    rows = [("A", "SUM(T[amount]) - SUM(T[cost])"), ("B", "SUM( T[amount] ) - SUM(T[cost])"), ("C", "sum(T[amount]) - SUM(T[cost]) -- same"), ("D", "SUM(T[amount]) - SUM(T[cost]) + 0")]
+    m = spark.createDataFrame([("m", "T", n, e) for n, e in rows], "model string, table string, measure string, expression string")
+    got = {(r.measure_a, r.measure_b) for r in comparison.near_duplicate_measures(Catalog.empty(spark, measures=m)).collect()}
+    assert got == {("A", "B"), ("A", "C"), ("A", "D")}
+
+
 def test_self_diff_is_empty(spark):
     from sample_model import sample
     from sparkloom.operators import comparison

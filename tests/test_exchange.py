@@ -79,6 +79,24 @@ def test_workbooks_run(spark, tmp_path):
     assert len(files) == 1 and '\'people\'[region] IN {"North", "West"}' in files[0].content and files[0].path == "definition/roles/west_team.tmdl"
 
 
+def test_equal_column_names_of_a_join_keep_apart(spark, tmp_path):
+    (tmp_path / "a.twbx").write_bytes(archive({"a.twb": WORKBOOK}))
+    rows = workbooks.read_workbooks(spark, str(tmp_path))
+    book = rows.where("kind = 'source'").first().workbook
+    tables = {"orders": spark.createDataFrame([(1, 10.0, "o")], "cust int, amount double, region string"), "people": spark.createDataFrame([(1, "West")], "id int, region string")}
+    sheet = workbooks.datasource(rows, book, "ds1", tables.__getitem__)
+    got = sheet.query({"own": "[region]", "other": "[region (people)]"}, {"g": "[Gross]"}).collect()
+    assert [(r.own, r.other, r.g) for r in got] == [("o", "West", 20.0)]
+
+
+def test_groups_without_values_and_nested_groups():
+    from xml.etree import ElementTree as ET
+
+    group = ET.fromstring("""<group name='[g]'><groupfilter function='union'><groupfilter expression='false' function='filter'><groupfilter expression="ISMEMBEROF('a\\.b')"><groupfilter function='member' level='[r]' member='"x"'/></groupfilter></groupfilter>
+    <groupfilter expression="ISMEMBEROF('none')"><groupfilter function='empty-level' member='[r]'/></groupfilter></groupfilter></group>""")
+    assert sorted(r[2:4] + r[6:7] for r in workbooks._memberships("s", "g", group)) == [("r", "a.b", "x"), ("r", "none", None)]
+
+
 def test_field_references_of_workbooks():
     assert workbooks.field_of("[ds].[none:Region:nk]") == ("ds", "Region") and workbooks.field_of("[ds].[Region]") == ("ds", "Region") and workbooks.field_of("Region") is None
 
