@@ -4,14 +4,15 @@ The words of a batch of documents are laid end to end, each document with its ow
 closing symbol of its own, so one suffix array covers the batch and no match crosses documents. It is
 built by prefix doubling on ranks: each round sorts only the suffixes whose ranks still tie. The
 ranks of every round are kept, and the longest common prefix of neighbours in the suffix array
-follows from them by descending through the rounds. The intervals of the prefix array give, for each
-word, the longest substring there that occurs again; where it can't be extended to the left, it is a
-maximal repeated substring. Their spans are united, and a document is kept unless too large a
-fraction of its words is covered or its longest repeat is too long.
+follows from them by descending through the rounds. The intervals of the prefix array are the repeated
+substrings that can't be extended to the right; those before which different words stand are the
+maximal ones. Their spans are united, by the longest that starts at each word, and a document is kept
+unless too large a fraction of its words is covered or its longest repeat is too long.
 
 Words are runs without white space (space, \\t, \\n, \\v, \\f, \\r). Null, empty and blank texts have no
 words. Rows are judged one by one: repeated rows repeat, empty tables stay empty, further columns
-are ignored.
+are ignored. A chunk of texts, or one longer text, takes some 60 bytes a word in a task, and 4 more for
+each doubling of its longest repeat.
 """
 
 from __future__ import annotations
@@ -69,10 +70,32 @@ def suffix_array(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, lcp
 
 
-def repeats(words: list[list]) -> tuple[np.ndarray, np.ndarray]:
+def maximal_repeats(symbols: np.ndarray, order: np.ndarray, lcp: np.ndarray, least: int) -> np.ndarray:
+    """Rows (first, last, length) of the prefix array's intervals of at least `least` symbols with different symbols before their suffixes."""
+    at = np.flatnonzero(lcp >= least)
+    before = np.where(order > 0, symbols[order - 1], -1)
+    changes = np.cumsum(np.concatenate([[0], before[1:] != before[:-1]]))
+    found, stack, last = [], [], -2
+    for k, n in zip([*at.tolist(), -2], [*lcp[at].tolist(), 0], strict=True):
+        if k != last + 1:  # the run of neighbours that share so much has ended
+            found += [(first, last, length) for length, first in stack]
+            stack = []
+        first = k - 1
+        while stack and stack[-1][0] > n:
+            length, first = stack.pop()
+            found.append((first, k - 1, length))
+        if n and (not stack or stack[-1][0] < n):
+            stack.append((n, first))
+        last = k
+    rows = np.array(found, np.int64).reshape(-1, 3)
+    return rows[changes[rows[:, 1]] > changes[rows[:, 0]]]
+
+
+def repeats(words: list[list], least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each word of the documents, end to end: length of the longest substring starting there that its document has again.
 
-    Also each document's first word; a closing word of length 0 follows each document.
+    Also each document's first word (a closing word of length 0 follows each document), and a place of
+    every maximal repeated substring of at least `least` words.
     """
     symbols, starts, base = [], [], 0
     for doc in words:
@@ -82,10 +105,11 @@ def repeats(words: list[list]) -> tuple[np.ndarray, np.ndarray]:
         starts.append(len(symbols))
         symbols.append(base)
         base += 1
-    order, lcp = suffix_array(np.array(symbols, np.int64))
+    symbols = np.array(symbols, np.int64)
+    order, lcp = suffix_array(symbols)
     longest = np.empty(len(order), np.int64)
     longest[order] = np.maximum(lcp, np.append(lcp[1:], 0))
-    return longest, np.array([0, *(x + 1 for x in starts)])
+    return longest, np.array([0, *(x + 1 for x in starts)]), order[maximal_repeats(symbols, order, lcp, least)[:, 0]]
 
 
 def covered(longest: np.ndarray, least: int) -> np.ndarray:
@@ -98,8 +122,8 @@ def covered(longest: np.ndarray, least: int) -> np.ndarray:
     return np.cumsum(change[:-1]) > 0
 
 
-def maximal_spans(longest: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and lengths of maximal repeated substrings: those that a start one word earlier doesn't extend."""
+def spans_of(longest: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and lengths of the repeats that are united: the longest at each word, unless a start one word earlier extends it."""
     earlier = np.concatenate([[0], longest[:-1]])
     at = np.flatnonzero((longest >= least) & (earlier != longest + 1))
     return at, longest[at]
@@ -110,7 +134,7 @@ def measure(docs: DataFrame, key: str = "doc_id", text: str = "text", min_repeat
 
     n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (words in 3-word windows that occur
     twice or more), base_failed, n_covered (words in repeats of at least min_repeat words),
-    longest_repeat, n_maximal (maximal repeated substrings), kept. With spans=True also repeat_spans,
+    longest_repeat, n_maximal (distinct maximal repeated substrings of min_repeat words or more), kept. With spans=True also repeat_spans,
     an array of (start, length) in words.
     """
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_covered", "longest_repeat", "n_maximal"]
@@ -123,10 +147,10 @@ def measure(docs: DataFrame, key: str = "doc_id", text: str = "text", min_repeat
         for batch, texts in text_chunks(batches):
             raws = [t.encode("utf-8", "surrogatepass") for t in texts]
             words = [r.split() for r in raws]
-            longest, starts = repeats(words)
+            longest, starts, maximal = repeats(words, min_repeat)
             by_doc = lambda x: np.add.reduceat(x, starts[:-1], dtype=np.int64)
             in_windows = covered(np.where(longest >= 3, 3, 0), 3)
-            at, lengths = maximal_spans(longest, min_repeat)
+            at, lengths = spans_of(longest, min_repeat)
             owner = np.searchsorted(starts, at, "right") - 1
             got = {
                 "n_words": np.diff(starts) - 1,
@@ -136,7 +160,7 @@ def measure(docs: DataFrame, key: str = "doc_id", text: str = "text", min_repeat
                 "n_repeat_words": by_doc(in_windows),
                 "n_covered": by_doc(covered(longest, min_repeat)),
                 "longest_repeat": np.maximum.reduceat(longest, starts[:-1]),
-                "n_maximal": np.bincount(owner, minlength=len(texts)),
+                "n_maximal": np.bincount(np.searchsorted(starts, maximal, "right") - 1, minlength=len(texts)),
             }
             failed = (got["n_words"] < min_words) | (100 * got["n_repeat_words"] > 50 * got["n_words"])
             kept = ~failed & (got["n_covered"] <= max_covered * got["n_words"]) & (got["longest_repeat"] <= max_repeat)

@@ -193,6 +193,21 @@ def test_odd_rows_get_their_own_results(spark, odd, block_chars):
     assert by_key(clean, "text") == sorted([(k, t and re.sub(" hunter2hunter2 in to", "", t)) for k, t in ((r.doc_id, r.text) for r in odd.collect())], key=str)
 
 
+def test_maximal_repeats_equal_their_definition():
+    rng = random.Random(9)
+    for _ in range(200):
+        docs = [rng.choices("ab" if rng.random() < 0.5 else "abcd", k=rng.randint(0, 30)) for _ in range(3)]
+        least, want = rng.randint(1, 4), []
+        for d, w in enumerate(docs):
+            places = {}
+            for i in range(len(w)):
+                for j in range(i + least, len(w) + 1):
+                    places.setdefault(tuple(w[i:j]), []).append((w[i - 1] if i else ("begin", i), w[j] if j < len(w) else ("end", j)))
+            want.append(sum(len({x for x, _ in p}) > 1 and len({y for _, y in p}) > 1 for p in places.values() if len(p) > 1))
+        _, starts, maximal = repetition.repeats(docs, least)
+        assert np.bincount(np.searchsorted(starts, maximal, "right") - 1, minlength=3).tolist() == want
+
+
 def test_odd_rows_of_the_other_operators(spark, odd):
     found = by_key(secrets.secret_spans(odd), "n_assign", "n_access", "n_hex")
     assert found == sorted([(1, 1, 0, 0), (1, 1, 0, 0), (None, 1, 0, 0), (2, 0, 0, 0), (3, 0, 0, 0), (5, 0, 0, 0), (-6, 0, 0, 0)], key=str)
