@@ -97,6 +97,31 @@ QUERIES = {
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+_CRC = "xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(name, ''), lambda x: ord(x)::BIGINT)), lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, k: xor(x >> 1, 3988292384 * (x & 1)))))"
+
+
+def _edit(best: str, cost: str, letter: str, line: str = "''") -> str:
+    """SQL: best (k: six digits of cost, then the audit; o: the lines so far), after one more edit."""
+    return f"CASE WHEN {best} IS NOT NULL THEN {{'k': lpad(CAST(CAST(left({best}.k, 6) AS INT) + {cost} AS VARCHAR), 6, '0') || substr({best}.k, 7) || '{letter}', 'o': {best}.o || {line}}} END"
+
+
+def _inserted(s: str) -> str:
+    """SQL: the best of each state with turns inserted behind it, u0 to u3, from columns named s0 to s3."""
+    user, reply = "'user:' || chr(10)", "'assistant:' || chr(10)"
+    two = f"least({s}2, {', '.join(_edit(f'{s}{i}', '3', 'I', user) for i in (0, 1, 3))})"
+    return f"SELECT *, u2, least({s}3, {_edit('u2', '3', 'I', reply)}) AS u3 FROM (SELECT *, {s}0 AS u0, {s}1 AS u1, {two} AS u2"
+
+
+def _kept(before: str, initial: str) -> str:
+    return f"CASE WHEN f NOT IN (1, 2) AND i = '{initial}' THEN {_edit(before, 'extra', 'K', 'line')} END"
+
+
+def _other(before: str, role: str) -> str:
+    return f"CASE WHEN f NOT IN (1, 2) THEN {_edit(before, '3 + extra', 'R', f"'{role}:' || text || chr(10)")} END"
+
+
+_GONE = [_edit(f"u{i}", "4", "D") for i in range(4)]
+
 ORACLE_SQL: dict[str, str] = {
     "op1_decontaminate": rf"""
 WITH item_words AS (SELECT DISTINCT coalesce(CAST(item_id AS VARCHAR), '') AS item, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
@@ -131,4 +156,19 @@ CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>'
 p AS (SELECT *, substr(t, 1, lo) AS a, substr(t, lo + 1, hi - lo) AS m, substr(t, hi + 1) AS z FROM c)
 SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(lo AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(hi - lo AS BIGINT) END AS middle_chars,
 sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || a || '<S>' || z || '<M>' || m ELSE '<S>' || z || '<P>' || a || '<M>' || m END) AS output_sha256, sha256(t) AS restored_sha256 FROM p""",
+    "op13_conversations": rf"""
+WITH RECURSIVE named AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS name FROM conversations),
+fated AS (SELECT *, {_CRC} % 20 AS fate FROM named),
+spoilt AS (SELECT conv_id, turn, CASE fate WHEN 4 THEN 'user' ELSE role END AS role, CASE fate WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(range(CASE fate WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM fated),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text)) AS p FROM spoilt),
+flagged AS (SELECT *, left(role, 1) AS i, role || ':' || text || chr(10) AS line, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 1 WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY p) > 1 THEN 2 WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 3 ELSE 0 END AS f FROM placed),
+turns AS (SELECT *, CASE f WHEN 3 THEN 3 ELSE 0 END AS extra, lag(i) OVER (PARTITION BY conv_id ORDER BY p) || i AS pair FROM flagged),
+best(conv_id, p, s0, s1, s2, s3) AS (
+SELECT DISTINCT conv_id, 0::BIGINT, {{'k': '000000', 'o': ''}}, CAST(NULL AS STRUCT(k VARCHAR, o VARCHAR)), CAST(NULL AS STRUCT(k VARCHAR, o VARCHAR)), CAST(NULL AS STRUCT(k VARCHAR, o VARCHAR)) FROM conversations
+UNION ALL SELECT conv_id, p, {_GONE[0]}, least({_GONE[1]}, {_kept("u0", "s")}), least({_GONE[2]}, {", ".join(f"{_kept(f'u{b}', 'u')}, {_other(f'u{b}', 'user')}" for b in (0, 1, 3))}), least({_GONE[3]}, {_kept("u2", "a")}, {_other("u2", "assistant")})
+FROM ({_inserted("s")} FROM (SELECT b.conv_id, t.p, s0, s1, s2, s3, i, f, extra, line, text FROM best b JOIN turns t ON b.conv_id IS NOT DISTINCT FROM t.conv_id AND t.p = b.p + 1)))),
+ended AS (SELECT conv_id, least(u0, u3) AS e FROM ({_inserted("s")} FROM (SELECT conv_id, s0, s1, s2, s3 FROM best QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY p DESC) = 1)))),
+found AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (f = 1) AS blank, count(*) FILTER (f = 2) AS duplicate, count(*) FILTER (f = 3) AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM turns GROUP BY conv_id)
+SELECT e.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, CAST(left(e.k, 6) AS BIGINT) AS cost, substr(e.k, 7) AS audit, sha256(left(e.o, greatest(length(e.o) - 1, 0))) AS repaired_sha256
+FROM ended e LEFT JOIN found f ON e.conv_id IS NOT DISTINCT FROM f.conv_id""",
 }
