@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, conversation, decontaminate, fill_middle, html_main, langid, ngram_join, repetition, secrets, token_records, toxicity, warc
+from . import byte_bpe, conversation, decontaminate, fill_middle, html_main, langid, neighbours, ngram_join, repetition, secrets, token_records, toxicity, warc
 from .shared import prepare, shared_dir, table
 
 
@@ -69,6 +69,11 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 
 
+def op11_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     made = fill_middle.transform(table(spark, sf_dir, "documents"))
@@ -91,6 +96,7 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_language": op9_language,
     "op10_byte_bpe": op10_byte_bpe,
+    "op11_neighbours": op11_neighbours,
     "op12_fill_middle": op12_fill_middle,
     "op13_conversations": op13_conversations,
 }
