@@ -7,9 +7,9 @@ text and its result. Ranks, form and whether a text stays plain depend on a hash
 result is the same on any number of executors and after any restart.
 
 Null texts count as empty, and empty texts stay plain, as do texts that hold one of the marks. A null key
-hashes like empty text. What lies between two units belongs to the part of the unit before. Rows are handled
-one by one: repeated rows repeat, ties can't arise, empty tables give empty results, columns besides key and
-text are left out.
+hashes like empty text. What lies between two units belongs to the part of the unit before. A unit's
+pattern should not match nothing. Rows are handled one by one: repeated rows repeat, ties can't arise, empty
+tables give empty results, columns besides key and text are left out.
 """
 
 from __future__ import annotations
@@ -44,9 +44,9 @@ class Settings:
 def n_units(unit: re.Pattern[str], text: str) -> int:
     """First pass: how many units there are."""
     seen = count()
-    for _ in zip(unit.finditer(text), seen, strict=False):  # the matches go one by one; seen counts one more when they end
+    for _ in zip(unit.finditer(text), seen, strict=False):  # the matches come and go one by one
         pass
-    return next(seen) if text else 0
+    return next(seen)
 
 
 def ends(unit: re.Pattern[str], text: str, ranks: tuple[int, int]) -> Iterator[int]:
