@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import profile, relational
+from .plans.associative import Associations
 from .plans.sheets import Sheet
 from .plans.star import Relationship, StarModel
 
@@ -131,6 +132,22 @@ def widget_filter_select(spark, d):
     return star(spark, d).filter_values(("events", "event_type"), "events[value] > 50")
 
 
+#: Customers of two segments, by role, who live in a region and have ordered a small part; what each field's values have left.
+_SEEN = """WITH c AS (SELECT * FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY')), o AS (SELECT * FROM orders WHERE o_custkey IN (SELECT c_custkey FROM c)), l AS (SELECT * FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM o)),
+asian AS (SELECT n_nationkey FROM nation WHERE n_regionkey IN (SELECT r_regionkey FROM region WHERE r_name IN ('ASIA', 'EUROPE'))), small AS (SELECT p_partkey FROM part WHERE p_size <= 5),
+with_small AS (SELECT o_orderkey, o_custkey FROM o WHERE o_totalprice > 50000 AND o_orderkey IN (SELECT l_orderkey FROM l WHERE l_partkey IN (SELECT p_partkey FROM small)))"""
+
+
+@registered(f"""{_SEEN}
+SELECT 'customer[c_mktsegment]' AS field, c_mktsegment AS value, count(*) AS n_rows, CAST(count_if(c_nationkey IN (SELECT * FROM asian) AND c_custkey IN (SELECT o_custkey FROM with_small)) AS BIGINT) AS n_possible FROM c GROUP BY 2
+UNION ALL SELECT 'region[r_name]', r_name, count(*), CAST(count_if(r_regionkey IN (SELECT n_regionkey FROM nation WHERE n_nationkey IN (SELECT c_nationkey FROM c WHERE c_custkey IN (SELECT o_custkey FROM with_small)))) AS BIGINT) FROM region GROUP BY 2
+UNION ALL SELECT 'part[p_size]', CAST(p_size AS VARCHAR), count(*), CAST(count_if(p_partkey IN (SELECT l_partkey FROM l WHERE l_orderkey IN (SELECT o_orderkey FROM o WHERE o_totalprice > 50000 AND o_custkey IN (SELECT c_custkey FROM c WHERE c_nationkey IN (SELECT * FROM asian))))) AS BIGINT) FROM part GROUP BY 2
+UNION ALL SELECT 'lineitem[l_returnflag]', l_returnflag, count(*), CAST(count_if(l_partkey IN (SELECT * FROM small) AND l_orderkey IN (SELECT o_orderkey FROM o WHERE o_totalprice > 50000 AND o_custkey IN (SELECT c_custkey FROM c WHERE c_nationkey IN (SELECT * FROM asian)))) AS BIGINT) FROM l GROUP BY 2""")
+def widget_filter_related(spark, d):
+    chosen = {("region", "r_name"): ["ASIA", "EUROPE"], ("part", "p_size"): "part[p_size] <= 5", ("orders", "o_totalprice"): "orders[o_totalprice] > 50000"}
+    return Associations(star(spark, d), chosen, role="Segments").all_values([("customer", "c_mktsegment"), ("region", "r_name"), ("part", "p_size"), ("lineitem", "l_returnflag")])
+
+
 @registered(f"SELECT r_name, l_returnflag, round(sum(l_extendedprice * (1 - l_discount)), 2) AS rev {STAR} GROUP BY 1, 2")
 def rel_star_join(spark, d):
     s = sheet(star(spark, d), "lineitem", "orders", "customer", "nation", "region", calculated={"net": "[l_extendedprice] * (1 - [l_discount])"})

@@ -86,3 +86,44 @@ def test_rows_and_refusals(sheet):
     for bad in ({"m": "[v]"}, {"m": "SUM(SUM([v]))"}, {"m": "{FIXED [h]: SUM([v])}"}):
         with pytest.raises(Refused):
             sheet.query({"g": "[g]"}, bad)
+
+
+# --- associative filters ---
+
+
+def test_selections_reach_up_and_down(model):
+    from sparkloom.plans.associative import Associations
+
+    a = Associations(model, {("nations", "name"): ["N1"], ("sales", "tag"): ["a", None]})
+    assert rows(a.values(("customers", "region"))) == [("East", 1, 0), ("West", 1, 1)]
+    assert rows(a.values(("returns", "id"))) == [(1, 1, 1), (2, 1, 0)]
+    assert rows(a.values(("sales", "tag"))) == [("a", 2, 1), ("b", 1, 1), (None, 1, 0)]  # its own selection doesn't bear on it
+    assert rows(a.values(("nations", "name"))) == [("N1", 1, 1), ("N2", 1, 0)]
+    assert rows(Associations(model, {("sales", "id"): "sales[amount] > 6"}).values(("sales", "tag"))) == [("a", 2, 1), ("b", 1, 1), (None, 1, 1)]
+    assert rows(Associations(model, {}).values(("sales", "tag"))) == [("a", 2, 2), ("b", 1, 1), (None, 1, 1)]
+
+
+def test_roles_hide_rows_of_associations(model):
+    from sparkloom.plans.associative import Associations
+
+    west = Associations(model, {("customers", "region"): ["East", "West"]}, role="west")
+    assert rows(west.values(("sales", "tag"))) == [("a", 1, 1), ("b", 1, 1)]
+    assert rows(west.all_values([("customers", "region"), ("returns", "id")])) == [("customers[region]", "West", 1, 1), ("returns[id]", "1", 1, 1)]
+    assert rows(Associations(model, {("sales", "tag"): ["a"]}, role="n1").values(("customers", "region"))) == [("West", 1, 1)]
+
+
+def test_rows_of_associations_never_multiply(model):
+    from sparkloom.plans.associative import Associations
+
+    plan = Associations(model, {("sales", "tag"): ["a"], ("returns", "lost"): "returns[lost] > 0"}).values(("nations", "name"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Inner" not in plan and "Cross" not in plan and plan.count("LeftSemi") == 2
+
+
+def test_two_ways_to_a_selection_are_refused(model):
+    from sparkloom.plans.associative import Associations
+
+    twice = StarModel(model.tables, [*model.relationships, Relationship("sales", "id", "nations", "nation")])
+    with pytest.raises(Refused, match="2 paths"):
+        Associations(twice, {("nations", "name"): ["N1"]}).values(("customers", "region"))
+    with pytest.raises(Refused, match="unknown"):
+        Associations(model, {("nations", "nothing"): ["N1"]})
