@@ -13,9 +13,10 @@ the cheapest number of functions and the number of buckets to visit so that `rec
 are met. Every row is indexed, and no bucket is capped. Queries that met fewer than k rows, though there are more, are
 compared with all rows, in blocks.
 
-The leading functions of a table alone name a region. Rows are dealt by region, once for each table; a query goes
-to a region once, with all buckets that it visits there. Regions of many rows are split into blocks of about
-`BLOCK_ROWS`, and queries go to every block, so a task holds one block of rows and one batch of queries. Of equal
+The leading functions of a table, as many as keep queries to the fewest blocks of rows, name a region. Rows are
+dealt by region, once for each table; a query goes to a region once, with all buckets that it visits there.
+Regions are split into blocks of about `BLOCK_ROWS` rows, and queries go to every block of a region, so a task holds one
+block of rows and one batch of queries. Of equal
 vectors in one batch of rows only the k + 1 smallest ids are indexed: no others can be among k neighbours. A
 block's k best are exact in double precision; a query's best are merged over blocks and tables.
 
@@ -39,7 +40,7 @@ from pyspark.sql import functions as F
 from .shared import discard, materialise, sample_bound
 
 #: Rows of a region or block that a task holds at once.
-BLOCK_ROWS = 8192
+BLOCK_ROWS = 16_384
 #: Queries compared with a block, or with all rows, at once.
 QUERY_ROWS = 128
 #: Numbers of functions that fit() chooses from, and the most buckets of a table that a query visits.
@@ -282,12 +283,13 @@ def _fitted(d: int, n: int, longest: float, met: list[tuple[np.ndarray, np.ndarr
                 choices.append((cover[probes] + PROBE_COST * probes * tables, -m, index, probes, reached))
         width *= 2
     cost, _, index, probes, reached = min(choices, key=lambda x: x[:2])
-    leading = index.directions.shape[2]
-    for few in range(1, leading + 1):  # as few functions as give regions of fitting size
-        own = np.unique(index.names(np.floor(index.slots(shown)[0]).astype(np.int64)[:, :few], 0)[1], return_counts=True)[1] if len(shown) else np.ones(1)
-        if n * float((own**2).sum()) / own.sum() ** 2 <= BLOCK_ROWS:
-            leading = few
-            break
+    asked = [index.visits(index.slots(x[None], as_queries=True)[0], probes)[0] for x in q[:: max(1, len(q) // 16)]]
+    there, visited = np.floor(index.slots(shown)[0]).astype(np.int64), []
+    for few in range(index.directions.shape[2] + 1):  # leading functions with which queries go to the fewest blocks
+        names, held = np.unique(_mixed(there[:, :few], 0), return_counts=True)
+        blocks = dict(zip(names.tolist(), np.ceil(held * (n / max(1, len(shown))) / BLOCK_ROWS), strict=True))
+        visited.append(sum(blocks.get(r, 0) for x in asked for r in np.unique(_mixed(x[:, :few], 0)).tolist()))
+    leading = int(np.argmin(visited))
     return Index(index.longest, index.distance, index.width, index.directions, index.shift, leading, probes, reached)
 
 
