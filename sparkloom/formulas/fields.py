@@ -109,9 +109,9 @@ class Scope:
         if node[0] == "case":
             return ("case", again(node[1]), [(again(c), again(v)) for c, v in node[2]], again(node[3]))
         inner = again(node[3])
-        if any(x[0] == "lod" for x in walk(inner)):
-            raise Refused("nested level-of-detail expression")
-        return ("lod", node[1], node[2], inner)
+        if any(x[0] == "lod" and x[1] != "FIXED" for x in walk(inner)):
+            raise Refused("a level of detail in another is FIXED")
+        return ("lod", node[1], [again(d) for d in node[2]], inner)
 
 
 def is_aggregate(node) -> bool:
@@ -256,6 +256,8 @@ def to_dax(formula: str, table: str, known: frozenset[str] | None = None) -> tup
         if kind == "op":
             return f"MOD({show(node[2])}, {show(node[3])})" if node[1] == "%" else f"({show(node[2])} {node[1]} {show(node[3])})"
         if kind == "lod":
+            if any(x[0] == "lod" for x in walk(node[3])):
+                raise Refused("nested level-of-detail expression")
             dims = [name_of(d) for d in node[2]]
             inner = show(node[3])
             if node[1] == "FIXED":

@@ -275,6 +275,25 @@ def tab_lod_include(spark, d):
     return rounded(s.query({"o_orderpriority": "[o_orderpriority]"}, {"v": "{INCLUDE [o_custkey]: AVG([o_totalprice])}", "mx": "MAX({INCLUDE [o_custkey]: AVG([o_totalprice])})"}), v=4, mx=6)
 
 
+@registered("""WITH r AS (SELECT *, sum(l_quantity) OVER (PARTITION BY l_suppkey) AS s, avg(l_extendedprice) OVER (PARTITION BY l_returnflag, ship_year) AS f, median(l_quantity) OVER (PARTITION BY ship_year) AS md FROM (SELECT *, extract('year' FROM l_shipdate) AS ship_year FROM lineitem)),
+n AS (SELECT *, avg(s) OVER (PARTITION BY l_linestatus) AS nested FROM r), o AS (SELECT * FROM n WHERE l_quantity > 10),
+i AS (SELECT l_returnflag, l_linestatus, max(a) AS inc FROM (SELECT l_returnflag, l_linestatus, l_suppkey, avg(l_extendedprice) AS a FROM o GROUP BY 1, 2, 3) GROUP BY 1, 2),
+e AS (SELECT l_returnflag, sum(l_quantity) AS ex FROM o GROUP BY 1)
+SELECT l_returnflag, l_linestatus, sum(l_quantity) AS q, round(stddev_samp(l_extendedprice), 4) AS sd, count(DISTINCT l_partkey) AS parts, round(avg(f), 4) AS f, round(sum(CASE WHEN l_extendedprice > f THEN 1 ELSE 0 END)) AS above, round(max(nested), 4) AS nested, round(sum(md), 2) AS md, any_value(ex) AS ex, round(any_value(inc), 4) AS inc
+FROM o JOIN i USING (l_returnflag, l_linestatus) JOIN e USING (l_returnflag) GROUP BY 1, 2""")
+def tab_lod_lattice(spark, d):
+    s = sheet(star(spark, d), "lineitem", calculated={"year": "YEAR([l_shipdate])", "mean of year": "{FIXED [l_returnflag], [year]: AVG([l_extendedprice])}", "of supplier": "{FIXED [l_suppkey]: SUM([l_quantity])}"})
+    wanted = {"q": "SUM([l_quantity])", "sd": "STDEV([l_extendedprice])", "parts": "COUNTD([l_partkey])", "f": "AVG([mean of year])", "above": "SUM(IF [l_extendedprice] > [mean of year] THEN 1 ELSE 0 END)", "nested": "{FIXED [l_linestatus]: AVG([of supplier])}"}
+    wanted |= {"md": "SUM({FIXED [year]: MEDIAN([l_quantity])})", "ex": "{EXCLUDE [l_linestatus]: SUM([l_quantity])}", "inc": "MAX({INCLUDE [l_suppkey]: AVG([l_extendedprice])})"}
+    out = s.query({"l_returnflag": "[l_returnflag]", "l_linestatus": "[l_linestatus]"}, wanted, where="[l_quantity] > 10")
+    return rounded(out, sd=4, f=4, nested=4, md=2, inc=4)
+
+
+@registered("SELECT o_orderpriority, c_mktsegment, median(o_totalprice) AS md, median(CASE WHEN o_orderstatus = 'F' THEN o_totalprice END) AS filled, count(*) AS c FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2")
+def tab_median(spark, d):
+    return sheet(star(spark, d), "orders", "customer").query({"o_orderpriority": "[o_orderpriority]", "c_mktsegment": "[c_mktsegment]"}, {"md": "MEDIAN([o_totalprice])", "filled": "MEDIAN(IF [o_orderstatus] = 'F' THEN [o_totalprice] END)", "c": "COUNT([o_orderkey])"})
+
+
 @registered("SELECT l_returnflag, round(sum(l_extendedprice * (1 - l_discount)) / sum(l_quantity), 8) AS unit_rev FROM lineitem GROUP BY 1")
 def tab_nested_calc(spark, d):
     s = sheet(star(spark, d), "lineitem", calculated={"unit": "SUM([net]) / SUM([l_quantity])", "net": "[l_extendedprice] * [share]", "share": "1 - [l_discount]"})

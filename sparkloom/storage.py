@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import atexit
 import io
 import tempfile
 import uuid
 import zipfile
+from contextlib import suppress
 from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
+_folders: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
@@ -28,27 +31,52 @@ def ship(spark: SparkSession) -> None:
     sc.addPyFile(str(archive))
 
 
+def shared_folder(spark: SparkSession, label: str) -> str:
+    """The URI of a new folder in spark.checkpoint.dir, which driver and executors share; it goes when the driver ends in order.
+
+    A temporary folder stands in for that setting only in local runs that don't have it.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="sparkloom-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    base = base if "://" in base else f"file://{base}"
+    own = f"{base.rstrip('/')}/sparkloom-core-{spark.sparkContext.applicationId}"
+    if own not in _folders:
+        _folders.add(own)
+        atexit.register(_forget, spark, own)
+    return f"{own}/{label}-{uuid.uuid4().hex}"
+
+
+def _forget(spark: SparkSession, folder: str) -> None:
+    with suppress(Exception):  # the session may have ended before
+        discard(spark, folder)
+
+
+def discard(spark: SparkSession, folder: str) -> None:
+    """Delete a folder that nothing reads any more."""
+    sc = spark.sparkContext
+    place = sc._jvm.org.apache.hadoop.fs.Path(folder)
+    place.getFileSystem(sc._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """df, written to the checkpoint folder (spark.checkpoint.dir; a temporary one only in local runs that set none)."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        base = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not base:
-            if not sc.master.startswith("local["):
-                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-            base = tempfile.mkdtemp(prefix="sparkloom-")
-        sc.setCheckpointDir(base)
-    return df.checkpoint()
+    """df, written as Parquet in the shared folder and read back: its lineage ends there, and later scans can leave columns out."""
+    spark = df.sparkSession
+    folder = shared_folder(spark, "cut")
+    names = [f"_{i}" for i in range(len(df.columns))]  # columns may have any name
+    df.toDF(*names).write.parquet(folder)
+    stored = spark.read.schema(df.toDF(*names).schema).parquet(folder)
+    return stored.toDF(*df.columns)
 
 
 def stored_zips(rows: DataFrame, label: str, ending: str) -> str:
     """A new folder in the shared one with a zip file <model>.<ending> for each row (model, member, text)."""
     from pyarrow import fs
 
-    spark = rows.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sparkloom-")
-    base = base if "://" in base else f"file://{base}"
-    folder = f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    folder = shared_folder(rows.sparkSession, label)
 
     def run(batches):
         for batch in batches:
@@ -58,8 +86,10 @@ def stored_zips(rows: DataFrame, label: str, ending: str) -> str:
                 raw = io.BytesIO()
                 with zipfile.ZipFile(raw, "w") as z:
                     z.writestr(member, text)
-                with files.open_output_stream(path) as out:
+                part = f"{path}.{uuid.uuid4().hex}.part"  # whole or not there, however often a task is tried
+                with files.open_output_stream(part) as out:
                     out.write(raw.getvalue())
+                files.move(part, path)
             yield pa.RecordBatch.from_arrays([batch.column("model")], ["model"])
 
     rows.select("model", "member", "text").mapInArrow(run, "model string").count()

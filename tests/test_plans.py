@@ -127,3 +127,59 @@ def test_two_ways_to_a_selection_are_refused(model):
         Associations(twice, {("nations", "name"): ["N1"]}).values(("customers", "region"))
     with pytest.raises(Refused, match="unknown"):
         Associations(model, {("nations", "nothing"): ["N1"]})
+
+
+# --- medians and levels of detail ---
+
+
+@pytest.mark.parametrize("few", [0, 100])
+def test_exact_medians(spark, monkeypatch, few):
+    import random
+    from statistics import median
+
+    from sparkloom.plans import selection
+
+    monkeypatch.setattr(selection, "FEW", few)
+    rng = random.Random(4)
+    data = [(rng.choice(["a", "b", None]), rng.choice([1e-300, -1e300, 0.0, -0.0, 2.5, -2.5, 1e17, rng.gauss(0, 1), rng.gauss(0, 1e-9), None])) for _ in range(900)]
+    data += [("one", 7.0), ("none", None), ("two", 1.0), ("two", 2.0), ("same", 3.0), ("same", 3.0), ("even", 1.0), ("even", 1.0), ("even", 5.0), ("even", 9.0)]
+    df = spark.createDataFrame(data, "g string, v double")
+    groups = {}
+    for g, v in data:
+        groups.setdefault(g, []).append(v)
+    want = {g: median(own) if (own := [v for v in vs if v is not None]) else None for g, vs in groups.items()}
+    assert {r.g: r.m for r in selection.medians(df, ["g"], F.col("v"), "m").collect()} == want
+    every = [v for _, v in data if v is not None]
+    assert [tuple(r) for r in selection.medians(df, [], F.col("v"), "m").collect()] == [(median(every),)]
+    weighted = df.groupBy("g", "v").agg(F.count(F.lit(1)).alias("w"))
+    assert {r.g: r.m for r in selection.medians(weighted, ["g"], F.col("v"), "m", F.col("w")).collect()} == want
+
+
+def test_no_task_holds_a_groups_values(spark):
+    """Half of all rows in one group: what each pass reads is dealt by value, not by group."""
+    from sparkloom.plans import selection
+
+    df = spark.range(40_000).select(F.when(F.col("id") % 2 == 0, "hot").otherwise((F.col("id") % 97).cast("string")).alias("g"), F.hash("id").cast("double").alias("v"))
+    selection.FEW, before = 0, selection.FEW
+    try:
+        got = {r.g: r.m for r in selection.medians(df, ["g"], F.col("v"), "m").collect()}
+    finally:
+        selection.FEW = before
+    assert got == {r.g: r.m for r in df.groupBy("g").agg(F.median("v").alias("m")).collect()}
+
+
+def test_levels_share_one_grouping(spark):
+    df = spark.createDataFrame([("a", "x", 1.0, 1), ("a", "x", 3.0, 1), ("a", "y", 5.0, 2), ("b", "x", 7.0, 2), ("b", None, None, 3), (None, "y", 11.0, 3)], "g string, h string, v double, k int")
+    s = Sheet(df, {"of k": "{FIXED [k]: SUM([v])}", "big": "{FIXED [k]: SUM([v])} > 8"})
+    made = s.query({"g": "[g]"}, {"n": "{FIXED [g]: AVG({FIXED [g], [h]: SUM([v])})}", "all": "{FIXED : COUNT([v])}", "md": "MEDIAN([v])", "vr": "VAR([v])", "d": "COUNTD([h])"})
+    assert "LogicalRDD" not in (plan := made._jdf.queryExecution().optimizedPlan().toString()) and "LocalRelation" not in plan  # the rows themselves
+    assert rows(made) == [("a", 13 / 3, 5, 3.0, 4.0, 2), ("b", 7.0, 5, 7.0, None, 1), (None, 11.0, 5, 11.0, None, 1)]
+    got = {r.big: (r.s, r.f) for r in s.query({"big": "[big]"}, {"s": "SUM([v])", "f": "SUM([of k])"}).collect()}
+    assert got == {False: (4.0, 8.0), True: (23.0, 46.0)}
+    assert rows(s.query({"g": "[g]"}, {"s": "SUM([v])"}, where="[of k] > 4 AND [v] > 4")) == [("a", 5.0), ("b", 7.0), (None, 11.0)]
+    assert rows(s.rows_with({"k": "[k]", "share": "[v] / [of k]"}, where="[v] > 6")) == [(2, 7.0 / 12.0), (3, 1.0)]
+    assert rows(s.query({"g": "[g]"}, {"m": "MEDIAN({INCLUDE [h]: SUM([v])})", "e": "{EXCLUDE [g]: MEDIAN([v])}"})) == [("a", 4.5, 5.0), ("b", 7.0, 5.0), (None, 11.0, 5.0)]
+    with pytest.raises(Refused, match="FIXED"):
+        s.query({"g": "[g]"}, {"n": "{FIXED [g]: AVG({INCLUDE [h]: SUM([v])})}"})
+    with pytest.raises(Refused, match="aggregate"):
+        s.query({"g": "[g]"}, {"n": "{FIXED [g]: [v]}"})
