@@ -14,7 +14,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .syntax import Refused, parse_field, walk
+from .syntax import Refused, children, parse_field, walk
 
 #: Functions that need the order or the frame of a finished table. Fixed values.
 TABLE_CALCULATIONS = ("WINDOW_", "RUNNING_", "RANK", "INDEX", "LOOKUP", "TOTAL", "FIRST", "LAST", "PREVIOUS_VALUE", "SIZE")
@@ -77,7 +77,11 @@ class Scope:
         """The formula's tree with calculated fields put in place."""
         return self._inline(parse_field(formula), seen)
 
-    def _inline(self, node, seen):
+    def inlined(self, node, compiled: Mapping[str, tuple]):
+        """A parsed tree with calculated fields put in place, of which the trees are ready."""
+        return self._inline(node, (), compiled)
+
+    def _inline(self, node, seen, compiled: Mapping[str, tuple] = {}):
         if node[0] == "field":
             source, name = node[1], node[2]
             if source == "Parameters":
@@ -87,13 +91,15 @@ class Scope:
             if name in self.groups:
                 raise Refused(f"{name!r} is a security group; it becomes a role")
             if name in self.columns:
-                return node
+                return ("field", None, name)
+            if name in compiled:
+                return compiled[name]
             if name in self.calculated:
                 if name in seen:
                     raise Refused(f"calculated fields refer to each other: {' > '.join((*seen, name))}")
                 return self.tree(self.calculated[name], (*seen, name))
             raise Refused(f"unknown field {name!r}")
-        again = lambda x: self._inline(x, seen)
+        again = lambda x: self._inline(x, seen, compiled)
         if node[0] in ("lit", "table"):
             return node
         if node[0] == "call":
@@ -123,6 +129,22 @@ def has_aggregate(node) -> bool:
     return any(is_aggregate(x) or x[0] == "lod" for x in walk(node))
 
 
+def outside_levels(node):
+    """The nodes of a tree that stand in no level of detail."""
+    yield node
+    if node[0] != "lod":
+        for child in children(node):
+            yield from outside_levels(child)
+
+
+def checked(node, scope: Scope) -> None:
+    """Refuse what can't be a column, in the formula or in a level of detail inside it."""
+    for x in walk(node):
+        if x[0] == "lod":
+            to_column(x[3], scope, lambda y: F.lit(0) if y[0] == "lod" else None)
+    to_column(node, scope, lambda y: F.lit(0) if y[0] == "lod" else None)
+
+
 def is_text(node, scope: Scope) -> bool:
     kind = node[0]
     if kind == "lit":
@@ -192,7 +214,7 @@ def call(node, scope: Scope, again: Callable) -> Column:
     if name.startswith(TABLE_CALCULATIONS[:3]) or name in TABLE_CALCULATIONS:
         raise Refused(f"{name} is a table calculation")
     if is_aggregate(node):
-        if any(is_aggregate(x) for x in walk(args[0])):
+        if any(map(is_aggregate, outside_levels(args[0]))):
             raise Refused("aggregate of an aggregate")
         return AGGREGATES[name](again(args[0]))
     if name == "DATEDIFF":

@@ -14,6 +14,7 @@ MEDIAN is exact for groups of any size: selection.medians() takes the place of a
 from __future__ import annotations
 
 from collections.abc import Iterator, Mapping
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -56,90 +57,137 @@ class Sheet:
         """dimensions and measures: output name -> formula; where: a row-level condition."""
         dim_trees = {n: self.scope.tree(f) for n, f in dimensions.items()}
         trees = {n: self.scope.tree(f) for n, f in measures.items()}
-        condition = self.scope.tree(where) if where else None
-        every = [*dim_trees.values(), *trees.values(), *([condition] if condition else [])]
-        rowwise = [*dim_trees.values(), *([condition] if condition else [])]
-        grain = _Shared(self, every, rowwise) if any(map(_has_level, every)) else _Plain(self)
-        rows, fixed, _ = grain.attached()
-        row = lambda x: F.col(fixed[str(x)]) if str(x) in fixed else grain.part(x)
-        if condition:
-            rows = rows.where(fields.to_column(condition, self.scope, row))
-        dims = list(dim_trees)
-        rows = rows.withColumns({f"_dim{i}": fields.to_column(t, self.scope, row) for i, t in enumerate(dim_trees.values())})
-        keys = [F.col(f"_dim{i}").alias(n) for i, n in enumerate(dims)]
-        of_field = {str(t): n for n, t in dim_trees.items()}
-
-        plain: dict[str, Column] = {}  # aggregates on the sheet's own level
-        apart: list[tuple[DataFrame, list[str]]] = []  # other levels, and the dimensions that join them
-        stands: dict[str, str] = {}
-
-        def grouped(by: list[Column], names: list[str], tree, name: str, outer: tuple[str, list[str]] | None = None) -> DataFrame:
-            """A level: the tree's aggregates by some columns; outer: an aggregate of these by fewer."""
-            out, got = _aggregated(grain, rows.select("*", *by) if by else rows, names, tree, row, by)
-            value = fields.to_column(tree, self.scope, lambda x: F.col(got[str(x)]) if str(x) in got else None)
-            if outer is None:
-                return out.select(*(F.col(f"`{n}`") for n in names), value.alias(name))
-            fine = out.select(*(F.col(f"`{n}`") for n in names), value.alias("_value"))
-            if outer[0] == "MEDIAN":
-                return medians(fine, outer[1], F.col("_value"), name)  # of a finer level's values, each once
-            return fine.groupBy(*(F.col(f"`{n}`") for n in outer[1])).agg(fields.AGGREGATES[outer[0]](F.col("_value")).alias(name))
-
-        def level(node, outer: str) -> str:
-            name = f"_level{len(apart)}"
-            if node[1] == "INCLUDE":
-                more = [d for d in node[2] if str(d) not in of_field]
-                fine = [*keys, *(row_or(d).alias(f"_inc{i}") for i, d in enumerate(more))]
-                apart.append((grouped(fine, [*dims, *(f"_inc{i}" for i in range(len(more)))], node[3], name, (outer, dims)), dims))
-            else:
-                gone = {of_field.get(str(d)) for d in node[2]}
-                left = [n for n in dims if n not in gone]
-                apart.append((grouped([k for k, n in zip(keys, dims, strict=True) if n in left], left, node[3], name), left))
-            return name
-
-        row_or = lambda d: fields.to_column(d, self.scope, row)
+        question = Question(dim_trees, trees, self.scope.tree(where) if where else None)
+        grain = _Shared(self, question.trees(), question.rowwise()) if any(map(_has_level, question.trees())) else _Plain(self)
+        return _answer(self.scope, grain, question)
+
+    def answers(self, questions: Mapping) -> tuple[dict, dict]:
+        """Answers to several questions from one reading of the rows, and the reasons of those refused, by the questions' names.
+
+        Answers under a policy have a column _role.
+        """
+        refused, asked, out = {}, {}, {}
+        for name, q in questions.items():
+            try:
+                for tree in q.trees():
+                    fields.checked(tree, self.scope)
+                asked[name] = q
+            except Refused as reason:
+                refused[name] = str(reason)
+        if asked:
+            whole = [t for q in asked.values() for t in q.rowwise()] + [("field", None, q.policy[0]) for q in asked.values() if q.policy]
+            grain = _Shared(self, [t for q in asked.values() for t in q.trees()], whole)
+        for name, q in asked.items():
+            try:
+                out[name] = _answer(self.scope, grain, q)
+            except Refused as reason:
+                refused[name] = str(reason)
+        return out, refused
+
+
+@dataclass(frozen=True)
+class Question:
+    """Trees of dimensions and measures by output name, and of a filter.
+
+    policy: a column, and the values of it that each role sees (_role, _value). Every level of detail is then
+    a role's own, as what a role doesn't see is not there for it.
+    """
 
-        def collect(node) -> None:
-            """Give every aggregate and level of a measure a column."""
-            if str(node) in stands:
+    dimensions: dict
+    measures: dict
+    condition: tuple | None = None
+    policy: tuple[str, DataFrame] | None = None
+
+    def rowwise(self) -> list:
+        return [*self.dimensions.values(), *([self.condition] if self.condition else [])]
+
+    def trees(self) -> list:
+        return [*self.rowwise(), *self.measures.values()]
+
+
+def _answer(scope: fields.Scope, grain, question: Question) -> DataFrame:
+    dim_trees, trees, condition = question.dimensions, question.measures, question.condition
+    rows, fixed, _ = grain.attached(question.policy, question.trees())
+    row = lambda x: F.col(fixed[str(x)]) if str(x) in fixed else grain.part(x)
+    if condition:
+        rows = rows.where(fields.to_column(condition, scope, row))
+    role = ["_role"] if question.policy else []
+    dims = [*role, *dim_trees]
+    rows = rows.withColumns({f"_dim{i}": fields.to_column(t, scope, row) for i, t in enumerate(dim_trees.values())})
+    keys = [*map(F.col, role), *(F.col(f"_dim{i}").alias(n) for i, n in enumerate(dim_trees))]
+    of_field = {str(t): n for n, t in dim_trees.items()}
+
+    plain: dict[str, Column] = {}  # aggregates on the sheet's own level
+    apart: list[tuple[DataFrame, list[str]]] = []  # other levels, and the dimensions that join them
+    stands: dict[str, str] = {}
+
+    def grouped(by: list[Column], names: list[str], tree, name: str, outer: tuple[str, list[str]] | None = None) -> DataFrame:
+        """A level: the tree's aggregates by some columns; outer: an aggregate of these by fewer."""
+        out, got = _aggregated(grain, rows.select("*", *(c for c, n in zip(by, names, strict=True) if n != "_role")), names, tree, row)
+        value = fields.to_column(tree, scope, lambda x: F.col(got[str(x)]) if str(x) in got else None)
+        if outer is None:
+            return out.select(*(F.col(f"`{n}`") for n in names), value.alias(name))
+        fine = out.select(*(F.col(f"`{n}`") for n in names), value.alias("_value"))
+        if outer[0] == "MEDIAN":
+            return medians(fine, outer[1], F.col("_value"), name)  # of a finer level's values, each once
+        return fine.groupBy(*(F.col(f"`{n}`") for n in outer[1])).agg(fields.AGGREGATES[outer[0]](F.col("_value")).alias(name))
+
+    def level(node, outer: str) -> str:
+        name = f"_level{len(apart)}"
+        if node[1] == "INCLUDE":
+            more = [d for d in node[2] if str(d) not in of_field]
+            fine = [*keys, *(row_or(d).alias(f"_inc{i}") for i, d in enumerate(more))]
+            apart.append((grouped(fine, [*dims, *(f"_inc{i}" for i in range(len(more)))], node[3], name, (outer, dims)), dims))
+        else:
+            gone = {of_field.get(str(d)) for d in node[2]}
+            left = [n for n in dims if n not in gone]
+            apart.append((grouped([k for k, n in zip(keys, dims, strict=True) if n in left], left, node[3], name), left))
+        return name
+
+    row_or = lambda d: fields.to_column(d, scope, row)
+
+    def collect(node) -> None:
+        """Give every aggregate and level of a measure a column."""
+        if str(node) in stands:
+            return
+        if fields.is_aggregate(node):
+            inner = node[2][0]
+            if inner[0] == "lod" and inner[1] == "INCLUDE":
+                stands[str(node)] = level(inner, node[1])
                 return
-            if fields.is_aggregate(node):
-                inner = node[2][0]
-                if inner[0] == "lod" and inner[1] == "INCLUDE":
-                    stands[str(node)] = level(inner, node[1])
-                    return
-                if _nested(inner):
-                    raise Refused("aggregate of an aggregate")
-                if any(x[0] == "lod" and x[1] != "FIXED" for x in walk(inner)):
-                    raise Refused(f"{node[1]} over a level of detail inside an expression")
+            if _nested(inner):
+                raise Refused("aggregate of an aggregate")
+            if any(x[0] == "lod" and x[1] != "FIXED" for x in walk(inner)):
+                raise Refused(f"{node[1]} over a level of detail inside an expression")
+            stands[str(node)] = name = f"_agg{len(plain) + len(apart)}"
+            if node[1] == "MEDIAN":
+                value, weight = grain.values(inner, row)
+                apart.append((medians(rows.select(*keys, value.alias("_value"), weight.alias("_weight")), dims, F.col("_value"), name, F.col("_weight")), dims))
+            else:
+                plain[name] = grain.aggregate(node, row)
+        elif node[0] == "lod":
+            if node[1] == "FIXED":
+                if not {str(d) for d in node[2]} <= set(of_field):
+                    raise Refused("a FIXED level finer than the sheet needs an aggregate")
                 stands[str(node)] = name = f"_agg{len(plain) + len(apart)}"
-                if node[1] == "MEDIAN":
-                    value, weight = grain.values(inner, row)
-                    apart.append((medians(rows.select(*keys, value.alias("_value"), weight.alias("_weight")), dims, F.col("_value"), name, F.col("_weight")), dims))
-                else:
-                    plain[name] = grain.aggregate(node, row)
-            elif node[0] == "lod":
-                if node[1] == "FIXED":
-                    if not {str(d) for d in node[2]} <= set(of_field):
-                        raise Refused("a FIXED level finer than the sheet needs an aggregate")
-                    stands[str(node)] = name = f"_agg{len(plain) + len(apart)}"
-                    plain[name] = F.max(row(node))  # one value in each group
-                else:
-                    stands[str(node)] = level(node, "SUM")
-            elif node[0] == "field":
-                if str(node) not in of_field:
-                    raise Refused(f"[{node[2]}] stands outside of an aggregate")
-                stands[str(node)] = of_field[str(node)]
+                plain[name] = F.max(row(node))  # one value in each group
             else:
-                for child in _parts(node):
-                    collect(child)
-
-        for tree in trees.values():
-            collect(tree)
-        out = rows.groupBy(*keys).agg(*(c.alias(n) for n, c in plain.items())) if plain or not apart else rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-        for part, on in apart:
-            out = null_safe_join(out, part, on, "inner")
-        whole = lambda x: F.col(f"`{stands[str(x)]}`") if str(x) in stands else None
-        return out.select(*(F.col(f"`{n}`") for n in dims), *(fields.to_column(t, self.scope, whole).alias(n) for n, t in trees.items()))
+                stands[str(node)] = level(node, "SUM")
+        elif node[0] == "field":
+            if str(node) not in of_field:
+                raise Refused(f"[{node[2]}] stands outside of an aggregate")
+            stands[str(node)] = of_field[str(node)]
+        else:
+            for child in _parts(node):
+                collect(child)
+
+    for tree in trees.values():
+        collect(tree)
+    out = rows.groupBy(*keys).agg(*(c.alias(n) for n, c in plain.items())) if plain or not apart else rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+    for part, on in apart:
+        out = null_safe_join(out, part, on, "inner")
+    whole = lambda x: F.col(f"`{stands[str(x)]}`") if str(x) in stands else None
+    return out.select(*(F.col(f"`{n}`") for n in dims), *(fields.to_column(t, scope, whole).alias(n) for n, t in trees.items()))
 
 
 class _Plain:
@@ -148,7 +196,7 @@ class _Plain:
     def __init__(self, sheet: Sheet):
         self.sheet = sheet
 
-    def attached(self) -> tuple[DataFrame, dict[str, str], list]:
+    def attached(self, policy, trees) -> tuple[DataFrame, dict[str, str], list]:
         return self.sheet.rows, {}, []
 
     def part(self, node) -> None:
@@ -200,8 +248,6 @@ class _Shared:
         if node[0] == "lod":
             for d in node[2]:
                 self._atom(d)
-            if node[1] == "FIXED" and any(x[0] == "lod" and x[1] != "FIXED" for x in walk(node[3])):
-                raise Refused("a FIXED level of one that follows the sheet")
             self._visit(node[3])
             if node[1] == "FIXED" and str(node) not in map(str, self.levels):
                 self.levels.append(node)
@@ -251,13 +297,23 @@ class _Shared:
         variance = F.when(total > 1, F.try_divide(about, total - 1))
         return F.sqrt(variance) if name == "STDEV" else variance
 
-    def attached(self) -> tuple[DataFrame, dict[str, str], list[tuple[DataFrame, list[str]]]]:
-        """The grouping's rows with a column for every FIXED level, the columns' names, and the levels with what they group by."""
+    def attached(self, policy=None, trees: list | None = None) -> tuple[DataFrame, dict[str, str], list[tuple[DataFrame, list[str]]]]:
+        """The grouping's rows with a column for every FIXED level of the trees, the columns' names, and the levels with what they group by.
+
+        With a policy, the rows that each role sees, with the role.
+        """
         rows, names, levels = self.rows, {}, []
+        if policy:
+            seen = self._atom(("field", None, policy[0]))
+            rows = rows.join(policy[1], F.col(seen) == F.col("_value")).drop("_value")
+        role = ["_role"] if policy else []
         row = lambda x: F.col(names[str(x)]) if str(x) in names else self.part(x)
+        wanted = {str(x) for t in trees for x in walk(t)} if trees is not None else None
         for i, node in enumerate(self.levels):
-            dims = [self._atom(d) for d in node[2]]
-            out, got = _aggregated(self, rows, dims, node[3], row, None)
+            if wanted is not None and str(node) not in wanted:
+                continue
+            dims = [*role, *(self._atom(d) for d in node[2])]
+            out, got = _aggregated(self, rows, dims, node[3], row)
             value = fields.to_column(node[3], self.scope, lambda x, got=got: F.col(got[str(x)]) if str(x) in got else None)
             level = out.select(*(F.col(f"`{d}`") for d in dims), value.alias(f"_fixed{i}"))
             rows = _joined(rows, level, dims)
@@ -266,7 +322,7 @@ class _Shared:
         return rows, names, levels
 
 
-def _aggregated(grain, rows: DataFrame, names: list[str], tree, row, by: list[Column] | None) -> tuple[DataFrame, dict[str, str]]:
+def _aggregated(grain, rows: DataFrame, names: list[str], tree, row) -> tuple[DataFrame, dict[str, str]]:
     """The aggregates of a level's formula by the columns of these names, and the columns that hold them."""
     found = {str(x): x for x in _aggregates(tree)}
     if any(x[0] == "field" for x in _outside(tree)):

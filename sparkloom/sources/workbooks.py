@@ -2,7 +2,7 @@
 
 Spark reads the files, Python parses one workbook at a time into flat rows. datasource() then turns
 the rows of one data source into a runnable Sheet: its join tree becomes Spark joins, its calculated
-fields and parameters become the sheet's scope.
+fields and parameters become the sheet's scope. workbook_answers runs the sheets of many workbooks.
 """
 
 from __future__ import annotations
@@ -84,6 +84,19 @@ def rows_of(root: ET.Element) -> Iterator[tuple]:
         for f in sheet.findall("./table/view/filter"):
             if ref := field_of(f.get("column") or ""):
                 yield "filter", ref[0], name, ref[1], f.get("class"), None, None, None
+                yield from _chosen(ref, name, f)
+
+
+def _chosen(ref: tuple[str, str], sheet: str, f: ET.Element) -> Iterator[tuple]:
+    """A filter's chosen values (role except: the values it leaves out) and bounds; type: the derivation that they are of."""
+    parts = bare((f.get("column") or "").rpartition("].")[2]).split(":")
+    derivation = parts[0] if len(parts) == 3 else None
+    out = "except" if any(g.get("function") == "except" for g in f.iter("groupfilter")) else "member"
+    for i, g in enumerate(g for g in f.iter("groupfilter") if g.get("function") == "member"):
+        yield "choice", ref[0], sheet, ref[1], out, derivation, g.get("member"), i
+    for end in ("min", "max"):
+        if (value := f.findtext(end)) is not None:
+            yield "range", ref[0], sheet, ref[1], end, derivation, value.strip(), None
 
 
 def _memberships(source: str, name: str, group: ET.Element) -> Iterator[tuple]:
@@ -142,15 +155,22 @@ def read_workbooks(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInArrow(run, ", ".join(f"{c} string" for c in COLUMNS[:8]) + ", position int")
 
 
-def datasource(workbooks: DataFrame, workbook: str, source: str, table: Callable[[str], DataFrame]) -> Sheet:
-    """A data source as a runnable sheet; table() gives the DataFrame of a table's name.
+def literal(text: str | None):
+    """A value as workbooks write it: quoted text, a date between hashes, a number, or text."""
+    text = (text or "").strip()
+    if text[:1] in ("'", '"', "#"):
+        return text[1:-1]
+    return float(text) if re.fullmatch(r"-?\d+\.\d+", text) else int(text) if re.fullmatch(r"-?\d+", text) else text
+
+
+def join_tree(rows: list, table: Callable[[str], DataFrame]) -> DataFrame:
+    """The joined rows of a data source, from its table and join rows; table() gives the DataFrame of a table's name.
 
     Custom SQL and join conditions other than one equality are refused. A column that both sides of a
     join have keeps its name on the left and gets the right table's name, in brackets, on the right.
     """
-    rows = workbooks.where((F.col("workbook") == workbook) & F.col("source").isin(source, "Parameters") & F.col("kind").isin("table", "join", "field", "parameter", "security")).collect()  # one source's definition
     stack: list[tuple[DataFrame, dict[str, str]]] = []
-    for r in sorted((r for r in rows if r.kind in ("table", "join")), key=lambda r: r.position):
+    for r in sorted(rows, key=lambda r: r.position):
         if r.kind == "table":
             if r.role != "table":
                 raise Refused(f"{r.role} relation {r.name!r} is not a table")
@@ -162,17 +182,24 @@ def datasource(workbooks: DataFrame, workbook: str, source: str, table: Callable
         if len(sides) != 2 or not all(sides):
             raise Refused("a join needs one equality of two columns")
         x, y = sides if sides[0] in left.columns else sides[::-1]
+        if x not in left.columns or y not in right.columns:
+            raise Refused(f"no columns to join by {r.detail!r}")
         twice = {c: f"{c} ({next(iter(b))})" for c in right.columns if c in left.columns}
         right, y = right.withColumnsRenamed(twice), twice.get(y, y)
         how = {"inner": "inner", "left": "left", "right": "right", "full": "full_outer"}[r.name]
         stack.append((left.join(right, left[x] == right[y], how), a | b))
     if len(stack) != 1:
         raise Refused("the data source has no single join tree")
+    return stack[0][0]
+
+
+def datasource(workbooks: DataFrame, workbook: str, source: str, table: Callable[[str], DataFrame]) -> Sheet:
+    """A data source as a runnable sheet (see join_tree); only the rows that define it come to the driver."""
+    rows = workbooks.where((F.col("workbook") == workbook) & F.col("source").isin(source, "Parameters") & F.col("kind").isin("table", "join", "field", "parameter", "security")).collect()
     fields = [r for r in rows if r.kind == "field" and r.source == source and r.formula]
-    literal = lambda v: v[1:-1] if v[:1] in "\"'" else float(v) if re.fullmatch(r"-?\d+(\.\d+)?", v) else v
-    parameters = {n: literal(r.formula or "") for r in rows if r.kind == "parameter" for n in (r.name, r.detail) if n}
+    parameters = {n: literal(r.formula) for r in rows if r.kind == "parameter" for n in (r.name, r.detail) if n}
     calculated = {n: r.formula for r in fields for n in (r.name, r.detail) if n}
-    return Sheet(stack[0][0], calculated, parameters, frozenset(r.role for r in rows if r.kind == "security" and r.role))
+    return Sheet(join_tree([r for r in rows if r.kind in ("table", "join")], table), calculated, parameters, frozenset(r.role for r in rows if r.kind == "security" and r.role))
 
 
 def security_roles(workbooks: DataFrame) -> DataFrame:
