@@ -1,29 +1,38 @@
 """Main text of web pages by smoothed text-to-tag ratios.
 
 The standard library's parser streams its events; a page becomes a list of lines, one for each block
-of text between block-level tags, each with its text, the number of tags met since the line before,
-and the element that holds it. A line's text-to-tag ratio is smoothed with a Gaussian over its
-neighbours on the same side of the borders of articles and doubted elements, and lines above a threshold (a share of the
-ratios' standard deviation) are the content cluster. A region is an article or main element, or else
-the block element that directly holds a line; regions with a line of the cluster are content, and all
-their lines are kept, short ones too. Articles' ratios weigh more (ARTICLE), which decides nothing alone:
-an article without a line of the cluster goes, text beside articles that is in the cluster stays.
+of text between block-level tags, each with its text, how much of it links hold, the number of tags met since the line
+before, and the element that holds it. A line's ratio of text outside links to tags is smoothed with a Gaussian over its
+neighbours on the same side of the borders of articles and doubted elements. A region is an article or main element, or
+else the block element that directly holds a line; its ratio is the mean of its lines' smoothed ratios, weighted
+by their length, times the share of its text outside links, and articles' ratios weigh more (ARTICLE). Regions above a
+threshold (a share of the lines' standard deviation, at most the best region's ratio) are the content, with all their
+lines, short ones too. The page's own article is content whatever its ratio: a main element, an article with a
+heading of first order, or one without any heading that is the only one. (Articles with lesser headings alone are cards of
+other stories, which the ratios judge.) Beside it, regions count that hold at least a third as much text.
+
 Elements that by name or role are menus, headers, footers, sidebars, forms or dialogs never give
-lines, nor do scripts, styles and hidden parts. A class or id of noise words (menus, adverts, notices,
-comments) only makes a block element doubted: a region of its own, also inside an article, whose ratios
-weigh less (DOUBTED), so that dense text stays whatever its element is called. An element that holds an
-article or main element isn't doubted.
+lines, nor do scripts, styles and hidden parts. Outside articles, lists and regions of links mostly (LINKED, three links or more) are
+menus, which go if anything else is there. A class or id of noise words (menus, adverts, notices,
+comments) makes a block element doubted: a region of its own, also inside an article. Its text goes where there is an article
+outside of it, and within an article or on a page without one where undoubted text comes to more than a share of it
+(DOUBTED; for comments, to anything at all), so that a page or article whose text is wrongly named keeps it. An element
+that holds an article or main element isn't doubted.
 
 Null, empty and text-free pages give an empty text. Character references are decoded, white space
 inside a line becomes one space, lines are joined by one space; nothing is cut. Unclosed and
 misnested tags are closed by the next end tag of an element around them; a tag that the page's end
-cuts off is dropped. Repeated rows repeat in the result; further columns are ignored.
+cuts off is dropped. Repeated rows repeat in the result, ties can't arise, columns besides key, url and html are left out,
+so their names can't clash. Time and memory are in proportion to the page's length, however many tags stay open: about
+10 bytes a character and 250 bytes an open element, for one page at a time and a chunk's results.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html.parser import HTMLParser
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -46,38 +55,70 @@ NOISE_WORDS = frozenset(
 #: Of these, the words that say nothing inside an article, which has such parts itself.
 OWN_WORDS = frozenset("alert discussion header masthead notice notices".split())
 REGIONS = frozenset(("article", "main"))
-#: What the ratios of an article's lines, and of a doubted element's, are multiplied by.
-ARTICLE, DOUBTED = 2.0, 0.25
+#: What an article's ratio is multiplied by; the share of a doubted element's text that other text must come to.
+ARTICLE, DOUBTED = 2.0, 1 / 16
+#: Share of links that makes a list or region a menu. Share of the page's own article that a region beside it must come to.
+LINKED, BESIDE = 0.6, 1 / 3
 COMMENT_WORDS = frozenset(("comment", "comments"))
+REMARK_WORDS = COMMENT_WORDS | frozenset("discussion disqus replies respond".split())
+HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
+LISTS = frozenset(("ul", "ol", "dl", "table"))
 WORD = re.compile(r"[a-z]+|[0-9]+", re.I)
 CAMEL = re.compile(r"([a-z])([A-Z])")
 SPACE = re.compile(r"\s+")
+TAG = re.compile(r"<[/!?a-zA-Z]")
+
+
+class Line(NamedTuple):
+    """zone: the article or doubted element around the line, else 0. within: its innermost list, else 0."""
+
+    text: str
+    linked: int
+    links: int
+    tags: int
+    region: int
+    zone: int
+    within: int
+
+
+class Open(NamedTuple):
+    """An open element; block: the place in the stack of the innermost block element."""
+
+    name: str
+    region: int = 0
+    noise: bool = False
+    zone: int = 0
+    in_article: bool = False
+    within: int = 0
+    block: int = -1
 
 
 class Lines(HTMLParser):
-    """Collects (text, tags, region) lines from parser events."""
+    """Collects lines from parser events."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int, int]] = []  # text, tags, region, zone (article or doubted element, else 0)
-        self.stack: list[tuple[str, int, bool, int, bool]] = []  # name, region, noise, zone, in an article
+        self.lines: list[Line] = []
+        self.stack: list[Open] = []
+        self.open: Counter[str] = Counter()  # open elements by name
         self.parts: list[str] = []
-        self.tags = self.regions = 0
-        self.articles: set[int] = set()
-        self.doubted: dict[int, tuple[int, int, bool]] = {}  # region, zone and place in an article around it
+        self.tags = self.regions = self.linked = self.links = self.lists = 0
+        self.articles: dict[int, set[str]] = {}  # region -> main, and the headings in it
+        self.doubted: dict[int, tuple[int, int, bool, bool]] = {}  # region, zone and place in an article around it; whether it is remarks
         self.cleared: set[int] = set()  # doubted elements with an article inside
 
-    def _top(self) -> tuple[str, int, bool, int, bool]:
-        return self.stack[-1] if self.stack else ("", 0, False, 0, False)
+    def _top(self) -> Open:
+        return self.stack[-1] if self.stack else Open("")
 
     def _end_line(self) -> None:
         if self.parts:
             text = SPACE.sub(" ", "".join(self.parts)).strip()
             if text:
-                _, region, _, zone, _ = self._top()
-                self.lines.append((text, self.tags, region, zone))
+                top = self._top()
+                self.lines.append(Line(text, min(self.linked, len(text)), self.links, self.tags, top.region, top.zone, top.within))
                 self.tags = 0
             self.parts = []
+            self.linked = self.links = 0
 
     def _is_noise(self, tag: str, attrs: list[tuple[str, str | None]], in_article: bool) -> bool:
         if tag in NOISE or tag == "header" and not in_article:
@@ -95,44 +136,58 @@ class Lines(HTMLParser):
                 return True
         return False
 
-    def _is_doubted(self, tag: str, attrs: list[tuple[str, str | None]], in_article: bool) -> bool:
+    def _doubts(self, tag: str, attrs: list[tuple[str, str | None]], in_article: bool) -> bool | None:
+        """Whether a doubted element is by name one of remarks; None if it isn't doubted."""
         if tag in INLINE or tag in ("html", "body", "main"):
-            return False
+            return None
         signs = COMMENT_WORDS if tag == "article" else NOISE_WORDS - OWN_WORDS if in_article else NOISE_WORDS
         for name, value in attrs:
             if value and name in ("class", "id"):
                 for token in value.split():
                     words = WORD.findall(CAMEL.sub(r"\1 \2", token).lower())
                     if words and (signs.intersection(words[:1]) if tag == "article" else signs.issuperset(words)):
-                        return True
-        return False
+                        return not REMARK_WORDS.isdisjoint(words)
+        return None
 
     def handle_starttag(self, tag, attrs):
         self.tags += 1
-        name, region, noise, zone, in_article = self._top()
+        top = self._top()
         if tag not in INLINE:
             self._end_line()
-            if tag == "p" and next((x[0] for x in reversed(self.stack) if x[0] not in INLINE), "") == "p":
+            if tag == "p" and top.block >= 0 and self.stack[top.block].name == "p":
                 self._close("p")
-                name, region, noise, zone, in_article = self._top()
+                top = self._top()
+        elif tag == "a":
+            self.links += 1
         if tag in VOID:
             return
+        _, region, noise, zone, in_article, within, block = top
         noise = noise or self._is_noise(tag, attrs, in_article)
-        if not noise and attrs and self._is_doubted(tag, attrs, in_article):
+        remarks = self._doubts(tag, attrs, in_article) if attrs and not noise else None
+        if remarks is not None:
             self.regions += 1
-            self.doubted[self.regions] = (region, zone, in_article)
+            self.doubted[self.regions] = (region, zone, in_article, remarks)
             region = zone = self.regions
         elif tag in REGIONS and zone not in self.articles:
             self.regions += 1
-            region = zone = self.regions
-            self.articles.add(region)
             if not noise:
-                self.cleared.update(x[3] for x in self.stack if x[3] in self.doubted)
+                around = zone
+                while around in self.doubted and around not in self.cleared:
+                    self.cleared.add(around)
+                    around = self.doubted[around][1]
+                self.articles[self.regions] = {"main"} if tag == "main" else set()
+            region = zone = self.regions
             in_article = True
-        elif tag not in INLINE and tag not in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "blockquote", "pre", "ul", "ol", "tr", "td", "tbody") and not in_article:
+        elif tag in HEADINGS and zone in self.articles:
+            self.articles[zone].add(tag)
+        elif tag not in INLINE and tag not in HEADINGS and tag not in ("p", "li", "blockquote", "pre", "ul", "ol", "tr", "td", "tbody") and not in_article:
             self.regions += 1
             region = self.regions
-        self.stack.append((tag, region, noise, zone, in_article))
+        if tag in LISTS:
+            self.lists += 1
+            within = self.lists
+        self.open[tag] += 1
+        self.stack.append(Open(tag, region, noise, zone, in_article, within, block if tag in INLINE else len(self.stack)))
 
     def handle_startendtag(self, tag, attrs):
         self.tags += 1
@@ -140,37 +195,45 @@ class Lines(HTMLParser):
             self._end_line()
 
     def _close(self, tag: str) -> None:
-        for i in range(len(self.stack) - 1, -1, -1):
-            if self.stack[i][0] == tag:
-                del self.stack[i:]
+        while True:  # the tag is open
+            name = self.stack.pop().name
+            self.open[name] -= 1
+            if name == tag:
                 return
 
     def handle_endtag(self, tag):
         self.tags += 1
         if tag not in INLINE:
             self._end_line()
-        if any(x[0] == tag for x in self.stack):
+        if self.open[tag]:
             self._close(tag)
 
     def handle_data(self, data):
-        if not self._top()[2]:
+        if not self._top().noise:
             self.parts.append(data)
+            if self.open["a"]:
+                self.linked += len(data)
 
     def finish(self) -> None:
         # what remains of a tag that the page's end cut off isn't text
-        self.rawdata = re.sub(r"<[/!?a-zA-Z][^>]*\Z", "", self.rawdata)
+        if cut := TAG.search(self.rawdata, self.rawdata.rfind(">") + 1):
+            self.rawdata = self.rawdata[: cut.start()]
         self.close()
         self._end_line()
         self._clear()
 
     def _clear(self) -> None:
         """Lines of doubted elements that hold an article go to what is around these."""
-        for i, (text, tags, region, zone) in enumerate(self.lines):
-            while zone in self.cleared:
-                around, zone, in_article = self.doubted[zone]
-                if in_article:
-                    region = around
-            self.lines[i] = (text, tags, region, zone)
+        places: dict[tuple[int, int], tuple[int, int]] = {}
+        for i, line in enumerate(self.lines):
+            at, passed = (line.region, line.zone), []
+            while at[1] in self.cleared and at not in places:
+                passed.append(at)
+                around, zone, in_article, _ = self.doubted[at[1]]
+                at = (around if in_article else at[0], zone)
+            at = places.get(at, at)
+            places |= dict.fromkeys(passed, at)
+            self.lines[i] = line._replace(region=at[0], zone=at[1])
 
 
 def smooth(values: np.ndarray, sigma: float = 1.0) -> np.ndarray:
@@ -181,19 +244,60 @@ def smooth(values: np.ndarray, sigma: float = 1.0) -> np.ndarray:
     return full(values) / full(np.ones(len(values)))
 
 
+def without_doubted(parser: Lines) -> list[Line]:
+    """The lines without those of doubted elements that lose against other text."""
+    size: dict[int, int] = {}
+    for line in parser.lines:
+        size[line.zone] = size.get(line.zone, 0) + len(line.text)
+    articles = sum(n for zone, n in size.items() if zone in parser.articles)
+    undoubted = sum(n for zone, n in size.items() if zone not in parser.doubted)
+    lost = set()
+    for zone, (_, around, in_article, remarks) in parser.doubted.items():
+        against = size.get(around, 0) if in_article and around in parser.articles else undoubted
+        if zone in size and (articles and not in_article or against > (0 if remarks else DOUBTED * size[zone])):
+            lost.add(zone)
+    return [line for line in parser.lines if line.zone not in lost]
+
+
+def without_menus(lines: list[Line], articles: dict[int, set[str]]) -> list[Line]:
+    """The lines without lists and regions outside articles that are links mostly, if anything is left."""
+    sums: dict[tuple[str, int], list[int]] = {}
+    places = [(("list", x.within), ("region", x.region)) if x.zone not in articles else () for x in lines]
+    for line, at in zip(lines, places, strict=True):
+        for place in at:
+            own = sums.setdefault(place, [0, 0, 0])
+            own[0], own[1], own[2] = own[0] + len(line.text), own[1] + line.linked, own[2] + line.links
+    menus = {place for place, (n, linked, links) in sums.items() if place != ("list", 0) and links >= 3 and linked >= LINKED * n}
+    return [line for line, at in zip(lines, places, strict=True) if not menus.intersection(at)] or lines
+
+
+def own_articles(lines: list[Line], articles: dict[int, set[str]]) -> set[int]:
+    """The articles that are content whatever their ratio."""
+    there = {x.zone for x in lines if x.zone in articles}
+    bare = {r for r in there if not articles[r]}
+    return {r for r in there if articles[r] & {"main", "h1"}} or (bare if len(there) == 1 else set())
+
+
 def main_text(html: str, sigma: float = 1.0, share: float = 0.5) -> str:
     parser = Lines()
     parser.feed(html)
     parser.finish()
-    if not parser.lines:
+    lines = without_menus(without_doubted(parser), parser.articles)
+    if not lines:
         return ""
-    zones = np.array([x[3] for x in parser.lines])
-    weights = np.array([ARTICLE if z in parser.articles else DOUBTED if z else 1.0 for z in zones.tolist()])
-    runs = np.split(np.array([len(t) / max(1, n) for t, n, *_ in parser.lines]), np.flatnonzero(np.diff(zones)) + 1)
-    ratio = np.concatenate([smooth(run, sigma) for run in runs]) * weights
-    cluster = ratio >= min(share * ratio.std(), ratio.max())
-    regions = {r for (_, _, r, _), hit in zip(parser.lines, cluster, strict=True) if hit}
-    return " ".join(t for t, _, r, _ in parser.lines if r in regions)
+    zones = np.array([x.zone for x in lines])
+    runs = np.split(np.array([(len(x.text) - x.linked) / max(1, x.tags) for x in lines]), np.flatnonzero(np.diff(zones)) + 1)
+    ratio = np.concatenate([smooth(run, sigma) for run in runs])
+    sums: dict[int, list[float]] = {}
+    for line, r in zip(lines, ratio.tolist(), strict=True):
+        own = sums.setdefault(line.region, [0.0, 0, 0])
+        own[0], own[1], own[2] = own[0] + r * len(line.text), own[1] + len(line.text), own[2] + line.linked
+    scores = {region: (ARTICLE if region in parser.articles else 1.0) * total / n * (1 - linked / n) for region, (total, n, linked) in sums.items()}
+    least = min(share * float(ratio.std()), max(scores.values()))
+    kept = own_articles(lines, parser.articles)
+    beside = BESIDE * max((sums[r][1] for r in kept), default=0)
+    chosen = kept | {region for region, x in scores.items() if x >= least and sums[region][1] >= beside}
+    return " ".join(x.text for x in lines if x.region in chosen)
 
 
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", sigma: float = 1.0, share: float = 0.5) -> DataFrame:

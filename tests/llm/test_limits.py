@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 import numpy as np
 import public_tokenizers
@@ -121,26 +122,33 @@ def plain_main_text(html, sigma, share):
     parser = html_main.Lines()
     parser.feed(html)
     parser.finish()
-    lines = parser.lines
-    ratios = [len(t) / max(1, n) for t, n, *_ in lines]
+    lines = html_main.without_menus(html_main.without_doubted(parser), parser.articles)
+    if not lines:
+        return ""
+    ratios = [(len(x.text) - x.linked) / max(1, x.tags) for x in lines]
     reach, smoothed = max(1, int(2 * sigma)), []
-    for i, (_, _, _, zone) in enumerate(lines):
+    for i, line in enumerate(lines):
         total = weight = 0.0
         for side in (-1, 0, 1):
             for d in range(1, reach + 1) if side else (0,):
                 j = i + side * d
-                if not 0 <= j < len(lines) or lines[j][3] != zone:
+                if not 0 <= j < len(lines) or lines[j].zone != line.zone:
                     break
                 g = np.exp(-0.5 * (d / sigma) ** 2)
                 total, weight = total + g * ratios[j], weight + g
-        smoothed.append(total / weight * (html_main.ARTICLE if zone in parser.articles else html_main.DOUBTED if zone else 1.0))
-    if not lines:
-        return ""
+        smoothed.append(total / weight)
     mean = sum(smoothed) / len(smoothed)
     deviation = (sum((x - mean) ** 2 for x in smoothed) / len(smoothed)) ** 0.5
-    least = min(share * deviation, max(smoothed))
-    chosen = {lines[i][2] for i, x in enumerate(smoothed) if x >= least}
-    return " ".join(t for t, _, r, _ in lines if r in chosen)
+    score, size = {}, {}
+    for region in {x.region for x in lines}:
+        own = [(len(x.text), x.linked, r) for x, r in zip(lines, smoothed) if x.region == region]
+        size[region] = sum(n for n, _, _ in own)
+        score[region] = (2.0 if region in parser.articles else 1.0) * sum(n * r for n, _, r in own) / size[region] * (1 - sum(k for _, k, _ in own) / size[region])
+    least = min(share * deviation, max(score.values()))
+    kept = html_main.own_articles(lines, parser.articles)
+    most = max((size[r] for r in kept), default=0)
+    chosen = kept | {r for r in score if score[r] >= least - 1e-9 and 3 * size[r] >= most}
+    return " ".join(x.text for x in lines if x.region in chosen)
 
 
 def page(rng):
@@ -172,6 +180,52 @@ def test_ratios_decide_and_a_plain_version_agrees():
         assert html_main.main_text(html).count("told in full") == 6
 
 
+STORY = "<p>" + "A long paragraph of the story, told in full. " * 6 + "</p>"
+
+
+def test_short_articles_comments_notices_menus_and_sidebars():
+    text = html_main.main_text
+    said = STORY[3:-4].strip()
+    assert text(f"<article><h1>T</h1><p>Hi.</p></article><div>{STORY}</div>") == f"T Hi. {said}"
+    assert text(f"<main><p>Hi.</p></main><div>{STORY}</div>") == f"Hi. {said}"
+    dense = "<p>" + "I think so too, and more than that, for long. " * 30 + "</p>"
+    for noise in (f'<div class="comments">{dense}</div>', f'<section id="disqus">{dense}</section>', f'<article class="comment-body">{dense}</article>'):
+        assert text(f"<article><h1>T</h1>{STORY}{noise}</article>") == text(f"<article><h1>T</h1>{STORY}</article>{noise}") == f"T {said}"
+        assert text(f"<div>{STORY}</div>{noise}") == said
+    for notice in ('<div class="cookie-notice">', '<div class="gdpr-consent">', '<div id="newsletter-signup">'):
+        assert text(f"<article><h1>T</h1><p>Hi.</p></article>{notice}{dense}</div>") == "T Hi."
+    links = "".join(f'<li><a href="/{i}">Section number {i}</a></li>' for i in range(12))
+    for menu in (f"<ul>{links}</ul>", f"<div>{links}</div>", f"<div><ul>{links}</ul></div>", "<div>" + links.replace("<li>", "").replace("</li>", " ") + "</div>"):
+        assert text(f"{menu}<div>{STORY}</div>") == text(f"<div>{STORY}</div>{menu}") == said
+        assert text(f"{menu}<article><h1>T</h1>{STORY}</article>{menu}") == f"T {said}"
+    assert text(f"<div>{STORY}<ul>{links}</ul>{STORY}</div>") == f"{said} {said}"
+    assert text(f"<article><h1>T</h1>{STORY}<ul>{links}</ul></article>").endswith("Section number 11")  # an article's own list
+    assert text(f"<article><h1>T</h1>{STORY * 4}</article><div><h3>Popular</h3><p>Another story of these days.</p><p>And one more.</p></div>") == "T " + " ".join([said] * 4)
+    assert text('<article><div class="share">' + STORY + "</div></article>") == said  # wrongly named, but all there is
+
+
+def test_sample_pages_equal_an_extraction_by_expressions(spark):
+    """What stands in each page's article element, by regular expressions alone."""
+    import html as references
+
+    blocks = r"</?(?:p|br|h1|article|li|ul|div)\b[^>]*>"
+    for r in spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("html").collect():
+        inside = re.search(r"<article>(.*?)</article>", r.html, re.S)[1]
+        pieces = [references.unescape(re.sub(r"<[^>]+>", "", x)) for x in re.split(blocks, inside)]
+        assert html_main.main_text(r.html) == " ".join(y for x in pieces if (y := " ".join(x.split())))
+
+
+@pytest.mark.parametrize("piece", ["<b>", "<b><p>x", "<div>", '<div class="ad"><article>', "<a", "</b>", "<article>x", "<ul><li><a>x", "&", "<!-"])
+def test_time_grows_with_the_page(piece):
+    def seconds(n):
+        began = time.process_time()
+        html_main.main_text(piece * n)
+        return time.process_time() - began
+
+    seconds(1000)
+    assert seconds(600_000 // len(piece) + 1) < 20
+
+
 @pytest.fixture(scope="module")
 def odd(spark):
     text = "the of and password = hunter2hunter2 in to is that it was for on with as his they be at one"
