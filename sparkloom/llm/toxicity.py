@@ -2,26 +2,27 @@
 
 Features are the distinct words of a text and their beginnings, hashed. fit() joins a bounded sample
 of labelled rows (about `most_docs`, chosen by a 64-bit hash of the key, at any size of the table) with
-their texts. Spark counts the features of all of them; the `most_features` that separate the classes
-best, with a z-score of `least_z` or more and in three texts or more, get weights by Newton steps, and
-only these leave the tasks. Every sampled text that names a group is paired with copies in which the
-name is swapped for each other one of its kind and language, and every text with a copy into which one
-name is inserted; the fit penalises the squared change of the logit between the two, so that a neutral
+their texts. Spark counts the features of all of them; those that separate the classes with a z-score of `least_z` or more,
+in three texts or more, get weights, however many (features are 2**BITS at most), and so do all group
+names and what else an insertion of one brings, whether labels go with them or not. Every sampled text that names a group is
+paired with copies in which the name is swapped for each other one of its kind and language, and every text with a copy into
+which one name is inserted; the fit penalises the squared change of the logit between the two, so that a neutral
 mention of a group doesn't raise a score even where labels happen to go with it. A mention's pairs
-weigh one together, as does an insertion; Model.pairs and Model.insertions tell how many fit() used. predict() sums weights
-per text.
+weigh one together, as does an insertion; Model.pairs and Model.insertions tell how many fit() used. Weights are found by
+limited-memory quasi-Newton steps over sparse rows. predict() sums weights per text.
 
 Null and empty texts have no features and get the base score. Where a key has several labels the
 highest counts, where it has several texts one of them; null keys and labels are never learned from.
-Equal z-scores go by the feature's number. Without any labels the base score is low. Repeated rows get
-equal scores; further columns are ignored. A text takes a few times its size in a task.
+Without any labels the base score is low. Repeated rows get
+equal scores; further columns are ignored. A text takes a few times its size in a task; the driver holds the chosen features
+of the sample.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections import defaultdict
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, replace
 from itertools import chain
 
@@ -116,42 +117,66 @@ def insertion(words: set[bytes], identity: Sequence[Sequence[str]] = IDENTITY) -
     return [(words | {names[zlib.crc32(b" ".join(sorted(words))) % len(names)]}, 1.0)] if names and words else []
 
 
+def flat(lists: Sequence[Sequence[int]], chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The place of every listed feature among the chosen, and the number of the list it is in."""
+    sizes = np.array([len(x) for x in lists], np.int64)
+    return np.searchsorted(chosen, np.concatenate([np.asarray(x, np.int64) for x in lists]) if len(lists) else np.zeros(0, np.int64)), np.repeat(np.arange(len(sizes)), sizes)
+
+
 def solve(rows: list[np.ndarray], labels: np.ndarray, changes: dict[tuple[tuple[int, ...], tuple[int, ...]], float], chosen: np.ndarray, ridge: float, fairness: float) -> Model:
     """Weights of the chosen features (sorted): the least of the log loss, ridge / 2 times the squared weights, and
     fairness / 2 times the weighted squared changes of the logit. rows and changes hold chosen features only."""
-    n = len(rows)
+    n, k = len(rows), len(chosen)
     positive = float(labels.sum())
     base = np.log((positive + 0.5) / (n - positive + 4.5))
     if not n or positive in (0, n):
         return Model(float(base), np.zeros(0, np.int64), np.zeros(0))
-    x = np.zeros((n, len(chosen) + 1), np.float32)
-    x[:, -1] = 1
-    for i, own in enumerate(rows):
-        x[i, np.searchsorted(chosen, own)] = 1
-    place = {b: i for i, b in enumerate(chosen.tolist())}
-    fair = np.zeros((len(chosen) + 1, len(chosen) + 1))
-    for (before, after), weight in changes.items():
-        moved = [(place[b], sign) for some, sign in ((before, 1), (after, -1)) for b in some]
-        for i, a in moved:
-            for j, b in moved:
-                fair[i, j] += fairness * weight * a * b
-    penalty = np.full(len(chosen) + 1, ridge)
-    penalty[-1] = 1e-6
-    w = np.zeros(len(chosen) + 1)
-    w[-1] = base
-    for _ in range(25):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        gradient = x.T @ (p - labels) + penalty * w + fair @ w
-        hessian = (x * (p * (1 - p))[:, None].astype(np.float32)).T @ x + np.diag(penalty + 1e-6) + fair
-        step = np.linalg.solve(hessian.astype(float), gradient)
-        w -= step * min(1, 5 / max(np.abs(step).max(), 1e-12))
-        if np.abs(step).max() < 1e-6:
-            break
+    at, of = flat(rows, chosen)
+    (gone, gone_of), (came, came_of) = (flat([c[i] for c in changes], chosen) for i in (0, 1))
+    weight = fairness * np.array(list(changes.values()))
+
+    def objective(w: np.ndarray) -> tuple[float, np.ndarray]:
+        z = np.bincount(of, w[at], minlength=n) + w[-1]
+        moved = np.bincount(gone_of, w[gone], minlength=len(weight)) - np.bincount(came_of, w[came], minlength=len(weight))
+        value = np.logaddexp(0, z).sum() - (z * labels).sum() + ridge / 2 * (w[:-1] @ w[:-1]) + (weight * moved) @ moved / 2
+        rest, pull = 1 / (1 + np.exp(-np.clip(z, -500, 500))) - labels, weight * moved
+        gradient = np.append(np.bincount(at, rest[of], minlength=k) + np.bincount(gone, pull[gone_of], minlength=k) - np.bincount(came, pull[came_of], minlength=k) + ridge * w[:-1], rest.sum())
+        return float(value), gradient
+
+    start = np.zeros(k + 1)
+    start[-1] = base
+    w = least(objective, start)
     return Model(float(w[-1]), chosen, w[:-1])
 
 
-def separating(rows: DataFrame, most_features: int, least_z: float) -> np.ndarray:
-    """The features, sorted, that go with label (boolean) or its absence: at most most_features, counted over all rows."""
+def least(objective: Callable[[np.ndarray], tuple[float, np.ndarray]], w: np.ndarray, steps: int = 500, memory: int = 10, close: float = 1e-5) -> np.ndarray:
+    """Where a convex function, given with its gradient, is least: limited-memory quasi-Newton steps with backtracking."""
+    value, gradient = objective(w)
+    past: list[tuple[np.ndarray, np.ndarray, float]] = []
+    for _ in range(steps):
+        if np.abs(gradient).max() < close:
+            break
+        way, turns = -gradient, []
+        for s, y, r in reversed(past):
+            turns.append(r * (s @ way))
+            way = way - turns[-1] * y
+        if past:
+            s, y, _ = past[-1]
+            way = way * ((s @ y) / (y @ y))
+        for (s, y, r), turn in zip(past, reversed(turns), strict=True):
+            way = way + s * (turn - r * (y @ way))
+        slope, size = gradient @ way, 1.0 if past else 1 / np.abs(gradient).sum()
+        while (got := objective(w + size * way))[0] > value + 1e-4 * size * slope and size > 1e-12:
+            size /= 2
+        s, y = size * way, got[1] - gradient
+        if s @ y > 1e-14:
+            past = [*past[1 - memory :], (s, y, 1 / (s @ y))]
+        w, (value, gradient) = w + s, got
+    return w
+
+
+def separating(rows: DataFrame, least_z: float) -> np.ndarray:
+    """The features, sorted, that go with label (boolean) or its absence, counted over all rows."""
 
     def run(batches):
         for batch, texts in text_chunks(batches):
@@ -163,11 +188,11 @@ def separating(rows: DataFrame, most_features: int, least_z: float) -> np.ndarra
     if not total.n or total.rate in (0, 1):
         return np.zeros(0, np.int64)
     z = F.abs((F.col("hits") - F.col("seen") * total.rate) / F.sqrt(F.col("seen") * (total.rate * (1 - total.rate)) + 1e-9))
-    best = counts.select("feature", z.alias("z")).where(F.col("z") >= least_z).orderBy(F.desc("z"), "feature").limit(most_features)
-    return np.array(sorted(r.feature for r in best.collect()), np.int64)
+    best = counts.where(z >= least_z).select("feature").toArrow()  # 2**BITS rows at most
+    return np.sort(best.column("feature").to_numpy())
 
 
-def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", usable: Column | None = None, most_docs: int = 12_000, most_features: int = 600, least_z: float = 5.0, ridge: float = 0.3, fairness: float = 10.0, identity: Sequence[Sequence[str]] = IDENTITY) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", usable: Column | None = None, most_docs: int = 12_000, least_z: float = 4.0, ridge: float = 0.3, fairness: float = 10.0, identity: Sequence[Sequence[str]] = IDENTITY) -> Model:
     """Learn from about most_docs labelled rows; usable is a condition on the key; identity: group names by kind."""
     rows = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull() & (F.lit(True) if usable is None else usable))
     bound = sample_bound(rows.count(), most_docs)
@@ -176,7 +201,9 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     texts = docs.select(F.col(key).alias("key"), F.coalesce(text, F.lit("")).alias("text"))
     joined = texts.join(F.broadcast(rows), "key")  # about most_docs rows
     sample = materialise(joined.groupBy("key", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text")), "toxicity-sample").select("text", "label")
-    chosen = separating(sample, most_features, least_z)
+    chosen = separating(sample, least_z)
+    if len(chosen):
+        chosen = np.union1d(chosen, features({n.encode() for kind in identity for n in kind}))
 
     def run(batches):
         for batch, texts in text_chunks(batches):
@@ -195,7 +222,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
             kind = pa.list_(pa.struct([("gone", pa.list_(pa.int64())), ("came", pa.list_(pa.int64())), ("weight", pa.float64())]))
             yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array([np.intersect1d(r, chosen) for r in rows], pa.list_(pa.int64())), *(pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)), pa.array(first, kind)], ["label", "features", "pairs", "insertions", "changes"])
 
-    # about most_docs rows of at most most_features numbers
+    # about most_docs rows of chosen features
     got = sample.mapInArrow(run, "label boolean, features array<bigint>, pairs bigint, insertions bigint, changes array<struct<gone:array<bigint>,came:array<bigint>,weight:double>>").toArrow()
     own = [np.asarray(x.values if hasattr(x, "values") else x, np.int64) for x in got.column("features")] if got.num_rows else []
     changes: dict = defaultdict(float)
