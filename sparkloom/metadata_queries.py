@@ -96,6 +96,15 @@ def meta_bridges(c):
     return table(model_graph.with_bridges(c, two))
 
 
+@registered("""SELECT model, x.t AS table_name FROM base CROSS JOIN (VALUES ('Sales'), ('Metrics')) x(t) WHERE mod(k, 4) = 0 AND x.t = 'Metrics' OR x.t = 'Sales' UNION ALL
+SELECT model, t AS table_name FROM (SELECT model, k, max(CASE WHEN to_table = 'Country' THEN 1 ELSE 0 END) AS has_country, max(CASE WHEN from_table = 'Returns' AND to_table = 'Product' THEN 1 ELSE 0 END) AS product, max(CASE WHEN from_table = 'Returns' AND to_table = 'Date' THEN 1 ELSE 0 END) AS dated FROM rels GROUP BY model, k) r
+CROSS JOIN (VALUES ('Country'), ('Returns'), ('Customer'), ('Date')) x(t) WHERE (t = 'Country' AND has_country = 1) OR (t = 'Returns' AND mod(k, 3) = 0) OR (t = 'Customer' AND has_country = 1) OR (t = 'Date' AND dated = 1)""")
+def meta_bridges_far(c):
+    """From Sales, Country, Returns and Metrics: up to three tables between Country and Returns, none to a table of measures."""
+    far = c.tables.where(F.col("table").isin("Sales", "Country", "Returns", "Metrics")).select("model", "table")
+    return table(model_graph.with_bridges(c, far))
+
+
 @registered("SELECT model, mea AS measure, uses FROM edges")
 def meta_measure_edges(c):
     return references.measure_edges(c).select("model", "measure", "uses")

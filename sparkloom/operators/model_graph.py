@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..catalog import Catalog
@@ -60,20 +60,40 @@ def subject_areas(c: Catalog) -> DataFrame:
     return every.groupBy("model", "fact").agg(F.array_sort(F.collect_set("table")).alias("tables"))
 
 
-def with_bridges(c: Catalog, tables: DataFrame, hops: int = 1) -> DataFrame:
-    """model, table: the given tables and those on shortest paths between them with at most `hops` tables in between.
+def paths_from(starts: DataFrame, edges: DataFrame, most: int | None = None) -> DataFrame:
+    """model, start, table, depth, before: one shortest path from every start (model, start) to every table it reaches, as pointers back.
 
-    Of equally short paths the one whose names sort first counts.
+    Breadth first from all starts at once; each (start, table) is met once and keeps the table before it on the path
+    whose names, read from the start, sort first among the shortest. Steps are written apart and united when read. most: the longest path.
     """
-    edges = links(c)
-    paths = edges.join(tables.select("model", F.col("table").alias("a")), ["model", "a"], "left_semi").select("model", F.col("a").alias("start"), F.col("b").alias("end"), F.array("a", "b").alias("path"))
-    every = [paths]
-    for _ in range(hops):
-        step = every[-1].join(edges.select("model", F.col("a").alias("end"), "b"), ["model", "end"]).where(~F.array_contains("path", F.col("b")))
-        every.append(step.select("model", "start", F.col("b").alias("end"), F.concat("path", F.array("b")).alias("path")))
-    found = reduce(DataFrame.union, every).join(tables.select("model", F.col("table").alias("end")), ["model", "end"], "left_semi").where("start < end")
-    best = found.groupBy("model", "start", "end").agg(F.min(F.struct(F.size("path").alias("n"), "path")).alias("best"))
-    return tables.select("model", "table").union(best.select("model", F.explode("best.path"))).distinct()
+    first = starts.select("model", "start", F.col("start").alias("table"), F.lit(0).alias("depth"), F.lit(None).cast("string").alias("before"), F.lit(1).cast("long").alias("place"))
+    parts = [cut(first)]
+    while most is None or len(parts) <= most:
+        frontier, known = parts[-1], reduce(DataFrame.unionByName, parts).select("model", "start", "table")
+        step = frontier.join(edges.select("model", F.col("a").alias("table"), "b"), ["model", "table"]).groupBy("model", "start", F.col("b").alias("next")).agg(F.min(F.struct("place", F.col("table").alias("before"))).alias("best"))
+        new = step.select("model", "start", F.col("next").alias("table"), F.lit(len(parts)).alias("depth"), "best.before", F.col("best.place").alias("place")).join(known, ["model", "start", "table"], "left_anti")
+        order = Window.partitionBy("model", "start").orderBy("place", "table")  # of one step from one start: at most a model's tables
+        parts.append(cut(new.withColumn("place", F.row_number().over(order).cast("long"))))
+        if parts[-1].isEmpty():
+            break
+    return reduce(DataFrame.unionByName, parts).drop("place")
+
+
+def with_bridges(c: Catalog, tables: DataFrame, hops: int | None = None) -> DataFrame:
+    """model, table: the given tables and those on shortest paths between them (with at most `hops` tables in between, if given).
+
+    Of equally short paths the one counts whose names sort first, read from the end whose name does.
+    """
+    own = tables.select("model", "table").distinct()
+    paths = cut(paths_from(own.withColumnRenamed("table", "start"), links(c), None if hops is None else hops + 1))
+    at = paths.join(own, ["model", "table"], "left_semi").where("start < table").select("model", "start", F.col("before").alias("table"))
+    found = [own]
+    while True:  # back from the ends, all pairs at once: as often as the longest path has steps
+        at = cut(at.where("table <> start").distinct())
+        if at.isEmpty():
+            return reduce(DataFrame.union, found).distinct()
+        found.append(at.select("model", "table"))
+        at = at.join(paths.select("model", "start", "table", "before"), ["model", "start", "table"]).select("model", "start", F.col("before").alias("table"))
 
 
 def filter_edges(c: Catalog) -> DataFrame:
@@ -94,14 +114,12 @@ def role_reach(c: Catalog) -> DataFrame:
     secured = c.roles.where("table IS NOT NULL AND table <> ''").select("model", "role", F.col("table").alias("secured")).distinct()
     edges = filter_edges(c)
     start = secured.withColumn("table", F.col("secured")).withColumn("path", F.array("secured"))
-    reached, frontier = cut(start), start
-    while True:
-        step = frontier.join(edges.withColumnRenamed("a", "table"), ["model", "table"]).select("model", "role", "secured", F.col("b").alias("table"), F.concat("path", F.array("b")).alias("path"))
-        new = step.groupBy("model", "role", "secured", "table").agg(F.min("path").alias("path")).join(reached, ["model", "role", "secured", "table"], "left_anti")
-        frontier = cut(new.select("model", "role", "secured", "table", "path"))
-        if frontier.isEmpty():
-            break
-        reached = cut(reached.unionByName(frontier))
+    parts = [cut(start.select("model", "role", "secured", "table", "path"))]
+    while not parts[-1].isEmpty():  # each step is written once; what is known is their union
+        step = parts[-1].join(edges.withColumnRenamed("a", "table"), ["model", "table"]).select("model", "role", "secured", F.col("b").alias("table"), F.concat("path", F.array("b")).alias("path"))
+        known = reduce(DataFrame.unionByName, parts).select("model", "role", "secured", "table")
+        parts.append(cut(step.groupBy("model", "role", "secured", "table").agg(F.min("path").alias("path")).join(known, ["model", "role", "secured", "table"], "left_anti")))
+    reached = reduce(DataFrame.unionByName, parts)
     related = c.relationships.select("model", F.col("from_table").alias("secured"), F.col("to_table").alias("table"), "active").union(c.relationships.select("model", "to_table", "from_table", "active"))
     related = related.groupBy("model", "secured", "table").agg(F.max(F.coalesce("active", F.lit(True))).alias("any_active"))
     rows = secured.join(c.tables.select("model", "table").distinct(), "model").join(reached, ["model", "role", "secured", "table"], "left").join(related, ["model", "secured", "table"], "left")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..catalog import Catalog
 from ..functions import expressions as X
-from ..storage import cut
+from .components import components
 
 
 def expression_references(c: Catalog) -> DataFrame:
@@ -34,31 +34,10 @@ def measure_dependencies(c: Catalog) -> DataFrame:
     return every.select("model", "measure", F.coalesce("depends_on", none).alias("depends_on"), F.coalesce("used_by", none).alias("used_by"))
 
 
-def closure(edges: DataFrame) -> DataFrame:
-    """All pairs (model, a, b) with a path from a to b, by doubling: as many rounds as the longest path has binary digits."""
-    reach, n = cut(edges.select("model", "a", "b").distinct()), -1
-    while (now := reach.count()) != n:
-        n = now
-        onward = reach.select("model", F.col("a").alias("b"), F.col("b").alias("c"))
-        reach = cut(reach.union(reach.join(onward, ["model", "b"]).select("model", "a", F.col("c").alias("b"))).distinct())
-    return reach
-
-
-def between_calls(edges: DataFrame) -> DataFrame:
-    """The edges (model, a, b) left when objects that nothing calls, or that call nothing, are taken away again and again: circles and what joins them."""
-    kept, n = cut(edges), -1
-    while (now := kept.count()) != n:
-        n = now
-        called, calling = kept.select("model", F.col("b").alias("a")).distinct(), kept.select("model", F.col("a").alias("b")).distinct()
-        kept = cut(kept.join(called, ["model", "a"], "left_semi").join(calling, ["model", "b"], "left_semi").select("model", "a", "b"))
-    return kept
-
-
 def measure_cycles(c: Catalog) -> DataFrame:
     """model, measures: the sets of measures that call each other in a circle, those that call themselves included."""
-    reach = closure(between_calls(measure_edges(c).toDF("model", "a", "b")))
-    mutual = reach.join(reach.select("model", F.col("a").alias("b"), F.col("b").alias("a")), ["model", "a", "b"], "left_semi")
-    return mutual.groupBy("model", "a").agg(F.array_sort(F.collect_set("b")).alias("measures")).select("model", "measures").distinct()
+    own = components(measure_edges(c).toDF("model", "a", "b"))
+    return own.groupBy("model", "component").agg(F.array_sort(F.collect_set("v")).alias("measures")).select("model", "measures")
 
 
 def referenced_columns(c: Catalog, qualified: bool = False) -> DataFrame:
