@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import difflib
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -42,6 +43,39 @@ def structure_changes(base: Catalog, other: Catalog) -> DataFrame:
     return added.union(a.exceptAll(b).withColumn("change", F.lit("Removed")).withColumn("severity", F.lit("Medium")))
 
 
+def versions_of(c: Catalog, version: Column | int) -> DataFrame:
+    """model, version, kind, object, content (a hash of what counts) of a catalog's objects, for history()."""
+    told = lambda *columns: F.xxhash64(*(F.coalesce(F.col(x).cast("string") if isinstance(x, str) else x.cast("string"), F.lit("\0")) for x in columns))
+    rows = lambda df, kind, name, content: df.select("model", F.lit(kind).alias("kind"), name.alias("object"), content.alias("content"))
+    parts = [
+        rows(c.tables, "Table", F.col("table"), told("category", "expression")),
+        rows(c.user_columns, "Column", qualified(), told("data_type", "column_type", X.normalised(F.col("expression")))),
+        rows(c.measures, "Measure", qualified(column="measure"), told(X.normalised(F.col("expression")), "format")),
+        rows(c.relationships, "Relationship", F.concat(qualified("from_table", "from_column"), F.lit(" -> "), qualified("to_table", "to_column")), told("direction", "active", "from_cardinality", "to_cardinality")),
+    ]
+    # objects of the same name count as one, with all that is told of them
+    every = reduce(DataFrame.unionByName, parts).groupBy("model", "kind", "object").agg(F.xxhash64(F.array_sort(F.collect_list("content"))).alias("content"))
+    return every.withColumn("version", F.lit(version) if isinstance(version, int) else version)
+
+
+def history(objects: DataFrame) -> DataFrame:
+    """model, version, kind, object, change (added, changed, removed): what each version of a model does to the one before it.
+
+    objects: model, version (an ordered number), kind, object, content, for any number of versions; a model's first one
+    is where it begins. Objects are compared by content alone, each version with its neighbour, in one pass over the rows of an object,
+    so n versions cost one shuffle.
+    """
+    known = objects.select("model", "version").distinct()
+    order = Window.partitionBy("model").orderBy("version")  # a model's versions, not its objects
+    steps = known.select("model", "version", F.lag("version").over(order).alias("before"), F.lead("version").over(order).alias("next"))
+    own = Window.partitionBy("model", "kind", "object").orderBy("version")
+    rows = objects.join(steps, ["model", "version"]).withColumns({"seen": F.lag("version").over(own), "was": F.lag("content").over(own), "again": F.lead("version").over(own)})
+    here = F.when(F.col("before").isNull(), None).when(~F.col("seen").eqNullSafe(F.col("before")), "added").when(F.col("was") != F.col("content"), "changed")
+    gone = F.when(F.col("next").isNotNull() & ~F.col("again").eqNullSafe(F.col("next")), "removed")
+    found = F.explode(F.array(F.struct("version", here.alias("change")), F.struct(F.col("next").alias("version"), gone.alias("change")))).alias("c")
+    return rows.select("model", "kind", "object", found).where("c.change IS NOT NULL").select("model", "c.version", "kind", "object", "c.change")
+
+
 @F.pandas_udf(T.DoubleType())
 def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() * 100 for x, y in zip(a, b, strict=True)])

@@ -1,19 +1,21 @@
 """Model and report archives into a catalog: zip files read by Spark, their JSON parsed by Spark.
 
-Python only unzips, one archive at a time, file by file; sections are parsed with explicit schemas in
+Python only unzips, one member at a time; sections are parsed with explicit schemas in
 the JVM. Archives that can't be read give a row in `problems` instead of failing the job.
 """
 
 from __future__ import annotations
 
-import io
+import lzma
 import zipfile
+import zlib
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..catalog import SCHEMAS, Catalog
+from ..storage import opened, ship
 
 MODEL_PARTS = ("Model.bim", "DaxVpaView.json", "DaxModel.json")
 BIM = """struct<model: struct<tables: array<struct<name: string, dataCategory: string, isHidden: boolean,
@@ -32,31 +34,59 @@ VPA = """struct<
   ColumnsSegments: array<struct<TableName: string, ColumnName: string, CompressionType: string, BitsCount: int>>>"""
 
 
+#: What zipfile raises for archives that it can't read: damage, encryption, unknown packing, ends too early.
+UNREADABLE = (zipfile.BadZipFile, zlib.error, lzma.LZMAError, RuntimeError, EOFError, OSError, ValueError)
+
+
+def listed_files(spark: SparkSession, path: str) -> DataFrame:
+    """path and length of the files under a path, without their content; empty ones too, which Spark's scans leave out."""
+    files = spark.read.format("binaryFile").load(path).select("path", "length")
+    place = lambda c: F.regexp_replace(c, "^file:/+", "file:/")
+    names = spark.createDataFrame([(x,) for x in files.inputFiles()], "name string").select(place(F.url_decode(F.replace("name", F.lit("+"), F.lit("%2B")))).alias("name"))  # what the file index holds on the driver as well
+    return names.join(files, F.col("name") == place(F.col("path")), "left").select(F.coalesce("path", "name").alias("path"), F.coalesce("length", F.lit(0).cast("long")).alias("length"))
+
+
 def parts_of(files: DataFrame, parts: tuple[str, ...] = MODEL_PARTS) -> DataFrame:
-    """path, part, text, problem: the wanted members of zip files (path, content), as UTF-8 without a mark."""
+    """path, part, text, problem: the wanted members of zip files (path, length), as UTF-8 without a mark.
+
+    A task opens one archive at a time and reads its directory and these members alone, by their places, so an archive may
+    be larger than memory; a member may not.
+    """
+
+    def member(z: zipfile.ZipFile, path: str, part: str, names: dict[str, str]) -> tuple:
+        if part not in names:
+            return path, part, None, f"{part} is missing"
+        try:
+            return path, part, z.read(names[part]).decode("utf-8-sig", "ignore"), None
+        except UNREADABLE as why:
+            locked = isinstance(why, RuntimeError) and not isinstance(why, NotImplementedError)
+            return path, part, None, f"{part} is encrypted" if locked else f"{part} can't be unpacked"
 
     def run(batches):
         for batch in batches:
-            for path, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
-                rows: list[tuple] = []
-                try:
-                    with zipfile.ZipFile(io.BytesIO(content.as_py() or b"")) as z:
-                        names = {n.rsplit("/", 1)[-1]: n for n in z.namelist()}
-                        for part in parts:
-                            if part in names:
-                                rows.append((path, part, z.read(names[part]).decode("utf-8-sig", "ignore"), None))
-                            else:
-                                rows.append((path, part, None, f"{part} is missing"))
-                except zipfile.BadZipFile:
-                    rows.append((path, None, None, "empty file" if not content.as_py() else "not a zip file"))
+            for path, length in zip(batch.column("path").to_pylist(), batch.column("length").to_pylist(), strict=True):
+                if not length:
+                    rows = [(path, None, None, "empty file")]
+                else:
+                    try:
+                        files, place = opened(path)
+                        with files.open_input_file(place) as raw, zipfile.ZipFile(raw) as z:
+                            names = {n.rsplit("/", 1)[-1]: n for n in z.namelist()}
+                            rows = [member(z, path, part, names) for part in parts]
+                    except UNREADABLE:
+                        rows = [(path, None, None, "not a zip file")]
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in zip(*rows, strict=True)], ["path", "part", "text", "problem"])
 
-    return files.select("path", "content").mapInArrow(run, "path string, part string, text string, problem string")
+    ship(files.sparkSession)
+    return files.select("path", "length").mapInArrow(run, "path string, part string, text string, problem string")
 
 
 def read_models(spark: SparkSession, path: str) -> tuple[Catalog, DataFrame]:
-    """The catalog of all model archives under a path (model: the file's path), and problems (model, problem)."""
-    parts = parts_of(spark.read.format("binaryFile").load(path))
+    """The catalog of all model archives under a path (model: the file's path), and problems (model, problem).
+
+    Spark lists the files without reading them; tasks open them by their URIs.
+    """
+    parts = parts_of(listed_files(spark, path))
     return from_parts(parts.withColumnRenamed("path", "model"))
 
 

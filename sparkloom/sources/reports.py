@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .archives import UNREADABLE
+
 KINDS = {"Column": "Column", "Measure": "Measure", "HierarchyLevel": "Hierarchy level"}
 
 
@@ -118,7 +120,7 @@ def read_reports(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame,
                 try:
                     pages, bindings = read_archive(raw.as_py() or b"")
                     problem = None if pages else "no report definition"
-                except (zipfile.BadZipFile, ValueError, KeyError) as e:
+                except (KeyError, *UNREADABLE) as e:
                     pages, bindings, problem = [], [], str(e) or type(e).__name__
                 rows = [(name, "page", p, None, None, None, None, None, o, h) for p, o, h in pages] + [(name, "binding", *b, None, None) for b in bindings] + ([(name, "problem", problem, *[None] * 7)] if problem else [])
                 columns = list(zip(*rows, strict=True)) or [()] * 10

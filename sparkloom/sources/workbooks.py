@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from ..formulas.syntax import Refused
 from ..plans.sheets import Sheet
+from .archives import UNREADABLE
 
 COLUMNS = ["workbook", "kind", "source", "name", "detail", "role", "type", "formula", "position"]
 REFERENCE = re.compile(r"\[([^\]]*)\]\.\[([^\]]*)\]")
@@ -146,8 +147,10 @@ def read_workbooks(spark: SparkSession, path: str) -> DataFrame:
                         with zipfile.ZipFile(io.BytesIO(raw)) as z:
                             raw = z.read(next(n for n in z.namelist() if n.endswith(".twb")))
                     rows = [(path, *r) for r in rows_of(ET.fromstring(raw))]
-                except (ET.ParseError, zipfile.BadZipFile, StopIteration) as e:
-                    rows = [(path, "problem", None, str(e) or "no workbook inside", *[None] * 5)]
+                except StopIteration:
+                    rows = [(path, "problem", None, "no workbook inside", *[None] * 5)]
+                except (ET.ParseError, *UNREADABLE) as e:
+                    rows = [(path, "problem", None, str(e) or type(e).__name__, *[None] * 5)]
                 columns = list(zip(*rows, strict=True)) or [()] * 9
                 yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.string()) for c in columns[:8]), pa.array(columns[8], pa.int32())], COLUMNS)
 

@@ -9,9 +9,11 @@ import uuid
 import zipfile
 from contextlib import suppress
 from pathlib import Path
+from urllib.parse import quote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _shipped: set[str] = set()
 _folders: set[str] = set()
@@ -72,25 +74,69 @@ def cut(df: DataFrame) -> DataFrame:
     return stored.toDF(*df.columns)
 
 
-def stored_zips(rows: DataFrame, label: str, ending: str) -> str:
-    """A new folder in the shared one with a zip file <model>.<ending> for each row (model, member, text)."""
+def opened(uri: str):
+    """The file system and path of what Spark names a file by (scheme and path, nothing escaped); plain paths are local."""
     from pyarrow import fs
 
+    scheme, colon, path = uri.partition(":/")
+    if not colon or "/" in scheme:
+        return fs.LocalFileSystem(), uri
+    place = path[1:] if path.startswith("/") else f"/{path}"  # file:/a and file:///a, s3://bucket/a
+    return fs.FileSystem.from_uri(f"{scheme}://{quote(place)}")
+
+
+def replaced(uri: str, raw: bytes) -> None:
+    """Write a file that appears under its name only when it is whole, in place of one of that name."""
+    files, path = opened(uri)
+    files.create_dir(path.rpartition("/")[0], recursive=True)
+    part = f"{path}.{uuid.uuid4().hex}.part"
+    with files.open_output_stream(part, compression=None) as out:
+        out.write(raw)
+    files.move(part, path)
+
+
+#: Ways in which stored_archives() spoils a zip file.
+DAMAGES = ("whole", "empty", "cut short", "garbled", "locked", "not a zip")
+
+
+def stored_archives(rows: DataFrame, label: str, ending: str) -> str:
+    """A new folder in the shared one with a zip file <model>.<ending> for each model.
+
+    rows: model, member, text, and damage (one of DAMAGES). A model's members meet in one task.
+    """
     folder = shared_folder(rows.sparkSession, label)
 
+    def spoilt(raw: bytes, damage: str) -> bytes:
+        if damage == "locked":  # the flag of encryption in every local and central header
+            raw = bytearray(raw)
+            for mark, at in ((b"PK\3\4", 6), (b"PK\1\2", 8)):
+                place = raw.find(mark)
+                while place >= 0:
+                    raw[place + at] |= 1
+                    place = raw.find(mark, place + 4)
+            return bytes(raw)
+        if damage == "garbled":  # the first member's packed bytes
+            start = 30 + int.from_bytes(raw[26:28], "little") + int.from_bytes(raw[28:30], "little")
+            end = start + int.from_bytes(raw[18:22], "little")
+            return raw[:start] + bytes(x ^ 0xFF for x in raw[start:end]) + raw[end:]
+        return {"whole": raw, "empty": b"", "cut short": raw[: len(raw) // 2], "not a zip": b"no zip at all"}[damage]
+
     def run(batches):
         for batch in batches:
-            for model, member, text in zip(*(batch.column(c).to_pylist() for c in ("model", "member", "text")), strict=True):
-                files, path = fs.FileSystem.from_uri(f"{folder}/{model}.{ending}")
-                files.create_dir(path.rpartition("/")[0], recursive=True)
-                raw = io.BytesIO()
-                with zipfile.ZipFile(raw, "w") as z:
-                    z.writestr(member, text)
-                part = f"{path}.{uuid.uuid4().hex}.part"  # whole or not there, however often a task is tried
-                with files.open_output_stream(part) as out:
-                    out.write(raw.getvalue())
-                files.move(part, path)
+            for model, members, damage in zip(*(batch.column(c).to_pylist() for c in ("model", "members", "damage")), strict=True):
+                packed = io.BytesIO()
+                with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as z:
+                    for m in members:
+                        z.writestr(m["member"], m["text"] or "")
+                replaced(f"{folder}/{model}.{ending}", spoilt(packed.getvalue(), damage))
             yield pa.RecordBatch.from_arrays([batch.column("model")], ["model"])
 
-    rows.select("model", "member", "text").mapInArrow(run, "model string").count()
+    ship(rows.sparkSession)
+    whole = rows.groupBy("model").agg(F.array_sort(F.collect_list(F.struct("member", "text"))).alias("members"), F.max("damage").alias("damage"))
+    whole.mapInArrow(run, "model string").count()
     return folder
+
+
+def stored_zips(rows: DataFrame, label: str, ending: str) -> str:
+    """The same for whole zip files: model, member, text."""
+    return stored_archives(rows.select("model", "member", "text", F.lit("whole").alias("damage")), label, ending)
