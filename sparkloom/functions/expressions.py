@@ -103,10 +103,58 @@ def decoded(text: Column) -> Column:
     return F.array_join(F.transform(F.regexp_extract_all(text, F.lit(r"#\([^)]*\)|[^#]+|#"), F.lit(0)), piece), "")
 
 
+_NAME = r"(?:[\w$#@]+|\[[^\]]+\]|\"[^\"]+\"|`[^`]+`)"
+_SQL_TOKEN = rf"--[^\n]*|/\*[\s\S]*?\*/|'(?:[^']|'')*'|{_NAME}(?:\s*\.\s*{_NAME})*|[(),;]"
+_CLAUSES = ("WHERE", "GROUP", "ORDER", "HAVING", "UNION", "EXCEPT", "MINUS", "INTERSECT", "LIMIT", "OFFSET", "FETCH", "WINDOW", "QUALIFY", "SET", "VALUES", "RETURNING")
+_SQL_STATE = "struct<frames: array<struct<mode: string, query: boolean, name: string, recursive: boolean>>, named: array<struct<name: string, depth: int>>, tables: array<string>, last: string>"
+
+
 def sql_sources(sql: Column | str) -> Column:
-    """The tables after FROM and JOIN, without names of common table expressions; quotes and brackets dropped."""
-    plain = F.regexp_replace(F.regexp_replace(sql, r"--[^\n]*|/\*[\s\S]*?\*/", " "), r"'[^']*'", "''")
-    names = F.regexp_extract_all(plain, F.lit(r"(?i)\b(?:from|join)\s+((?:[\w$#@]+|\[[^\]]+\]|\"[^\"]+\"|`[^`]+`)(?:\s*\.\s*(?:[\w$#@]+|\[[^\]]+\]|\"[^\"]+\"|`[^`]+`)){0,2})"), F.lit(1))
-    ctes = F.transform(F.regexp_extract_all(plain, F.lit(r"(?i)(?:\bwith|,)\s+(?:recursive\s+)?([\w]+)\s*(?:\([^)]*\)\s*)?as\s*\("), F.lit(1)), F.lower)
-    cleaned = F.transform(names, lambda n: F.regexp_replace(n, r"[\[\]\"`\s]", ""))
-    return F.array_distinct(F.filter(cleaned, lambda n: ~F.array_contains(ctes, F.lower(n))))
+    """The tables that a query reads, each once: of FROM lists, comma joins, joins and nested queries; quotes and brackets dropped.
+
+    One fold over the query's tokens with a stack of scopes, one for each open parenthesis. A scope is where a
+    table's name is wanted (table), after one (after: a comma asks for the next), in a WITH clause (with: a name; cte and
+    as: up to its body; body and done), or elsewhere. The name of a common table expression hides tables from where its body
+    ends (from where it begins, if recursive) to the end of the scope that names it, and only if it stands without a
+    schema. FROM outside of a query (EXTRACT(YEAR FROM d)), after DISTINCT, and functions in a FROM list name no table.
+    """
+    tokens = F.filter(F.regexp_extract_all(sql, F.lit(_SQL_TOKEN), F.lit(0)), lambda t: ~t.startswith("--") & ~t.startswith("/*") & ~t.startswith("'"))
+    start = F.from_json(F.lit('{"frames": [{"mode": "start", "query": true, "name": "", "recursive": false}], "named": [], "tables": [], "last": ""}'), _SQL_STATE)
+    text = lambda x: F.lit(x).cast("string")
+
+    def step(s: Column, t: Column) -> Column:
+        frames, named, tables, last = (s[c] for c in ("frames", "named", "tables", "last"))
+        word, bare, depth, top = F.upper(t), F.regexp_replace(t, r'[\[\]"`\s]', ""), F.size(frames), F.element_at(frames, -1)
+        mode, own = top["mode"], F.lower(F.regexp_replace(t, r'[\[\]"`\s]', ""))
+        under = F.element_at(frames, F.when(F.size(frames) > 1, -2).otherwise(-1))
+        frame = lambda mode, query, name, recursive: F.struct(mode.alias("mode"), query.alias("query"), name.alias("name"), recursive.alias("recursive"))
+        with_top = lambda f: F.concat(F.slice(frames, 1, F.size(frames) - 1), F.array(f))
+        add = lambda name, depth: F.concat(named, F.array(F.struct(name.alias("name"), depth.alias("depth"))))
+
+        opens, closes, begins = t == "(", (t == ")") & (depth > 1), word.isin("SELECT", "DELETE")
+        hidden = ~F.contains(own, F.lit(".")) & F.exists(named, lambda x: x["name"] == own)
+        is_from = ((word == "FROM") & top["query"] & (last != "DISTINCT")) | word.isin("JOIN", "APPLY")
+        plain = ~t.isin("(", ")", ",", ";") & ~(word.isin("WITH") & mode.isin("start", "table")) & ~begins & ~is_from & ~word.isin(*_CLAUSES)
+        wanted = plain & (mode == "table") & ~word.isin("LATERAL", "ONLY", "AS", "OUTER", "CROSS")
+        read = wanted & ~hidden
+        # the top scope's next mode, if no parenthesis opens or closes
+        next_mode = (
+            F.when(t == ",", F.when(mode == "after", "table").when(mode == "done", "with").otherwise(mode)).when(t == ";", "start")
+            .when((word == "WITH") & mode.isin("start", "table"), "with").when(begins, "").when(is_from, "table")
+            .when((mode == "cte") & (word == "AS"), "as").when((mode == "with") & (word != "RECURSIVE"), "cte").when(mode.isin("cte", "as"), mode)
+            .when(word.isin(*_CLAUSES), "").when(wanted, "after").otherwise(mode)
+        )
+        named_now = (mode == "with") & plain & (word != "RECURSIVE")
+        changed = frame(next_mode, (top["query"] | begins), F.when(named_now, own).otherwise(top["name"]), F.when((word == "WITH") & mode.isin("start", "table"), F.lit(False)).when((mode == "with") & (word == "RECURSIVE"), F.lit(True)).otherwise(top["recursive"]))
+        parent = frame(F.when(mode == "as", "body").when(mode == "table", "after").otherwise(mode), top["query"], top["name"], top["recursive"])
+        inside = frame(F.when(mode == "table", "table").otherwise("start"), F.lit(False), text(""), F.lit(False))
+        back = frame(F.when(under["mode"] == "body", "done").otherwise(under["mode"]), under["query"], under["name"], under["recursive"])
+        left = F.filter(named, lambda x: x["depth"] < depth)
+        return F.struct(
+            F.when(opens, F.concat(with_top(parent), F.array(inside))).when(closes, F.concat(F.slice(frames, 1, F.greatest(depth - 2, F.lit(0))), F.array(back))).otherwise(with_top(changed)).alias("frames"),
+            F.when(opens & (mode == "as") & top["recursive"], add(top["name"], depth)).when(closes & (under["mode"] == "body") & ~under["recursive"], F.concat(left, F.array(F.struct(under["name"].alias("name"), (depth - 1).alias("depth"))))).when(closes, left).when(t == ";", F.slice(named, 1, 0)).otherwise(named).alias("named"),
+            F.when(opens & (last == "table"), F.slice(tables, 1, F.size(tables) - 1)).when(read, F.concat(tables, F.array(bare))).otherwise(tables).alias("tables"),
+            F.when(read, "table").when(word == "DISTINCT", "DISTINCT").otherwise("").alias("last"),
+        )
+
+    return F.array_distinct(F.aggregate(tokens, start, lambda s, t: step(s, t).cast(_SQL_STATE), lambda s: s["tables"]))

@@ -126,3 +126,26 @@ def test_self_diff_is_empty(spark):
 
     c = sample(spark)
     assert comparison.measure_changes(c, c).count() == 0 and comparison.structure_changes(c, c).count() == 0
+
+
+QUERY_SHAPES = {
+    "SELECT * FROM a, b AS x, c y WHERE 1 = 1": "a b c",
+    "SELECT a.x, (SELECT max(v) FROM d) FROM a LEFT JOIN b ON a.k = b.k, c": "d a b c",
+    "WITH t AS (SELECT * FROM a), u AS (SELECT * FROM t JOIN b USING (k, l)) SELECT * FROM u, t": "a b",
+    "WITH t AS (SELECT * FROM t) SELECT * FROM t": "t",
+    "WITH RECURSIVE t(n) AS (SELECT 1 UNION ALL SELECT n + 1 FROM t) SELECT * FROM t JOIN z ON true": "z",
+    "SELECT * FROM (WITH t AS (SELECT * FROM a) SELECT * FROM t) q JOIN t ON q.x = t.x": "a t",
+    "WITH t AS (SELECT 1) SELECT * FROM s.t, [dbo].[t], \"x y\".`z`": "s.t dbo.t xy.z",
+    "SELECT EXTRACT(YEAR FROM d), trim(both FROM x) FROM a WHERE x IS DISTINCT FROM y": "a",
+    "SELECT * FROM (a JOIN (b JOIN c ON 1 = 1) ON 2 = 2) WHERE EXISTS (SELECT 1 FROM e WHERE e.k = a.k)": "a b c e",
+    "SELECT * FROM unnest(xs), generate_series(1, 2) g, LATERAL (SELECT * FROM f) z, h": "f h",
+    "SELECT 'x FROM no', \"from\" FROM a -- FROM no\n JOIN b /* , no */ ON 1 = 1 UNION SELECT * FROM c ORDER BY 1, 2": "a b c",
+    "WITH t AS (SELECT * FROM a) SELECT * FROM t; SELECT * FROM t": "a t",
+    "SELECT * FROM a WITH (NOLOCK), b": "a b",
+    "": "", "SELECT 1": "", "FROM a SELECT x": "a",
+}
+
+
+def test_tables_of_queries_with_scopes(spark):
+    df = spark.createDataFrame([(q,) for q in QUERY_SHAPES], "e string").withColumn("t", F.array_join(X.sql_sources("e"), " "))
+    assert {r.e: r.t for r in df.collect()} == QUERY_SHAPES
