@@ -6,15 +6,16 @@ constant, as in the TFRecord files that many training loaders read. A record is
 64-bit), a flag byte (bit 0: the key is null; the rest: bytes per id, 2 or 4, shifted by one) and the
 ids. Beside each shard stands an index of (key, offset, ids) triples of 64-bit integers.
 
-write() range-partitions documents by key and sorts within partitions, so shards follow each other in
-ascending key order; only a one-row manifest per shard leaves a task. read() checks every checksum.
+write() range-partitions documents by key and a hash of the text, so a key with very many rows is spread too, and sorts
+within partitions, so shards follow each other in ascending key order. A task begins another shard whenever one has come to
+SHARD_BYTES, and writes the index along with the records; only a one-row manifest per shard leaves it. read() checks every checksum.
 read_shuffled() visits records in a seeded random order: shards are dealt at random and, within
 each, the index is permuted.
 
 Null text is empty and gives the end id alone. A null key sorts first. Rows that repeat a key are all
-written, ordered by text. An empty table gives no shards. Further columns are ignored, whatever their
+written, ordered by a hash of their text; equal rows are written as often as they occur. An empty table gives no shards. Further columns are ignored, whatever their
 names. A task holds CHUNK_CHARS characters of texts, or one longer text, with its words and ids (about
-ten times the text); a reader holds one record, or 4 MB of them.
+ten times the text); a reader holds one record, or 4 MB of them, and for shuffled reads a shard's index (24 bytes a record).
 """
 
 from __future__ import annotations
@@ -22,10 +23,11 @@ from __future__ import annotations
 import json
 import os
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +40,8 @@ from .shared import materialise, new_file, store, text_chunks
 POLYNOMIAL = 0x82F63B78  # CRC-32C, reflected
 MASK_DELTA = 0xA282EAD8
 LANE = 512
+#: A shard ends with the record that takes it beyond so many bytes.
+SHARD_BYTES = 256 << 20
 #: Words that a worker remembers; beyond that those that were not met lately go.
 CACHE_WORDS = 400_000
 #: Steps of a normaliser that lower-case plain words and do no more to them.
@@ -192,31 +196,39 @@ def encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
-def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int, key: str = "doc_id", text: str = "text") -> DataFrame:
+def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int, key: str = "doc_id", text: str = "text", most_bytes: int = SHARD_BYTES) -> DataFrame:
     """Write shards and indexes under folder; their manifest: shard, path, n_records, n_ids, start (ids in earlier shards)."""
-    ordered = docs.select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text")).repartitionByRange("key").sortWithinPartitions("key", "text")
+    ordered = docs.select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text")).withColumn("at", F.xxhash64("text"))
+    ordered = ordered.repartitionByRange("key", "at").sortWithinPartitions("key", "at", "text").drop("at")
+
+    def framed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, bytes]]:
+        """(key, number of ids, framed record) of every document."""
+        words = encoder(tokenizer)
+        for batch, texts in text_chunks(batches):
+            keys = batch.column("key").to_pylist()
+            ids = words.encode(texts, end_id)
+            records = [(k or 0).to_bytes(8, "little", signed=True) + bytes([words.width << 1 | (k is None)]) + i for k, i in zip(keys, ids, strict=True)]
+            lengths = [len(r).to_bytes(8, "little") for r in records]
+            sums = masked(crc32c(lengths + records)).astype("<u4")
+            for k, i, n, r, a, b in zip(keys, ids, lengths, records, sums[: len(records)], sums[len(records) :], strict=True):
+                yield k or 0, len(i) // words.width, b"".join((n, a.tobytes(), r, b.tobytes()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first = next((b for b in batches if b.num_rows), None)
-        if first is None:
-            return
-        words, shard, at, index = encoder(tokenizer), TaskContext.get().partitionId(), 0, []
-        path = f"{folder}/part-{shard:06d}.records"
-        with new_file(path) as out:
-            for batch, texts in text_chunks(chain([first], batches)):
-                keys = batch.column("key").to_pylist()
-                ids = words.encode(texts, end_id)
-                records = [(k or 0).to_bytes(8, "little", signed=True) + bytes([words.width << 1 | (k is None)]) + i for k, i in zip(keys, ids, strict=True)]
-                lengths = [len(r).to_bytes(8, "little") for r in records]
-                sums = masked(crc32c(lengths + records)).astype("<u4")
-                for k, i, n, r, a, b in zip(keys, ids, lengths, records, sums[: len(records)], sums[len(records) :], strict=True):
-                    out.write(b"".join((n, a.tobytes(), r, b.tobytes())))
-                    index.append((k or 0, at, len(i) // words.width))
-                    at += len(r) + 16
-        table = np.array(index, "<i8")
-        with new_file(f"{folder}/part-{shard:06d}.index") as out:
-            out.write(table.tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array([shard]), pa.array([path]), pa.array([len(table)]), pa.array([int(table[:, 2].sum())])], ["shard", "path", "n_records", "n_ids"])
+        rows = framed(batches)
+        row = next(rows, None)
+        for nth in count():
+            if row is None:
+                return
+            name, at, n_records, n_ids = f"{folder}/part-{TaskContext.get().partitionId():06d}-{nth:05d}", 0, 0, 0
+            with new_file(f"{name}.records") as out, new_file(f"{name}.index") as index:
+                while row is not None and at < most_bytes:
+                    own, ids, record = row
+                    out.write(record)
+                    index.write(struct.pack("<3q", own, at, ids))
+                    at, n_records, n_ids = at + len(record), n_records + 1, n_ids + ids
+                    row = next(rows, None)
+            shard = TaskContext.get().partitionId() << 24 | nth
+            yield pa.RecordBatch.from_arrays([pa.array([shard]), pa.array([f"{name}.records"]), pa.array([n_records]), pa.array([n_ids])], ["shard", "path", "n_records", "n_ids"])
 
     shards = materialise(ordered.mapInArrow(run, "shard bigint, path string, n_records bigint, n_ids bigint"), "token-shards")
     # one row a shard: the only thing that is ordered in one place

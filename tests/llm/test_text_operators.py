@@ -66,6 +66,21 @@ def test_token_records_round_trip(spark):
     assert {r.doc_id: r.ids for r in shuffled} == want and [r.doc_id for r in shuffled] != sorted(want)
 
 
+def test_shards_end_by_their_bytes_and_a_hot_key_is_spread(spark):
+    rows = [(7, f"text {i % 900}") for i in range(3000)] + [(None, f"none {i}") for i in range(50)] + [(9, "end")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(6)
+    whole, small = (token_records.write(docs, shared_dir(spark, "hot"), WORDPIECES, 2, most_bytes=n) for n in (1 << 30, 2000))
+    assert small.count() > 20 and whole.where("n_records > 200").count() > 1  # the key's rows are in several shards
+    results = []
+    for manifest in (whole, small):
+        got = sorted((r.start, r.doc_id, tuple(r.ids)) for r in token_records.read(manifest, with_ids=True).collect())
+        assert [r[0] for r in got] == np.cumsum([0] + [len(r[2]) for r in got[:-1]]).tolist()
+        assert [r[1] for r in got] == sorted((r[1] for r in got), key=lambda k: (k is not None, k or 0))
+        assert sorted(x[1:] for x in got if x[1] is not None) == sorted((r.doc_id, tuple(r.ids)) for r in token_records.read_shuffled(manifest, 1).where("doc_id IS NOT NULL").collect())
+        results.append([r[1:] for r in got])
+    assert sorted(results[0], key=str) == sorted(results[1], key=str) and len(results[0]) == len(rows)
+
+
 def test_added_tokens_in_texts_get_their_ids(spark):
     from tokenizers import Tokenizer
 
