@@ -312,7 +312,7 @@ def meta_source_schema(c):
 
 @registered("SELECT model, tbl AS table_name, mea AS measure, CASE WHEN tbl = 'Metrics' THEN (SELECT min(r.named) FROM refs r WHERE r.model = m.model AND r.obj = m.mea AND r.home = m.tbl) ELSE tbl END AS home FROM meas m")
 def meta_measure_homes(c):
-    homes = references.measure_homes(c).join(c.measures.select("model", "measure", "table"), ["model", "measure"]).where("home = table OR table = 'Metrics'")
+    homes = references.measure_homes(c)
     return homes.select("model", F.col("table").alias("table_name"), "measure", "home")
 
 
@@ -372,10 +372,10 @@ def meta_scorecard(c):
     return audits.scorecard(audits_of(c), c.tables).select("model", F.col("score").cast("bigint").alias("model_score"))
 
 
-_SQL_TEXTS = [("SUM(Sales[Quantity]) -- not [Growth]", "SUM(`Quantity`)"), ("COUNTROWS(Sales)", "COUNT(*)"), ("SUM(Returns[Amount])", "SUM(`Amount`)"), ("SUM( Returns[Amount] )", "SUM(`Amount`)"), ('CALCULATE(DISTINCTCOUNT(Sales[ProductKey]), Customer[Region] = "West")', "COUNT(DISTINCT CASE WHEN `Region` = 'West' THEN `ProductKey` END)")]
+SQL_TEXTS = [("SUM(Sales[Quantity]) -- not [Growth]", "SUM(`Quantity`)"), ("COUNTROWS(Sales)", "COUNT(*)"), ("SUM(Returns[Amount])", "SUM(`Amount`)"), ("SUM( Returns[Amount] )", "SUM(`Amount`)"), ('CALCULATE(DISTINCTCOUNT(Sales[ProductKey]), Customer[Region] = "West")', "COUNT(DISTINCT CASE WHEN `Region` = 'West' THEN `ProductKey` END)")]
 
 
-@registered(f"SELECT model, tbl AS table_name, mea AS measure, x.sql AS sql_text, x.sql IS NULL AS refused FROM meas LEFT JOIN {values('x', 'expression, sql', _SQL_TEXTS)} USING (expression)")
+@registered(f"SELECT model, tbl AS table_name, mea AS measure, x.sql AS sql_text, x.sql IS NULL AS refused FROM meas LEFT JOIN {values('x', 'expression, sql', SQL_TEXTS)} USING (expression)")
 def meta_measure_sql(c):
     return measure_sql(c).select("model", F.col("table").alias("table_name"), "measure", "sql_text", F.col("sql_text").isNull().alias("refused"))
 
@@ -467,7 +467,7 @@ def sink_roles(spark, d):
 
 
 @registered("""SELECT t.model, t.tbl AS dataset, concat('main.gold.', lower(t.tbl)) AS source, count(DISTINCT o.col) AS n_columns, 1 + count(DISTINCT CASE WHEN x.sql IS NOT NULL AND m.tbl <> 'Metrics' THEN m.mea END) AS least_measures
-FROM tabs t JOIN own o ON o.model = t.model AND o.tbl = t.tbl LEFT JOIN meas m ON m.model = t.model AND m.tbl = t.tbl LEFT JOIN """ + values("x", "expression, sql", _SQL_TEXTS) + " ON x.expression = m.expression WHERE mod(t.k, 6) <> 0 AND mod(t.k, 4) <> 0 GROUP BY t.model, t.tbl")
+FROM tabs t JOIN own o ON o.model = t.model AND o.tbl = t.tbl LEFT JOIN meas m ON m.model = t.model AND m.tbl = t.tbl LEFT JOIN """ + values("x", "expression, sql", SQL_TEXTS) + " ON x.expression = m.expression WHERE mod(t.k, 6) <> 0 AND mod(t.k, 4) <> 0 GROUP BY t.model, t.tbl")
 def dash_datasets(c):
     """Data sets of the models whose measures all have names and homes of their own."""
     plain = c.tables.groupBy("model").agg(F.max(F.col("table") == "Metrics").alias("grouped")).where("NOT grouped").join(c.measures.groupBy("model").agg((F.count(F.lit(1)) > F.count_distinct("measure")).alias("twice")).where("NOT twice"), "model").select("model")

@@ -92,12 +92,12 @@ def tables_of_measures(c: Catalog) -> DataFrame:
 
 
 def measure_homes(c: Catalog) -> DataFrame:
-    """model, measure, home: of a measure in a table without columns of its own, the first real table that it names; else its table."""
+    """model, table, measure, home: of a measure in a table without columns of its own, the first real table that it names; else its table."""
     real = c.user_columns.select("model", "table").distinct()
-    first = tables_of_measures(c).join(real, ["model", "table"], "left_semi").groupBy("model", "measure").agg(F.min("table").alias("named"))
-    own = real.withColumn("real", F.lit(True))
-    rows = c.measures.select("model", "measure", "table").join(own, ["model", "table"], "left").join(first, ["model", "measure"], "left")
-    return rows.select("model", "measure", F.when(F.col("real"), F.col("table")).otherwise(F.coalesce("named", "table")).alias("home"))
+    named = c.measures.select("model", "table", "measure", F.explode(X.tables("expression")).alias("named"))
+    first = named.join(real.withColumnRenamed("table", "named"), ["model", "named"], "left_semi").groupBy("model", "table", "measure").agg(F.min("named").alias("named"))
+    rows = c.measures.select("model", "table", "measure").distinct().join(real.withColumn("real", F.lit(True)), ["model", "table"], "left").join(first, ["model", "table", "measure"], "left")
+    return rows.select("model", "table", "measure", F.when(F.col("real"), F.col("table")).otherwise(F.coalesce("named", "table")).alias("home"))
 
 
 def search(c: Catalog, text: str) -> DataFrame:

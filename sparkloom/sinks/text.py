@@ -99,7 +99,7 @@ def datasets(c: Catalog, catalog: str, schema: str) -> DataFrame:
         return pd.DataFrame([to_sql(t or "") for t in text], columns=["sql", "reason"])
 
     ship(c.measures.sparkSession)
-    own = c.measures.join(measure_homes(c), ["model", "measure"]).withColumn("m", compiled("expression"))
+    own = c.measures.join(measure_homes(c), ["model", "table", "measure"]).withColumn("m", compiled("expression"))
     measures = own.groupBy("model", F.col("home").alias("table")).agg(F.array_sort(F.collect_list(F.when(F.col("m.sql").isNotNull(), F.struct(F.col("measure").alias("name"), F.col("m.sql").alias("expression"))))).alias("measures"), F.array_sort(F.collect_list(F.when(F.col("m.sql").isNull(), F.struct("measure", F.col("m.reason").alias("reason"))))).alias("refused"))
     columns = c.user_columns.groupBy("model", "table").agg(F.array_sort(F.collect_set("column")).alias("columns"))
     source = F.concat_ws(".", F.lit(catalog), F.lit(schema), N.slug("table"))

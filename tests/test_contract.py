@@ -4,7 +4,7 @@ import pytest
 import __spark_entry__ as entry
 
 SF = "/root/testdata/sf0.001"
-SEMANTIC = [n for n in entry.queries() if n.split("_")[0] in ("dax", "widget", "rel", "rls", "tab", "cat", "meta", "enc", "src", "sink") or n in ("model_diff", "struct_except", "list_agg", "unused_keys_anti")]
+SEMANTIC = [n for n in entry.queries() if n.split("_")[0] in ("dax", "widget", "rel", "rls", "tab", "cat", "meta", "enc", "src", "sink", "wb", "dash") or n in ("model_diff", "model_history", "struct_except", "list_agg", "unused_keys_anti")]
 
 
 def test_entry(spark):
