@@ -50,14 +50,14 @@ def functions(expression: Column | str) -> Column:
 
 
 def normalised(expression: Column | str) -> Column:
-    """The expression without comments and formatting; strings and case stay."""
-    pieces = F.regexp_extract_all(F.coalesce(expression, F.lit("")), F.lit(f'{_STRING}|[^"]+|"'), F.lit(0))
+    """The expression without comments and formatting; strings, names in brackets and case stay.
 
-    def plain(p: Column) -> Column:
-        p = F.regexp_replace(p, _COMMENT, " ")
-        return F.regexp_replace(F.regexp_replace(p, r"\s+", " "), r" ?([(),\[\]{}=<>+\-*/&^:;]) ?", "$1")
-
-    return F.trim(F.array_join(F.transform(pieces, lambda p: F.when(p.startswith('"') & (F.length(p) > 1), p).otherwise(plain(p))), ""))
+    Its tokens and single signs, with a space only where two words would run into each other.
+    """
+    every = F.regexp_extract_all(F.coalesce(expression, F.lit("")), F.lit(f"{TOKEN}|\\S"), F.lit(0))
+    pieces = F.transform(F.filter(every, lambda t: ~t.rlike(r"^(--|//|/\*)")), lambda t: F.regexp_replace(t, f"^({_TABLE})\\s+(?=\\[)", "$1"))
+    apart = lambda p, i: F.coalesce(F.get(pieces, i - 1).rlike("[\\w'\"]$"), F.lit(False)) & p.rlike("^[\\w'\"]")
+    return F.array_join(F.transform(pieces, lambda p, i: F.when(apart(p, i), F.concat(F.lit(" "), p)).otherwise(p)), "")
 
 
 def fingerprint(expression: Column | str) -> Column:

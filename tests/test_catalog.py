@@ -49,6 +49,7 @@ def test_normal_forms(spark):
     a, b = (one(spark, f"VAR {v} = SUM(T[a]) RETURN {v} + 1", X.fingerprint("e")) for v in ("s", "total"))
     assert a == b and "_1+1" in a
     assert one(spark, None, X.normalised("e")) == ""
+    assert one(spark, "VAR  x=1 /* y */RETURN x+'My T' [A  b] & \"a\"\"b\" -- end", X.normalised("e")) == "VAR x=1 RETURN x+'My T'[A  b]&\"a\"\"b\""
 
 
 def test_names(spark):
