@@ -44,6 +44,8 @@ LANE = 512
 SHARD_BYTES = 256 << 20
 #: Words that a worker remembers; beyond that those that were not met lately go.
 CACHE_WORDS = 400_000
+#: New words that the library gets at once: what it returns is large.
+NEW_WORDS = 2048
 #: Steps of a normaliser that lower-case plain words and do no more to them.
 NORMAL_KINDS = {("NFC", "None", None), ("Lowercase", "None", None), ("Replace", "{'Regex': '\\\\s+'}", " ")}
 #: Words of letters of ASCII and from U+00C0 to U+00FF.
@@ -138,6 +140,17 @@ def normal_kinds(path: str) -> set[tuple]:
     return {(x["type"], str(x.get("pattern")), x.get("content")) for x in normal.get("normalizers", [normal])}
 
 
+def word_ends(path: str, tokenizer) -> np.ndarray | None:
+    """For each id whether it stands at the end of pre-tokens alone, if the file's model marks such ids."""
+    with open(path, encoding="utf-8") as f:
+        suffix = json.load(f)["model"].get("end_of_word_suffix")
+    if not suffix:
+        return None
+    out = np.zeros(tokenizer.get_vocab_size(), bool)
+    out[[i for token, i in tokenizer.get_vocab().items() if token.endswith(suffix)]] = True
+    return out
+
+
 class WordEncoder:
     """A lower-casing tokenizer that drops white space, applied to each distinct word once.
 
@@ -164,6 +177,7 @@ class WordEncoder:
         if self.tokenizer.normalizer is not None and normal_kinds(path) <= NORMAL_KINDS:
             self.plain = Tokenizer.from_file(path)  # for words on which the normaliser does nothing
             self.plain.normalizer = None
+        self.last = word_ends(path, self.tokenizer)
 
     def words(self, text: str) -> list[bytes]:
         raw = text.encode("utf-8", "surrogatepass")
@@ -175,18 +189,36 @@ class WordEncoder:
         own = [cut_before_punctuation(p).split() for p in plain]
         return own[0] + [w for added, after in zip(parts[1::2], own[1:], strict=True) for w in (added, *after)]
 
+    def together(self, words: list[bytes], kind: str) -> list[bytes]:
+        """Remember the ids of plain words, got as those of one text: each word ends with an id that only ends words. Returns the words if that doesn't hold."""
+        ids = np.array(self.plain.encode(b" ".join(words).decode().lower(), add_special_tokens=False).ids, kind)
+        ends = np.flatnonzero(self.last[ids]) + 1
+        if len(ends) != len(words) or ends[-1] != len(ids):
+            return words
+        raw, at = ids.tobytes(), 0
+        for word, end in zip(words, (ends * self.width).tolist(), strict=True):
+            self.cache.young[word], at = raw[at:end], end
+        return []
+
     def encode(self, texts: list[str], end_id: int) -> list[bytes]:
         """Ids of each text in `width` bytes each, with end_id appended."""
         kind = f"<u{self.width}"
         if self.whole:
             return [np.array([*got.ids, end_id], kind).tobytes() for got in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        pack = {2: lambda ids: struct.pack(f"<{len(ids)}H", *ids), 4: lambda ids: struct.pack(f"<{len(ids)}I", *ids)}[self.width]
         words = [self.words(t) for t in texts]
         new = self.cache.missing(set(chain.from_iterable(words)))
         normal = [w for w in new if PLAIN_WORD.fullmatch(w)] if self.plain else []
         other = list(set(new).difference(normal))
+        if self.last is not None:
+            for i in range(0, len(normal), NEW_WORDS):
+                other += self.together(normal[i : i + NEW_WORDS], kind)
+            normal = []
         for some, tokenizer, form in ((normal, self.plain, str.lower), (other, self.tokenizer, str)):
-            for word, got in zip(some, tokenizer.encode_batch_fast([form(w.decode("utf-8", "replace")) for w in some], add_special_tokens=False) if some else (), strict=True):
-                self.cache.young[word] = np.array(got.ids, kind).tobytes()
+            for i in range(0, len(some), NEW_WORDS):
+                part = some[i : i + NEW_WORDS]
+                for word, got in zip(part, tokenizer.encode_batch_fast([form(w.decode("utf-8", "replace")) for w in part], add_special_tokens=False), strict=True):
+                    self.cache.young[word] = pack(got.ids)
         end = np.array([end_id], kind).tobytes()
         return [b"".join(map(self.cache.young.__getitem__, w)) + end for w in words]
 
