@@ -8,8 +8,9 @@ than `most_owners` owners or `most_repositories` repositories hold is a widely c
 looks live. The
 fixed kinds are always reported; high-entropy strings are reported only where they look live.
 
-Null text counts as empty. A null owner is an owner of its own. Rows with equal key and text get
-equal results, each once per row. Matches of the fixed kinds are leftmost and non-overlapping within
+Null text counts as empty. A null owner is an owner of its own; of a text's several owners the one that sorts first
+counts. Rows with equal key and text get equal results, each once per row. Columns besides key, text and owner are left out
+by scan() and secret_spans(), whatever their names; redact() keeps them as they are. Matches of the fixed kinds are leftmost and non-overlapping within
 a kind; spans are in code points with an exclusive end.
 """
 
