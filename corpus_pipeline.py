@@ -68,7 +68,7 @@ STAGES = [
     ("byte-level BPE", token_ids),
 ]
 
-#: Language models, prefix trees and byte-pair merges have no SQL form; tests hold run() against brute force.
+#: Language models, prefix trees and byte-pair merges have no SQL form; tests hold each stage against a plain version of it.
 ORACLE_SQL = None
 
 
