@@ -6,6 +6,8 @@ comment is never taken for a name.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,6 +18,11 @@ _TABLE = r"'[^']*(?:''[^']*)*'|[A-Za-z_][A-Za-z0-9_]*"
 TOKEN = f"{_STRING}|{_COMMENT}|(?:{_TABLE})\\s*{_BRACKET}|{_BRACKET}|'[^']*(?:''[^']*)*'|[A-Za-z_][A-Za-z0-9_.]*|\\d+(?:\\.\\d+)?"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with the value computed once: functions over arrays compute what they name from outside for every element."""
+    return F.transform(F.array(value), body)[0]
+
+
 def tokens(expression: Column | str) -> Column:
     """The names, references, quoted tables and numbers of an expression, in order."""
     every = F.regexp_extract_all(expression, F.lit(TOKEN), F.lit(0))
@@ -55,18 +62,27 @@ def normalised(expression: Column | str) -> Column:
     Its tokens and single signs, with a space only where two words would run into each other.
     """
     every = F.regexp_extract_all(F.coalesce(expression, F.lit("")), F.lit(f"{TOKEN}|\\S"), F.lit(0))
-    pieces = F.transform(F.filter(every, lambda t: ~t.rlike(r"^(--|//|/\*)")), lambda t: F.regexp_replace(t, f"^({_TABLE})\\s+(?=\\[)", "$1"))
-    apart = lambda p, i: F.coalesce(F.get(pieces, i - 1).rlike("[\\w'\"]$"), F.lit(False)) & p.rlike("^[\\w'\"]")
-    return F.array_join(F.transform(pieces, lambda p, i: F.when(apart(p, i), F.concat(F.lit(" "), p)).otherwise(p)), "")
+    kept = F.transform(F.filter(every, lambda t: ~t.rlike(r"^(--|//|/\*)")), lambda t: F.regexp_replace(t, f"^({_TABLE})\\s+(?=\\[)", "$1"))
+
+    def joined(pieces: Column) -> Column:
+        apart = lambda p, i: F.coalesce(F.get(pieces, i - 1).rlike("[\\w'\"]$"), F.lit(False)) & p.rlike("^[\\w'\"]")
+        return F.array_join(F.transform(pieces, lambda p, i: F.when(apart(p, i), F.concat(F.lit(" "), p)).otherwise(p)), "")
+
+    return let(kept, joined)
 
 
 def fingerprint(expression: Column | str) -> Column:
     """The normal form in capitals, its variables numbered in order of their declaration."""
-    pieces = F.transform(F.regexp_extract_all(normalised(expression), F.lit(f"{TOKEN}|\\s+|[\\s\\S]"), F.lit(0)), F.upper)
-    named = F.transform(pieces, lambda p, i: F.when((F.get(pieces, i - 2) == "VAR") & p.rlike("^[A-Z_]"), p))
-    variables = F.array_distinct(F.array_compact(named))
-    number = lambda p: F.array_position(variables, p)
-    return F.array_join(F.transform(pieces, lambda p: F.when(number(p) > 0, F.concat(F.lit("_"), number(p))).otherwise(p)), "")
+    every = F.transform(F.regexp_extract_all(normalised(expression), F.lit(f"{TOKEN}|\\s+|[\\s\\S]"), F.lit(0)), F.upper)
+
+    def numbered(pieces: Column, variables: Column) -> Column:
+        number = lambda p: F.array_position(variables, p)
+        return F.array_join(F.transform(pieces, lambda p: F.when(number(p) > 0, F.concat(F.lit("_"), number(p))).otherwise(p)), "")
+
+    def declared(pieces: Column) -> Column:
+        return F.array_distinct(F.array_compact(F.transform(pieces, lambda p, i: F.when((F.get(pieces, i - 2) == "VAR") & p.rlike("^[A-Z_]"), p))))
+
+    return let(every, lambda pieces: let(declared(pieces), lambda variables: numbered(pieces, variables)))
 
 
 def fingerprint_tokens(text: Column | str) -> Column:
@@ -77,8 +93,7 @@ def fingerprint_tokens(text: Column | str) -> Column:
 
 def named_fields(expression: Column | str) -> Column:
     """What NAMEOF names in an expression, as it is written there."""
-    every = tokens(expression)
-    return F.array_distinct(F.filter(every, lambda t, i: (F.upper(F.get(every, i - 1)) == "NAMEOF") & t.endswith("]")))
+    return let(tokens(expression), lambda every: F.array_distinct(F.filter(every, lambda t, i: (F.upper(F.get(every, i - 1)) == "NAMEOF") & t.endswith("]"))))
 
 
 def sql_of(m_expression: Column | str) -> Column:
