@@ -43,7 +43,7 @@ LANE = 512
 #: A shard ends with the record that takes it beyond so many bytes.
 SHARD_BYTES = 256 << 20
 #: Words that a worker remembers; beyond that those that were not met lately go.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 1_000_000
 #: New words that the library gets at once: what it returns is large.
 NEW_WORDS = 2048
 #: Steps of a normaliser that lower-case plain words and do no more to them.
