@@ -46,9 +46,14 @@ class Catalog:
     @classmethod
     def empty(cls, spark: SparkSession, **given: DataFrame) -> Catalog:
         """The given relations, the others empty; columns that a relation lacks are null."""
-        parts = {n: spark.createDataFrame([], s) for n, s in SCHEMAS.items()}
-        for n, df in given.items():
-            parts[n] = parts[n].unionByName(df, allowMissingColumns=True).select(*parts[n].columns)
+        parts = {}
+        for n, schema in SCHEMAS.items():
+            # known to be empty when planned, so that nothing runs for it
+            none = spark.sql(f"SELECT {', '.join('CAST(NULL AS {1}) AS `{0}`'.format(*c.split()) for c in schema.split(', '))} WHERE false")
+            parts[n] = none
+            if n in given:  # in the given rows' partitions, of the kinds that a union has
+                df, kinds = given[n], none.unionByName(given[n], allowMissingColumns=True).schema
+                parts[n] = df.select(*((F.col(f"`{c}`") if c in df.columns else F.lit(None)).cast(kinds[c].dataType).alias(c) for c in none.columns))
         return cls(**parts)
 
     def stored(self) -> Catalog:

@@ -64,6 +64,18 @@ def discard(spark: SparkSession, folder: str) -> None:
     place.getFileSystem(sc._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def parts_for(spark: SparkSession, units: int, each: int) -> int:
+    """How many partitions `units` things go to, `each` in one; shuffles of the session get as many at least, and rows dealt by one key stay where they are for several.
+
+    The settings hold for the session from then on, as plans read them when they run; Spark joins small partitions again.
+    """
+    parts = max(spark.sparkContext.defaultParallelism, -(-units // each))
+    spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+    if int(spark.conf.get("spark.sql.shuffle.partitions")) < parts and units > each:
+        spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    return parts
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df, written as Parquet in the shared folder and read back: its lineage ends there, and later scans can leave columns out."""
     spark = df.sparkSession
