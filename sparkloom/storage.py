@@ -7,7 +7,8 @@ import io
 import tempfile
 import uuid
 import zipfile
-from contextlib import suppress
+from collections.abc import Iterator
+from contextlib import contextmanager, suppress
 from pathlib import Path
 from urllib.parse import quote
 
@@ -97,20 +98,57 @@ def opened(uri: str):
     return fs.FileSystem.from_uri(f"{scheme}://{quote(place)}")
 
 
-def replaced(uri: str, raw: bytes) -> None:
-    """Write a file that appears under its name only when it is whole, in place of one of that name."""
+@contextmanager
+def appearing(uri: str):
+    """A stream to a file that appears under its name only when it is whole, in place of one of that name."""
     files, path = opened(uri)
     files.create_dir(path.rpartition("/")[0], recursive=True)
     part = f"{path}.{uuid.uuid4().hex}.part"
     with files.open_output_stream(part, compression=None) as out:
-        out.write(raw)
+        yield out
     files.move(part, path)
 
 
-#: Ways in which stored_archives() spoils a zip file.
+def replaced(uri: str, raw: bytes) -> None:
+    """Write such a file at once."""
+    with appearing(uri) as out:
+        out.write(raw)
+
+
+#: Ways in which stored_archives() and packed_archives() spoil a zip file.
 DAMAGES = ("whole", "empty", "cut short", "garbled", "locked", "not a zip")
 
 
+def _spoilt(raw: bytes, damage: str) -> bytes:
+    if damage == "locked":  # the flag of encryption in every local and central header
+        raw = bytearray(raw)
+        for mark, at in ((b"PK\3\4", 6), (b"PK\1\2", 8)):
+            place = raw.find(mark)
+            while place >= 0:
+                raw[place + at] |= 1
+                place = raw.find(mark, place + 4)
+        return bytes(raw)
+    if damage == "garbled":  # the first member's packed bytes
+        start = 30 + int.from_bytes(raw[26:28], "little") + int.from_bytes(raw[28:30], "little")
+        end = start + int.from_bytes(raw[18:22], "little")
+        return raw[:start] + bytes(x ^ 0xFF for x in raw[start:end]) + raw[end:]
+    return {"whole": raw, "empty": b"", "cut short": raw[: len(raw) // 2], "not a zip": b"no zip at all"}[damage]
+
+
+def _zipped(batch: pa.RecordBatch) -> Iterator[tuple[str, bytes]]:
+    """(model, its zip file) for rows of model, members and damage."""
+    for model, members, damage in zip(*(batch.column(c).to_pylist() for c in ("model", "members", "damage")), strict=True):
+        packed = io.BytesIO()
+        with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as z:
+            for m in members:
+                z.writestr(m["member"], m["text"] or "")
+        yield model, _spoilt(packed.getvalue(), damage)
+
+
+def _by_model(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("model").agg(F.array_sort(F.collect_list(F.struct("member", "text"))).alias("members"), F.max("damage").alias("damage"))
+
+
 def stored_archives(rows: DataFrame, label: str, ending: str) -> str:
     """A new folder in the shared one with a zip file <model>.<ending> for each model.
 
@@ -118,37 +156,38 @@ def stored_archives(rows: DataFrame, label: str, ending: str) -> str:
     """
     folder = shared_folder(rows.sparkSession, label)
 
-    def spoilt(raw: bytes, damage: str) -> bytes:
-        if damage == "locked":  # the flag of encryption in every local and central header
-            raw = bytearray(raw)
-            for mark, at in ((b"PK\3\4", 6), (b"PK\1\2", 8)):
-                place = raw.find(mark)
-                while place >= 0:
-                    raw[place + at] |= 1
-                    place = raw.find(mark, place + 4)
-            return bytes(raw)
-        if damage == "garbled":  # the first member's packed bytes
-            start = 30 + int.from_bytes(raw[26:28], "little") + int.from_bytes(raw[28:30], "little")
-            end = start + int.from_bytes(raw[18:22], "little")
-            return raw[:start] + bytes(x ^ 0xFF for x in raw[start:end]) + raw[end:]
-        return {"whole": raw, "empty": b"", "cut short": raw[: len(raw) // 2], "not a zip": b"no zip at all"}[damage]
-
     def run(batches):
         for batch in batches:
-            for model, members, damage in zip(*(batch.column(c).to_pylist() for c in ("model", "members", "damage")), strict=True):
-                packed = io.BytesIO()
-                with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as z:
-                    for m in members:
-                        z.writestr(m["member"], m["text"] or "")
-                replaced(f"{folder}/{model}.{ending}", spoilt(packed.getvalue(), damage))
+            for model, raw in _zipped(batch):
+                replaced(f"{folder}/{model}.{ending}", raw)
             yield pa.RecordBatch.from_arrays([batch.column("model")], ["model"])
 
     ship(rows.sparkSession)
-    whole = rows.groupBy("model").agg(F.array_sort(F.collect_list(F.struct("member", "text"))).alias("members"), F.max("damage").alias("damage"))
-    whole.mapInArrow(run, "model string").count()
+    _by_model(rows).mapInArrow(run, "model string").count()
     return folder
 
 
+def packed_archives(rows: DataFrame, ending: str) -> DataFrame:
+    """path (<model>.<ending>), length, content: the same zip files as rows of a table in the shared folder.
+
+    For archives by the million, of a few KB each: as files they take a block, a name and an entry of the driver's listing each.
+    """
+
+    def run(batches):
+        for batch in batches:
+            made = [(f"{model}.{ending}", len(raw), raw) for model, raw in _zipped(batch)]
+            for i in range(0, len(made), 1000):
+                names, lengths, raws = zip(*made[i : i + 1000], strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(lengths, pa.int64()), pa.array(raws, pa.binary())], ["path", "length", "content"])
+
+    ship(rows.sparkSession)
+    return cut(_by_model(rows).mapInArrow(run, "path string, length long, content binary"))
+
+
 def stored_zips(rows: DataFrame, label: str, ending: str) -> str:
     """The same for whole zip files: model, member, text."""
     return stored_archives(rows.select("model", "member", "text", F.lit("whole").alias("damage")), label, ending)
+
+
+def packed_zips(rows: DataFrame, ending: str) -> DataFrame:
+    return packed_archives(rows.select("model", "member", "text", F.lit("whole").alias("damage")), ending)

@@ -1,9 +1,13 @@
 """What lets an estate grow: how it is dealt out, packed and graded."""
 
+import hashlib
+import os
+
 import pytest
 
 from sparkloom import estate as estates
 from sparkloom.operators import audits, references
+from sparkloom.sinks import files
 
 SF = "/root/testdata/sf0.001"
 
@@ -32,3 +36,26 @@ def test_an_estate_is_dealt_out_by_model_whatever_its_files(spark, many):
 def test_analyses_by_model_shuffle_nothing_more(many):
     for df in (audits.naming(many), audits.encoding_advice(many), audits.sizes(many, "cardinality"), references.unused_columns(many)):
         assert shuffles(df) == 0
+
+
+def test_files_in_packs_are_whole_and_counted_once(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(files, "PACK_BYTES", 4)  # for the writer below, in this process
+    folder = f"file://{tmp_path}/out"
+    rows = [("m", "a/b.txt", "one"), ("m", "c.txt", "é\nline"), ("n", "c.txt", ""), ("n", "d e.txt", None), ("x/y", "z.txt", "deep")]
+    files.write_files(spark.createDataFrame(rows, "model string, path string, content string").repartition(2), folder, packed=True)
+    made = [f for _, _, names in os.walk(tmp_path / "out") for f in names if not f.startswith(".")]
+    assert sum(f.endswith(".tar.gz") for f in made) in (1, 2) and len(made) <= 6  # not one for each row
+    want = {(m, p, (c or "").encode()) for m, p, c in rows}
+    assert {tuple(map(lambda v: bytes(v) if isinstance(v, bytearray) else v, r)) for r in files.packed_files(spark, folder).collect()} == want
+    assert {(r.model, r.path, r.bytes, r.sha256) for r in files.manifest(spark, folder).collect()} == {(m, p, len(c), hashlib.sha256(c).hexdigest()) for m, p, c in want}
+    writer = files.Writer(folder, packed=True)
+    each = [{"model": "q", "path": f"{i}.txt", "content": "four"} for i in range(3)]
+    lost, again = writer.write(iter(each)), writer.write(iter(each))
+    assert len(lost.packs) == 3 and files.packed_files(spark, folder).count() == 5  # nothing counts before the commit
+    writer.commit([again, None])  # nor a try that was given up
+    assert files.packed_files(spark, folder).where("model = 'q'").count() == 3
+    writer.abort([lost])
+    assert not any(p in os.listdir(tmp_path / "out") for p in lost.packs)
+    with pytest.raises(ValueError):
+        writer.write(iter([{"model": "m", "path": "../x", "content": "no"}]))
+    assert files.packed_files(spark, f"file://{tmp_path}/nothing").count() == 0
