@@ -6,16 +6,18 @@ the JVM. Archives that can't be read give a row in `problems` instead of failing
 
 from __future__ import annotations
 
+import io
 import lzma
 import zipfile
 import zlib
+from contextlib import ExitStack
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..catalog import SCHEMAS, Catalog
-from ..storage import opened, ship
+from ..storage import cut, opened, ship
 
 MODEL_PARTS = ("Model.bim", "DaxVpaView.json", "DaxModel.json")
 BIM = """struct<model: struct<tables: array<struct<name: string, dataCategory: string, isHidden: boolean,
@@ -47,7 +49,7 @@ def listed_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def parts_of(files: DataFrame, parts: tuple[str, ...] = MODEL_PARTS) -> DataFrame:
-    """path, part, text, problem: the wanted members of zip files (path, length), as UTF-8 without a mark.
+    """path, part, text, problem: the wanted members of zip files (path, length, and content if they are rows, not files), as UTF-8 without a mark.
 
     A task opens one archive at a time and reads its directory and these members alone, by their places, so an archive may
     be larger than memory; a member may not.
@@ -62,23 +64,41 @@ def parts_of(files: DataFrame, parts: tuple[str, ...] = MODEL_PARTS) -> DataFram
             locked = isinstance(why, RuntimeError) and not isinstance(why, NotImplementedError)
             return path, part, None, f"{part} is encrypted" if locked else f"{part} can't be unpacked"
 
+    def read(path: str, length: int | None, content: pa.Scalar | None) -> list[tuple]:
+        if not length:
+            return [(path, None, None, "empty file")]
+        try:
+            with ExitStack() as held:
+                if content is None:
+                    files, place = opened(path)
+                    raw = held.enter_context(files.open_input_file(place))
+                else:
+                    raw = io.BytesIO(content.as_py())
+                z = held.enter_context(zipfile.ZipFile(raw))
+                names = {n.rsplit("/", 1)[-1]: n for n in z.namelist()}
+                return [member(z, path, part, names) for part in parts]
+        except UNREADABLE:
+            return [(path, None, None, "not a zip file")]
+
+    def made(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in zip(*rows, strict=True)], ["path", "part", "text", "problem"])
+
     def run(batches):
+        rows, held = [], 0
         for batch in batches:
-            for path, length in zip(batch.column("path").to_pylist(), batch.column("length").to_pylist(), strict=True):
-                if not length:
-                    rows = [(path, None, None, "empty file")]
-                else:
-                    try:
-                        files, place = opened(path)
-                        with files.open_input_file(place) as raw, zipfile.ZipFile(raw) as z:
-                            names = {n.rsplit("/", 1)[-1]: n for n in z.namelist()}
-                            rows = [member(z, path, part, names) for part in parts]
-                    except UNREADABLE:
-                        rows = [(path, None, None, "not a zip file")]
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in zip(*rows, strict=True)], ["path", "part", "text", "problem"])
+            contents = batch.column("content") if packed else [None] * batch.num_rows
+            for path, length, content in zip(batch.column("path").to_pylist(), batch.column("length").to_pylist(), contents, strict=True):
+                own = read(path, length, content)
+                rows, held = rows + own, held + sum(len(text or "") for _, _, text, _ in own)
+                if held > 1 << 20 or len(rows) > 1000:  # a batch for many small archives
+                    yield made(rows)
+                    rows, held = [], 0
+        if rows:
+            yield made(rows)
 
     ship(files.sparkSession)
-    return files.select("path", "length").mapInArrow(run, "path string, part string, text string, problem string")
+    packed = "content" in files.columns
+    return files.select("path", "length", *["content"] * packed).mapInArrow(run, "path string, part string, text string, problem string")
 
 
 def read_models(spark: SparkSession, path: str) -> tuple[Catalog, DataFrame]:
@@ -86,16 +106,21 @@ def read_models(spark: SparkSession, path: str) -> tuple[Catalog, DataFrame]:
 
     Spark lists the files without reading them; tasks open them by their URIs.
     """
-    parts = parts_of(listed_files(spark, path))
-    return from_parts(parts.withColumnRenamed("path", "model"))
+    return models_of(listed_files(spark, path))
+
+
+def models_of(archives: DataFrame) -> tuple[Catalog, DataFrame]:
+    """The same of archives as parts_of() takes them. All relations are read from the parsed texts, which are written once."""
+    return from_parts(parts_of(archives).withColumnRenamed("path", "model"), once=True)
 
 
-def from_parts(parts: DataFrame) -> tuple[Catalog, DataFrame]:
-    """model, part, text, problem -> catalog and problems. Models with a problem give no rows."""
+def from_parts(parts: DataFrame, once: bool = False) -> tuple[Catalog, DataFrame]:
+    """model, part, text, problem -> catalog and problems. Models with a problem give no rows. once: write what is parsed, for all relations to read."""
     one = parts.groupBy("model").agg(*(F.max(F.when(F.col("part") == p, F.col("text"))).alias(n) for p, n in zip(MODEL_PARTS, ("bim", "vpa", "dax"), strict=True)), F.array_sort(F.collect_set("problem")).alias("problems"))
     one = one.withColumns({"b": F.from_json("bim", BIM), "v": F.from_json("vpa", VPA)})
     bad = F.when(F.size("problems") > 0, F.array_join("problems", "; ")).when(~F.coalesce(F.trim("bim").startswith("{"), F.lit(False)) | F.col("b.model").isNull(), "Model.bim isn't a JSON object").when(~F.coalesce(F.trim("vpa").startswith("{"), F.lit(False)), "DaxVpaView.json isn't a JSON object")
-    one = one.withColumn("problem", bad)
+    one = one.withColumn("problem", bad).select("model", "problem", "b", "v")
+    one = cut(one) if once else one
     good = one.where("problem IS NULL")
     return _catalog(good.select("model", F.col("b.model").alias("b"), "v")), one.where("problem IS NOT NULL").select("model", "problem")
 

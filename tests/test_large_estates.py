@@ -6,8 +6,10 @@ import os
 import pytest
 
 from sparkloom import estate as estates
+from sparkloom import storage
 from sparkloom.operators import audits, references
 from sparkloom.sinks import files
+from sparkloom.sources import archives, reports
 
 SF = "/root/testdata/sf0.001"
 
@@ -59,3 +61,19 @@ def test_files_in_packs_are_whole_and_counted_once(spark, tmp_path, monkeypatch)
     with pytest.raises(ValueError):
         writer.write(iter([{"model": "m", "path": "../x", "content": "no"}]))
     assert files.packed_files(spark, f"file://{tmp_path}/nothing").count() == 0
+
+
+def test_archives_by_the_million_are_rows_not_files(spark, monkeypatch):
+    monkeypatch.setattr(storage, "replaced", None)  # no file for an archive
+    damages = ["whole", "empty", "cut short", "garbled", "locked", "not a zip"]
+    rows = spark.createDataFrame([(d.replace(" ", "_"), p, "text " * 50, d) for d in damages for p in ("a.json", "b.json")], "model string, member string, text string, damage string")
+    packed = storage.packed_archives(rows, "zip")
+    got = {}
+    for r in archives.parts_of(packed, ("a.json", "b.json")).collect():
+        got.setdefault(r.path, []).append(r.problem or r.part)
+    assert {k: sorted(v) for k, v in got.items()} == {
+        "whole.zip": ["a.json", "b.json"], "empty.zip": ["empty file"], "cut_short.zip": ["not a zip file"], "garbled.zip": ["a.json can't be unpacked", "b.json"],
+        "locked.zip": ["a.json is encrypted", "b.json is encrypted"], "not_a_zip.zip": ["not a zip file"],
+    }
+    _, _, problems = reports.reports_of(packed)
+    assert problems.count() == 6
