@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..catalog import SEVERITIES, Catalog, finding, qualified
 from ..functions import expressions as X
 from ..functions import names as N
+from ..storage import cut
 from .references import measure_cycles
 
 #: Functions that need a row or filter context. Fixed values.
@@ -166,11 +167,11 @@ def severity_counts(findings: DataFrame, *by: str) -> DataFrame:
 def scorecard(sections: dict[str, DataFrame], models: DataFrame) -> DataFrame:
     """model, score, grade: 100 less what each section's worst severity and its count take, at most 100 / sections each.
 
-    Info findings cost nothing. sections: name -> findings; models: the models to grade.
+    Info findings cost nothing. sections: name -> findings; models: the models to grade. Each section's counts are
+    written before the next one's begin, so the driver holds one section's plan and joins at a time.
     """
     cap = 100.0 / max(len(sections), 1)
-    every = union([f.select("model", "severity").withColumn("section", F.lit(n)) for n, f in sections.items()])
-    counts = severity_counts(every, "section")
+    counts = union([cut(severity_counts(f.select("model", "severity")).withColumn("section", F.lit(n))) for n, f in sections.items()])
     base = F.when(F.col("high") > 0, 0.60).when(F.col("medium") > 0, 0.35).when(F.col("low") > 0, 0.12).otherwise(0.0)
     worst = F.when(F.col("high") > 0, F.col("high")).when(F.col("medium") > 0, F.col("medium")).otherwise(F.col("low"))
     cost = F.when(base > 0, F.lit(cap) * (base + (1 - base) * F.least(F.lit(1.0), worst / 10) * 0.7)).otherwise(0.0)

@@ -77,3 +77,10 @@ def test_archives_by_the_million_are_rows_not_files(spark, monkeypatch):
     }
     _, _, problems = reports.reports_of(packed)
     assert problems.count() == 6
+
+
+def test_a_scorecard_is_graded_section_by_section(many):
+    graded = audits.scorecard({"naming": audits.naming(many), "unused": references.unused_columns(many)}, many.tables)
+    plan = graded._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan parquet") <= 3 and "rlike" not in plan.lower()  # the sections' counts, and the models
+    assert graded.count() == 150
