@@ -124,12 +124,15 @@ def to_sql(text: str) -> tuple[str | None, str]:
     return (f"COALESCE({sql}, {', '.join(map(_literal, m.defaults))})" if m.defaults else sql), ""
 
 
-def measure_sql(c) -> DataFrame:
-    """model, table, measure, sql_text (null where refused), reason: the measures of a catalog, compiled in batches on the executors."""
+def compiled(text: pd.Series) -> pd.DataFrame:
+    """sql_text and reason of a batch of measures; a text that stands in many models is compiled once."""
+    text = text.fillna("")
+    made = {t: to_sql(t) for t in text.unique()}
+    return pd.DataFrame([made[t] for t in text], columns=["sql_text", "reason"])
 
-    @F.pandas_udf("struct<sql_text: string, reason: string>")
-    def compiled(text: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([to_sql(t or "") for t in text], columns=["sql_text", "reason"])
 
+def measure_sql(c) -> DataFrame:
+    """model, table, measure, sql_text (null where refused), reason: the measures of a catalog, compiled in batches on the executors."""
     ship(c.measures.sparkSession)
-    return c.measures.withColumn("m", compiled("expression")).select("model", "table", "measure", "m.sql_text", "m.reason")
+    udf = F.pandas_udf(compiled, "struct<sql_text: string, reason: string>")
+    return c.measures.withColumn("m", udf("expression")).select("model", "table", "measure", "m.sql_text", "m.reason")

@@ -36,26 +36,33 @@ def structure_changes(base: Catalog, other: Catalog) -> DataFrame:
         tables = c.tables.select("model", F.lit("Table").alias("kind"), F.col("table").alias("object"))
         columns = c.user_columns.select("model", F.lit("Column"), qualified())
         ends = F.concat(qualified("from_table", "from_column"), F.lit(" -> "), qualified("to_table", "to_column"), F.lit(" ("), F.col("direction"), F.lit(")"))
-        return tables.union(columns).union(c.relationships.select("model", F.lit("Relationship"), ends)).distinct()
+        return tables.union(columns).union(c.relationships.select("model", F.lit("Relationship"), ends))
 
-    a, b = objects(base), objects(other)
-    added = b.exceptAll(a).withColumn("change", F.lit("Added")).withColumn("severity", F.lit("Low"))
-    return added.union(a.exceptAll(b).withColumn("change", F.lit("Removed")).withColumn("severity", F.lit("Medium")))
+    # both sides in one grouping, so each catalog is read once
+    sides = objects(base).withColumn("before", F.lit(1)).union(objects(other).withColumn("before", F.lit(0)))
+    found = sides.groupBy("model", "kind", "object").agg(F.min("before").alias("least"), F.max("before").alias("most")).where("least = most")
+    added = F.col("most") == 0
+    return found.select("model", "kind", "object", F.when(added, "Added").otherwise("Removed").alias("change"), F.when(added, "Low").otherwise("Medium").alias("severity"))
 
 
 def versions_of(c: Catalog, version: Column | int) -> DataFrame:
-    """model, version, kind, object, content (a hash of what counts) of a catalog's objects, for history()."""
+    """model, version, kind, object, content (a hash of what counts) of a catalog's objects, for history().
+
+    version: a number, or a column of all of the catalog's relations, whose rows are then those of several versions.
+    """
     told = lambda *columns: F.xxhash64(*(F.coalesce(F.col(x).cast("string") if isinstance(x, str) else x.cast("string"), F.lit("\0")) for x in columns))
-    rows = lambda df, kind, name, content: df.select("model", F.lit(kind).alias("kind"), name.alias("object"), content.alias("content"))
+    number = F.lit(version) if isinstance(version, int) else version
+    rows = lambda df, kind, name, content: df.select("model", F.lit(kind).alias("kind"), name.alias("object"), content.alias("content"), number.alias("version"))
     parts = [
         rows(c.tables, "Table", F.col("table"), told("category", "expression")),
         rows(c.user_columns, "Column", qualified(), told("data_type", "column_type", X.normalised(F.col("expression")))),
         rows(c.measures, "Measure", qualified(column="measure"), told(X.normalised(F.col("expression")), "format")),
         rows(c.relationships, "Relationship", F.concat(qualified("from_table", "from_column"), F.lit(" -> "), qualified("to_table", "to_column")), told("direction", "active", "from_cardinality", "to_cardinality")),
     ]
-    # objects of the same name count as one, with all that is told of them
-    every = reduce(DataFrame.unionByName, parts).groupBy("model", "kind", "object").agg(F.xxhash64(F.array_sort(F.collect_list("content"))).alias("content"))
-    return every.withColumn("version", F.lit(version) if isinstance(version, int) else version)
+    # objects of the same name count as one, with all that is told of them: sums of both halves of its hashes, which need no lists
+    half = lambda x: F.sum(x.bitwiseAND(F.lit(0xFFFFFFFF)))
+    every = reduce(DataFrame.unionByName, parts).groupBy("model", "version", "kind", "object")
+    return every.agg(F.xxhash64(half(F.col("content")), half(F.shiftrightunsigned("content", 32))).alias("content"))
 
 
 def history(objects: DataFrame) -> DataFrame:
@@ -92,7 +99,7 @@ def near_duplicate_measures(c: Catalog, threshold: int = 85) -> DataFrame:
     meets the character comparison. Every measure takes part.
     """
     least = 0.75 * threshold / 100
-    fp = X.fingerprint("expression")
+    fp = F.explode(F.array(X.fingerprint("expression")))  # as an array's only item, so that the filter on it doesn't compute it again
     m = c.measures.select("model", "table", "measure", fp.alias("fp")).where(F.length("fp") >= 8).distinct().withColumn("tokens", X.fingerprint_tokens("fp"))
     # equal fingerprints are one node, so copies of a measure don't multiply the join
     nodes = m.groupBy("model", "fp").agg(F.first("tokens").alias("tokens"))

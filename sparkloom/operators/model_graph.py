@@ -85,7 +85,8 @@ def with_bridges(c: Catalog, tables: DataFrame, hops: int | None = None) -> Data
     Of equally short paths the one counts whose names sort first, read from the end whose name does.
     """
     own = tables.select("model", "table").distinct()
-    paths = cut(paths_from(own.withColumnRenamed("table", "start"), links(c), None if hops is None else hops + 1))
+    # links and paths are written, as every step reads them
+    paths = cut(paths_from(own.withColumnRenamed("table", "start"), cut(links(c)), None if hops is None else hops + 1))
     at = paths.join(own, ["model", "table"], "left_semi").where("start < table").select("model", "start", F.col("before").alias("table"))
     found = [own]
     while True:  # back from the ends, all pairs at once: as often as the longest path has steps

@@ -14,7 +14,9 @@ def expression_references(c: Catalog) -> DataFrame:
     """model, kind, home, object, table (null where unqualified), name: one row per reference of a measure or calculated column."""
     measures = c.measures.select("model", F.lit("measure").alias("kind"), F.col("table").alias("home"), F.col("measure").alias("object"), "expression")
     columns = c.calculated_columns.select("model", F.lit("calculated column").alias("kind"), F.col("table").alias("home"), F.col("column").alias("object"), "expression")
-    return measures.union(columns).select("model", "kind", "home", "object", F.explode(X.references("expression")).alias("r")).select("model", "kind", "home", "object", "r.table", "r.name")
+    # explode_outer, as before explode Spark tests the array in a filter and so computes it again for each test
+    each = measures.union(columns).select("model", "kind", "home", "object", F.explode_outer(X.references("expression")).alias("r")).where("r IS NOT NULL")
+    return each.select("model", "kind", "home", "object", "r.table", "r.name")
 
 
 def measure_edges(c: Catalog) -> DataFrame:
@@ -56,15 +58,44 @@ def referenced_columns(c: Catalog, qualified: bool = False) -> DataFrame:
     return found.union(c.key_columns).distinct()
 
 
+def column_uses(c: Catalog, qualified: bool = False) -> DataFrame:
+    """model, table, column, status for every column, and what reports make of it: shown (its name is bound), report (null without any), pages.
+
+    What names a column, or may be taken for one, is grouped once by name and table; the tables of a name and the names of
+    a model then follow each other in one order, so no question takes a join of its own.
+    """
+    none, one = F.lit(None).cast("string"), F.lit(1)
+
+    def rows(df: DataFrame, kind: str, table, column, page=none) -> DataFrame:
+        return df.select("model", table.alias("table"), column.alias("column"), F.lit(kind).alias("kind"), page.alias("page"))
+
+    r = c.relationships
+    ends = r.select("model", F.explode(F.array(*(F.struct(F.col(f"{e}_table").alias("table"), F.col(f"{e}_column").alias("column")) for e in ("from", "to")))).alias("end"))
+    every = rows(c.user_columns, "own", F.col("table"), F.col("column")).union(rows(ends.where("end.table <> '' AND end.column <> ''"), "key", F.col("end.table"), F.col("end.column")))
+    every = every.union(rows(expression_references(c), "named", F.col("table") if qualified else none, F.col("name"))).union(rows(c.measures, "measure", none, F.col("measure")))
+    every = every.union(rows(c.bindings, "bound", F.col("table"), F.col("field"), F.col("page")))
+    counts = [F.count_if(F.col("kind") == k).alias(k) for k in ("own", "key", "named", "measure", "bound")]
+    each = every.groupBy("model", "column", "table").agg(*counts, F.array_sort(F.collect_set("page")).alias("pages"))
+    own, named = F.col("own") > 0, F.col("named") > 0
+    of_name, of_model = Window.partitionBy("model", "column"), Window.partitionBy("model")
+    any_of = lambda test: F.max(test).over(of_name)
+    each = each.withColumns({
+        "owners": F.count(F.when(own, one)).over(of_name), "known_owners": F.count(F.when(own & F.col("table").isNotNull(), one)).over(of_name), "called": any_of(named) & ~any_of(F.col("measure") > 0),
+        "is_key": any_of(F.col("key") > 0), "matched": any_of(own & named & F.col("table").isNotNull()), "shown": any_of(F.col("bound") > 0),
+    })
+    each = each.withColumn("report", F.max(F.when(F.col("bound") > 0, True)).over(of_model))
+    alone = F.col("called") & (F.col("owners") == 1)
+    used = (F.col("key") > 0) | alone | F.lit(qualified) & F.col("called") & named
+    somewhere = F.col("is_key") | alone | F.lit(qualified) & F.col("called") & F.col("matched")
+    status = F.when(used, "Referenced").when((F.col("known_owners") > 1) & somewhere, "Referenced somewhere (table ambiguous)").otherwise("Likely unused")
+    each = each.where(own & F.col("table").isNotNull() & F.col("column").isNotNull()).withColumn("again", F.explode(F.array_repeat(one, F.col("own").cast("int"))))  # as often as the catalog has it
+    return each.select("model", "table", "column", status.alias("status"), "shown", "report", F.when(F.col("bound") > 0, F.col("pages")).alias("pages"))
+
+
 def unused_columns(c: Catalog, qualified: bool = False) -> DataFrame:
     """model, table, column, status, severity for every column."""
-    used = referenced_columns(c, qualified).withColumn("used", F.lit(True))
-    names = used.select("model", "column").distinct().withColumn("named", F.lit(True))
-    columns = c.user_columns.select("model", "table", "column").where("table IS NOT NULL AND column IS NOT NULL")
-    owners = columns.distinct().groupBy("model", "column").agg(F.count(F.lit(1)).alias("owners"))
-    rows = columns.join(used, ["model", "table", "column"], "left").join(names, ["model", "column"], "left").join(owners, ["model", "column"])
-    status = F.when(F.col("used"), "Referenced").when((F.col("owners") > 1) & F.col("named"), "Referenced somewhere (table ambiguous)").otherwise("Likely unused")
-    return rows.select("model", "table", "column", status.alias("status")).withColumn("severity", F.when(F.col("status") == "Likely unused", "Low").otherwise("Info"))
+    rows = column_uses(c.with_(bindings=c.bindings.where("false")), qualified)
+    return rows.select("model", "table", "column", "status", F.when(F.col("status") == "Likely unused", "Low").otherwise("Info").alias("severity"))
 
 
 def impact_of_table(c: Catalog, table: str) -> DataFrame:

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..catalog import Catalog
 from ..functions import expressions as X
-from .references import unused_columns
+from .references import column_uses
 
 
 def broken_bindings(c: Catalog) -> DataFrame:
@@ -15,22 +15,21 @@ def broken_bindings(c: Catalog) -> DataFrame:
 
     A binding without a table is skipped; a measure may have moved to another table; a level may be a column.
     """
-    b = c.bindings.where("table IS NOT NULL AND table <> ''")
-    tables = c.tables.select("model", "table").distinct()
-    unknown = b.join(tables, ["model", "table"], "left_anti").withColumn("problem", F.lit("the table doesn't exist"))
-    known = b.join(tables, ["model", "table"], "left_semi")
-    columns = c.user_columns.select("model", "table", F.col("column").alias("field")).distinct()
-    measures = c.measures.select("model", "table", F.col("measure").alias("field")).distinct()
-    levels = c.levels.select("model", "table", F.col("level").alias("field")).distinct()
-    full, by_name = ["model", "table", "field"], ["model", "field"]
-    m = known.where("kind = 'Measure'").join(measures.select(*by_name).distinct(), by_name, "left_anti").join(columns, full, "left_anti")
-    h = known.where("kind = 'Hierarchy level'").join(levels.union(columns), full, "left_anti")
-    o = known.where("kind NOT IN ('Measure', 'Hierarchy level')").join(columns.union(measures), full, "left_anti")
-    parts = [unknown, m.withColumn("problem", F.lit("no such measure")), h.withColumn("problem", F.lit("no such level")), o.withColumn("problem", F.lit("no such column"))]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.select(*c.bindings.columns, "problem").withColumn("severity", F.lit("High"))
+    names = [x for x in c.bindings.columns if x not in ("model", "table", "field")]
+    rows = c.bindings.where("table <> ''").select("model", "table", "field", F.lit("binding").alias("what"), *names)
+    parts = [(c.tables, "table", F.lit(None).cast("string")), (c.user_columns, "column", F.col("column")), (c.measures, "measure", F.col("measure")), (c.levels, "level", F.col("level"))]
+    for df, what, name in parts:
+        rows = rows.unionByName(df.select("model", "table", name.alias("field"), F.lit(what).alias("what")), allowMissingColumns=True)
+    # what bears a binding's name is beside it in the order of tables, then in that of names: two sorts, not a join for each question
+    there = lambda what, *by: F.max(F.col("what") == what).over(Window.partitionBy("model", *by))
+    full = {what: F.col("field").isNotNull() & there(what, "table", "field") for what in ("column", "measure", "level")}
+    rows = rows.withColumns(full).withColumn("known", there("table", "table")).where("what IN ('binding', 'measure')")
+    rows = rows.withColumn("moved", F.col("field").isNotNull() & there("measure", "field")).where("what = 'binding'")
+    problem = (
+        F.when(~F.col("known"), "the table doesn't exist").when((F.col("kind") == "Measure") & ~F.col("moved") & ~F.col("column"), "no such measure")
+        .when((F.col("kind") == "Hierarchy level") & ~F.col("level") & ~F.col("column"), "no such level").when(~F.col("kind").isin("Measure", "Hierarchy level") & ~F.col("column") & ~F.col("measure"), "no such column")
+    )
+    return rows.withColumn("problem", problem).where("problem IS NOT NULL").select(*c.bindings.columns, "problem").withColumn("severity", F.lit("High"))
 
 
 def column_disposition(c: Catalog) -> DataFrame:
@@ -38,11 +37,7 @@ def column_disposition(c: Catalog) -> DataFrame:
 
     A field's bare name counts as use where no page names its table.
     """
-    pages = c.bindings.groupBy("model", "table", F.col("field").alias("column")).agg(F.array_sort(F.collect_set("page")).alias("pages"))
-    names = c.bindings.select("model", F.col("field").alias("column")).distinct().withColumn("named", F.lit(True))
-    reports = c.bindings.select("model").distinct().withColumn("report", F.lit(True))
-    rows = unused_columns(c).join(pages, ["model", "table", "column"], "left").join(names, ["model", "column"], "left").join(reports, "model", "left")
-    dax, seen = F.col("status") != "Likely unused", F.col("pages").isNotNull() | F.coalesce("named", F.lit(False))
+    rows, dax, seen = column_uses(c), F.col("status") != "Likely unused", F.col("shown")
     verdict = (
         F.when(F.col("report").isNull(), F.when(dax, "Referenced").otherwise("Unknown without the report")).when(dax & seen, "Keep: expressions and visuals use it")
         .when(dax, "Keep: expressions use it").when(seen, "Keep: visuals use it").otherwise("Safe to delete")
@@ -53,14 +48,18 @@ def column_disposition(c: Catalog) -> DataFrame:
 
 def field_parameters(c: Catalog) -> DataFrame:
     """model, table, fields (what its rows name), used (null without a report), pages, severity."""
-    marked = c.columns.groupBy("model", "table").agg(F.max(F.coalesce("marker", F.lit(False))).alias("marked"))
-    rows = c.tables.join(marked, ["model", "table"], "left").withColumn("fields", F.array_sort(X.named_fields(F.coalesce("expression", F.lit("")))))
-    rows = rows.where(F.col("marked") | F.array_contains(X.functions(F.coalesce("expression", F.lit(""))), "NAMEOF"))
-    pages = c.bindings.groupBy("model", "table").agg(F.array_sort(F.collect_set("page")).alias("pages"))
-    reports = c.bindings.select("model").distinct().withColumn("report", F.lit(True))
-    rows = rows.join(pages, ["model", "table"], "left").join(reports, "model", "left")
-    used = F.when(F.col("report"), F.col("pages").isNotNull())
-    return rows.select("model", "table", "fields", used.alias("used"), "pages", F.when(~used, "Medium").otherwise("Info").alias("severity"))
+    def rows(df: DataFrame, **given) -> DataFrame:
+        kinds = {"expression": "string", "marker": "boolean", "page": "string", "what": "string"}
+        return df.select("model", "table", *(given.get(n, F.lit(None)).cast(kind).alias(n) for n, kind in kinds.items()))
+
+    every = rows(c.tables, expression=F.coalesce("expression", F.lit("")), what=F.lit("table")).union(rows(c.columns, marker=F.coalesce("marker", F.lit(False)))).union(rows(c.bindings, page=F.col("page"), what=F.lit("binding")))
+    of_table, bound = Window.partitionBy("model", "table"), F.col("what") == "binding"
+    here = F.col("table").isNotNull()
+    every = every.withColumns({"marked": here & F.max("marker").over(of_table), "bound": here & F.coalesce(F.max(bound).over(of_table), F.lit(False)), "pages": F.collect_set("page").over(of_table)})
+    every = every.withColumn("report", F.max(F.when(bound, True)).over(Window.partitionBy("model"))).where("what = 'table'")
+    found = every.where(F.col("marked") | F.array_contains(X.functions("expression"), "NAMEOF"))
+    used = F.when(F.col("report"), F.col("bound"))
+    return found.select("model", "table", F.array_sort(X.named_fields(F.col("expression"))).alias("fields"), used.alias("used"), F.when(F.col("bound"), F.array_sort("pages")).alias("pages"), F.when(~used, "Medium").otherwise("Info").alias("severity"))
 
 
 def page_tables(c: Catalog) -> DataFrame:
@@ -74,12 +73,13 @@ def page_tables(c: Catalog) -> DataFrame:
 def source_queries(c: Catalog) -> DataFrame:
     """model, table, partition, mode, sql of the partitions that hold SQL."""
     p = c.partitions.where("lower(coalesce(source_type, '')) <> 'calculated'")
-    return p.select("model", "table", "partition", "mode", X.sql_of("expression").alias("sql")).where("sql <> ''")
+    return p.select("model", "table", "partition", "mode", F.explode(F.array(X.sql_of("expression"))).alias("sql")).where("sql <> ''")
 
 
 def lineage(c: Catalog) -> DataFrame:
     """model, table, source: the tables that each table's SQL reads."""
-    return source_queries(c).select("model", "table", F.explode(X.sql_sources("sql")).alias("source")).distinct()
+    # explode_outer, and the text as an array's only item: filters before explode would compute the fold, and the text, again
+    return source_queries(c).select("model", "table", F.explode_outer(X.sql_sources("sql")).alias("source")).where("source IS NOT NULL").distinct()
 
 
 def source_impact(c: Catalog) -> DataFrame:
@@ -92,25 +92,30 @@ def usual_source_schema(c: Catalog) -> DataFrame:
     parts = F.split("source", r"\.")
     n = F.size(parts)
     rows = lineage(c).select("model", F.when(n > 2, F.get(parts, n - 3)).alias("catalog"), F.when(n > 1, F.get(parts, n - 2)).alias("schema"))
-    mode = lambda col: F.min_by(F.col(col), F.struct(-F.col("n"), F.col(col)))
-    counted = rows.groupBy("model", "catalog", "schema").agg(F.count(F.lit(1)).alias("n"))
-    best = lambda col: counted.where(f"{col} IS NOT NULL").groupBy("model", col).agg(F.sum("n").alias("n")).groupBy("model").agg(mode(col).alias(col))
-    return c.tables.select("model").distinct().join(best("catalog"), "model", "left").join(best("schema"), "model", "left")
+    # both parts of a name are counted in one reading of the queries
+    each = rows.select("model", F.explode(F.array(*(F.struct(F.lit(x).alias("part"), F.col(x).alias("name")) for x in ("catalog", "schema")))).alias("p"))
+    counted = each.where("p.name IS NOT NULL").groupBy("model", "p.part", "p.name").agg(F.count(F.lit(1)).alias("n"))
+    place = F.row_number().over(Window.partitionBy("model", "part").orderBy(F.desc("n"), "name"))
+    best = counted.withColumn("place", place).where("place = 1")
+    named = best.groupBy("model").agg(*(F.max(F.when(F.col("part") == x, F.col("name"))).alias(x) for x in ("catalog", "schema")))
+    return c.tables.select("model").distinct().join(named, "model", "left").select("model", "catalog", "schema")
 
 
 def cleanup_plan(c: Catalog) -> DataFrame:
     """model, kind (table or column), table, column: parameter tables that no report uses, and columns safe to delete in other tables."""
     tables = field_parameters(c).where("used = false").select("model", F.lit("table").alias("kind"), "table", F.lit(None).cast("string").alias("column"))
     columns = column_disposition(c).where("verdict = 'Safe to delete'").select("model", F.lit("column").alias("kind"), "table", "column")
-    return tables.unionByName(columns.join(tables.select("model", "table"), ["model", "table"], "left_anti").select("model", "kind", "table", "column"))
+    whole = F.max(F.col("kind") == "table").over(Window.partitionBy("model", "table"))
+    return tables.unionByName(columns).withColumn("whole", whole).where("kind = 'table' OR NOT whole").select("model", "kind", "table", "column")
 
 
 def reclaimed(c: Catalog) -> DataFrame:
     """model, bytes: what the columns of the clean-up plan, and of its tables, take."""
-    plan = cleanup_plan(c)
-    whole = plan.where("kind = 'table'").select("model", "table")
-    single = plan.where("kind = 'column'").select("model", "table", "column")
-    gone = c.user_columns.join(whole, ["model", "table"], "left_semi").select("model", "total_size").unionAll(c.user_columns.join(single, ["model", "table", "column"], "left_semi").select("model", "total_size"))
+    columns = c.user_columns.select("model", F.lit("own").alias("kind"), "table", "column", "total_size")
+    rows = columns.unionByName(cleanup_plan(c), allowMissingColumns=True)
+    planned = lambda kind, *by: F.max(F.col("kind") == kind).over(Window.partitionBy("model", *by))
+    rows = rows.withColumn("single", planned("column", "table", "column")).withColumn("whole", planned("table", "table"))
+    gone = rows.where("kind = 'own' AND table IS NOT NULL AND (whole OR single)")
     return gone.groupBy("model").agg(F.sum(F.coalesce("total_size", F.lit(0))).alias("bytes"))
 
 

@@ -315,7 +315,8 @@ class _Shared:
             dims = [*role, *(self._atom(d) for d in node[2])]
             out, got = _aggregated(self, rows, dims, node[3], row)
             value = fields.to_column(node[3], self.scope, lambda x, got=got: F.col(got[str(x)]) if str(x) in got else None)
-            level = out.select(*(F.col(f"`{d}`") for d in dims), value.alias(f"_fixed{i}"))
+            # written, so its size is known when the join to the rows is planned: a level of few groups never deals the rows out by them
+            level = cut(out.select(*(F.col(f"`{d}`") for d in dims), value.alias(f"_fixed{i}")))
             rows = _joined(rows, level, dims)
             names[str(node)] = f"_fixed{i}"
             levels.append((level, dims))

@@ -2,12 +2,17 @@
 
 import hashlib
 import os
+import re
 
+import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from sparkloom import estate as estates
-from sparkloom import storage
-from sparkloom.operators import audits, references
+from sparkloom import exchange_queries, metadata_queries, storage
+from sparkloom.formulas import measures
+from sparkloom.operators import audits, comparison, model_graph, references, reports
+from sparkloom.plans.sheets import Sheet
 from sparkloom.sinks import files
 from sparkloom.sources import archives, reports
 
@@ -84,3 +89,77 @@ def test_a_scorecard_is_graded_section_by_section(many):
     plan = graded._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Scan parquet") <= 3 and "rlike" not in plan.lower()  # the sections' counts, and the models
     assert graded.count() == 150
+
+
+def holders(df) -> int:
+    """The sorts and aggregations of a plan: each takes pages of a task's memory, all at once where nothing is shuffled between them."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return len(re.findall(r"(?:Sort \[|Aggregate\(key)", plan))
+
+
+def test_unused_columns_are_told_in_one_order(many):
+    assert holders(references.unused_columns(many)) <= 8 and shuffles(references.unused_columns(many)) == 0
+
+
+def test_broken_bindings_are_told_in_two_orders(many):
+    assert holders(reports.broken_bindings(many)) <= 4
+
+
+def test_a_cleanup_plan_and_what_it_reclaims_hold_little(many):
+    assert holders(reports.cleanup_plan(many)) <= 12
+    assert holders(reports.reclaimed(many)) <= 15
+
+
+def test_structures_are_compared_in_one_grouping(many):
+    other = many.with_(relationships=many.relationships.withColumn("direction", F.lit("Single")))
+    assert holders(comparison.structure_changes(many, other)) <= 8
+
+
+def test_versions_of_an_estate_are_read_once(spark, monkeypatch):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    monkeypatch.setattr(estates, "MODELS_A_PART", 10)
+    df = exchange_queries.model_history(spark, SF)
+    assert holders(df) <= 20
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_objects_of_one_name_count_with_all_that_is_told_of_them(spark):
+    rows = lambda contents: [("m", "T", "X", e, "0") for e in contents]
+    schema = "model string, table string, measure string, expression string, format string"
+    old, new = (estates.Catalog.empty(spark, measures=spark.createDataFrame(rows(e), schema)) for e in (["A", "A"], ["B", "B"]))
+    same = estates.Catalog.empty(spark, measures=spark.createDataFrame(rows(["B", "B"]), schema))
+    objects = comparison.versions_of(old, 0).unionByName(comparison.versions_of(new, 1)).unionByName(comparison.versions_of(same, 2))
+    assert [(r.version, r.object, r.change) for r in comparison.history(objects).collect()] == [(1, "T[X]", "changed")]
+
+
+def test_costly_expressions_are_computed_once(many):
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan(references.expression_references(many)).count("regexp_extract_all") <= 2  # of measures, and of calculated columns
+    assert plan(reports.usual_source_schema(many)).count("aggregate(") == 1
+    assert len(re.findall(r"Filter .*length\(.*regexp_extract_all", plan(comparison.near_duplicate_measures(many)))) == 0
+
+
+def test_a_text_is_compiled_once_a_batch(monkeypatch):
+    seen = []
+    monkeypatch.setattr(measures, "to_sql", lambda t: seen.append(t) or (t, ""))
+    assert measures.compiled(pd.Series(["a", None, "a", "b", None])).sql_text.tolist() == ["a", "", "a", "b", ""] and sorted(seen) == ["", "a", "b"]
+
+
+def test_links_are_written_once_for_all_steps(many, monkeypatch):
+    read = []
+    real = model_graph.links
+    monkeypatch.setattr(model_graph, "cut", lambda df: read.append(df._jdf.queryExecution().optimizedPlan().toString()) or storage.cut(df))
+    monkeypatch.setattr(model_graph, "links", lambda c: real(c))
+    metadata_queries.meta_bridges_far(many)
+    assert sum("customer" in p and "DateKey" in p for p in read) == 1
+
+
+def test_a_level_of_few_groups_never_deals_the_rows_out(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "20k")
+    rows = spark.range(50_000).select((F.col("id") % 2).alias("side"), (F.col("id") % 5).alias("kind"), F.col("id").alias("n"))
+    out = Sheet(rows).query({"kind": "[kind]"}, {"x": "SUM(IF [n] > {FIXED [side]: AVG([n])} THEN 1 ELSE 0 END)"})
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan
+    assert sorted(map(tuple, out.collect())) == [(k, 5000) for k in range(5)]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
