@@ -65,18 +65,19 @@ def versions_of(c: Catalog, version: Column | int) -> DataFrame:
     return every.agg(F.xxhash64(half(F.col("content")), half(F.shiftrightunsigned("content", 32))).alias("content"))
 
 
-def history(objects: DataFrame) -> DataFrame:
+def history(objects: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """model, version, kind, object, change (added, changed, removed): what each version of a model does to the one before it.
 
     objects: model, version (an ordered number), kind, object, content, for any number of versions; a model's first one
     is where it begins. Objects are compared by content alone, each version with its neighbour, in one pass over the rows of an object,
-    so n versions cost one shuffle.
+    so n versions cost one shuffle. known: model, version of all versions, where these can be told without making the objects again.
     """
-    known = objects.select("model", "version").distinct()
-    order = Window.partitionBy("model").orderBy("version")  # a model's versions, not its objects
-    steps = known.select("model", "version", F.lag("version").over(order).alias("before"), F.lead("version").over(order).alias("next"))
+    known = (objects if known is None else known).groupBy("model").agg(F.array_sort(F.collect_set("version")).alias("versions"))  # a model's versions, not its objects
     own = Window.partitionBy("model", "kind", "object").orderBy("version")
-    rows = objects.join(steps, ["model", "version"]).withColumns({"seen": F.lag("version").over(own), "was": F.lag("content").over(own), "again": F.lead("version").over(own)})
+    # in the order of objects first, which begins with the model: the join needs no other
+    rows = objects.withColumns({"seen": F.lag("version").over(own), "was": F.lag("content").over(own), "again": F.lead("version").over(own)}).join(known, "model")
+    place = F.array_position("versions", F.col("version")).cast("int")
+    rows = rows.withColumns({"before": F.get("versions", place - 2), "next": F.get("versions", place)})
     here = F.when(F.col("before").isNull(), None).when(~F.col("seen").eqNullSafe(F.col("before")), "added").when(F.col("was") != F.col("content"), "changed")
     gone = F.when(F.col("next").isNotNull() & ~F.col("again").eqNullSafe(F.col("next")), "removed")
     found = F.explode(F.array(F.struct("version", here.alias("change")), F.struct(F.col("next").alias("version"), gone.alias("change")))).alias("c")

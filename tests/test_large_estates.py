@@ -14,7 +14,8 @@ from sparkloom.formulas import measures
 from sparkloom.operators import audits, comparison, model_graph, references, reports
 from sparkloom.plans.sheets import Sheet
 from sparkloom.sinks import files
-from sparkloom.sources import archives, reports
+from sparkloom.sources import archives
+from sparkloom.sources import reports as report_files
 
 SF = "/root/testdata/sf0.001"
 
@@ -80,7 +81,7 @@ def test_archives_by_the_million_are_rows_not_files(spark, monkeypatch):
         "whole.zip": ["a.json", "b.json"], "empty.zip": ["empty file"], "cut_short.zip": ["not a zip file"], "garbled.zip": ["a.json can't be unpacked", "b.json"],
         "locked.zip": ["a.json is encrypted", "b.json is encrypted"], "not_a_zip.zip": ["not a zip file"],
     }
-    _, _, problems = reports.reports_of(packed)
+    _, _, problems = report_files.reports_of(packed)
     assert problems.count() == 6
 
 
@@ -163,3 +164,14 @@ def test_a_level_of_few_groups_never_deals_the_rows_out(spark):
     assert "SortMergeJoin" not in plan
     assert sorted(map(tuple, out.collect())) == [(k, 5000) for k in range(5)]
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_objects_are_made_once_for_their_history(spark, many):
+    c = many.with_(tables=many.tables.withColumn("version", F.lit(0)))
+    objects = comparison.versions_of(c, 0)
+    known = many.tables.select("model").distinct().withColumn("version", F.lit(0))
+    assert holders(comparison.history(objects, known)) < holders(comparison.history(objects))
+    one = spark.createDataFrame([("m", 0, "Table", "T", 1), ("m", 2, "Table", "T", 1)], "model string, version int, kind string, object string, content long")
+    versions = spark.createDataFrame([("m", 0), ("m", 1), ("m", 2)], "model string, version int")  # of which one has no objects
+    assert sorted((r.version, r.change) for r in comparison.history(one, versions).collect()) == [(1, "removed"), (2, "added")]
+    assert comparison.history(one).count() == 0
