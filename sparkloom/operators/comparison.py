@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from ..catalog import Catalog, qualified
 from ..functions import expressions as X
+from ..storage import ship
 from .relational import changes
 
 
@@ -84,9 +85,11 @@ def history(objects: DataFrame, known: DataFrame | None = None) -> DataFrame:
     return rows.select("model", "kind", "object", found).where("c.change IS NOT NULL").select("model", "c.version", "kind", "object", "c.change")
 
 
-@F.pandas_udf(T.DoubleType())
-def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() * 100 for x, y in zip(a, b, strict=True)])
+def ratios(a: pd.Series, b: pd.Series) -> pd.Series:
+    """How much of two texts is equal, in percent; a pair that stands in many models is compared once a batch."""
+    pairs = list(zip(a, b, strict=True))
+    made = {p: difflib.SequenceMatcher(None, *p).ratio() * 100 for p in set(pairs)}
+    return pd.Series([made[p] for p in pairs], dtype="float64")
 
 
 def near_duplicate_measures(c: Catalog, threshold: int = 85) -> DataFrame:
@@ -99,27 +102,24 @@ def near_duplicate_measures(c: Catalog, threshold: int = 85) -> DataFrame:
     the threshold always do. Lengths and Jaccard similarity are tested in the JVM; only what passes
     meets the character comparison. Every measure takes part.
     """
-    least = 0.75 * threshold / 100
+    ship(c.measures.sparkSession)
+    least, similarity = 0.75 * threshold / 100, F.pandas_udf(ratios, T.DoubleType())
     fp = F.explode(F.array(X.fingerprint("expression")))  # as an array's only item, so that the filter on it doesn't compute it again
     m = c.measures.select("model", "table", "measure", fp.alias("fp")).where(F.length("fp") >= 8).distinct().withColumn("tokens", X.fingerprint_tokens("fp"))
-    # equal fingerprints are one node, so copies of a measure don't multiply the join
-    nodes = m.groupBy("model", "fp").agg(F.first("tokens").alias("tokens"))
-    each = nodes.select("model", "fp", "tokens", F.explode("tokens").alias("token"))
-    frequency = each.groupBy("model", "token").agg(F.count(F.lit(1)).alias("df"))
+    # equal fingerprints are one node, so copies of a measure don't multiply the join; the first of them stands for all
+    nodes = m.groupBy("model", "fp").agg(F.first("tokens").alias("tokens"), F.min(F.struct("measure", "table")).alias("first"))
+    each = nodes.withColumn("token", F.explode("tokens")).withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("model", "token")))
     order = F.row_number().over(Window.partitionBy("model", "fp").orderBy("df", "token"))
-    prefix = each.join(frequency, ["model", "token"]).withColumn("place", order).where(F.col("place") <= F.size("tokens") - F.ceil(F.lit(least) * F.size("tokens")) + 1)
-    a = prefix.select("model", "token", F.col("fp").alias("fp_a"), F.col("tokens").alias("tokens_a"))
-    b = prefix.select("model", "token", F.col("fp").alias("fp_b"), F.col("tokens").alias("tokens_b"))
+    prefix = each.withColumn("place", order).where(F.col("place") <= F.size("tokens") - F.ceil(F.lit(least) * F.size("tokens")) + 1)
+    a, b = (prefix.select("model", "token", *(F.col(x).alias(f"{x}_{s}") for x in ("fp", "tokens", "first"))) for s in "ab")
     lengths = F.least(F.length("fp_a"), F.length("fp_b")) >= F.lit(0.8 * threshold / 100) * F.greatest(F.length("fp_a"), F.length("fp_b"))
     jaccard = F.size(F.array_intersect("tokens_a", "tokens_b")) >= F.lit(least) * F.size(F.array_union("tokens_a", "tokens_b"))
-    pairs = a.join(b, ["model", "token"]).where((F.col("fp_a") < F.col("fp_b")) & lengths & jaccard).select("model", "fp_a", "fp_b").distinct()
+    pairs = a.join(b, ["model", "token"]).where((F.col("fp_a") < F.col("fp_b")) & lengths & jaccard).select("model", "fp_a", "fp_b", "first_a", "first_b").distinct()
     scored = pairs.withColumn("similarity", similarity("fp_a", "fp_b")).where(F.col("similarity") >= threshold)
-    # of measures with one fingerprint the first stands for all in other pairs, so pairs don't grow with the square of copies
-    first = m.groupBy("model", "fp").agg(F.min(F.struct("measure", "table")).alias("first"))
-    names = lambda s: first.select("model", F.col("first.table").alias(f"table_{s}"), F.col("first.measure").alias(f"measure_{s}"), F.col("fp").alias(f"fp_{s}"))
-    near = scored.join(names("a"), ["model", "fp_a"]).join(names("b"), ["model", "fp_b"])
-    copies = m.select("model", "fp", F.col("table").alias("table_b"), F.col("measure").alias("measure_b"))
-    equal = first.select("model", "fp", F.col("first.table").alias("table_a"), F.col("first.measure").alias("measure_a")).join(copies, ["model", "fp"]).where("(measure_a, table_a) < (measure_b, table_b)").withColumn("similarity", F.lit(100.0))
+    name = lambda s: (F.col(f"first_{s}.table").alias(f"table_{s}"), F.col(f"first_{s}.measure").alias(f"measure_{s}"))
+    near = scored.select("model", *name("a"), *name("b"), "similarity")
+    copies = m.select("model", F.min(F.struct("measure", "table")).over(Window.partitionBy("model", "fp")).alias("first_a"), F.struct("measure", "table").alias("first_b"))
+    equal = copies.where("first_a < first_b").select("model", *name("a"), *name("b"), F.lit(100.0).alias("similarity"))
     out = near.select("model", "table_a", "measure_a", "table_b", "measure_b", "similarity").unionByName(equal.select("model", "table_a", "measure_a", "table_b", "measure_b", "similarity"))
     first = F.struct("measure_a", "table_a") < F.struct("measure_b", "table_b")
     side = lambda n, x, y: F.when(first, F.col(x)).otherwise(F.col(y)).alias(n)

@@ -175,3 +175,16 @@ def test_objects_are_made_once_for_their_history(spark, many):
     versions = spark.createDataFrame([("m", 0), ("m", 1), ("m", 2)], "model string, version int")  # of which one has no objects
     assert sorted((r.version, r.change) for r in comparison.history(one, versions).collect()) == [(1, "removed"), (2, "added")]
     assert comparison.history(one).count() == 0
+
+
+def test_near_duplicates_make_fingerprints_for_both_sides_and_copies_alone(many):
+    plan = comparison.near_duplicate_measures(many)._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall(r"Generate explode\(array\(", plan)) == 3
+
+
+def test_a_pair_of_texts_is_compared_once_a_batch(monkeypatch):
+    seen = []
+    real = comparison.difflib.SequenceMatcher
+    monkeypatch.setattr(comparison.difflib, "SequenceMatcher", lambda *a: seen.append(a) or real(*a))
+    assert comparison.ratios(pd.Series(["ab", "ab", "x"]), pd.Series(["ab", "ab", "y"])).tolist() == [100.0, 100.0, 0.0] and len(seen) == 2
+    assert comparison.ratios(pd.Series([], dtype=str), pd.Series([], dtype=str)).tolist() == []
