@@ -11,6 +11,7 @@ from .operators import profile, relational
 from .plans.associative import Associations
 from .plans.sheets import Sheet
 from .plans.star import Relationship, StarModel
+from .storage import shuffles_for
 
 Query = Callable[[SparkSession, str], DataFrame]
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
@@ -34,6 +35,9 @@ MEASURES = {
     "Orders": "COUNTROWS(orders)",
 }
 
+#: Rows of a sheet for each partition of its shuffles, as a grouping may leave nearly as many.
+ROWS_A_PART = 1_000_000
+
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
 
@@ -54,6 +58,8 @@ def registered(sql: str | None = None) -> Callable[[Query], Query]:
 
 def sheet(model: StarModel, *tables: str, **kw) -> Sheet:
     """The first table's rows, with those of further tables that it has paths to, under their own names."""
+    rows = model.tables[tables[0]]
+    shuffles_for(rows.sparkSession, rows.count(), ROWS_A_PART)  # from the file's footers
     refs = {(t, c) for t in tables for c in model.tables[t].columns}
     rows = model.frame(tables[0], refs)
     return Sheet(rows.select(*(F.col(f"`{t}.{c}`").alias(c) for t, c in sorted(refs))), **kw)

@@ -70,8 +70,13 @@ def parts_for(spark: SparkSession, units: int, each: int) -> int:
 
     The settings hold for the session from then on, as plans read them when they run; Spark joins small partitions again.
     """
-    parts = max(spark.sparkContext.defaultParallelism, -(-units // each))
     spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+    return shuffles_for(spark, units, each)
+
+
+def shuffles_for(spark: SparkSession, units: int, each: int) -> int:
+    """The same number, and shuffles of the session get as many partitions at least."""
+    parts = max(spark.sparkContext.defaultParallelism, -(-units // each))
     if int(spark.conf.get("spark.sql.shuffle.partitions")) < parts and units > each:
         spark.conf.set("spark.sql.shuffle.partitions", str(parts))
     return parts

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkloom import estate as estates
-from sparkloom import exchange_queries, metadata_queries, storage
+from sparkloom import exchange_queries, metadata_queries, queries, storage
 from sparkloom.formulas import measures
 from sparkloom.operators import audits, comparison, model_graph, references, reports
 from sparkloom.plans.sheets import Sheet
@@ -166,6 +166,18 @@ def test_a_level_of_few_groups_never_deals_the_rows_out(spark):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
+def test_a_sheet_of_many_rows_gets_more_partitions(spark, monkeypatch):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    monkeypatch.setattr(queries, "ROWS_A_PART", 100)
+    model = queries.star(spark, SF)
+    n = -(-model.tables["lineitem"].count() // 100)
+    queries.sheet(model, "supplier")  # ten rows
+    assert spark.conf.get("spark.sql.shuffle.partitions") == before
+    queries.sheet(model, "lineitem")
+    assert int(spark.conf.get("spark.sql.shuffle.partitions")) == n
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def test_objects_are_made_once_for_their_history(spark, many):
     c = many.with_(tables=many.tables.withColumn("version", F.lit(0)))
     objects = comparison.versions_of(c, 0)
