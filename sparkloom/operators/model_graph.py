@@ -79,22 +79,42 @@ def paths_from(starts: DataFrame, edges: DataFrame, most: int | None = None) ->
     return reduce(DataFrame.unionByName, parts).drop("place")
 
 
+def graph_classes(items: DataFrame) -> DataFrame:
+    """model, class: models with the same starts and the same links are of one class; models without starts are left out.
+
+    items: model, a, b, each once: starts (b null) and links from a to b. Classes are told by the items' number and 128 bits of
+    hashes, so no task holds a model's items together; they are exact up to collisions of these.
+    """
+    halves = [F.bit_xor(F.xxhash64(F.lit(seed), "a", F.lit(seed), F.col("b").isNull(), "b")).alias(f"h{seed}") for seed in (1, 2)]
+    told = items.where("model IS NOT NULL").groupBy("model").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("b").isNull()).alias("starts"), *halves).where("starts > 0")
+    return told.select("model", F.concat_ws(" ", "starts", "n", "h1", "h2").alias("class"))
+
+
 def with_bridges(c: Catalog, tables: DataFrame, hops: int | None = None) -> DataFrame:
     """model, table: the given tables and those on shortest paths between them (with at most `hops` tables in between, if given).
 
-    Of equally short paths the one counts whose names sort first, read from the end whose name does.
+    Of equally short paths the one counts whose names sort first, read from the end whose name does. Models with the same
+    links and given tables are one class, whose paths are looked for in one of them.
     """
-    own = tables.select("model", "table").distinct()
-    # links and paths are written, as every step reads them
-    paths = cut(paths_from(own.withColumnRenamed("table", "start"), cut(links(c)), None if hops is None else hops + 1))
+    none = F.lit(None).cast("string")
+    # starts and links are written, as every step reads them; apart, as a task would hold both otherwise
+    items = cut(tables.select("model", F.col("table").alias("a"), none.alias("b")).distinct()).union(cut(links(c)))
+    classes = cut(graph_classes(items))
+    first = cut(classes.groupBy("class").agg(F.min("model").alias("model")))  # written, as its size tells how to join
+    one = cut(items.join(first, "model").select(F.col("class").alias("model"), "a", "b"))
+    own = one.where("b IS NULL").select("model", F.col("a").alias("table"))
+    paths = cut(paths_from(own.withColumnRenamed("table", "start"), one.where("b IS NOT NULL"), None if hops is None else hops + 1))
     at = paths.join(own, ["model", "table"], "left_semi").where("start < table").select("model", "start", F.col("before").alias("table"))
     found = [own]
     while True:  # back from the ends, all pairs at once: as often as the longest path has steps
         at = cut(at.where("table <> start").distinct())
         if at.isEmpty():
-            return reduce(DataFrame.union, found).distinct()
+            break
         found.append(at.select("model", "table"))
         at = at.join(paths.select("model", "start", "table", "before"), ["model", "start", "table"]).select("model", "start", F.col("before").alias("table"))
+    each = reduce(DataFrame.union, found).distinct().withColumnRenamed("model", "class")
+    nameless = items.where("model IS NULL AND b IS NULL").select("model", F.col("a").alias("table"))  # joined with nothing
+    return classes.join(each, "class").select("model", "table").union(nameless)
 
 
 def filter_edges(c: Catalog) -> DataFrame:

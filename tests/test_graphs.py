@@ -6,8 +6,10 @@ from collections import deque
 
 import pytest
 
+from sparkloom.catalog import Catalog
+from sparkloom.operators import model_graph
 from sparkloom.operators.components import components
-from sparkloom.operators.model_graph import paths_from
+from sparkloom.operators.model_graph import paths_from, with_bridges
 
 
 def plain_components(edges):
@@ -84,3 +86,49 @@ def test_shortest_paths_from_many_starts(spark, most):
                         todo.append(b)
         want |= {(model, start, t): (len(p) - 1, p[-2] if len(p) > 1 else None) for t, p in best.items()}
     assert got == want
+
+
+def plain_bridges(starts, edges, hops):
+    """The starts of one model, and what lies on the shortest paths between them that sort first, read from the lesser end."""
+    out = set(starts)
+    for start in starts - {None}:
+        best, level = {start: (start,)}, [(start,)]
+        while level:
+            after = []
+            for path in sorted(level):
+                for b in sorted(b for a, b in edges if a == path[-1] and b not in best):
+                    best[b] = (*path, b)
+                    after.append(best[b])
+            level = after
+        for end in starts - {None}:
+            if start < end and end in best and (hops is None or len(best[end]) <= hops + 2):
+                out |= set(best[end])
+    return out
+
+
+@pytest.mark.parametrize("hops", [None, 1])
+def test_bridges_are_looked_for_once_in_models_with_equal_graphs(spark, monkeypatch, hops):
+    rng = random.Random(12)
+    graphs = []
+    for _ in range(12):
+        n = rng.randint(3, 9)
+        edges = {tuple(f"t{x}" for x in rng.sample(range(n), 2)) for _ in range(rng.randint(1, 2 * n))}
+        graphs.append((frozenset(rng.sample([f"t{x}" for x in range(n)], 3)), frozenset(edges)))
+    graphs += [(graphs[0][0] | {None}, graphs[0][1]), (graphs[0][0], frozenset()), (frozenset(), graphs[1][1]), (frozenset({None}), graphs[1][1])]
+    graphs += [(frozenset({"a", "c"}), frozenset({("a", "b"), ("b", "c")})), (frozenset({"a", "b", "c"}), frozenset({("a", "b"), ("b", "c")})), (frozenset({"a", "c"}), frozenset({("a", "bc"), ("bc", "c")})), (frozenset({"a", "", "c"}), frozenset({("a", ""), ("", "c")}))]
+    models = {f"m{i}": graphs[i % len(graphs)] for i in range(5 * len(graphs))} | {None: graphs[0]}
+    tables, rels = [], []
+    for model, (starts, edges) in models.items():
+        tables += [(model, t) for t in starts] * rng.randint(1, 2)
+        for a, b in sorted(edges):
+            rels += [(model, *rng.choice([(a, b), (b, a)]))] * rng.randint(1, 2)  # either way round, some twice
+        rels += [(model, "t0", "t0"), (model, None, "t1"), (model, "t1", None)][: rng.randint(0, 3)]
+    rng.shuffle(rels)
+    c = Catalog.empty(spark, relationships=spark.createDataFrame(rels, "model string, from_table string, to_table string"))
+    searched = []
+    monkeypatch.setattr(model_graph, "paths_from", lambda starts, *rest: searched.append(starts.select("model").distinct().count()) or paths_from(starts, *rest))
+    got = [(r.model, r.table) for r in with_bridges(c, spark.createDataFrame(tables, "model string, table string"), hops).collect()]
+    both = {g: g[1] | {(b, a) for a, b in g[1]} for g in graphs}
+    want = {(m, t) for m, g in models.items() for t in (plain_bridges(g[0], both[g], hops) if m else g[0])}
+    assert len(got) == len(set(got)) and set(got) == want
+    assert searched == [len({(s, both[s, e]) for s, e in graphs if s})]

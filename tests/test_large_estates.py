@@ -155,6 +155,14 @@ def test_links_are_written_once_for_all_steps(many, monkeypatch):
     assert sum("customer" in p and "DateKey" in p for p in read) == 1
 
 
+def test_bridges_of_an_estate_are_looked_for_in_one_model_of_each_kind(many, monkeypatch):
+    searched = []
+    real = model_graph.paths_from
+    monkeypatch.setattr(model_graph, "paths_from", lambda starts, *rest: searched.append(starts.select("model").distinct().count()) or real(starts, *rest))
+    assert metadata_queries.meta_bridges_far(many).select("model").distinct().count() == 150
+    assert searched == [8]  # with stores and measures, countries, stores or none of these; with returns or without
+
+
 def test_a_level_of_few_groups_never_deals_the_rows_out(spark):
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "20k")
