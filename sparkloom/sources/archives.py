@@ -129,6 +129,14 @@ def _each(df: DataFrame, array: str, name: str) -> DataFrame:
     return df.select("*", F.explode(array).alias(name))
 
 
+def _beside(df: DataFrame, other: DataFrame, keys: list[str], how: str) -> DataFrame:
+    """A join of two relations of all models, neither of which is gathered on the driver.
+
+    Rows exploded from a stored file are planned by a share of the file's size, which may let them be broadcast however many they are.
+    """
+    return df.join(other.hint("merge"), keys, how)
+
+
 def _lines(text):
     """An expression that is a list of lines as one text."""
     return F.when(text.startswith("["), F.array_join(F.from_json(text, "array<string>"), "\n")).otherwise(text)
@@ -140,13 +148,15 @@ def _catalog(m: DataFrame) -> Catalog:
     vt = _each(m, "v.Tables", "t").select("model", F.coalesce("t.TableName", "t.Name").alias("table"), F.col("t.RowsCount").alias("rows_count"), F.col("t.Description").alias("description"), F.nullif("t.TableExpression", F.lit("")).alias("expression"), F.coalesce("t.TotalSize", "t.TableSize", "t.DataSize", "t.DictionarySize", "t.ColumnSize").alias("size"))
     partitions = _each(bt, "t.partitions", "p").select("model", F.col("t.name").alias("table"), F.col("p.name").alias("partition"), F.col("p.mode").alias("mode"), F.col("p.source.type").alias("source_type"), _lines(F.col("p.source.expression")).alias("expression"))
     calculated = partitions.where("lower(source_type) = 'calculated'").groupBy("model", "table").agg(F.min("expression").alias("formula"))
-    tables = bt.select("model", F.col("t.name").alias("table"), F.col("t.dataCategory").alias("category")).join(vt, ["model", "table"], "full_outer").join(calculated, ["model", "table"], "left").withColumn("expression", F.coalesce("expression", "formula"))
+    tables = _beside(bt.select("model", F.col("t.name").alias("table"), F.col("t.dataCategory").alias("category")), vt, ["model", "table"], "full_outer")
+    tables = _beside(tables, calculated, ["model", "table"], "left").withColumn("expression", F.coalesce("expression", "formula"))
     marks = _each(bt, "t.columns", "c").select("model", F.col("t.name").alias("table"), F.col("c.name").alias("column"), F.exists("c.extendedProperties", lambda x: x["name"] == "ParameterMetadata").alias("marker"), F.coalesce("c.isKey", F.lit(False)).alias("key"), F.lower("c.type").alias("tom_type"))
     vc = _each(m, "v.Columns", "c").where("NOT coalesce(c.IsRowNumber, false)").select("model", "c.*")
-    columns = vc.select(
+    own = vc.select(
         "model", F.col("TableName").alias("table"), F.col("ColumnName").alias("column"), F.col("ColumnType").alias("column_type"), F.col("DataType").alias("data_type"), F.col("IsHidden").alias("hidden"), F.col("IsAvailableInMDX").alias("in_mdx"), F.col("Description").alias("description"), F.col("DisplayFolder").alias("folder"),
         F.coalesce("Encoding", "ColumnEncoding").alias("encoding"), F.col("TotalSize").alias("total_size"), F.col("DataSize").alias("data_size"), F.col("DictionarySize").alias("dictionary_size"), F.coalesce("Cardinality", "ColumnCardinality").alias("cardinality"), F.col("ColumnExpression").alias("expression"), F.col("IsKey").alias("is_key"),
-    ).join(marks, ["model", "table", "column"], "left").withColumn("is_key", F.coalesce("is_key", "key"))
+    )
+    columns = _beside(own, marks, ["model", "table", "column"], "left").withColumn("is_key", F.coalesce("is_key", "key"))
     measures = _each(m, "v.Measures", "x").select("model", F.col("x.TableName").alias("table"), F.col("x.MeasureName").alias("measure"), F.col("x.MeasureExpression").alias("expression"), F.col("x.DataType").alias("data_type"), F.col("x.FormatString").alias("format"), F.col("x.Description").alias("description"), F.col("x.DisplayFolder").alias("folder")).where("measure IS NOT NULL")
     relationships = _relationships(m)
     roles = m.select("model", F.explode("b.roles").alias("r")).select("model", F.col("r.name").alias("role"), F.explode_outer("r.tablePermissions").alias("p")).select("model", "role", F.col("p.name").alias("table"), F.col("p.filterExpression").alias("filter"))
@@ -165,7 +175,7 @@ def _relationships(m: DataFrame) -> DataFrame:
     """The model's relationships; statistics of the same name fill what the model leaves out."""
     r = _each(m, "b.relationships", "r").select("model", "r.*").where("coalesce(fromTable, '') <> '' AND coalesce(toTable, '') <> ''")
     s = _each(m, "v.Relationships", "s").select("model", F.col("s.RelationshipName").alias("name"), F.col("s.FromCardinalityType").alias("from_stat"), F.col("s.ToCardinalityType").alias("to_stat"), F.col("s.CrossFilteringBehavior").alias("direction_stat"), F.col("s.IsActive").alias("active_stat")).dropDuplicates(["model", "name"])
-    j = r.join(s, ["model", "name"], "left")
+    j = _beside(r, s, ["model", "name"], "left")
     both = F.lower(F.coalesce("direction_stat", "crossFilteringBehavior", F.lit(""))).startswith("both")
     return j.select(
         "model", "name", F.col("fromTable").alias("from_table"), F.col("fromColumn").alias("from_column"), F.col("toTable").alias("to_table"), F.col("toColumn").alias("to_column"),

@@ -208,3 +208,15 @@ def test_a_pair_of_texts_is_compared_once_a_batch(monkeypatch):
     monkeypatch.setattr(comparison.difflib, "SequenceMatcher", lambda *a: seen.append(a) or real(*a))
     assert comparison.ratios(pd.Series(["ab", "ab", "x"]), pd.Series(["ab", "ab", "y"])).tolist() == [100.0, 100.0, 0.0] and len(seen) == 2
     assert comparison.ratios(pd.Series([], dtype=str), pd.Series([], dtype=str)).tolist() == []
+
+
+def test_relations_of_stored_archives_are_never_gathered_on_the_driver(spark):
+    damages = {"whole": "whole", "spoilt": "not a zip"}
+    text = {"Model.bim": '{"model": {"tables": [{"name": "T", "columns": [{"name": "c", "dataType": "int64"}], "partitions": [{"name": "p", "source": {"type": "calculated", "expression": "1"}}]}], "relationships": [{"name": "r", "fromTable": "T", "fromColumn": "c", "toTable": "U", "toColumn": "c"}]}}'}
+    text |= {"DaxVpaView.json": '{"Tables": [{"TableName": "T"}], "Columns": [{"TableName": "T", "ColumnName": "c"}], "Relationships": [{"RelationshipName": "r"}]}', "DaxModel.json": "{}"}
+    rows = spark.createDataFrame([(m, p, t, d) for m, d in damages.items() for p, t in text.items()], "model string, member string, text string, damage string")
+    read, problems = archives.models_of(storage.packed_archives(rows, "vpax"))  # small enough to be broadcast, as a large estate's files are by their size
+    for df in (read.tables, read.columns, read.relationships, exchange_queries.src_model_archives(spark, SF)):
+        assert len(df.collect()) in (1, 150)
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+    assert read.tables.first().expression == "1" and problems.first().problem == "not a zip file"
